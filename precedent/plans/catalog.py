@@ -11,8 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precedent.operators import bm25
+from precedent.operators.dense import dense_topk
+from precedent.operators.embed import HashingEncoder, embed
+from precedent.plans.case_index import build_case_index, search
+from precedent.plans.fixtures import cases, with_cases
 from precedent.plans.registry import register
-from precedent.plans.sql_snippets import bm25_ctes, ranked
+from precedent.plans.sql_snippets import (bm25_ctes, hash_cosine_cte, hash_vector_ctes,
+                                          ranked, rrf_cte, tokens, vector_cosine_cte)
 from precedent.schema import RetrievalParams
 from precedent.sources.tables import read_table
 
@@ -27,7 +32,7 @@ def _score(c: str = "score") -> F.Column:
 # ---------------------------------------------------------------- keyword search
 @register("q17_bm25_topk", "WITH " + ",\n".join(
     bm25_ctes("documents", "doc_id", "text", "benchmark", "item_id", "text")) + "\n"
-    f"SELECT query_id AS item_id, doc_id, rank, round(score, {SCORE_DIGITS}) AS score "
+    f"SELECT query_id AS item_id, doc_id, rank, round(score, {SCORE_DIGITS}) + 0.0 AS score "
     f"FROM ({ranked('b_sc', P.k)})")
 def q17_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-3 documents per benchmark passage by BM25."""
@@ -36,3 +41,125 @@ def q17_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = bm25.build_keyword_index(docs, "doc_id", "text")
     hits = bm25.bm25_topk(bench, index, P.k, query_id="item_id", text="text", params=P)
     return hits.select(F.col("query_id").alias("item_id"), "doc_id", "rank", _score())
+
+
+# ---------------------------------------------------------------- dense search
+def _emb(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings")
+
+
+def _dense_vectors(spark, sf_dir, k, group=False, min_score=None):
+    emb = _emb(spark, sf_dir)
+    p = RetrievalParams(min_score=min_score)
+    hits = dense_topk(emb, emb, k, params=p, query_id="vec_id", q_vec="embedding",
+                      doc_id="vec_id", d_vec="embedding",
+                      query_group="label" if group else None,
+                      doc_group="label" if group else None, exclude_self=True)
+    return hits.select(F.col("query_id").alias("vec_id"), F.col("doc_id").alias("neighbour_id"),
+                       "rank", _score())
+
+
+def _dense_oracle(group=False, min_score=None):
+    cte = vector_cosine_cte("embeddings", "vec_id", "embedding", "d_sc",
+                            grp="label" if group else None, min_score=min_score)
+    return (f"WITH {cte}\nSELECT query_id AS vec_id, doc_id AS neighbour_id, rank, "
+            f"round(score, {SCORE_DIGITS}) + 0.0 AS score FROM ({ranked('d_sc', P.k)})")
+
+
+@register("q14_dense_topk", _dense_oracle())
+def q14_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine top-3 neighbours of every vector among all other vectors."""
+    return _dense_vectors(spark, sf_dir, P.k)
+
+
+@register("q15_dense_category", _dense_oracle(group=True))
+def q15_dense_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same, restricted to neighbours with the query's label (F2 pre-filter)."""
+    return _dense_vectors(spark, sf_dir, P.k, group=True)
+
+
+MIN_SCORE = 0.3
+
+
+@register("q16_min_score", _dense_oracle(min_score=MIN_SCORE))
+def q16_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense top-3 keeping only cosines >= 0.3."""
+    return _dense_vectors(spark, sf_dir, P.k, min_score=MIN_SCORE)
+
+
+# ---------------------------------------------------------------- keyword statistics
+@register("q18_bm25_stats", "WITH " + ",\n".join(
+    bm25_ctes("documents", "doc_id", "text", "benchmark", "item_id", "text")[:4]) + "\n"
+    f"SELECT term, df, round(ln(1 + (s.n - df + 0.5) / (df + 0.5)), {SCORE_DIGITS}) AS idf, "
+    f"s.n AS n_docs, round(s.avgdl, {SCORE_DIGITS}) AS avgdl FROM b_df CROSS JOIN b_stats s")
+def q18_bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequency and IDF per term, corpus size and mean length (A5)."""
+    docs = read_table(spark, sf_dir, "documents")
+    index = bm25.build_keyword_index(docs, "doc_id", "text")
+    n = float(index.n_docs)
+    idf = F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    return index.terms.select(
+        "term", "df", F.round(idf, SCORE_DIGITS).alias("idf"),
+        F.lit(index.n_docs).cast("long").alias("n_docs"),
+        F.round(F.lit(index.avgdl), SCORE_DIGITS).alias("avgdl"))
+
+
+# ---------------------------------------------------------------- hashing encoder
+@register("q27_hash_embed", "WITH " + ",\n".join(
+    hash_vector_ctes("documents", "doc_id", tokens("text"), "h")) + "\n"
+    f"SELECT id AS doc_id, CAST(bucket AS INTEGER) AS bucket, round(u, {SCORE_DIGITS}) + 0.0 AS weight "
+    f"FROM h_u WHERE u <> 0")
+def q27_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashing-encoder vectors of every document, as non-zero (bucket, weight) (M1)."""
+    docs = read_table(spark, sf_dir, "documents")
+    vec = embed(docs.select("doc_id", "text"), "text", HashingEncoder(P.dim))
+    return (vec.select("doc_id", F.posexplode("embedding").alias("bucket", "w"))
+            .filter(F.col("w") != 0)
+            .select("doc_id", F.col("bucket").cast("int"),
+                    F.round(F.col("w").cast("double"), SCORE_DIGITS).alias("weight")))
+
+
+# ---------------------------------------------------------------- hybrid case search
+def _case_queries_sql() -> list[str]:
+    """Oracle CTEs for leave-one-out hybrid search over ``cases``."""
+    dense_tok = (f"list_concat(['issue'], {tokens('issue')}, ['description'], "
+                 f"{tokens('description')})")
+    return [
+        *hash_vector_ctes("cases", "ticket_id", dense_tok, "cv"),
+        hash_cosine_cte("cv", "dense_sc"),
+        f"dense_r AS ({ranked('dense_sc', P.fetch)})",
+        *bm25_ctes("cases", "ticket_id", "issue || ' ' || description", "cases", "ticket_id",
+                   "issue || ' ' || description", prefix="cb", exclude_self=True),
+        f"sparse_r AS ({ranked('cb_sc', P.fetch)})",
+        rrf_cte(["dense_r", "sparse_r"], "fused"),
+    ]
+
+
+def _case_hits(spark: SparkSession, sf_dir: str, *, k: int | None = None,
+               dense_only: bool = False) -> DataFrame:
+    cs = cases(spark, sf_dir)
+    index = build_case_index(cs, params=P)
+    return search(cs, index, query_vectors=index.vectors, exclude_self=True,
+                  dense_only=dense_only, k=k)
+
+
+@register("q19_rrf_fuse", with_cases(
+    f"SELECT query_id AS ticket_id, doc_id AS neighbour_id, rank, "
+    f"round(score, {SCORE_DIGITS}) + 0.0 AS score FROM ({ranked('fused', 2 * P.fetch)})",
+    *_case_queries_sql()))
+def q19_rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole fused list: dense top-6 and BM25 top-6 per case merged by RRF."""
+    hits = _case_hits(spark, sf_dir, k=2 * P.fetch)
+    return hits.select(F.col("query_id").alias("ticket_id"),
+                       F.col("doc_id").alias("neighbour_id"), "rank", _score())
+
+
+@register("q20_hybrid_topk", with_cases(
+    f"SELECT query_id AS ticket_id, doc_id AS neighbour_id, rank, "
+    f"round(score, {SCORE_DIGITS}) + 0.0 AS score FROM ({ranked('fused', P.k)})",
+    *_case_queries_sql()))
+def q20_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid top-3 similar cases for every case."""
+    hits = _case_hits(spark, sf_dir)
+    return hits.select(F.col("query_id").alias("ticket_id"),
+                       F.col("doc_id").alias("neighbour_id"), "rank", _score())

@@ -60,3 +60,56 @@ def ranked(src: str, k: int, digits: int = 9) -> str:
     return (f"SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER "
             f"(PARTITION BY query_id ORDER BY round(score, {digits}) DESC, doc_id) AS BIGINT) "
             f"AS rank FROM {src}) WHERE rank <= {k}")
+
+
+def hash_vector_ctes(src: str, id_expr: str, tok_expr: str, prefix: str,
+                     dim: int = P.dim) -> list[str]:
+    """CTEs ending in ``{prefix}_u(id, bucket, u)`` (unit hashing vector, float32
+    values) and ``{prefix}_un(id, un)`` (norm of those float32 values)."""
+    return [
+        f"{prefix}_tf AS (SELECT id, term, count(*) AS tf FROM (SELECT {id_expr} AS id, "
+        f"unnest({tok_expr}) AS term FROM {src}) GROUP BY ALL)",
+        f"{prefix}_hw AS (SELECT id, ('0x' || substr(md5(term), 1, 8))::BIGINT % {dim} AS bucket, "
+        f"sum(CASE WHEN ('0x' || substr(md5(term), 9, 1))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END"
+        f" * (1 + ln(tf))) AS w FROM {prefix}_tf GROUP BY ALL)",
+        f"{prefix}_n AS (SELECT id, sqrt(sum(w * w)) AS n FROM {prefix}_hw GROUP BY id)",
+        f"{prefix}_u AS (SELECT id, bucket, CAST(CAST(w / n AS FLOAT) AS DOUBLE) AS u "
+        f"FROM {prefix}_hw JOIN {prefix}_n USING (id) WHERE n > 0)",
+        f"{prefix}_un AS (SELECT id, sqrt(sum(u * u)) AS un FROM {prefix}_u GROUP BY id)",
+    ]
+
+
+def hash_cosine_cte(prefix: str, out: str, exclude_self: bool = True,
+                    grp: str | None = None) -> str:
+    """``{out}(query_id, doc_id, score)`` cosine of every pair sharing a bucket."""
+    cond = " AND a.id <> b.id" if exclude_self else ""
+    return (f"{out} AS (SELECT a.id AS query_id, b.id AS doc_id, "
+            f"sum(a.u * b.u) / (na.un * nb.un) AS score FROM {prefix}_u a "
+            f"JOIN {prefix}_u b ON a.bucket = b.bucket{cond} "
+            f"JOIN {prefix}_un na ON na.id = a.id JOIN {prefix}_un nb ON nb.id = b.id "
+            f"GROUP BY a.id, b.id, na.un, nb.un)")
+
+
+def vector_cosine_cte(table: str, id_col: str, vec: str, out: str, exclude_self: bool = True,
+                      grp: str | None = None, min_score: float | None = None) -> str:
+    """``{out}(query_id, doc_id, score)``: cosine of every valid vector pair."""
+    g = f", {grp} AS g" if grp else ""
+    conds = (["a.id <> b.id"] if exclude_self else []) + (["a.g = b.g"] if grp else [])
+    on = " AND ".join(conds) or "TRUE"
+    score = ("list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * "
+             "sqrt(list_dot_product(b.v, b.v)))")
+    body = (f"SELECT a.id AS query_id, b.id AS doc_id, {score} AS score "
+            f"FROM {out}_v a JOIN {out}_v b ON {on}")
+    if min_score is not None:
+        body = f"SELECT * FROM ({body}) WHERE score >= {min_score}"
+    return (f"{out}_v AS (SELECT {id_col} AS id, CAST({vec} AS DOUBLE[]) AS v{g} FROM {table} "
+            f"WHERE len({vec}) = (SELECT max(len({vec})) FROM {table}) "
+            f"AND list_dot_product(CAST({vec} AS DOUBLE[]), CAST({vec} AS DOUBLE[])) > 0),\n"
+            f"{out} AS ({body})")
+
+
+def rrf_cte(lists: list[str], out: str, c: float = P.rrf_c) -> str:
+    """``{out}(query_id, doc_id, score)`` from ranked lists (query_id, doc_id, rank)."""
+    union = " UNION ALL ".join(f"SELECT query_id, doc_id, rank FROM {x}" for x in lists)
+    return (f"{out} AS (SELECT query_id, doc_id, sum(1.0 / ({c} + rank)) AS score "
+            f"FROM ({union}) GROUP BY query_id, doc_id)")
