@@ -15,10 +15,12 @@ from precedent.operators.dense import dense_topk
 from precedent.operators.embed import HashingEncoder, embed
 from precedent.plans.case_index import build_case_index, search
 from precedent.plans.fixtures import cases, with_cases
+from precedent.operators import render as R
+from precedent.plans.recommend import neighbours, recommend, run_summary
 from precedent.plans.registry import register
-from precedent.plans.sql_snippets import (bm25_ctes, hash_cosine_cte, hash_vector_ctes,
-                                          ranked, rrf_cte, tokens, vector_cosine_cte)
-from precedent.schema import RetrievalParams
+from precedent.plans.sql_snippets import (bm25_ctes, hash_cosine_cte, hash_vector_ctes, lit,
+                                          na, ranked, rrf_cte, tokens, vector_cosine_cte)
+from precedent.schema import NO_MATCH_MESSAGE, RetrievalParams
 from precedent.sources.tables import read_table
 
 P = RetrievalParams()
@@ -163,3 +165,132 @@ def q20_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _case_hits(spark, sf_dir)
     return hits.select(F.col("query_id").alias("ticket_id"),
                        F.col("doc_id").alias("neighbour_id"), "rank", _score())
+
+
+# ---------------------------------------------------------------- payload, prompt, generation
+def _nb_ctes() -> list[str]:
+    return [*_case_queries_sql(),
+            f"top AS ({ranked('fused', P.k)})",
+            "nb AS (SELECT t.query_id, t.rank, c.ticket_id, c.issue, c.description, c.category, "
+            "c.resolution, c.agent_name, c.resolved, t.score AS similarity_score "
+            "FROM top t JOIN cases c ON c.ticket_id = t.doc_id)"]
+
+
+def _prompt_sql() -> str:
+    ok = "coalesce(resolved, false)"
+    block = (f"printf({lit(R.PROMPT_NEIGHBOUR)}, rank, similarity_score, "
+             f"CASE WHEN {ok} THEN {lit(R.RESOLVED_WORD)} ELSE {lit(R.UNRESOLVED_WORD)} END, "
+             f"{na('ticket_id')}, {na('issue')}, {na('description')}, {na('category')}, "
+             f"{na('resolution')}, {na('agent_name')}, "
+             f"CASE WHEN {ok} THEN '' ELSE {lit(R.PROMPT_CAUTION)} END)")
+    return (f"pb AS (SELECT query_id, string_agg({block}, chr(10) ORDER BY rank) AS blocks "
+            f"FROM nb GROUP BY query_id)")
+
+
+def _extractive_sql() -> str:
+    ok = "coalesce(resolved, false)"
+    return (f"ex AS (SELECT query_id, "
+            f"arg_min(ticket_id, rank) FILTER (WHERE {ok} AND length(resolution) > 0) AS b_id, "
+            f"arg_min(similarity_score, rank) FILTER (WHERE {ok} AND length(resolution) > 0) AS b_s, "
+            f"arg_min(resolution, rank) FILTER (WHERE {ok} AND length(resolution) > 0) AS b_r, "
+            f"count(*) FILTER (WHERE {ok} AND length(resolution) > 0) AS n_best, "
+            f"string_agg({na('ticket_id')}, ', ' ORDER BY rank) FILTER (WHERE NOT {ok}) AS open_ids, "
+            f"count(*) FILTER (WHERE NOT {ok}) AS n_open, count(*) AS n FROM nb GROUP BY query_id),\n"
+            f"rec AS (SELECT c.ticket_id, CASE WHEN coalesce(ex.n, 0) = 0 THEN {lit(NO_MATCH_MESSAGE)} "
+            f"ELSE (CASE WHEN ex.n_best = 0 THEN {lit(R.REC_NONE)} "
+            f"ELSE printf({lit(R.REC_LEAD)}, b_id, b_s, b_r) END) || "
+            f"CASE WHEN n_open > 0 THEN {lit(R.REC_CAUTION_HEAD)} || open_ids || "
+            f"CASE WHEN n_open = 1 THEN ' was' ELSE ' were' END || {lit(R.REC_CAUTION_TAIL)} "
+            f"ELSE '' END END AS recommendation, coalesce(ex.n, 0) AS n "
+            f"FROM cases c LEFT JOIN ex ON ex.query_id = c.ticket_id)")
+
+
+def _case_results(spark: SparkSession, sf_dir: str, with_prompt: bool = False) -> DataFrame:
+    cs = cases(spark, sf_dir)
+    index = build_case_index(cs, params=P)
+    return recommend(cs, index, query_vectors=index.vectors, exclude_self=True,
+                     with_prompt=with_prompt)
+
+
+@register("q21_neighbours", with_cases(
+    "SELECT query_id AS ticket_id, rank, ticket_id AS neighbour_id, issue, category, "
+    "resolution, agent_name, resolved, "
+    f"round(similarity_score, {SCORE_DIGITS}) + 0.0 AS similarity_score FROM nb",
+    *_nb_ctes()))
+def q21_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-3 neighbours of every case with their payload, flattened."""
+    cs = cases(spark, sf_dir)
+    index = build_case_index(cs, params=P)
+    nb = neighbours(cs, index, query_vectors=index.vectors, exclude_self=True)
+    return nb.select(F.col("query_id").alias("ticket_id"), "rank",
+                     F.col("ticket_id").alias("neighbour_id"), "issue", "category",
+                     "resolution", "agent_name", "resolved", _score("similarity_score"))
+
+
+@register("q22_prompt", with_cases(
+    f"SELECT c.ticket_id, {lit(R.PROMPT_HEAD)} || printf({lit(R.PROMPT_QUERY)}, "
+    f"{na('c.ticket_id')}, {na('c.issue')}, {na('c.description')}, {na('c.category')}) || "
+    f"coalesce(pb.blocks, '') || {lit(R.PROMPT_TAIL)} AS prompt "
+    "FROM cases c LEFT JOIN pb ON pb.query_id = c.ticket_id",
+    *_nb_ctes(), _prompt_sql()))
+def q22_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generator prompt of every case from its ranked neighbours."""
+    return _case_results(spark, sf_dir, with_prompt=True).select("ticket_id", "prompt")
+
+
+@register("q23_extractive", with_cases(
+    "SELECT ticket_id, recommendation FROM rec", *_nb_ctes(), _extractive_sql()))
+def q23_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default (extractive) recommendation of every case (M3 default, M4)."""
+    return _case_results(spark, sf_dir).select("ticket_id", "recommendation")
+
+
+@register("q24_recommend", with_cases(
+    "SELECT c.ticket_id, c.issue, c.category, CAST(r.n AS INTEGER) AS n_similar, "
+    "coalesce(ids.neighbour_ids, '') AS neighbour_ids, r.recommendation, "
+    "CAST(NULL AS VARCHAR) AS error FROM cases c JOIN rec r USING (ticket_id) "
+    "LEFT JOIN (SELECT query_id, string_agg(ticket_id, ',' ORDER BY rank) AS neighbour_ids "
+    "FROM nb GROUP BY query_id) ids ON ids.query_id = c.ticket_id",
+    *_nb_ctes(), _extractive_sql()))
+def q24_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch recommendation for every case: hybrid search → payload → prompt →
+    generator, one set-based job (M5); flattened for comparison."""
+    res = _case_results(spark, sf_dir)
+    return res.select("ticket_id", "issue", "category",
+                      F.size("similar_tickets").alias("n_similar"),
+                      F.array_join(F.transform("similar_tickets", lambda x: x["ticket_id"]), ",")
+                      .alias("neighbour_ids"), "recommendation", "error")
+
+
+@register("q29_run_summary", with_cases(
+    "SELECT count(*) AS total, count(*) AS succeeded, CAST(0 AS BIGINT) AS failed, "
+    "CAST(NULL AS DOUBLE) AS mean_seconds FROM cases"))
+def q29_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run summary over the batch results: total / succeeded / failed."""
+    return run_summary(_case_results(spark, sf_dir))
+
+
+def _markdown_sql() -> str:
+    ok = "coalesce(resolved, false)"
+    block = (f"printf({lit(R.MD_BLOCK)}, CASE WHEN rank = 1 THEN ' open' ELSE '' END, rank, "
+             f"{na('ticket_id')}, similarity_score * 100.0, "
+             f"CASE WHEN {ok} THEN {lit(R.RESOLVED_COLOUR)} ELSE {lit(R.UNRESOLVED_COLOUR)} END, "
+             f"CASE WHEN {ok} THEN {lit(R.RESOLVED_WORD)} ELSE {lit(R.UNRESOLVED_WORD)} END, "
+             f"{na('issue')}, {na('category')}, {na('description')}, {na('resolution')}, "
+             f"{na('agent_name')})")
+    return (f"mb AS (SELECT query_id, string_agg({block}, '' ORDER BY rank) AS blocks "
+            f"FROM nb GROUP BY query_id)")
+
+
+@register("q30_markdown", with_cases(
+    f"SELECT r.ticket_id, printf({lit(R.MD_HEAD)}, r.recommendation, 'N/A', r.n) || "
+    f"coalesce(mb.blocks, '') || CASE WHEN r.n = 0 THEN {lit(R.MD_EMPTY)} ELSE '' END "
+    "AS markdown, CASE WHEN length(r.recommendation) > 500 THEN "
+    "substring(r.recommendation, 1, 500) || '...' ELSE r.recommendation END AS preview "
+    "FROM rec r LEFT JOIN mb ON mb.query_id = r.ticket_id",
+    *_nb_ctes(), _extractive_sql(), _markdown_sql()))
+def q30_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown view and 500-character preview of every result."""
+    res = _case_results(spark, sf_dir)
+    return res.select("ticket_id", R.markdown().alias("markdown"),
+                      R.recommendation_preview().alias("preview"))

@@ -113,3 +113,12 @@ def rrf_cte(lists: list[str], out: str, c: float = P.rrf_c) -> str:
     union = " UNION ALL ".join(f"SELECT query_id, doc_id, rank FROM {x}" for x in lists)
     return (f"{out} AS (SELECT query_id, doc_id, sum(1.0 / ({c} + rank)) AS score "
             f"FROM ({union}) GROUP BY query_id, doc_id)")
+
+
+def lit(s: str) -> str:
+    """A Python string as a SQL string literal (newlines kept as is)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def na(expr: str) -> str:
+    return f"coalesce(CAST({expr} AS VARCHAR), 'N/A')"
