@@ -41,6 +41,6 @@ def nest_neighbours(neighbours: DataFrame) -> DataFrame:
 def lookup_case(cases: DataFrame, ids: DataFrame, *, key: str = "ticket_id") -> DataFrame:
     """For each requested id, the latest matching case or a 'not found' row."""
     found = cases.withColumn("_found", F.lit(True))
-    out = ids.select(F.col(key)).join(found, key, "left")
+    out = ids.join(found, key, "left")
     return out.withColumn("status", F.when(F.col("_found"), F.lit("found"))
                           .otherwise(F.lit("not found"))).drop("_found")

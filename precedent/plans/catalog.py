@@ -13,13 +13,23 @@ from pyspark.sql import functions as F
 from precedent.operators import bm25
 from precedent.operators.dense import dense_topk
 from precedent.operators.embed import HashingEncoder, embed
-from precedent.plans.case_index import build_case_index, search
+from precedent.plans.case_index import build_case_index, case_vectors, search
 from precedent.plans.fixtures import cases, with_cases
+from precedent.functions.text import (choice_label, clean_text, dense_text, first_line,
+                                      parse_label, sparse_text)
 from precedent.operators import render as R
+from precedent.operators.dedupe import latest_by_key
+from precedent.operators.embed import cache_misses, text_key
+from precedent.operators.evaluate import category_agreement, containment_truth, hit_rank
+from precedent.operators.filters import (MISSING_DESCRIPTION, MISSING_ISSUE, only_resolved,
+                                         validation_reason)
+from precedent.operators.lookup import lookup_case
+from precedent.operators.normalize import normalize_records
+from precedent.operators.stats import category_counts, index_stats, resolution_counts
 from precedent.plans.recommend import neighbours, recommend, run_summary
 from precedent.plans.registry import register
-from precedent.plans.sql_snippets import (bm25_ctes, hash_cosine_cte, hash_vector_ctes, lit,
-                                          na, ranked, rrf_cte, tokens, vector_cosine_cte)
+from precedent.plans.sql_snippets import (bm25_ctes, clean, hash_cosine_cte, hash_vector_ctes,
+                                          lit, na, ranked, rrf_cte, tokens, vector_cosine_cte)
 from precedent.schema import NO_MATCH_MESSAGE, RetrievalParams
 from precedent.sources.tables import read_table
 
@@ -294,3 +304,202 @@ def q30_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = _case_results(spark, sf_dir)
     return res.select("ticket_id", R.markdown().alias("markdown"),
                       R.recommendation_preview().alias("preview"))
+
+
+# ---------------------------------------------------------------- normalisation and text
+_FIRST_LINE = "split_part(text, chr(10), 1)"
+_DENSE_CONCAT = "'Issue: ' || issue || '. Description: ' || description"
+
+def _raw_case_records(cs: DataFrame) -> DataFrame:
+    """Case rows re-expressed as source records with mixed key spellings and
+    text flags, the way heterogeneous files arrive (even ids: Title keys and
+    yes/no; odd ids: snake keys and 1/0; no resolution keys when empty)."""
+    even = F.pmod(F.col("conv_id"), F.lit(2)) == 0
+    flag = F.when(even, F.when(F.col("resolved"), F.lit("Yes")).otherwise(F.lit("no"))) \
+        .otherwise(F.when(F.col("resolved"), F.lit("1")).otherwise(F.lit("0")))
+    has_res = F.col("resolution") != ""
+
+    def rec(names):
+        base = [F.lit(names[0]), F.col("ticket_id"), F.lit(names[1]), F.col("issue"),
+                F.lit(names[2]), F.col("description"), F.lit(names[3]), F.col("category")]
+        res = [F.lit(names[4]), F.col("resolution"), F.lit(names[5]), F.col("agent_name"),
+               F.lit(names[6]), flag]
+        return F.when(has_res, F.create_map(*base, *res)).otherwise(F.create_map(*base))
+    title = ["Ticket ID", "Issue", "Description", "Category", "Resolution", "Agent Name",
+             "Resolved"]
+    snake = ["ticket_id", "issue", "description", "category", "resolution", "agent_name",
+             "resolved"]
+    return cs.select(F.when(even, rec(title)).otherwise(rec(snake)).alias("rec"))
+
+
+@register("q01_normalize", with_cases(
+    "SELECT ticket_id, issue, description, category, '' AS date, "
+    "CASE WHEN resolution <> '' THEN resolution END AS resolution, "
+    "CASE WHEN resolution <> '' THEN agent_name END AS agent_name, "
+    "CASE WHEN resolution <> '' THEN resolved END AS resolved FROM cases"))
+def q01_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed-spelling records with text flags → the case schema."""
+    return normalize_records(_raw_case_records(cases(spark, sf_dir)))
+
+
+@register("q02_clean_text",
+          f"SELECT doc_id, {clean('text')} AS clean_text FROM documents")
+def q02_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitespace-normalised text of every document."""
+    return read_table(spark, sf_dir, "documents").select(
+        "doc_id", clean_text("text").alias("clean_text"))
+
+
+@register("q03_dense_text", with_cases(
+    f"SELECT ticket_id, {clean(_DENSE_CONCAT)} "
+    "AS dense_text FROM cases"))
+def q03_dense_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled, cleaned text that is embedded, per case."""
+    return cases(spark, sf_dir).select("ticket_id", dense_text("issue", "description")
+                                       .alias("dense_text"))
+
+
+@register("q04_sparse_text", with_cases(
+    "SELECT ticket_id, issue || ' ' || description AS sparse_text FROM cases"))
+def q04_sparse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword-search text per case (P5)."""
+    return cases(spark, sf_dir).select("ticket_id", sparse_text("issue", "description")
+                                       .alias("sparse_text"))
+
+
+@register("q05_tokenize",
+          f"SELECT term, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS term "
+          f"FROM documents) GROUP BY term")
+def q05_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term occurrence counts over all documents."""
+    return bm25.term_counts(read_table(spark, sf_dir, "documents"), "text")
+
+
+@register("q06_validate",
+          f"SELECT doc_id, CASE WHEN length({clean(_FIRST_LINE)}) = 0 "
+          f"THEN {lit(MISSING_ISSUE)} WHEN length({clean('text')}) = 0 "
+          f"THEN {lit(MISSING_DESCRIPTION)} END AS reason FROM documents")
+def q06_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document checked as a form entry (first line = issue)."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", validation_reason(first_line("text"), F.col("text"))
+                       .alias("reason"))
+
+
+@register("q07_only_resolved", with_cases(
+    "SELECT ticket_id, category FROM cases WHERE resolved"))
+def q07_only_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved cases only (F1)."""
+    return only_resolved(cases(spark, sf_dir)).select("ticket_id", "category")
+
+
+# ---------------------------------------------------------------- counts
+@register("q08_category_counts",
+          "SELECT source AS category, count(*) AS n FROM documents GROUP BY source")
+def q08_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per source, sorted (A1, L3)."""
+    return category_counts(read_table(spark, sf_dir, "documents"), "source")
+
+
+@register("q09_resolution_counts", with_cases(
+    "SELECT count(*) AS total, count(*) FILTER (WHERE resolved) AS resolved, "
+    "count(*) FILTER (WHERE NOT resolved) AS unresolved FROM cases"))
+def q09_resolution_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total, resolved and unresolved cases (A2)."""
+    return resolution_counts(cases(spark, sf_dir))
+
+
+@register("q10_index_stats", with_cases(
+    f"SELECT category, count(*) AS n, sum(count(*)) OVER () AS points, "
+    f"{P.dim} AS dim FROM cases GROUP BY category"))
+def q10_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points per category, total points and vector width of the case index (A3)."""
+    cs = cases(spark, sf_dir)
+    vecs = case_vectors(cs, params=P)
+    return index_stats(vecs).select("category", "n", F.col("points").cast("long"),
+                                    F.col("dim").cast("int"))
+
+
+@register("q11_latest_by_key",
+          "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, "
+          "arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def q11_latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last turn of every conversation: last row wins per key."""
+    conv = read_table(spark, sf_dir, "conversations")
+    return latest_by_key(conv, "conv_id", ["turn"]).select("conv_id", "turn", "role", "text")
+
+
+@register("q12_lookup", with_cases(
+    "SELECT l.doc_id, 'TCKT-' || CAST(l.doc_id AS VARCHAR) AS requested, "
+    "CASE WHEN c.ticket_id IS NULL THEN 'not found' ELSE 'found' END AS status, "
+    "c.ticket_id || ': ' || c.issue AS label, c.category FROM labels l "
+    "LEFT JOIN cases c ON c.ticket_id = 'TCKT-' || CAST(l.doc_id AS VARCHAR)"))
+def q12_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look up the case of every labelled id; label built and parsed back."""
+    cs = cases(spark, sf_dir).withColumn("label", choice_label("ticket_id", "issue"))
+    # The id is recovered from the label, as a dropdown choice would be.
+    cs = cs.withColumn("ticket_id", parse_label("label"))
+    ids = read_table(spark, sf_dir, "labels").select(
+        "doc_id", F.concat(F.lit("TCKT-"), F.col("doc_id").cast("string")).alias("ticket_id"))
+    found = lookup_case(cs.select("ticket_id", "label", "category"), ids)
+    return found.select("doc_id", F.col("ticket_id").alias("requested"), "status", "label",
+                        "category")
+
+
+@register("q13_union_files",
+          "SELECT doc_id, source, NULL::VARCHAR AS lang FROM documents WHERE lang = 'en' "
+          "UNION ALL SELECT doc_id, NULL::VARCHAR AS source, lang FROM documents "
+          "WHERE lang <> 'en'")
+def q13_union_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two differently shaped slices appended by column name."""
+    docs = read_table(spark, sf_dir, "documents")
+    a = docs.filter(F.col("lang") == "en").select("doc_id", "source")
+    b = docs.filter(F.col("lang") != "en").select("doc_id", "lang")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+# ---------------------------------------------------------------- evaluation and cache
+@register("q25_hit_rank", "WITH " + ",\n".join(
+    bm25_ctes("documents", "doc_id", "text", "benchmark", "item_id", "text")) + ",\n"
+    f"top AS ({ranked('b_sc', P.k)}),\n"
+    "truth AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d "
+    "ON contains(d.text, b.text))\n"
+    "SELECT t.item_id, t.doc_id, top.rank, top.rank IS NOT NULL AS hit FROM truth t "
+    "LEFT JOIN top ON top.query_id = t.item_id AND top.doc_id = t.doc_id")
+def q25_hit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of every verbatim-containing document in the BM25 top-3 of its
+    benchmark passage (A7); ground truth found without a cross join."""
+    docs = read_table(spark, sf_dir, "documents")
+    bench = read_table(spark, sf_dir, "benchmark")
+    index = bm25.build_keyword_index(docs, "doc_id", "text")
+    truth = containment_truth(bench, "item_id", "text", docs, "doc_id", "text", index)
+    hits = bm25.bm25_topk(bench, index, P.k, query_id="item_id", text="text", params=P)
+    return hit_rank(hits, truth, query_id="item_id", doc_id="doc_id") \
+        .select("item_id", "doc_id", "rank", "hit")
+
+
+@register("q26_category_agreement", with_cases(
+    "SELECT query_id AS ticket_id, count(*) FILTER (WHERE n.category = q.category) "
+    "AS same_category, count(*) AS neighbours, "
+    "round(count(*) FILTER (WHERE n.category = q.category) / count(*), 6) AS agreement "
+    "FROM nb n JOIN cases q ON q.ticket_id = n.query_id GROUP BY query_id",
+    *_nb_ctes()))
+def q26_category_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each case's neighbours that have its category."""
+    cs = cases(spark, sf_dir)
+    index = build_case_index(cs, params=P)
+    nb = neighbours(cs, index, query_vectors=index.vectors, exclude_self=True)
+    agg = category_agreement(nb, cs)
+    return agg.select(F.col("query_id").alias("ticket_id"), "same_category", "neighbours",
+                      F.round("agreement", 6).alias("agreement"))
+
+
+@register("q28_cache_misses",
+          "SELECT DISTINCT sha256(text) AS text_hash FROM documents WHERE sha256(text) NOT IN "
+          "(SELECT sha256(text) FROM documents WHERE lang = 'en' AND text IS NOT NULL) "
+          "AND text IS NOT NULL")
+def q28_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to encode given a cache already holding the English documents."""
+    docs = read_table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    cached = docs.filter(F.col("lang") == "en").select(text_key("text").alias("text_hash"))
+    return cache_misses(docs, "text", cached).select("text_hash")
