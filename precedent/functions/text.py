@@ -82,3 +82,4 @@ def fmt_fixed(c: Column | str, digits: int) -> Column:
 def or_missing(c: Column | str, missing: str) -> Column:
     """NULL shown as ``missing``; booleans and numbers shown as text."""
     return F.coalesce(_c(c).cast("string"), F.lit(missing))
+

@@ -33,6 +33,7 @@ from precedent.functions.text import tokenize
 from precedent.operators.ranking import top_k
 from precedent.operators.sizing import DEFAULT_BROADCAST_ROWS, maybe_broadcast
 from precedent.schema import RetrievalParams
+from precedent.session import materialize as materialize_table
 
 # Postings per (term, salt) group a task should hold at most.
 DEFAULT_ROWS_PER_SALT = 1_000_000
@@ -54,21 +55,28 @@ def _c(c: Column | str) -> Column:
 
 def term_postings(docs: DataFrame, doc_id: str, text: Column | str,
                   group: str | None = None) -> DataFrame:
-    """(doc_id, term, tf, doc_len[, grp]) for every distinct term of every document."""
+    """(doc_id, doc_len[, grp], term, tf) for every distinct term of every document.
+
+    ``groupBy(doc_id, term)``: the partial aggregation runs in the task that
+    tokenised the document, so the shuffle carries only distinct postings.
+    """
     cols = [F.col(doc_id).alias("doc_id"), tokenize(text).alias("tokens")]
     if group:
         cols.append(F.col(group).alias("grp"))
     keys = ["doc_id", "doc_len"] + (["grp"] if group else [])
+    # explode_outer + a null filter: a plain explode makes the optimizer add a
+    # "non-empty array" filter that evaluates the whole tokeniser a second time.
     return (docs.select(*cols)
-            .select(*keys[:1], F.size("tokens").cast("long").alias("doc_len"),
-                    *(["grp"] if group else []), F.explode("tokens").alias("term"))
+            .select("doc_id", F.size("tokens").cast("long").alias("doc_len"),
+                    *(["grp"] if group else []), F.explode_outer("tokens").alias("term"))
+            .filter(F.col("term").isNotNull())
             .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def term_counts(docs: DataFrame, text: Column | str) -> DataFrame:
     """(term, n) occurrences over all documents (q05)."""
-    return (docs.select(F.explode(tokenize(text)).alias("term"))
-            .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    return (docs.select(F.explode_outer(tokenize(text)).alias("term"))
+            .filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
 def corpus_stats(docs: DataFrame, text: Column | str) -> tuple[int, float]:
@@ -90,11 +98,28 @@ def build_keyword_index(docs: DataFrame, doc_id: str, text: Column | str, *,
                         group: str | None = None,
                         rows_per_salt: int = DEFAULT_ROWS_PER_SALT,
                         max_salts: int = MAX_SALTS,
-                        broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> KeywordIndex:
-    """BM25 index over ``docs``; lazy except for two scalar/small jobs."""
-    n_docs, avgdl = corpus_stats(docs, text)
+                        broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                        materialize: bool = True) -> KeywordIndex:
+    """BM25 index over ``docs``.
+
+    With ``materialize`` the postings and the term table are written once as
+    Parquet under the shared checkpoint folder (survives the loss of
+    executors; cuts lineage) so that statistics, the hot-term check and every
+    query read them instead of re-tokenising the corpus.
+    """
     raw = term_postings(docs, doc_id, text, group)
+    if materialize:
+        raw = materialize_table(raw, "postings")
+        # N from the documents, the mean length from the stored postings:
+        # no second tokenisation pass.
+        n_docs = docs.count()
+        total = raw.agg(F.sum("tf")).first()[0] or 0
+        avgdl = float(total) / n_docs if n_docs else 0.0
+    else:
+        n_docs, avgdl = corpus_stats(docs, text)
     terms = document_frequency(raw, rows_per_salt, max_salts)
+    if materialize:
+        terms = materialize_table(terms, "terms")
     # Terms that need more than one salt: at most total_postings / rows_per_salt.
     hot = terms.filter(F.col("n_salts") > 1).select("term", F.col("n_salts").alias("hot_salts"))
     sized = maybe_broadcast(hot, broadcast_rows)
@@ -110,10 +135,10 @@ def query_terms(queries: DataFrame, query_id: str, text: Column | str,
                 group: str | None = None) -> DataFrame:
     """(query_id, term[, qgrp]) with each term once per query."""
     cols = [F.col(query_id).alias("query_id"),
-            F.explode(F.array_distinct(tokenize(text))).alias("term")]
+            F.explode_outer(F.array_distinct(tokenize(text))).alias("term")]
     if group:
         cols.append(F.col(group).alias("qgrp"))
-    return queries.select(*cols)
+    return queries.select(*cols).filter(F.col("term").isNotNull())
 
 
 def bm25_scores(queries: DataFrame, index: KeywordIndex, *, query_id: str,

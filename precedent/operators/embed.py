@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -56,8 +57,7 @@ class HashingEncoder:
                 out.append(None)
                 continue
             vec = np.zeros(self.dim, dtype=np.float64)
-            terms, counts = np.unique(np.asarray(toks, dtype=object), return_counts=True)
-            for term, tf in zip(terms, counts):
+            for term, tf in Counter(toks).items():
                 b, s = self._slot(term)
                 vec[b] += s * (1.0 + math.log(tf))
             norm = math.sqrt(float(vec @ vec))

@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precedent.operators.sizing import DEFAULT_BROADCAST_ROWS, maybe_broadcast
 
 NEIGHBOUR_FIELDS = ["ticket_id", "issue", "description", "category", "resolution",
                     "agent_name", "resolved"]
 
 
-def hydrate(hits: DataFrame, cases: DataFrame, *, key: str = "ticket_id",
-            broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def hydrate(hits: DataFrame, cases: DataFrame, *, key: str = "ticket_id") -> DataFrame:
     """hits(query_id, doc_id, score, rank) ⋈ cases on ``key`` → neighbour rows.
 
     Ranking ran on ids only; the payload is joined to at most k rows per
-    query. The hits side is broadcast when a count proves it small,
-    otherwise both sides shuffle on the key.
+    query. The hits come out of a shuffle (the top-k window), so adaptive
+    execution knows their exact size at run time and turns the join into a
+    broadcast join when they are small; otherwise both sides shuffle on the
+    key. Counting the hits up front would run the whole search twice.
     """
-    sized = maybe_broadcast(hits, broadcast_rows)
     payload = cases.select(F.col(key).alias("doc_id"),
                            *[F.col(c) for c in NEIGHBOUR_FIELDS if c != key])
-    out = payload.join(sized.df, "doc_id")
+    out = payload.join(hits, "doc_id")
     return out.select("query_id", "rank", F.col("doc_id").alias("ticket_id"),
                       *[c for c in NEIGHBOUR_FIELDS if c != "ticket_id"],
                       F.col("score").alias("similarity_score"))

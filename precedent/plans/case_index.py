@@ -18,6 +18,7 @@ from precedent.operators.dense import dense_topk
 from precedent.operators.embed import HashingEncoder, embed
 from precedent.operators.fusion import hybrid_topk
 from precedent.schema import RetrievalParams
+from precedent.session import materialize
 
 
 @dataclass
@@ -45,7 +46,11 @@ def build_case_index(cases: DataFrame, encoder=None,
                      params: RetrievalParams = RetrievalParams(),
                      vectors: DataFrame | None = None) -> CaseIndex:
     """Vectors + keyword index over ``cases`` (resolved and unresolved alike)."""
-    vecs = vectors if vectors is not None else case_vectors(cases, encoder, params)
+    if vectors is None:
+        # Encoded once and checkpointed: both the query side and the corpus
+        # scan read the stored vectors.
+        vectors = materialize(case_vectors(cases, encoder, params), "vectors")
+    vecs = vectors
     kw = bm25.build_keyword_index(with_texts(cases), "ticket_id", F.col("sparse_text"),
                                   group="category")
     return CaseIndex(cases, vecs, kw, params)
