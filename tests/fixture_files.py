@@ -64,6 +64,7 @@ def write_xlsx(path, rows):
 
 
 def write_case_dir(d):
+    d.mkdir(parents=True, exist_ok=True)
     (d / "title.csv").write_text(TITLE_CSV)
     (d / "snake.csv").write_text(SNAKE_CSV)
     (d / "records.json").write_text(json.dumps(RECORDS))
