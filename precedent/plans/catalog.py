@@ -503,3 +503,9 @@ def q28_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
     cached = docs.filter(F.col("lang") == "en").select(text_key("text").alias("text_hash"))
     return cache_misses(docs, "text", cached).select("text_hash")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested batch result for every case: hybrid top-3 neighbours with payload,
+    recommendation and error columns (M5)."""
+    return _case_results(spark, sf_dir)
