@@ -123,3 +123,33 @@ CACHE_SCHEMA = T.StructType([
     T.StructField("model", T.StringType(), False),
     T.StructField("embedding", VECTOR_TYPE, True),
 ])
+
+
+def hash_embed(df: DataFrame, id_col: str, text: Column | str, dim: int = 384,
+               out_col: str = "embedding") -> DataFrame:
+    """The ``HashingEncoder`` computed JVM-side: (id, ``out_col``) per row with
+    at least one token.
+
+    Bucket and sign come from ``md5`` in SQL; term counts, bucket sums and the
+    dense array are aggregations whose groups are bounded (one document's
+    terms, then at most ``dim`` buckets per document), each with a map-side
+    partial step. Same vectors as the Python encoder, without moving tokens
+    into Python workers.
+    """
+    src = F.col(text) if isinstance(text, str) else text
+    h = F.md5(F.col("term"))
+    bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    sign = F.when(F.pmod(F.conv(F.substring(h, 9, 1), 16, 10).cast("int"), F.lit(2)) == 0,
+                  F.lit(1.0)).otherwise(F.lit(-1.0))
+    tf = (df.select(F.col(id_col).alias("_id"), F.explode_outer(tokenize(src)).alias("term"))
+          .filter(F.col("term").isNotNull())
+          .groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    w = (tf.select("_id", bucket.alias("b"), (sign * (F.lit(1.0) + F.log(F.col("tf")))).alias("w"))
+         .groupBy("_id", "b").agg(F.sum("w").alias("w")))
+    per = w.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"),
+                               F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                        lambda i: (F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("norm"))
+                        .cast("float"))
+    return per.filter(F.col("norm") > 0).select(F.col("_id").alias(id_col),
+                                                 dense.alias(out_col))

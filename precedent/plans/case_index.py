@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from precedent.functions.text import dense_text, sparse_text
 from precedent.operators import bm25
 from precedent.operators.dense import dense_topk
-from precedent.operators.embed import HashingEncoder, embed
+from precedent.operators.embed import embed, hash_embed
 from precedent.operators.fusion import hybrid_topk
 from precedent.schema import RetrievalParams
 from precedent.session import materialize
@@ -37,9 +37,12 @@ def with_texts(cases: DataFrame) -> DataFrame:
 
 def case_vectors(cases: DataFrame, encoder=None, params: RetrievalParams = RetrievalParams()
                  ) -> DataFrame:
-    encoder = encoder or HashingEncoder(params.dim)
-    return embed(with_texts(cases).select("ticket_id", "category", "dense_text"),
-                 "dense_text", encoder).select("ticket_id", "category", "embedding")
+    texts = with_texts(cases).select("ticket_id", "category", "dense_text")
+    if encoder is None:
+        # Default encoder, computed JVM-side (same vectors as HashingEncoder).
+        vec = hash_embed(texts, "ticket_id", "dense_text", params.dim)
+        return texts.select("ticket_id", "category").join(vec, "ticket_id", "left")
+    return embed(texts, "dense_text", encoder).select("ticket_id", "category", "embedding")
 
 
 def build_case_index(cases: DataFrame, encoder=None,

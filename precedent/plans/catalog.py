@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from precedent.operators import bm25
 from precedent.operators.dense import dense_topk
-from precedent.operators.embed import HashingEncoder, embed
+from precedent.operators.embed import hash_embed
 from precedent.plans.case_index import build_case_index, case_vectors, search
 from precedent.plans.fixtures import cases, with_cases
 from precedent.functions.text import (choice_label, clean_text, dense_text, first_line,
@@ -124,7 +124,7 @@ def q18_bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q27_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashing-encoder vectors of every document, as non-zero (bucket, weight) (M1)."""
     docs = read_table(spark, sf_dir, "documents")
-    vec = embed(docs.select("doc_id", "text"), "text", HashingEncoder(P.dim))
+    vec = hash_embed(docs.select("doc_id", "text"), "doc_id", "text", P.dim)
     return (vec.select("doc_id", F.posexplode("embedding").alias("bucket", "w"))
             .filter(F.col("w") != 0)
             .select("doc_id", F.col("bucket").cast("int"),

@@ -165,3 +165,15 @@ def test_result_invariant_under_repartition(spark):
     b = bm25.bm25_topk(qs.repartition(4), idx2, 2, query_id="qid", text="text").collect()
     key = lambda r: (r.query_id, r["rank"], r.doc_id)
     assert sorted(map(key, a)) == sorted(map(key, b))
+
+
+def test_python_and_jvm_hashing_encoders_agree(spark):
+    from precedent.operators.embed import HashingEncoder, embed, hash_embed
+    docs = spark.createDataFrame([(1, "The cat sat on the mat, the end."), (2, "Ça va? Ça va!"),
+                                  (3, "")], "id long, text string")
+    py = {r.id: r.embedding for r in embed(docs, "text", HashingEncoder(16)).collect()}
+    jvm = {r.id: r.embedding for r in hash_embed(docs, "id", "text", 16).collect()}
+    assert py[3] is None and 3 not in jvm
+    for i in (1, 2):
+        assert np.allclose(py[i], jvm[i], atol=1e-7)
+        assert abs(float(np.dot(py[i], py[i])) - 1) < 1e-6
