@@ -47,8 +47,13 @@ def case_vectors(cases: DataFrame, encoder=None, params: RetrievalParams = Retri
 
 def build_case_index(cases: DataFrame, encoder=None,
                      params: RetrievalParams = RetrievalParams(),
-                     vectors: DataFrame | None = None) -> CaseIndex:
-    """Vectors + keyword index over ``cases`` (resolved and unresolved alike)."""
+                     vectors: DataFrame | None = None,
+                     store_cases: bool = True) -> CaseIndex:
+    """Payload + vectors + keyword index over ``cases`` (resolved and unresolved
+    alike). The payload is stored once, so every later use (query side,
+    hydration) reads the stored table instead of re-deriving the cases."""
+    if store_cases:
+        cases = materialize(cases, "cases")
     if vectors is None:
         # Encoded once and checkpointed: both the query side and the corpus
         # scan read the stored vectors.

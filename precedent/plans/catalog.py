@@ -149,9 +149,8 @@ def _case_queries_sql() -> list[str]:
 
 def _case_hits(spark: SparkSession, sf_dir: str, *, k: int | None = None,
                dense_only: bool = False) -> DataFrame:
-    cs = cases(spark, sf_dir)
-    index = build_case_index(cs, params=P)
-    return search(cs, index, query_vectors=index.vectors, exclude_self=True,
+    index = build_case_index(cases(spark, sf_dir), params=P)
+    return search(index.cases, index, query_vectors=index.vectors, exclude_self=True,
                   dense_only=dense_only, k=k)
 
 
@@ -216,9 +215,8 @@ def _extractive_sql() -> str:
 
 
 def _case_results(spark: SparkSession, sf_dir: str, with_prompt: bool = False) -> DataFrame:
-    cs = cases(spark, sf_dir)
-    index = build_case_index(cs, params=P)
-    return recommend(cs, index, query_vectors=index.vectors, exclude_self=True,
+    index = build_case_index(cases(spark, sf_dir), params=P)
+    return recommend(index.cases, index, query_vectors=index.vectors, exclude_self=True,
                      with_prompt=with_prompt)
 
 
@@ -229,9 +227,8 @@ def _case_results(spark: SparkSession, sf_dir: str, with_prompt: bool = False) -
     *_nb_ctes()))
 def q21_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-3 neighbours of every case with their payload, flattened."""
-    cs = cases(spark, sf_dir)
-    index = build_case_index(cs, params=P)
-    nb = neighbours(cs, index, query_vectors=index.vectors, exclude_self=True)
+    index = build_case_index(cases(spark, sf_dir), params=P)
+    nb = neighbours(index.cases, index, query_vectors=index.vectors, exclude_self=True)
     return nb.select(F.col("query_id").alias("ticket_id"), "rank",
                      F.col("ticket_id").alias("neighbour_id"), "issue", "category",
                      "resolution", "agent_name", "resolved", _score("similarity_score"))
@@ -486,10 +483,9 @@ def q25_hit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     *_nb_ctes()))
 def q26_category_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each case's neighbours that have its category."""
-    cs = cases(spark, sf_dir)
-    index = build_case_index(cs, params=P)
-    nb = neighbours(cs, index, query_vectors=index.vectors, exclude_self=True)
-    agg = category_agreement(nb, cs)
+    index = build_case_index(cases(spark, sf_dir), params=P)
+    nb = neighbours(index.cases, index, query_vectors=index.vectors, exclude_self=True)
+    agg = category_agreement(nb, index.cases)
     return agg.select(F.col("query_id").alias("ticket_id"), "same_category", "neighbours",
                       F.round("agreement", 6).alias("agreement"))
 

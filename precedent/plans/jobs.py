@@ -38,7 +38,7 @@ def build_index_job(spark: SparkSession, cases_dir: str, index_root: str, *,
         save_cache(new_rows, cache_path)
         vec, _ = embed_cached(texts, "dense_text", load_cache(spark, cache_path), encoder)
     vectors = materialize(vec.select("ticket_id", "category", "embedding"), "vectors")
-    index = build_case_index(cases, encoder, params, vectors=vectors)
+    index = build_case_index(cases, encoder, params, vectors=vectors, store_cases=False)
     version = write_index(index, index_root)
     counts = resolution_counts(cases).first().asDict()
     return {"version": version, **counts,
