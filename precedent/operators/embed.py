@@ -18,7 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,16 +125,16 @@ CACHE_SCHEMA = T.StructType([
 ])
 
 
-def hash_embed(df: DataFrame, id_col: str, text: Column | str, dim: int = 384,
-               out_col: str = "embedding") -> DataFrame:
-    """The ``HashingEncoder`` computed JVM-side: (id, ``out_col``) per row with
-    at least one token.
-
-    Bucket and sign come from ``md5`` in SQL; term counts, bucket sums and the
-    dense array are aggregations whose groups are bounded (one document's
-    terms, then at most ``dim`` buckets per document), each with a map-side
-    partial step. Same vectors as the Python encoder, without moving tokens
-    into Python workers.
+def hash_embed_sparse(df: DataFrame, id_col: str, text: Column | str, dim: int = 384
+                      ) -> DataFrame:
+    """The ``HashingEncoder`` computed JVM-side, in sparse form: (id, bucket,
+    weight) for every bucket hit by at least one term of a row with tokens,
+    weights already divided by the row's L2 norm (float32 values).
+
+    Bucket and sign come from ``md5`` in SQL. Tokens are exchanged once by
+    id; the term counts, bucket sums and the norm (a window over the same id)
+    all reuse that partitioning, and every group is bounded by one row's
+    terms. No tokens move into Python workers.
     """
     src = F.col(text) if isinstance(text, str) else text
     h = F.md5(F.col("term"))
@@ -143,13 +143,24 @@ def hash_embed(df: DataFrame, id_col: str, text: Column | str, dim: int = 384,
                   F.lit(1.0)).otherwise(F.lit(-1.0))
     tf = (df.select(F.col(id_col).alias("_id"), F.explode_outer(tokenize(src)).alias("term"))
           .filter(F.col("term").isNotNull())
+          .repartition("_id")
           .groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    w = (tf.select("_id", bucket.alias("b"), (sign * (F.lit(1.0) + F.log(F.col("tf")))).alias("w"))
-         .groupBy("_id", "b").agg(F.sum("w").alias("w")))
-    per = w.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"),
-                               F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    w = (tf.select("_id", bucket.alias("bucket"),
+                   (sign * (F.lit(1.0) + F.log(F.col("tf")))).alias("w"))
+         .groupBy("_id", "bucket").agg(F.sum("w").alias("w")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_id")))
+    return (w.withColumn("norm", norm).filter(F.col("norm") > 0)
+            .select(F.col("_id").alias(id_col), "bucket",
+                    (F.col("w") / F.col("norm")).cast("float").alias("weight")))
+
+
+def hash_embed(df: DataFrame, id_col: str, text: Column | str, dim: int = 384,
+               out_col: str = "embedding") -> DataFrame:
+    """Dense ``array<float>`` form of ``hash_embed_sparse`` (same vectors as
+    the Python ``HashingEncoder``); rows without tokens are absent."""
+    sparse = hash_embed_sparse(df, id_col, text, dim)
+    per = sparse.groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: (F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("norm"))
-                        .cast("float"))
-    return per.filter(F.col("norm") > 0).select(F.col("_id").alias(id_col),
-                                                 dense.alias(out_col))
+                        lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0).cast("float")))
+    return per.select(id_col, dense.alias(out_col))

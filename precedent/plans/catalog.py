@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from precedent.operators import bm25
 from precedent.operators.dense import dense_topk
-from precedent.operators.embed import hash_embed
+from precedent.operators.embed import hash_embed_sparse
 from precedent.plans.case_index import build_case_index, case_vectors, search
 from precedent.plans.fixtures import cases, with_cases
 from precedent.functions.text import (choice_label, clean_text, dense_text, first_line,
@@ -120,15 +120,14 @@ def q18_bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("q27_hash_embed", "WITH " + ",\n".join(
     hash_vector_ctes("documents", "doc_id", tokens("text"), "h")) + "\n"
     f"SELECT id AS doc_id, CAST(bucket AS INTEGER) AS bucket, round(u, {SCORE_DIGITS}) + 0.0 AS weight "
-    f"FROM h_u WHERE u <> 0")
+    f"FROM h_u")
 def q27_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashing-encoder vectors of every document, as non-zero (bucket, weight) (M1)."""
+    """Hashing-encoder vector of every document in sparse form: the unit-norm
+    weight of each bucket hit by at least one of its terms (M1)."""
     docs = read_table(spark, sf_dir, "documents")
-    vec = hash_embed(docs.select("doc_id", "text"), "doc_id", "text", P.dim)
-    return (vec.select("doc_id", F.posexplode("embedding").alias("bucket", "w"))
-            .filter(F.col("w") != 0)
-            .select("doc_id", F.col("bucket").cast("int"),
-                    F.round(F.col("w").cast("double"), SCORE_DIGITS).alias("weight")))
+    vec = hash_embed_sparse(docs.select("doc_id", "text"), "doc_id", "text", P.dim)
+    return vec.select("doc_id", "bucket",
+                      F.round(F.col("weight").cast("double"), SCORE_DIGITS).alias("weight"))
 
 
 # ---------------------------------------------------------------- hybrid case search
