@@ -25,7 +25,7 @@ def index_stats(vectors: DataFrame, category: str = "category",
     every point."""
     per = vectors.groupBy(F.col(category).alias("category")).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim"))
-    tot = per.agg(F.sum("n").alias("points"), F.max("dim").alias("dim"))
-    # one-row totals: attached with a broadcast join on a constant key
-    return (per.drop("dim").withColumn("_k", F.lit(1))
-            .join(F.broadcast(tot.withColumn("_k", F.lit(1))), "_k").drop("_k"))
+    # Totals are two scalars taken from the (small) per-category aggregate.
+    tot = per.agg(F.sum("n").alias("points"), F.max("dim").alias("dim")).first()
+    return per.select("category", "n", F.lit(tot["points"] or 0).cast("long").alias("points"),
+                      F.lit(tot["dim"]).cast("int").alias("dim"))
