@@ -406,7 +406,7 @@ def q09_resolution_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("q10_index_stats", with_cases(
-    f"SELECT category, count(*) AS n, sum(count(*)) OVER () AS points, "
+    f"SELECT category, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS points, "
     f"{P.dim} AS dim FROM cases GROUP BY category"))
 def q10_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points per category, total points and vector width of the case index (A3)."""
