@@ -20,7 +20,8 @@ from precedent.functions.text import (choice_label, clean_text, dense_text, firs
 from precedent.operators import render as R
 from precedent.operators.dedupe import latest_by_key
 from precedent.operators.embed import cache_misses, text_key
-from precedent.operators.evaluate import category_agreement, containment_truth, hit_rank
+from precedent.operators.evaluate import (category_agreement, containment_truth, hit_rank,
+                                         hit_summary)
 from precedent.operators.filters import (MISSING_DESCRIPTION, MISSING_ISSUE, only_resolved,
                                          validation_reason)
 from precedent.operators.lookup import lookup_case
@@ -504,3 +505,67 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested batch result for every case: hybrid top-3 neighbours with payload,
     recommendation and error columns (M5)."""
     return _case_results(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- more search variants and quality
+@register("q31_hit_summary", "WITH " + ",\n".join(
+    bm25_ctes("documents", "doc_id", "text", "benchmark", "item_id", "text")) + ",\n"
+    f"top AS ({ranked('b_sc', P.k)}),\n"
+    "truth AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d "
+    "ON contains(d.text, b.text)),\n"
+    "hr AS (SELECT t.item_id, t.doc_id, top.rank FROM truth t "
+    "LEFT JOIN top ON top.query_id = t.item_id AND top.doc_id = t.doc_id)\n"
+    "SELECT count(*) AS pairs, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END), 6) "
+    "AS hit_rate, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM hr")
+def q31_hit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit rate at 3 and mean reciprocal rank of BM25 over the containment truth."""
+    docs = read_table(spark, sf_dir, "documents")
+    bench = read_table(spark, sf_dir, "benchmark")
+    index = bm25.build_keyword_index(docs, "doc_id", "text")
+    truth = containment_truth(bench, "item_id", "text", docs, "doc_id", "text", index)
+    hits = bm25.bm25_topk(bench, index, P.k, query_id="item_id", text="text", params=P)
+    s = hit_summary(hit_rank(hits, truth, query_id="item_id", doc_id="doc_id"))
+    return s.select("pairs", F.round("hit_rate", 6).alias("hit_rate"),
+                    F.round("mrr", 6).alias("mrr"))
+
+
+@register("q32_dense_only", with_cases(
+    f"SELECT query_id AS ticket_id, doc_id AS neighbour_id, rank, "
+    f"round(score, {SCORE_DIGITS}) + 0.0 AS score FROM ({ranked('dense_sc', P.k)})",
+    *_case_queries_sql()[:6]))
+def q32_dense_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense-only fallback: cosine top-3 similar cases for every case."""
+    hits = _case_hits(spark, sf_dir, dense_only=True)
+    return hits.select(F.col("query_id").alias("ticket_id"),
+                       F.col("doc_id").alias("neighbour_id"), "rank", _score())
+
+
+def _category_sql() -> list[str]:
+    dense_tok = (f"list_concat(['issue'], {tokens('issue')}, ['description'], "
+                 f"{tokens('description')})")
+    return [
+        *hash_vector_ctes("cases", "ticket_id", dense_tok, "cv"),
+        hash_cosine_cte("cv", "dense_all"),
+        "dense_sc AS (SELECT s.* FROM dense_all s JOIN cases qa ON qa.ticket_id = s.query_id "
+        "JOIN cases da ON da.ticket_id = s.doc_id WHERE qa.category = da.category)",
+        f"dense_r AS ({ranked('dense_sc', P.fetch)})",
+        *bm25_ctes("cases", "ticket_id", "issue || ' ' || description", "cases", "ticket_id",
+                   "issue || ' ' || description", prefix="cb", doc_grp="category",
+                   q_grp="category", exclude_self=True),
+        f"sparse_r AS ({ranked('cb_sc', P.fetch)})",
+        rrf_cte(["dense_r", "sparse_r"], "fused"),
+    ]
+
+
+@register("q33_hybrid_category", with_cases(
+    f"SELECT query_id AS ticket_id, doc_id AS neighbour_id, rank, "
+    f"round(score, {SCORE_DIGITS}) + 0.0 AS score FROM ({ranked('fused', P.k)})",
+    *_category_sql()))
+def q33_hybrid_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid top-3 restricted to the query's category, applied inside both
+    searches before ranking; BM25 statistics stay global (F2, J3)."""
+    index = build_case_index(cases(spark, sf_dir), params=P)
+    hits = search(index.cases, index, query_vectors=index.vectors, exclude_self=True,
+                  category_filter=True)
+    return hits.select(F.col("query_id").alias("ticket_id"),
+                       F.col("doc_id").alias("neighbour_id"), "rank", _score())
