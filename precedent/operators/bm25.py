@@ -113,26 +113,32 @@ def build_keyword_index(docs: DataFrame, doc_id: str, text: Column | str, *,
     query read them instead of re-tokenising the corpus.
     """
     raw = term_postings(docs, doc_id, text, group)
+    hot_cond = F.col("n_salts") > 1
     if materialize:
-        raw = materialize_table(raw, "postings")
-        # N from the documents, the mean length from the stored postings:
-        # no second tokenisation pass.
+        # The token total (for avgdl) is observed while the postings are
+        # written, the hot-term count while the term table is written: no
+        # extra passes. N comes from the documents.
+        raw, m = materialize_table(raw, "postings", {"tokens": F.sum("tf")})
         n_docs = docs.count()
-        total = raw.agg(F.sum("tf")).first()[0] or 0
-        avgdl = float(total) / n_docs if n_docs else 0.0
+        avgdl = float(m["tokens"] or 0) / n_docs if n_docs else 0.0
+        terms, m = materialize_table(document_frequency(raw, rows_per_salt, max_salts), "terms",
+                                     {"hot": F.count_if(hot_cond)})
+        n_hot = int(m["hot"] or 0)
     else:
         n_docs, avgdl = corpus_stats(docs, text)
-    terms = document_frequency(raw, rows_per_salt, max_salts)
-    if materialize:
-        terms = materialize_table(terms, "terms")
+        terms = document_frequency(raw, rows_per_salt, max_salts)
+        n_hot = terms.filter(hot_cond).count()
     # Terms that need more than one salt: at most total_postings / rows_per_salt.
-    hot = terms.filter(F.col("n_salts") > 1).select("term", F.col("n_salts").alias("hot_salts"))
-    sized = maybe_broadcast(hot, broadcast_rows)
-    postings = (raw.join(sized.df, "term", "left")
-                .withColumn("salt", F.when(F.col("hot_salts").isNull(), F.lit(0))
-                            .otherwise(F.pmod(F.xxhash64("doc_id"), F.col("hot_salts")))
-                            .cast("int"))
-                .drop("hot_salts"))
+    hot = terms.filter(hot_cond).select("term", F.col("n_salts").alias("hot_salts"))
+    if n_hot == 0:
+        postings = raw.withColumn("salt", F.lit(0))
+    else:
+        hot = F.broadcast(hot) if n_hot <= broadcast_rows else hot
+        postings = (raw.join(hot, "term", "left")
+                    .withColumn("salt", F.when(F.col("hot_salts").isNull(), F.lit(0))
+                                .otherwise(F.pmod(F.xxhash64("doc_id"), F.col("hot_salts")))
+                                .cast("int"))
+                    .drop("hot_salts"))
     return KeywordIndex(postings, terms, n_docs, avgdl, has_group=group is not None)
 
 

@@ -1,10 +1,11 @@
 """Dense (cosine) retrieval: per-query top-k over a vector corpus.
 
 Plan
-* The query vectors are the bounded side. Their size is checked with one
-  count (rows x dim x 8 bytes); up to ``max_broadcast_bytes`` they are
-  broadcast as one float64 matrix. A larger query set is cut into chunks of
-  that size by a hash of the query id and each chunk makes one pass over the
+* The query vectors are the bounded side. At most ``max_broadcast_bytes``
+  worth of rows (rows x dim x 8 bytes) is collected, with a ``limit`` of one
+  row more as the size check; if that fits, it is broadcast as one float64
+  matrix (one job). A larger query set is counted, cut into chunks of that
+  size by a hash of the query id, and each chunk makes one pass over the
   corpus, so neither the driver nor an executor ever holds more than one
   chunk.
 * The corpus is never shuffled or collected: ``mapInArrow`` scans its
@@ -35,6 +36,8 @@ from precedent.operators.ranking import top_k
 from precedent.schema import RetrievalParams
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
+# Width assumed for the row bound before the true width is known.
+DEFAULT_DIM_GUESS = 1024
 # Queries multiplied against one Arrow batch at a time (bounds the score block).
 QUERY_BLOCK = 1024
 
@@ -182,8 +185,20 @@ def dense_candidates(queries: DataFrame, corpus: DataFrame, k: int, *,
     if grouped:
         qcols.append(F.col(query_group).cast("string").alias("qg"))
     qsel = queries.select(*qcols)
-    stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("dim")).first()
-    n, dim = int(stats["n"]), int(dim or stats["dim"] or 0)
+    # One bounded job in the common case: at most max_rows + 1 query rows are
+    # collected (the limit guards the driver); only a larger query set pays a
+    # count and is processed in chunks.
+    width = dim or DEFAULT_DIM_GUESS
+    max_rows = max(1, max_broadcast_bytes // (8 * width))
+    first = qsel.limit(max_rows + 1).toArrow()
+    if first.num_rows <= max_rows:
+        n = first.num_rows
+        lens = pc.list_value_length(first.column("qv"))
+        dim = int(dim or (pc.max(lens).as_py() or 0))
+    else:
+        stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("dim")).first()
+        n, dim = int(stats["n"]), int(dim or stats["dim"] or 0)
+        first = None
     q_arrow = _arrow_type(queries.schema[query_id].dataType)
     d_arrow = _arrow_type(corpus.schema[doc_id].dataType)
     out_schema = T.StructType([
@@ -200,7 +215,8 @@ def dense_candidates(queries: DataFrame, corpus: DataFrame, k: int, *,
     for c in range(n_chunks):
         chunk = qsel if n_chunks == 1 else \
             qsel.filter(F.pmod(F.xxhash64("qid"), F.lit(n_chunks)) == c)
-        payload = _payload(chunk.toArrow(), dim, grouped, exclude_self)
+        rows = first if (n_chunks == 1 and first is not None) else chunk.toArrow()
+        payload = _payload(rows, dim, grouped, exclude_self)
         bc = spark.sparkContext.broadcast(payload)
         fn = _scan_fn(bc, k, digits, min_score, exclude_self, grouped, q_arrow, d_arrow)
         parts.append(scan.mapInArrow(fn, out_schema))

@@ -66,10 +66,21 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, metrics: dict | None = None):
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: one computation (``checkpoint()`` computes twice unless cached),
-    lineage cut, and later scans get column pruning and filter pushdown."""
+    lineage cut, and later scans get column pruning and filter pushdown.
+
+    ``metrics`` (name → aggregate Column) are computed during that same write
+    through an ``Observation``; then ``(frame, metrics_dict)`` is returned.
+    """
+    from pyspark.sql import Observation
+
     path = shared_path(df.sparkSession, name)
+    obs = None
+    if metrics:
+        obs = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+        df = df.observe(obs, *[c.alias(k) for k, c in metrics.items()])
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    return (out, dict(obs.get)) if obs is not None else out
