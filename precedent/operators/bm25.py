@@ -56,25 +56,25 @@ def term_postings(docs: DataFrame, doc_id: str, text: Column | str,
                   group: str | None = None) -> DataFrame:
     """(doc_id, doc_len[, grp], term, tf) for every distinct term of every document.
 
-    Tokens are hash-partitioned by ``doc_id`` once; the term-frequency
-    aggregation then needs no further exchange, and the postings come out
-    clustered by document. Every BM25 query joins these postings and sums
-    per (query, doc), and with that clustering the map-side partial sum is
-    already complete, so its shuffle carries each (query, doc) pair once.
-    (Measured at sf0.1: faster to build and ~40% faster to query than
-    postings hash-partitioned by (doc, term).)
+    The documents are hash-partitioned by ``doc_id`` *before* tokenising:
+    that one exchange moves the raw text (no more bytes than the exploded
+    tokens, with far fewer rows), spreads the tokeniser over all tasks even
+    when the input has few splits, and lets the term-frequency aggregation
+    run without a further exchange. The postings come out clustered by
+    document, so in every BM25 query the map-side partial sum per
+    (query, doc) is already complete before its shuffle.
     """
-    cols = [F.col(doc_id).alias("doc_id"), tokenize(text).alias("tokens")]
+    cols = [F.col(doc_id).alias("doc_id"), _c(text).alias("_text")]
     if group:
         cols.append(F.col(group).alias("grp"))
     keys = ["doc_id", "doc_len"] + (["grp"] if group else [])
     # explode_outer + a null filter: a plain explode makes the optimizer add a
     # "non-empty array" filter that evaluates the whole tokeniser a second time.
-    return (docs.select(*cols)
+    return (docs.select(*cols).repartition("doc_id")
+            .select("doc_id", *(["grp"] if group else []), tokenize("_text").alias("tokens"))
             .select("doc_id", F.size("tokens").cast("long").alias("doc_len"),
                     *(["grp"] if group else []), F.explode_outer("tokens").alias("term"))
             .filter(F.col("term").isNotNull())
-            .repartition("doc_id")
             .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 

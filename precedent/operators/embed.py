@@ -131,8 +131,8 @@ def hash_embed_sparse(df: DataFrame, id_col: str, text: Column | str, dim: int =
     weight) for every bucket hit by at least one term of a row with tokens,
     weights already divided by the row's L2 norm (float32 values).
 
-    Bucket and sign come from ``md5`` in SQL. Tokens are exchanged once by
-    id; the term counts, bucket sums and the norm (a window over the same id)
+    Bucket and sign come from ``md5`` in SQL. The text is exchanged once by
+    id before tokenising (parallel tokeniser, no token shuffle); the term counts, bucket sums and the norm (a window over the same id)
     all reuse that partitioning, and every group is bounded by one row's
     terms. No tokens move into Python workers.
     """
@@ -141,9 +141,9 @@ def hash_embed_sparse(df: DataFrame, id_col: str, text: Column | str, dim: int =
     bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
     sign = F.when(F.pmod(F.conv(F.substring(h, 9, 1), 16, 10).cast("int"), F.lit(2)) == 0,
                   F.lit(1.0)).otherwise(F.lit(-1.0))
-    tf = (df.select(F.col(id_col).alias("_id"), F.explode_outer(tokenize(src)).alias("term"))
+    tf = (df.select(F.col(id_col).alias("_id"), src.alias("_text")).repartition("_id")
+          .select("_id", F.explode_outer(tokenize("_text")).alias("term"))
           .filter(F.col("term").isNotNull())
-          .repartition("_id")
           .groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     w = (tf.select("_id", bucket.alias("bucket"),
                    (sign * (F.lit(1.0) + F.log(F.col("tf")))).alias("w"))
