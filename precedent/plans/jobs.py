@@ -12,7 +12,7 @@ from precedent.operators.filters import validate_cases
 from precedent.operators.render import manual_ticket, markdown
 from precedent.operators.stats import category_counts, resolution_counts
 from precedent.plans.case_index import build_case_index, with_texts
-from precedent.plans.recommend import recommend, run_summary
+from precedent.plans.recommend import recommend
 from precedent.schema import CASE_FIELDS, RetrievalParams
 from precedent.session import materialize
 from precedent.sources.files import read_cases, read_new
@@ -52,11 +52,18 @@ def recommend_job(spark: SparkSession, new_path: str, index_root: str, out_dir:
     return the one-row run summary."""
     index = load_index(spark, index_root)
     new = read_new(spark, new_path).select(*CASE_FIELDS)
-    results = materialize(recommend(new, index, generator=generator,
-                                    category_filter=category_filter), "results")
+    ok = F.col("error").isNull()
+    # The run summary (A4) is observed while the results are written: no
+    # extra pass over them.
+    results, m = materialize(
+        recommend(new, index, generator=generator, category_filter=category_filter), "results",
+        {"total": F.count(F.lit(1)), "succeeded": F.count_if(ok), "failed": F.count_if(~ok),
+         "mean_seconds": F.avg(F.when(ok, F.col("processing_time_seconds")))})
     write_results_json(results, f"{out_dir.rstrip('/')}/recommendations.json")
     write_results_text(results, f"{out_dir.rstrip('/')}/recommendations.txt")
-    return run_summary(results)
+    return spark.createDataFrame(
+        [(m["total"], m["succeeded"], m["failed"], m["mean_seconds"])],
+        "total long, succeeded long, failed long, mean_seconds double")
 
 
 def recommend_one(spark: SparkSession, index_root: str, issue: str, description: str,
