@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from precedent.functions.text import dense_text, sparse_text
 from precedent.operators import bm25
 from precedent.operators.dense import dense_topk
-from precedent.operators.embed import embed, hash_embed
+from precedent.operators.embed import HashingEncoder, embed, hash_embed
 from precedent.operators.fusion import hybrid_topk
 from precedent.schema import RetrievalParams
 from precedent.session import materialize
@@ -75,7 +75,12 @@ def search(queries: DataFrame, index: CaseIndex, *, query_vectors: DataFrame | N
     """
     p = index.params if k is None else RetrievalParams(**{**index.params.__dict__, "k": k})
     q = with_texts(queries)
-    qv = query_vectors if query_vectors is not None else case_vectors(queries, encoder, p)
+    if query_vectors is not None:
+        qv = query_vectors
+    else:
+        # Query batches are encoded row by row where they are (no exchange):
+        # the Python encoder gives the same vectors as the corpus-scale JVM one.
+        qv = case_vectors(queries, encoder or HashingEncoder(p.dim), p)
     grp = "category" if category_filter else None
     if dense_only:
         return dense_topk(qv, index.vectors, p.k, params=p, query_id="ticket_id",
