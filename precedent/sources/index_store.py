@@ -7,9 +7,9 @@ Layout under ``root``::
     versions/<version>/postings   term, salt, doc_id, tf, doc_len, grp
     versions/<version>/terms      term, df, n_salts
     versions/<version>/stats.json n_docs, avgdl, params
-    _MANIFEST.json                {"version": ...}  (replaced atomically)
+    _manifests/<version>.json     {"version": ...}  (newest name wins)
 
-A rebuild writes a whole new version, then swaps the manifest with a
+A rebuild writes a whole new version, then adds its manifest with a
 rename, so readers never see a half-written index and a shorter rebuild
 leaves no stale points (the index is replaced by ticket_id, not by list
 position). ``upsert_cases`` merges new cases into old ones by ticket_id.
@@ -30,7 +30,7 @@ from precedent.operators.bm25 import KeywordIndex
 from precedent.plans.case_index import CaseIndex
 from precedent.schema import RetrievalParams
 
-MANIFEST = "_MANIFEST.json"
+MANIFESTS = "_manifests"
 
 
 class IndexNotFound(RuntimeError):
@@ -68,7 +68,7 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
 def write_index(index: CaseIndex, root: str) -> str:
     """Write every table of ``index`` as a new version and switch the manifest."""
     spark = index.cases.sparkSession
-    version = time.strftime("%Y%m%d%H%M%S") + "-" + uuid.uuid4().hex[:8]
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"  # sorts by creation time
     vdir = f"{root.rstrip('/')}/versions/{version}"
     index.cases.write.parquet(f"{vdir}/cases")
     index.vectors.write.parquet(f"{vdir}/vectors")
@@ -77,26 +77,36 @@ def write_index(index: CaseIndex, root: str) -> str:
     stats = {"n_docs": index.keywords.n_docs, "avgdl": index.keywords.avgdl,
              "has_group": index.keywords.has_group, "params": asdict(index.params)}
     _write_text(spark, f"{vdir}/stats.json", json.dumps(stats))
-    tmp = f"{root.rstrip('/')}/_MANIFEST.{uuid.uuid4().hex[:8]}.tmp"
+    # A new manifest file per version, renamed into place: readers take the
+    # newest name, so there is never a moment without a valid manifest.
+    mdir = f"{root.rstrip('/')}/{MANIFESTS}"
+    tmp = f"{mdir}/.{version}.tmp"
     _write_text(spark, tmp, json.dumps({"version": version}))
     fs, p_tmp, jvm = _fs(spark, tmp)
-    p_final = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{MANIFEST}")
-    if fs.exists(p_final):
-        fs.delete(p_final, False)
-    fs.rename(p_tmp, p_final)
+    fs.rename(p_tmp, jvm.org.apache.hadoop.fs.Path(f"{mdir}/{version}.json"))
     return version
 
 
+def _current_version(spark: SparkSession, root: str) -> str | None:
+    fs, p, _ = _fs(spark, f"{root.rstrip('/')}/{MANIFESTS}")
+    if not fs.exists(p):
+        return None
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    names = sorted(n for n in names if n.endswith(".json") and not n.startswith("."))
+    if not names:
+        return None
+    return json.loads(_read_text(spark, f"{root.rstrip('/')}/{MANIFESTS}/{names[-1]}"))["version"]
+
+
 def index_exists(spark: SparkSession, root: str) -> bool:
-    return _read_text(spark, f"{root.rstrip('/')}/{MANIFEST}") is not None
+    return _current_version(spark, root) is not None
 
 
 def load_index(spark: SparkSession, root: str) -> CaseIndex:
     """The current version; a missing index is an explicit error."""
-    manifest = _read_text(spark, f"{root.rstrip('/')}/{MANIFEST}")
-    if manifest is None:
+    version = _current_version(spark, root)
+    if version is None:
         raise IndexNotFound(f"no case index at {root}; build it first")
-    version = json.loads(manifest)["version"]
     vdir = f"{root.rstrip('/')}/versions/{version}"
     stats = json.loads(_read_text(spark, f"{vdir}/stats.json"))
     kw = KeywordIndex(spark.read.parquet(f"{vdir}/postings"), spark.read.parquet(f"{vdir}/terms"),

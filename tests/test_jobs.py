@@ -61,3 +61,24 @@ def test_recommend_one(spark, tmp_path):
     assert "<details open>" in md["markdown"]
     bad = recommend_one(spark, root, "   ", "x").first()
     assert bad["markdown"].startswith("Error: Please provide an issue title.")
+
+
+def test_rebuild_switches_version_and_upsert(spark, tmp_path):
+    from precedent.plans.case_index import build_case_index
+    from precedent.sources.files import read_cases
+    from precedent.sources.index_store import upsert_cases, write_index
+    from precedent.schema import CASE_FIELDS
+    cases, _ = read_cases(spark, str(write_case_dir(tmp_path / "old")))
+    cases = cases.select(*CASE_FIELDS).filter("ticket_id <> 'D-1'")
+    root = str(tmp_path / "idx")
+    v1 = write_index(build_case_index(cases), root)
+    fewer = cases.filter("ticket_id <> 'T-1'")
+    v2 = write_index(build_case_index(fewer), root)
+    assert v2 > v1
+    idx = load_index(spark, root)
+    assert point_count(idx) == 13 and idx.cases.filter("ticket_id = 'T-1'").count() == 0
+    new = spark.createDataFrame([("T-2", "new issue", "d", "Hardware", "", "r", "a", True)],
+                                cases.schema)
+    merged = upsert_cases(cases, new)
+    assert merged.count() == cases.count()
+    assert merged.filter("ticket_id = 'T-2'").first()["issue"] == "new issue"
