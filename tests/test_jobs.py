@@ -82,3 +82,17 @@ def test_rebuild_switches_version_and_upsert(spark, tmp_path):
     merged = upsert_cases(cases, new)
     assert merged.count() == cases.count()
     assert merged.filter("ticket_id = 'T-2'").first()["issue"] == "new issue"
+
+
+def test_cli_round_trip(spark, tmp_path, capsys):
+    from precedent.cli import main
+    cases_dir = write_case_dir(tmp_path / "old")
+    root = str(tmp_path / "index")
+    assert main(["build-index", "--cases", str(cases_dir), "--index", root]) == 0
+    (tmp_path / "new.csv").write_text(NEW_CSV)
+    assert main(["recommend", "--new", str(tmp_path / "new.csv"), "--index", root,
+                 "--out", str(tmp_path / "out")]) == 0
+    assert main(["ask", "--index", root, "--issue", "VPN down",
+                 "--description", "cannot connect from home"]) == 0
+    out = capsys.readouterr().out
+    assert '"total": 2' in out and "## Recommendation" in out
