@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from precedent.functions.text import tokenize
 from precedent.operators.bm25 import KeywordIndex
+from precedent.operators.sizing import DEFAULT_BROADCAST_ROWS, maybe_broadcast
 
 
 def containment_truth(passages: DataFrame, pid: str, ptext: str, docs: DataFrame,
-                      did: str, dtext: str, index: KeywordIndex) -> DataFrame:
+                      did: str, dtext: str, index: KeywordIndex,
+                      broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """(pid, did) pairs where the document text contains the passage verbatim.
 
     No cross join: a containing document must hold every interior term of the
@@ -25,9 +27,14 @@ def containment_truth(passages: DataFrame, pid: str, ptext: str, docs: DataFrame
     rare = (terms.join(index.terms.select("term", "df"), "term")
             .groupBy("pid", "ptext")
             .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
-    cand = rare.join(index.postings.select("term", F.col("doc_id").alias("did")), "term")
+    cand = rare.join(index.postings.select("term", F.col("doc_id").alias("did")), "term") \
+        .select("pid", "ptext", "did")
+    # Candidates are few (each passage brings the postings of its rarest
+    # term): broadcast them into the document scan so no document text is
+    # shuffled; past the bound, both sides shuffle on the document id.
+    sized = maybe_broadcast(cand, broadcast_rows)
     body = docs.select(F.col(did).alias("did"), F.col(dtext).alias("dtext"))
-    return (cand.join(body, "did").filter(F.contains("dtext", "ptext"))
+    return (body.join(sized.df, "did").filter(F.contains("dtext", "ptext"))
             .select(F.col("pid").alias(pid), F.col("did").alias(did)))
 
 

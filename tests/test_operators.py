@@ -177,3 +177,20 @@ def test_python_and_jvm_hashing_encoders_agree(spark):
     for i in (1, 2):
         assert np.allclose(py[i], jvm[i], atol=1e-7)
         assert abs(float(np.dot(py[i], py[i])) - 1) < 1e-6
+
+
+@pytest.mark.parametrize("bcast", [0, 1000])
+def test_containment_truth_brute_force(spark, bcast):
+    from precedent.operators.evaluate import containment_truth
+    docs = spark.createDataFrame(
+        [(1, "alpha beta gamma delta"), (2, "xbeta gamma delt"), (3, "the the the"),
+         (4, "zeta beta gamma deltaish")], "doc_id long, text string")
+    ps = spark.createDataFrame([(10, "beta gamma delt"), (11, "the the"), (12, "omega")],
+                               "item_id long, text string")
+    idx = bm25.build_keyword_index(docs, "doc_id", "text")
+    got = {(r.item_id, r.doc_id) for r in containment_truth(
+        ps, "item_id", "text", docs, "doc_id", "text", idx, broadcast_rows=bcast).collect()}
+    want = {(p, d) for p, pt in [(10, "beta gamma delt"), (11, "the the"), (12, "omega")]
+            for d, dt in [(1, "alpha beta gamma delta"), (2, "xbeta gamma delt"),
+                          (3, "the the the"), (4, "zeta beta gamma deltaish")] if pt in dt}
+    assert got == want
