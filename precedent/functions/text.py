@@ -48,9 +48,17 @@ def sparse_text(issue: Column | str, description: Column | str) -> Column:
                     F.coalesce(_c(description), F.lit("")))
 
 
-def tokenize(c: Column | str) -> Column:
-    """Lower-cased letter/digit runs, empty strings removed."""
-    return F.filter(F.split(F.lower(_c(c)), TOKEN_SPLIT), lambda t: t != "")
+def tokenize(c: Column | str, stop_words: list[str] | None = None) -> Column:
+    """Lower-cased letter/digit runs, empty strings removed.
+
+    ``stop_words`` (optional, off by default) are dropped as well; document
+    lengths then count only the remaining terms, as an analyser would.
+    """
+    if not stop_words:
+        return F.filter(F.split(F.lower(_c(c)), TOKEN_SPLIT), lambda t: t != "")
+    stops = F.array(*[F.lit(w.lower()) for w in sorted(set(stop_words))])
+    return F.filter(F.split(F.lower(_c(c)), TOKEN_SPLIT),
+                    lambda t: (t != "") & ~F.array_contains(stops, t))
 
 
 def first_line(c: Column | str) -> Column:

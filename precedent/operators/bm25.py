@@ -46,6 +46,7 @@ class KeywordIndex:
     n_docs: int
     avgdl: float
     has_group: bool = False
+    stop_words: tuple[str, ...] = ()
 
 
 def _c(c: Column | str) -> Column:
@@ -53,7 +54,7 @@ def _c(c: Column | str) -> Column:
 
 
 def term_postings(docs: DataFrame, doc_id: str, text: Column | str,
-                  group: str | None = None) -> DataFrame:
+                  group: str | None = None, stop_words=None) -> DataFrame:
     """(doc_id, doc_len[, grp], term, tf) for every distinct term of every document.
 
     The documents are hash-partitioned by ``doc_id`` *before* tokenising:
@@ -71,7 +72,7 @@ def term_postings(docs: DataFrame, doc_id: str, text: Column | str,
     # explode_outer + a null filter: a plain explode makes the optimizer add a
     # "non-empty array" filter that evaluates the whole tokeniser a second time.
     return (docs.select(*cols).repartition("doc_id")
-            .select("doc_id", *(["grp"] if group else []), tokenize("_text").alias("tokens"))
+            .select("doc_id", *(["grp"] if group else []), tokenize("_text", stop_words).alias("tokens"))
             .select("doc_id", F.size("tokens").cast("long").alias("doc_len"),
                     *(["grp"] if group else []), F.explode_outer("tokens").alias("term"))
             .filter(F.col("term").isNotNull())
@@ -84,9 +85,9 @@ def term_counts(docs: DataFrame, text: Column | str) -> DataFrame:
             .filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
-def corpus_stats(docs: DataFrame, text: Column | str) -> tuple[int, float]:
+def corpus_stats(docs: DataFrame, text: Column | str, stop_words=None) -> tuple[int, float]:
     """Number of documents and mean document length in terms (A5)."""
-    row = docs.select(F.size(tokenize(text)).alias("dl")) \
+    row = docs.select(F.size(tokenize(text, stop_words)).alias("dl")) \
         .agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     return int(row["n"]), float(row["avgdl"] or 0.0)
 
@@ -100,7 +101,7 @@ def document_frequency(postings: DataFrame, rows_per_salt: int = DEFAULT_ROWS_PE
 
 
 def build_keyword_index(docs: DataFrame, doc_id: str, text: Column | str, *,
-                        group: str | None = None,
+                        group: str | None = None, stop_words: list[str] | None = None,
                         rows_per_salt: int = DEFAULT_ROWS_PER_SALT,
                         max_salts: int = MAX_SALTS,
                         broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
@@ -112,7 +113,8 @@ def build_keyword_index(docs: DataFrame, doc_id: str, text: Column | str, *,
     executors; cuts lineage) so that statistics, the hot-term check and every
     query read them instead of re-tokenising the corpus.
     """
-    raw = term_postings(docs, doc_id, text, group)
+    stops = tuple(sorted(set(w.lower() for w in (stop_words or []))))
+    raw = term_postings(docs, doc_id, text, group, stops)
     hot_cond = F.col("n_salts") > 1
     if materialize:
         # The token total (for avgdl) is observed while the postings are
@@ -125,7 +127,7 @@ def build_keyword_index(docs: DataFrame, doc_id: str, text: Column | str, *,
                                      {"hot": F.count_if(hot_cond)})
         n_hot = int(m["hot"] or 0)
     else:
-        n_docs, avgdl = corpus_stats(docs, text)
+        n_docs, avgdl = corpus_stats(docs, text, stops)
         terms = document_frequency(raw, rows_per_salt, max_salts)
         n_hot = terms.filter(hot_cond).count()
     # Terms that need more than one salt: at most total_postings / rows_per_salt.
@@ -139,14 +141,15 @@ def build_keyword_index(docs: DataFrame, doc_id: str, text: Column | str, *,
                                 .otherwise(F.pmod(F.xxhash64("doc_id"), F.col("hot_salts")))
                                 .cast("int"))
                     .drop("hot_salts"))
-    return KeywordIndex(postings, terms, n_docs, avgdl, has_group=group is not None)
+    return KeywordIndex(postings, terms, n_docs, avgdl, has_group=group is not None,
+                        stop_words=stops)
 
 
 def query_terms(queries: DataFrame, query_id: str, text: Column | str,
-                group: str | None = None) -> DataFrame:
+                group: str | None = None, stop_words=None) -> DataFrame:
     """(query_id, term[, qgrp]) with each term once per query."""
     cols = [F.col(query_id).alias("query_id"),
-            F.explode_outer(F.array_distinct(tokenize(text))).alias("term")]
+            F.explode_outer(F.array_distinct(tokenize(text, stop_words))).alias("term")]
     if group:
         cols.append(F.col(group).alias("qgrp"))
     return queries.select(*cols).filter(F.col("term").isNotNull())
@@ -156,24 +159,31 @@ def bm25_scores(queries: DataFrame, index: KeywordIndex, *, query_id: str,
                 text: Column | str, query_group: str | None = None,
                 exclude_self: bool = False,
                 params: RetrievalParams = RetrievalParams(),
-                broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                max_df_ratio: float | None = None) -> DataFrame:
     """(query_id, doc_id, score) for every document sharing a term with the query.
 
+    ``max_df_ratio`` (optional, off by default) ignores query terms found in
+    more than that share of all documents; it changes scores, and bounds the
+    join fan-out of the most frequent terms.
+
     ``query_group`` applies the category pre-filter (F2): a query with a
     non-NULL group only matches documents of the same group; corpus
     statistics stay global.
     """
     if query_group and not index.has_group:
         raise ValueError("index was built without a group column")
-    qt = query_terms(queries, query_id, text, query_group)
+    qt = query_terms(queries, query_id, text, query_group, index.stop_words)
     n, avgdl = index.n_docs, index.avgdl
     k1, b = params.bm25_k1, params.bm25_b
     sized = maybe_broadcast(qt, broadcast_rows)
     # IDF per query term; terms absent from the corpus drop out here.
     qidf = (index.terms.join(sized.df, "term")
             .withColumn("idf", F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + F.lit(0.5))
-                                     / (F.col("df") + F.lit(0.5))))
-            .drop("df"))
+                                     / (F.col("df") + F.lit(0.5)))))
+    if max_df_ratio is not None:
+        qidf = qidf.filter(F.col("df") <= F.lit(max_df_ratio * n))
+    qidf = qidf.drop("df")
     if sized.broadcast:
         # Few query terms: probe a broadcast table while scanning postings.
         probe = F.broadcast(qidf.drop("n_salts"))

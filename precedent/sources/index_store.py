@@ -75,7 +75,8 @@ def write_index(index: CaseIndex, root: str) -> str:
     index.keywords.postings.write.parquet(f"{vdir}/postings")
     index.keywords.terms.write.parquet(f"{vdir}/terms")
     stats = {"n_docs": index.keywords.n_docs, "avgdl": index.keywords.avgdl,
-             "has_group": index.keywords.has_group, "params": asdict(index.params)}
+             "has_group": index.keywords.has_group, "params": asdict(index.params),
+             "stop_words": list(index.keywords.stop_words)}
     _write_text(spark, f"{vdir}/stats.json", json.dumps(stats))
     # A new manifest file per version, renamed into place: readers take the
     # newest name, so there is never a moment without a valid manifest.
@@ -110,7 +111,8 @@ def load_index(spark: SparkSession, root: str) -> CaseIndex:
     vdir = f"{root.rstrip('/')}/versions/{version}"
     stats = json.loads(_read_text(spark, f"{vdir}/stats.json"))
     kw = KeywordIndex(spark.read.parquet(f"{vdir}/postings"), spark.read.parquet(f"{vdir}/terms"),
-                      int(stats["n_docs"]), float(stats["avgdl"]), bool(stats["has_group"]))
+                      int(stats["n_docs"]), float(stats["avgdl"]), bool(stats["has_group"]),
+                      tuple(stats.get("stop_words", [])))
     return CaseIndex(spark.read.parquet(f"{vdir}/cases"), spark.read.parquet(f"{vdir}/vectors"),
                      kw, RetrievalParams(**stats["params"]))
 
