@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 from precedent.functions.text import or_missing, preview
 from precedent.schema import ALL_CATEGORIES, MISSING, NO_MATCH_MESSAGE
 
+# Text-report layout (rules of 80 '=' or '-', section titles).
+_RULE, _DASH = "=" * 80, "-" * 80
+REPORT_BANNER = f"{_RULE}\nIT HELPDESK TICKET RECOMMENDATIONS\n{_RULE}"
+REPORT_HEAD = f"\n{_RULE}\nTICKET %d: %s\n{_RULE}"
+REPORT_FIELDS = "\nIssue: %s\nDescription: %s\nCategory: %s\n"
+REPORT_SIMILAR = f"\n{_DASH}\nSIMILAR TICKETS:\n{_DASH}"
+REPORT_NEIGHBOUR = ("\n%d. %s (similarity %.3f)\n   Issue: %s\n   Category: %s\n"
+                    "   Resolution: %s\n   Handled by: %s")
+REPORT_RECOMMENDATION = f"\n\n{_DASH}\nRECOMMENDATION:\n{_DASH}\n"
+REPORT_TIME = "\n\nProcessing time: %s"
+REPORT_ERROR = "\n\nERROR: %s\n"
+REPORT_FOOTER = f"\n{_RULE}\nTotal tickets processed: %d\n{_RULE}"
 # Status words and markdown colours.
 RESOLVED_WORD = "RESOLVED"
 UNRESOLVED_WORD = "UNRESOLVED"
@@ -129,35 +141,25 @@ def report_block(ordinal="result_no", ticket_id="ticket_id", issue="issue",
                  recommendation="recommendation", seconds="processing_time_seconds",
                  error="error") -> Column:
     """One result of the text report (R2); the error variant when ``error`` is set."""
-    rule = "=" * 80
-    dash = "-" * 80
-
     def nb(x, i):
-        return F.format_string("\n%d. %s (similarity %.3f)\n   Issue: %s\n   Category: %s\n"
-                               "   Resolution: %s\n   Handled by: %s",
-                               (i + 1).cast("int"), _m(x["ticket_id"]),
+        return F.format_string(REPORT_NEIGHBOUR, (i + 1).cast("int"), _m(x["ticket_id"]),
                                F.coalesce(x["similarity_score"], F.lit(0.0)), _m(x["issue"]),
                                _m(x["category"]), _m(x["resolution"]), _m(x["agent_name"]))
-    head = F.format_string(f"\n{rule}\nTICKET %d: %s\n{rule}", F.col(ordinal).cast("int"),
-                           _m(F.col(ticket_id)))
+    head = F.format_string(REPORT_HEAD, F.col(ordinal).cast("int"), _m(F.col(ticket_id)))
     ok = F.concat(
-        F.format_string("\nIssue: %s\nDescription: %s\nCategory: %s\n", _m(F.col(issue)),
-                        _m(F.col(description)), _m(F.col(category))),
-        F.lit(f"\n{dash}\nSIMILAR TICKETS:\n{dash}"),
+        F.format_string(REPORT_FIELDS, _m(F.col(issue)), _m(F.col(description)),
+                        _m(F.col(category))),
+        F.lit(REPORT_SIMILAR),
         F.array_join(F.transform(F.col(similar), nb), ""),
-        F.lit(f"\n\n{dash}\nRECOMMENDATION:\n{dash}\n"),
+        F.lit(REPORT_RECOMMENDATION),
         _m(F.col(recommendation)),
-        F.format_string("\n\nProcessing time: %s", _m(F.col(seconds))))
-    bad = F.format_string("\n\nERROR: %s\n", F.col(error))
+        F.format_string(REPORT_TIME, _m(F.col(seconds))))
+    bad = F.format_string(REPORT_ERROR, F.col(error))
     return F.concat(head, F.when(F.col(error).isNotNull(), bad).otherwise(ok))
 
 
-REPORT_BANNER = "=" * 80 + "\nIT HELPDESK TICKET RECOMMENDATIONS\n" + "=" * 80
-
-
 def report_footer(total: Column) -> Column:
-    rule = "=" * 80
-    return F.format_string(f"\n{rule}\nTotal tickets processed: %d\n{rule}", total.cast("long"))
+    return F.format_string(REPORT_FOOTER, total.cast("long"))
 
 
 def recommendation_preview(c="recommendation", n: int = 500) -> Column:
