@@ -12,7 +12,9 @@ table and the other files still load (S7).
 * JSON: one row per file (whole text); the shape (list of records,
   index-oriented, column arrays, single object) is detected with
   ``from_json`` under four schemas and expanded with higher-order
-  functions. JSON Lines is the scale path for very large inputs.
+  functions.
+* JSON Lines (``*.jsonl``): one object per line, read as splittable text;
+  the scale path for very large inputs.
 * XLSX: ``binaryFile`` + ``mapInPandas``; each workbook is parsed in the
   task with the standard library (zip + XML); no Excel package is needed.
 """
@@ -145,6 +147,21 @@ def _json_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
     return recs, rejects
 
 
+def _jsonl_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """JSON Lines: one object per line, read line by line (splittable, the
+    scale path); a line that is not an object becomes a reject."""
+    lines = spark.read.text(pattern).select(
+        F.col("_metadata.file_path").alias("_source_file"),
+        F.monotonically_increasing_id().alias("_row"), "value")
+    lines = lines.filter(F.length(F.trim("value")) > 0)
+    parsed = lines.withColumn("rec", F.from_json("value", "map<string,string>"))
+    recs = parsed.filter(F.col("rec").isNotNull()).select("rec", "_source_file", "_row")
+    rejects = parsed.filter(F.col("rec").isNull()).select(
+        F.col("_source_file").alias("source_file"),
+        F.lit("line is not a JSON object").alias("reason"))
+    return recs, rejects
+
+
 # ------------------------------------------------------------------ XLSX
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
@@ -235,10 +252,12 @@ def _xlsx_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
 
 # ------------------------------------------------------------------ directory
 def read_records(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    """All ``*.csv``, ``*.xlsx``, ``*.json`` under ``directory`` → (records, rejects)."""
+    """All ``*.csv``, ``*.xlsx``, ``*.json``, ``*.jsonl`` under ``directory`` →
+    (records, rejects)."""
     recs = [read_csv_records(spark, _glob(directory, ".csv"))]
     rejects = [_empty(spark, REJECT_SCHEMA)]
-    for ext, reader in ((".xlsx", _xlsx_records), (".json", _json_records)):
+    for ext, reader in ((".xlsx", _xlsx_records), (".json", _json_records),
+                        (".jsonl", _jsonl_records)):
         pattern = _glob(directory, ext)
         if _exists(spark, pattern):
             r, j = reader(spark, pattern)

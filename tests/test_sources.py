@@ -55,3 +55,16 @@ def test_dupes_keep_both_rows(spark, tmp_path):
     (tmp_path / "dupes.csv").write_text(DUPES_CSV)
     df = read_csv(spark, str(tmp_path / "dupes.csv"))
     assert df.filter("ticket_id = 'D-1'").count() == 2
+
+
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text(
+        '{"Ticket ID": "L-1", "Issue": "one", "Resolution": "r", "Resolved": "yes"}\n'
+        '\n'
+        '{"ticket_id": "L-2", "issue": "two"}\n'
+        '[1, 2]\n')
+    cases, rejects = read_cases(spark, str(tmp_path))
+    got = _by_id(cases)
+    assert set(got) == {"L-1", "L-2"}
+    assert got["L-1"]["resolved"] is True and got["L-2"]["resolution"] is None
+    assert [r["reason"] for r in rejects.collect()] == ["line is not a JSON object"]
