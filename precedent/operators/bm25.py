@@ -152,7 +152,9 @@ def query_terms(queries: DataFrame, query_id: str, text: Column | str,
             F.explode_outer(F.array_distinct(tokenize(text, stop_words))).alias("term")]
     if group:
         cols.append(F.col(group).alias("qgrp"))
-    return queries.select(*cols).filter(F.col("term").isNotNull())
+    # Each (query, term) once, also when a query id repeats.
+    return queries.select(*cols).filter(F.col("term").isNotNull()) \
+        .dropDuplicates(["query_id", "term"])
 
 
 def bm25_scores(queries: DataFrame, index: KeywordIndex, *, query_id: str,

@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -112,10 +113,12 @@ def _scan_fn(bc, k: int, digits: int, min_score: float | None, exclude_self: boo
             if nb == 0:
                 continue
             if exclude_self:
-                self_pos = np.fromiter((idpos.get(x, -1) for x in ids), dtype=np.int64, count=nb)
+                # position of each corpus id among the query ids, -1 if absent
+                self_pos = idpos.get_indexer(ids).astype(np.int64)
             if grouped:
                 dg = rb.column(2).to_numpy(zero_copy_only=False)[valid][nz]
-                dcode = np.fromiter((gcode.get(x, -2) for x in dg), dtype=np.int64, count=nb)
+                dcode = gcode.get_indexer(dg).astype(np.int64)
+                dcode[dcode < 0] = -2
             kk = min(k, nb)
             for q0 in range(0, nq, QUERY_BLOCK):
                 q1 = min(nq, q0 + QUERY_BLOCK)
@@ -158,14 +161,24 @@ def _payload(rows: pa.Table, dim: int, grouped: bool, exclude_self: bool) -> dic
     ids = rows.column("qid").to_numpy(zero_copy_only=False)[valid]
     m, nz = _unit(m)
     ids = ids[nz]
-    gcode: dict = {}
+    # One row per query id (the first): a repeated id would rank twice.
+    _, first = np.unique(ids, return_index=True)
+    keep = np.sort(first)
+    if len(keep) < len(ids):
+        sel = np.flatnonzero(valid)[nz][keep]
+        m, ids = m[keep], ids[keep]
+    else:
+        sel = np.flatnonzero(valid)[nz]
+    # Hash indexes (vectorised lookups in the tasks): group value -> code,
+    # query id -> row. NULL groups keep code -1 (no filter).
     qgrp = np.full(len(ids), -1, dtype=np.int64)
+    gcode = pd.Index([], dtype=object)
     if grouped:
-        g = rows.column("qg").to_numpy(zero_copy_only=False)[valid][nz]
-        for i, v in enumerate(g):
-            if v is not None:
-                qgrp[i] = gcode.setdefault(v, len(gcode))
-    idpos = {x: i for i, x in enumerate(ids.tolist())} if exclude_self else {}
+        g = pd.Series(rows.column("qg").to_numpy(zero_copy_only=False)[sel], dtype=object)
+        codes, uniques = pd.factorize(g, use_na_sentinel=True)
+        qgrp = codes.astype(np.int64)
+        gcode = pd.Index(uniques, dtype=object)
+    idpos = pd.Index(ids) if exclude_self else pd.Index([])
     return {"mat": np.ascontiguousarray(m), "ids": ids, "dim": dim, "grp": qgrp,
             "gcode": gcode, "idpos": idpos}
 

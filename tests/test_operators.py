@@ -208,3 +208,22 @@ def test_bm25_stop_words_and_max_df(spark):
     capped = {(r.query_id, r.doc_id) for r in bm25.bm25_scores(
         qs, plain, query_id="qid", text="text", max_df_ratio=0.5).collect()}
     assert (11, 1) not in capped and (11, 3) in capped  # "the" (df 3/5) ignored
+
+
+def test_repeated_query_ids_rank_once(spark):
+    df, _ = _vectors(spark)
+    twice = df.unionByName(df.filter("id < 5"))
+    got = dense_topk(twice, df, 3, query_id="id", q_vec="v", doc_id="id", d_vec="v",
+                     exclude_self=True).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r.query_id, []).append((r["rank"], r.doc_id))
+    assert all(sorted(x[0] for x in v) == [1, 2, 3] for v in per.values())
+    assert all(q != d for q, v in per.items() for _, d in v)
+    docs, qs = _bm25_inputs(spark)
+    idx = bm25.build_keyword_index(docs, "doc_id", "text")
+    one = {(r.query_id, r.doc_id): r.score for r in
+           bm25.bm25_scores(qs, idx, query_id="qid", text="text").collect()}
+    two = {(r.query_id, r.doc_id): r.score for r in
+           bm25.bm25_scores(qs.unionByName(qs), idx, query_id="qid", text="text").collect()}
+    assert one == two
