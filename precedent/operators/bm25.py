@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 
 from precedent.functions.text import tokenize
 from precedent.operators.ranking import top_k
-from precedent.operators.sizing import DEFAULT_BROADCAST_ROWS, maybe_broadcast
+from precedent.operators.sizing import DEFAULT_BROADCAST_ROWS, Sized, maybe_broadcast
 from precedent.schema import RetrievalParams
 from precedent.session import materialize as materialize_table
 
+# Query vocabularies up to this many distinct terms are pushed into the
+# postings scan as an IN filter (collected with a limit: bounded).
+PUSHDOWN_VOCABULARY = 1024
 # Postings per (term, salt) group a task should hold at most.
 DEFAULT_ROWS_PER_SALT = 1_000_000
 MAX_SALTS = 512
@@ -120,7 +123,11 @@ def build_keyword_index(docs: DataFrame, doc_id: str, text: Column | str, *,
         # The token total (for avgdl) is observed while the postings are
         # written, the hot-term count while the term table is written: no
         # extra passes. N comes from the documents.
-        raw, m = materialize_table(raw, "postings", {"tokens": F.sum("tf")})
+        # Sorted by term inside each document-clustered file: Parquet min/max
+        # statistics and page indexes then let a small query vocabulary skip
+        # most of the postings (see PUSHDOWN_VOCABULARY).
+        raw, m = materialize_table(raw.sortWithinPartitions("term"), "postings",
+                                   {"tokens": F.sum("tf")})
         n_docs = docs.count()
         avgdl = float(m["tokens"] or 0) / n_docs if n_docs else 0.0
         terms, m = materialize_table(document_frequency(raw, rows_per_salt, max_salts), "terms",
@@ -178,7 +185,17 @@ def bm25_scores(queries: DataFrame, index: KeywordIndex, *, query_id: str,
     qt = query_terms(queries, query_id, text, query_group, index.stop_words)
     n, avgdl = index.n_docs, index.avgdl
     k1, b = params.bm25_k1, params.bm25_b
-    sized = maybe_broadcast(qt, broadcast_rows)
+    # One bounded collect decides the small case: those rows are both the
+    # size check and the vocabulary pushed into the postings scan. Only a
+    # larger query side pays a count for the broadcast decision.
+    head = qt.select("term").limit(PUSHDOWN_VOCABULARY + 1).collect()
+    vocab = None
+    if len(head) <= PUSHDOWN_VOCABULARY:
+        vocab = sorted({r["term"] for r in head})
+        sized = Sized(F.broadcast(qt), len(head), True) if len(head) <= broadcast_rows \
+            else Sized(qt, len(head), False)
+    else:
+        sized = maybe_broadcast(qt, broadcast_rows)
     # IDF per query term; terms absent from the corpus drop out here.
     qidf = (index.terms.join(sized.df, "term")
             .withColumn("idf", F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + F.lit(0.5))
@@ -186,15 +203,20 @@ def bm25_scores(queries: DataFrame, index: KeywordIndex, *, query_id: str,
     if max_df_ratio is not None:
         qidf = qidf.filter(F.col("df") <= F.lit(max_df_ratio * n))
     qidf = qidf.drop("df")
+    postings = index.postings
+    if vocab is not None:
+        # A small query side (one ticket, a few tickets) becomes a term filter
+        # that Spark pushes into the Parquet scan of the stored postings.
+        postings = postings.filter(F.col("term").isin(vocab))
     if sized.broadcast:
         # Few query terms: probe a broadcast table while scanning postings.
         probe = F.broadcast(qidf.drop("n_salts"))
-        joined = index.postings.join(probe, "term")
+        joined = postings.join(probe, "term")
     else:
         # Many query terms: shuffle join on (term, salt) so hot terms split.
         salted = qidf.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))) \
             .drop("n_salts")
-        joined = index.postings.join(salted, ["term", "salt"])
+        joined = postings.join(salted, ["term", "salt"])
     if exclude_self:
         joined = joined.filter(F.col("query_id") != F.col("doc_id"))
     if query_group:

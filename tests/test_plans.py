@@ -35,3 +35,13 @@ def test_no_cartesian_anywhere(spark):
         plan = _plan(fn(spark, SF_SMALL))
         assert "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_small_vocabulary_is_pushed_to_postings_scan(spark):
+    from precedent.operators import bm25
+    from precedent.sources.tables import read_table
+    docs = read_table(spark, SF_SMALL, "documents")
+    idx = bm25.build_keyword_index(docs, "doc_id", "text")
+    q = spark.createDataFrame([(1, "shared drive error")], "qid long, text string")
+    plan = _plan(bm25.bm25_topk(q, idx, 3, query_id="qid", text="text"))
+    assert "PushedFilters: [IsNotNull(term), In(term, [drive,error,shared])]" in plan
