@@ -14,8 +14,13 @@ from pyspark.sql import types as T
 
 
 def generate(df: DataFrame, prompt_col: str, generator, *, out_col: str = "recommendation",
-             error_col: str = "error") -> DataFrame:
-    """Append ``out_col`` (stripped text) and ``error_col`` (NULL on success)."""
+             error_col: str = "error", skip_col: str | None = None,
+             fallback: str | None = None) -> DataFrame:
+    """Append ``out_col`` (stripped text) and ``error_col`` (NULL on success).
+
+    Rows where ``skip_col`` is true are not sent to the generator; they get
+    ``fallback`` (the no-match message), in the same pass.
+    """
     fields = [f for f in df.schema.fields if f.name not in (out_col, error_col)]
     schema = T.StructType(fields + [T.StructField(out_col, T.StringType()),
                                     T.StructField(error_col, T.StringType())])
@@ -23,18 +28,22 @@ def generate(df: DataFrame, prompt_col: str, generator, *, out_col: str = "recom
 
     def run(batches):
         for pdf in batches:
-            prompts = pdf[prompt_col].tolist()
-            outs: list = [None] * len(prompts)
-            errs: list = [None] * len(prompts)
+            all_prompts = pdf[prompt_col].tolist()
+            skip = pdf[skip_col].fillna(False).tolist() if skip_col else [False] * len(pdf)
+            todo = [i for i, sk in enumerate(skip) if not sk]
+            prompts = [all_prompts[i] for i in todo]
+            outs: list = [fallback if sk else None for sk in skip]
+            errs: list = [None] * len(all_prompts)
             try:
-                got = list(generator.generate(prompts))
+                got = list(generator.generate(prompts)) if prompts else []
                 if len(got) != len(prompts):
                     raise ValueError("generator returned a different number of texts")
-                outs = [None if g is None else str(g).strip() for g in got]
+                for i, g in zip(todo, got):
+                    outs[i] = None if g is None else str(g).strip()
             except Exception:  # isolate the failing rows
-                for i, p in enumerate(prompts):
+                for i in todo:
                     try:
-                        outs[i] = str(generator.generate([p])[0]).strip()
+                        outs[i] = str(generator.generate([all_prompts[i]])[0]).strip()
                     except Exception as e:  # noqa: BLE001 - failure becomes data
                         errs[i] = f"{type(e).__name__}: {e}"
             out = pdf[names].copy()

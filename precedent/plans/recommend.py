@@ -42,11 +42,11 @@ def recommend(queries: DataFrame, index: CaseIndex, *, generator=None,
         res = res.withColumn("recommendation", extractive_recommendation()) \
             .withColumn("error", F.lit(None).cast("string"))
     else:
-        with_hits = res.filter(F.size("similar_tickets") > 0)
-        no_hits = res.filter(F.size("similar_tickets") == 0) \
-            .withColumn("recommendation", F.lit(NO_MATCH_MESSAGE)) \
-            .withColumn("error", F.lit(None).cast("string"))
-        res = generate(with_hits, "prompt", generator).unionByName(no_hits)
+        # One pass: rows without neighbours get the no-match text (M4)
+        # without a generator call.
+        res = generate(res.withColumn("_no_hits", F.size("similar_tickets") == 0), "prompt",
+                       generator, skip_col="_no_hits", fallback=NO_MATCH_MESSAGE) \
+            .drop("_no_hits")
     res = res.withColumn("processing_time_seconds", F.lit(None).cast("double"))
     cols = RESULT_FIELDS + (["prompt"] if with_prompt else [])
     return res.select(*cols)

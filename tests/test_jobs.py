@@ -96,3 +96,27 @@ def test_cli_round_trip(spark, tmp_path, capsys):
                  "--description", "cannot connect from home"]) == 0
     out = capsys.readouterr().out
     assert '"total": 2' in out and "## Recommendation" in out
+
+
+class _Echo:
+    def generate(self, prompts):
+        return [f"  steps for {len(p)} chars  " for p in prompts]
+
+
+def test_recommend_with_generator_and_no_match(spark, tmp_path):
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    from precedent.plans.case_index import build_case_index
+    from precedent.plans.recommend import recommend
+    from precedent.schema import CASE_FIELDS, NO_MATCH_MESSAGE
+    from precedent.sources.files import read_cases
+    cases, _ = read_cases(spark, str(write_case_dir(tmp_path / "old")))
+    idx = build_case_index(cases.select(*CASE_FIELDS))
+    q = spark.createDataFrame(
+        [("Q-1", "VPN down", "cannot connect", "Network", "", None, None, None),
+         ("Q-2", "Alien", "zzz qqq", "Nowhere", "", None, None, None)], cases.select(*CASE_FIELDS).schema)
+    got = {r.ticket_id: r for r in recommend(q, idx, generator=_Echo(), category_filter=True).collect()}
+    assert got["Q-1"]["recommendation"].startswith("steps for") and got["Q-1"]["error"] is None
+    assert len(got["Q-1"]["similar_tickets"]) >= 1
+    assert got["Q-2"]["recommendation"] == NO_MATCH_MESSAGE and got["Q-2"]["similar_tickets"] == []

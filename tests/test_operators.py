@@ -227,3 +227,11 @@ def test_repeated_query_ids_rank_once(spark):
     two = {(r.query_id, r.doc_id): r.score for r in
            bm25.bm25_scores(qs.unionByName(qs), idx, query_id="qid", text="text").collect()}
     assert one == two
+
+
+def test_generate_skips_rows_without_neighbours(spark):
+    df = spark.createDataFrame([("a", "fine", False), ("b", "bad", True)],
+                               "id string, prompt string, skip boolean")
+    got = {r.id: (r.recommendation, r.error) for r in
+           generate(df, "prompt", _Flaky(), skip_col="skip", fallback="none").collect()}
+    assert got == {"a": ("FINE", None), "b": ("none", None)}
