@@ -86,7 +86,17 @@ def _keep_best(qi, ids, s, r, k, tol):
     sizes = np.diff(np.r_[starts, len(qi)])
     kth = np.where(sizes >= k, r[np.minimum(starts + k - 1, len(qi) - 1)], -np.inf)
     keep = r >= kth[grp] - tol
-    return qi[keep], ids[keep], s[keep], r[keep]
+    qi, ids, s, r = qi[keep], ids[keep], s[keep], r[keep]
+    if len(qi) > 2 * k * len(starts):
+        # Many exact ties (duplicate vectors): among candidates with the same
+        # query and the same raw score only the k smallest ids can be ranked,
+        # so the buffer stays bounded by k per distinct score.
+        f = pd.DataFrame({"qi": qi, "s": s, "id": ids, "r": r})
+        f = f.sort_values(["qi", "s", "id"], ascending=[True, False, True], kind="mergesort")
+        f = f.groupby(["qi", "s"], sort=False).head(k)
+        qi, ids = f["qi"].to_numpy(), f["id"].to_numpy()
+        s, r = f["s"].to_numpy(), f["r"].to_numpy()
+    return qi, ids, s, r
 
 
 def _scan_fn(bc, k: int, digits: int, min_score: float | None, exclude_self: bool,
@@ -136,11 +146,12 @@ def _scan_fn(bc, k: int, digits: int, min_score: float | None, exclude_self: boo
                 kth = np.partition(r, nb - kk, axis=1)[:, nb - kk]
                 sel = (r >= (kth - tol)[:, None]) & np.isfinite(r)
                 qi, di = np.nonzero(sel)
-                buf[0].append(qi + q0)
-                buf[1].append(ids[di])
-                buf[2].append(s[qi, di])
-                buf[3].append(r[qi, di])
-                held += len(qi)
+                parts = (qi + q0, ids[di], s[qi, di], r[qi, di])
+                if len(qi) > 4 * k * (q1 - q0):
+                    parts = _keep_best(*parts, k, tol)  # many exact ties in this block
+                for b, part in zip(buf, parts):
+                    b.append(part)
+                held += len(parts[0])
             if held > 8 * nq * k + 100_000:
                 parts = _keep_best(*(np.concatenate(b) for b in buf), k, tol)
                 buf = tuple([p] for p in parts)

@@ -235,3 +235,21 @@ def test_generate_skips_rows_without_neighbours(spark):
     got = {r.id: (r.recommendation, r.error) for r in
            generate(df, "prompt", _Flaky(), skip_col="skip", fallback="none").collect()}
     assert got == {"a": ("FINE", None), "b": ("none", None)}
+
+
+def test_dense_many_duplicate_vectors(spark):
+    """A third of the corpus is one repeated vector: exact ties broken by id, buffer bounded."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 8))
+    dup = rng.normal(size=8)
+    rows = [(i, [float(x) for x in (dup if i % 3 == 0 else base[i])]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = dense_topk(df, df.repartition(1), 4, query_id="id", q_vec="v", doc_id="id", d_vec="v",
+                     exclude_self=True).collect()
+    m = np.array([r[1] for r in rows], dtype=np.float32).astype(np.float64)
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = set()
+    for q in range(60):
+        sc = sorted((-round(float(m[q] @ m[d]), 9), d) for d in range(60) if d != q)
+        want |= {(q, d, i + 1) for i, (_, d) in enumerate(sc[:4])}
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in got} == want
