@@ -66,11 +66,13 @@ def recommend_job(spark: SparkSession, new_path: str, index_root: str, out_dir:
         "total long, succeeded long, failed long, mean_seconds double")
 
 
-def recommend_one(spark: SparkSession, index_root: str, issue: str, description: str,
+def recommend_one(spark: SparkSession, index, issue: str, description: str,
                   category: str | None = None, generator=None) -> DataFrame:
     """One ticket from a form: validate, shape, recommend, render markdown.
 
-    An invalid entry returns its message in ``markdown`` without a search.
+    ``index`` is a loaded ``CaseIndex`` (load once, ask many, as an
+    interactive service does) or the root folder of a stored index. An
+    invalid entry returns its message in ``markdown`` without a search.
     """
     form = spark.createDataFrame([(issue, description, category)],
                                  "issue string, description string, category string")
@@ -81,6 +83,7 @@ def recommend_one(spark: SparkSession, index_root: str, issue: str, description:
         .withColumn("resolved", F.lit(None).cast("boolean"))
     if ticket.count() == 0:
         return bad.select(F.concat(F.lit("Error: "), F.col("reason")).alias("markdown"))
-    index = load_index(spark, index_root)
+    if isinstance(index, str):
+        index = load_index(spark, index)
     res = recommend(ticket, index, generator=generator, category_filter=True)
     return res.select("ticket_id", markdown().alias("markdown"))
