@@ -78,3 +78,14 @@ def test_salted_shuffle_path_matches_oracle(spark, duck):
     res = duck.sql(entry.oracle_sql()["q17_bm25_topk"])
     assert _digest(df.columns, [tuple(r) for r in df.collect()]) == \
         _digest(res.columns, res.fetchall())
+
+
+@pytest.mark.parametrize("name,key", [("q20_hybrid_topk", "ticket_id"), ("q17_bm25_topk", "item_id"),
+                                      ("q14_dense_topk", "vec_id"), ("q33_hybrid_category", "ticket_id")])
+def test_ranks_are_gapless_and_bounded(spark, name, key):
+    rows = entry.queries()[name](spark, SF_SMALL).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r[key], []).append(r["rank"])
+    assert per and all(sorted(v) == list(range(1, len(v) + 1)) and len(v) <= 3
+                       for v in per.values())
