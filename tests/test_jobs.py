@@ -120,3 +120,27 @@ def test_recommend_with_generator_and_no_match(spark, tmp_path):
     assert got["Q-1"]["recommendation"].startswith("steps for") and got["Q-1"]["error"] is None
     assert len(got["Q-1"]["similar_tickets"]) >= 1
     assert got["Q-2"]["recommendation"] == NO_MATCH_MESSAGE and got["Q-2"]["similar_tickets"] == []
+
+
+def test_report_numbering_across_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from precedent.sources.sinks import number_results, write_results_text
+    from precedent.plans.recommend import RESULT_FIELDS
+    from precedent.schema import NEIGHBOUR_SCHEMA
+    from pyspark.sql import types as T
+    df = (spark.range(50).repartition(7)
+          .select(F.format_string("T-%03d", F.col("id")).alias("ticket_id"),
+                  F.lit("i").alias("issue"), F.lit("d").alias("description"),
+                  F.lit("c").alias("category"),
+                  F.array().cast(T.ArrayType(NEIGHBOUR_SCHEMA)).alias("similar_tickets"),
+                  F.lit("r").alias("recommendation"),
+                  F.lit(None).cast("double").alias("processing_time_seconds"),
+                  F.when(F.col("id") == 7, F.lit("boom")).alias("error")))
+    nums = {r.ticket_id: r.result_no for r in number_results(df).collect()}
+    assert nums == {f"T-{i:03d}": i + 1 for i in range(50)}
+    out = tmp_path / "rep"
+    write_results_text(df.select(*RESULT_FIELDS), str(out))
+    text = "".join(open(p).read() for p in sorted(out.glob("part-*")))
+    pos = [text.index(f"TICKET {i + 1}: T-{i:03d}") for i in range(50)]
+    assert pos == sorted(pos) and "ERROR: boom" in text
+    assert text.rstrip().endswith("=" * 80) and "Total tickets processed: 50" in text
