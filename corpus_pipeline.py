@@ -40,11 +40,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes; the last, partial copy of a document has its first words."""
-    taken = op3_mix.mix(docs).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "repeats", "part")
+    # Rows with the same id and size share one decision.
+    taken = op3_mix.mix(docs).where("taken > 0").groupBy(
+        F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(
+        F.max("repeats").alias("repeats"), F.max("part").alias("part"))
     rows = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(op3_mix.WORD_RE)), F.lit(0)))
     rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    cut = F.expr("regexp_extract(text, concat('^[ \\\\t-\\\\r]*(?:[^ \\\\t-\\\\r]+[ \\\\t-\\\\r]*){', part, '}'), 0)")
+    cut = F.array_join(F.slice(F.regexp_extract_all(
+        "text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1)), 1, F.col("part").cast("int")), "")
     whole = rows.where("repeats > 0").withColumn("_copy", F.explode(F.expr("sequence(1, int(repeats))")))
     part = rows.where("part > 0").withColumn("text", F.when(
         F.col("part") < F.col("_words"), cut).otherwise(F.col("text"))).withColumn(

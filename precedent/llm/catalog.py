@@ -164,8 +164,8 @@ _EMBEDDINGS_SQL = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id
   WHERE len(x.e) = len(y.e) AND list_dot_product(x.e, y.e)
@@ -185,7 +185,7 @@ WITH RECURSIVE w AS (
 grams AS (
   SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {op9_minhash.WORDS} THEN [array_to_string(ws, ' ')]
          ELSE list_transform(range(1, len(ws) - {op9_minhash.WORDS - 2}),
-              i -> array_to_string(ws[i : i + {op9_minhash.WORDS - 1}], ' ')) END) AS g FROM w),
+              lambda i: array_to_string(ws[i : i + {op9_minhash.WORDS - 1}], ' ')) END) AS g FROM w),
 s AS (SELECT DISTINCT doc_id, g FROM grams),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id

@@ -147,8 +147,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int =
 
 
 def prefix_sum(df: DataFrame, part: list[str], bucket: Column, order: list[Column], value: str,
-               out: str) -> DataFrame:
-    """``out`` = sum of ``value`` over the earlier rows of the same ``part``.
+               out: str, total: str | None = None) -> DataFrame:
+    """``out`` = sum of ``value`` over the earlier rows of the same ``part``; ``total`` = over all of them.
 
     Two levels: sums per (part, bucket) are accumulated over the buckets of a
     part, then rows within their bucket.  ``bucket`` must be a coarse prefix of
@@ -156,7 +156,8 @@ def prefix_sum(df: DataFrame, part: list[str], bucket: Column, order: list[Colum
     rows = df.withColumn("_bucket", bucket)
     sums = rows.groupBy(*part, "_bucket").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*part, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    base = sums.select(*part, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"),
+                       *([F.sum("_sum").over(Window.partitionBy(*part)).alias(total)] if total else []))
     inner = Window.partitionBy(*part, "_bucket").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
     return (rows.join(base, [*part, "_bucket"])

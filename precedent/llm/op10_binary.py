@@ -142,7 +142,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 name = f"{path}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
                 files, inner = open_fs(name)
                 files.create_dir(inner.rpartition("/")[0], recursive=True)
-                writer = FrameWriter(files.open_output_stream(inner))
+                writer = FrameWriter(files.open_output_stream(inner, compression=None))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(),
                                    encoder.encode(batch.column("text").to_pylist())):
                 writer.add(doc_id, ids + end)

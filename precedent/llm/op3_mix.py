@@ -33,7 +33,7 @@ from precedent.llm.common import WORD_RE, materialize, prefix_sum
 
 #: Hex digits of the hash that name a document's block: 16 ** 3 blocks for each source.
 BLOCK_DIGITS = 3
-SHARD_LEVELS = 4
+SHARD_LEVELS = 3
 MAX_REPEATS = 3
 
 
@@ -94,11 +94,9 @@ def splitting_tree(draws: DataFrame, levels: int, seed: str) -> DataFrame:
     for level in range(levels):
         node = node.withColumn("key", _md5(seed, "tree", F.lit(level), F.col("src"), F.col("token")))
         node = prefix_sum(node, ["node"], F.substring("key", 1, 2),
-                          [F.col("key"), F.col("no_src"), F.col("src"), F.col("token")], "one", "rank")
-        node = (node.join(node.groupBy("node").agg(F.sum("one").alias("n")), "node")
-                .withColumn("node", F.col("node") * 2 + F.when(
-                    F.col("rank") * 2 < F.col("n"), 0).otherwise(1))
-                .drop("n", "rank", "key"))
+                          [F.col("key"), F.col("no_src"), F.col("src"), F.col("token")], "one", "rank", "n")
+        node = node.withColumn("node", F.col("node") * 2 + F.when(F.col("rank") * 2 < F.col("n"), 0).otherwise(1))
+        node = materialize(node.drop("n", "rank", "key"), "mix-tree")       # the next level reads it twice
     return node.groupBy("src", "no_src", F.col("node").alias("shard")).agg(
         F.sum("one").alias("quota"))
 

@@ -84,7 +84,8 @@ def outside(text: str, spans, pattern=CANDIDATE) -> list[tuple[int, int]]:
     return out
 
 
-ORDINARY = re.compile(r"[A-Za-z][A-Za-z_-]{7,}")
+#: Tokens taken as ordinary in training: long words and long numbers.
+ORDINARY = re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z_-]{8,}|[0-9]{8,})(?![A-Za-z0-9])")
 
 
 def encode_chars(token: str):

@@ -127,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     full = pieces.where("whole").select(*keep, (F.col("place") * 2 + 1).alias("sequence_id"),
                                         F.lit(0).cast("long").alias("offset"))
 
-    def fill(key, table: pa.Table) -> pa.Table:
+    def fill(key, table):
         table = table.sort_by([("place", "ascending")])
         sizes = table.column("length").to_pylist()
         sequence, offset = [0] * len(sizes), [0] * len(sizes)

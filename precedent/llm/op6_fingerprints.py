@@ -56,7 +56,7 @@ class Hasher:
         h = np.zeros(len(b), np.uint32)
         for back in range(7):
             weight = np.uint32(pow(0x9E3779B1, back + 1, 1 << 32) | 1)
-            h[back:] += b[:len(b) - back] * weight
+            h[back:] += b[:max(0, len(b) - back)] * weight
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA77)
         h ^= h >> np.uint32(13)

@@ -117,7 +117,7 @@ def candidates(classes: DataFrame, threshold: float, block_dims: int = BLOCK_DIM
            .withColumn("task", F.concat_ws("/", "cell", F.least("own", "other"), F.greatest("own", "other")))
            .select("task", "own", "home", "cid", "sub", (F.col("own") == F.col("other")).alias("same")))
 
-    def compare(key, table: pa.Table) -> pa.Table:
+    def compare(key, table):
         import numpy as np
 
         ids = table.column("cid").to_numpy()

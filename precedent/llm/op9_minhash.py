@@ -330,7 +330,7 @@ def _settle(linker: _Linker, members: DataFrame, cuts: int):
     large = linker.rooted(large).join(centre, "centre", "left").withColumn("main", F.coalesce("main", "centre"))
     large = materialize(large.select("key", "cid", "root", "main"), "minhash-large")
     open_, stat = materialize(large.groupBy("key").agg(
-        F.sum((F.col("root") <> F.col("main")).cast("int")).alias("out")).where("out > 0"), "minhash-open",
+        F.sum((F.col("root") != F.col("main")).cast("int")).alias("out")).where("out > 0"), "minhash-open",
         {"few": F.sum((F.col("out") <= FEW).cast("int")), "many": F.sum((F.col("out") > FEW).cast("int"))})
     if stat["few"]:
         here = large.join(open_.where(f"out <= {FEW}").select("key"), "key")
