@@ -9,17 +9,19 @@ borrow from full ones by a fixed sequence of hashes, so short texts fill all reg
 2. Bands of four registers give each class 32 keys.  Classes that share a key are
    candidates: all pairs of a key held by up to ``SMALL`` classes; for a larger key
    (a bucket), a star: its least class against all others.
-3. Candidates pass a size test (exact) and, where both sets are large, the estimate of
-   Jaccard similarity from the registers, corrected for chance collisions, with a
-   margin of five standard errors.  The rest is verified on full shingle sets.
+3. Candidates pass a size test (exact) and the estimate of Jaccard similarity from the
+   registers, corrected for chance collisions, with a margin of five standard errors of
+   the registers that the smaller set fills.  The rest is verified on full shingle sets.
 4. Components of the verified links.  A large bucket that is one component is done: more
    links in it change nothing.  Otherwise its members outside the star's component meet
-   all its members, if there are few of them; if many, the bucket is cut by every
-   further band key of its members and cut parts go through the same steps; after
-   ``MAX_CUTS`` cuts its members take turns as the star's centre until it is settled.
-
-So no step pairs up a group, and a group of copies or near copies costs its size, not
-its square.  Two sets with similarity 0.75 share no key with probability 5e-6.  What is
+   all its members, if there are few of them.  If many, the bucket is held against itself
+   in blocks of ``CHUNK`` members, two blocks a task, where the same tests and the full
+   sets decide and links alone are returned; a bucket above ``BLOCKED`` members is first
+   cut by every further band key of its members, up to ``MAX_CUTS`` times, and its parts
+   go through the same steps.
+
+So no step emits the pairs of a group, and a group of copies or near copies that its
+star links costs its size, not its square.  Two sets with similarity 0.75 share no key with probability 5e-6.  What is
 shuffled: 32 keys per distinct set, registers and full sets of candidates.
 
 Defined results: null, empty and blank texts have 0 shingles and link with nothing;
@@ -47,6 +49,8 @@ BAND = 4
 N_BANDS = N_REGISTERS // BAND
 SMALL = 12
 FEW = 16
+CHUNK = 500
+BLOCKED = 5_000
 MAX_CUTS = 2
 
 
@@ -166,8 +170,13 @@ def estimate(equal, n: int = N_REGISTERS):
     return (equal / n - c) / (1 - c)
 
 
-#: Below this estimate no pair of large sets is verified: 0.75 less five standard errors.
-LEAST_ESTIMATE = 0.75 - 5 * (0.75 * 0.25 / N_REGISTERS) ** 0.5
+def least_estimate(n):
+    """Below this estimate no pair is verified whose smaller set has ``n`` shingles: 0.75 less
+    five standard errors over the registers such a set is expected to fill by itself."""
+    import numpy as np
+
+    filled = N_REGISTERS * -np.expm1(-np.asarray(n, float) / N_REGISTERS)
+    return PERCENT / 100 - 5 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / filled)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -236,8 +245,8 @@ def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 continue
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, N_REGISTERS)
                       for c in ("ra", "rb"))
-            small = np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()) < N_REGISTERS
-            keep = pa.array(small | (estimate((ra == rb).sum(1)) >= LEAST_ESTIMATE))
+            n = np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
+            keep = pa.array(estimate((ra == rb).sum(1)) >= least_estimate(n))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     return sized.mapInArrow(run, "a long, b long")
@@ -262,39 +271,90 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
+def blocked_links(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Links ``(a, b)`` between different roots inside each key of ``members(key, cid, root, n,
+    registers, hashes)``: two blocks of a key at a time, enough of them to join the roots."""
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"))
+    met = (members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
+           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+           .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+           .drop("k", "other"))
+
+    def compare(table):
+        import numpy as np
+
+        table = table.sort_by([("n", "ascending"), ("cid", "ascending")])
+        cid, n, own = (table.column(c).to_numpy() for c in ("cid", "n", "own"))
+        sets = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
+        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, N_REGISTERS)
+        _, group = np.unique(table.column("root").to_numpy(), return_inverse=True)
+        least, apart = least_estimate(n), table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        found = []
+        for i in range(len(cid)):
+            # Sizes ascend, so partners stand between here and n / 0.75.
+            j = np.arange(i + 1, np.searchsorted(PERCENT * n, 100 * n[i], "right"))
+            j = j[group[j] != group[i]]
+            if apart:
+                j = j[own[j] != own[i]]
+            if len(j):
+                j = j[estimate((registers[j] == registers[i]).sum(1)) >= least[i]]
+            for k in j.tolist():
+                if group[k] != group[i]:
+                    both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if 100 * both >= PERCENT * (n[i] + n[k] - both):
+                        found.append((min(cid[i], cid[k]), max(cid[i], cid[k])))
+                        group[group == group[k]] = group[i]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return met.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
 class _Linker:
     """Verified links and the components they give, step by step."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs, self.classes, self.step = docs, classes, 0
-        spark = docs.sparkSession
-        self.links = spark.createDataFrame([], "a long, b long")
-        self.tried = spark.createDataFrame([], "a long, b long")
-        self.sets = []                 # tables of (cid, hashes)
-        self.roots = None
+        self.docs, self.classes = docs, classes
+        self.links, self.tried, self.sets, self.roots = [], [], [], None      # written tables
+
+    @staticmethod
+    def union(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionAll(t)
+        return out
+
+    def load(self, cids: DataFrame) -> DataFrame:
+        """The full sets of at least ``cids``, each computed once."""
+        need = self.classes.select("cid", "rep", "d1", "d2").join(cids, "cid", "left_semi")
+        for known in self.sets:
+            need = need.join(known, "cid", "left_anti")
+        self.sets.append(materialize(full_sets(self.docs, need), "minhash-sets"))
+        return self.union(self.sets)
+
+    def add(self, links: DataFrame):
+        """Keep new links; components anew if there are any."""
+        links, stat = materialize(links, "minhash-links", {"n": F.count(F.lit(1))})
+        self.links.append(links)
+        if self.roots is None or stat["n"]:
+            self.roots = materialize(components(self.union(self.links), "minhash"), "minhash-roots").select(
+                F.col("id").alias("cid"), F.col("component").alias("root"))
 
     def check(self, pairs: DataFrame):
-        """Verify ``pairs`` (not tried before) and find the components anew."""
-        self.step += 1
+        """Verify ``pairs`` that were not tried before."""
         new = pairs.distinct()
-        if self.step > 1:
-            new = new.join(self.tried, ["a", "b"], "left_anti")
-        new, stat = materialize(promising(new, self.classes), "minhash-pairs", {"n": F.count(F.lit(1))})
-        self.tried = self.tried.unionAll(new)
-        if stat["n"]:
-            need = new.select(F.col("a").alias("cid")).unionAll(new.select("b")).distinct()
-            need = self.classes.select("cid", "rep", "d1", "d2").join(need, "cid", "left_semi")
-            for known in self.sets:
-                need = need.join(known, "cid", "left_anti")
-            self.sets.append(materialize(full_sets(self.docs, need), "minhash-sets"))
-            sets = self.sets[0]
-            for more in self.sets[1:]:
-                sets = sets.unionAll(more)
-            found, stat = materialize(verified(new, sets), "minhash-links", {"n": F.count(F.lit(1))})
-            self.links = self.links.unionAll(found)
-        if self.roots is None or stat["n"]:
-            self.roots = materialize(components(self.links, "minhash"), "minhash-roots").select(
-                F.col("id").alias("cid"), F.col("component").alias("root"))
+        for tried in self.tried:
+            new = new.join(tried, ["a", "b"], "left_anti")
+        new = materialize(promising(new, self.classes), "minhash-pairs")
+        self.tried.append(new)
+        sets = self.load(new.select(F.col("a").alias("cid")).unionAll(new.select("b")).distinct())
+        self.add(verified(new, sets))
+
+    def compare(self, members: DataFrame):
+        """Hold each key's ``members(key, cid)`` against themselves, block by block."""
+        members = materialize(self.rooted(members), "minhash-blocked")
+        sets = self.load(members.select("cid").distinct())
+        self.add(blocked_links(members.join(self.classes.select("cid", "n", "registers"), "cid").join(sets, "cid")))
 
     def rooted(self, members: DataFrame) -> DataFrame:
         return members.join(self.roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -329,37 +389,25 @@ def _settle(linker: _Linker, members: DataFrame, cuts: int):
     centre = linker.roots.select(F.col("cid").alias("centre"), F.col("root").alias("main"))
     large = linker.rooted(large).join(centre, "centre", "left").withColumn("main", F.coalesce("main", "centre"))
     large = materialize(large.select("key", "cid", "root", "main"), "minhash-large")
+    few, huge = F.col("out") <= FEW, F.col("held") > (BLOCKED if cuts < MAX_CUTS else 1 << 62)
+    way = F.when(few, "few").when(huge, "cut").otherwise("blocks")
     open_, stat = materialize(large.groupBy("key").agg(
-        F.sum((F.col("root") != F.col("main")).cast("int")).alias("out")).where("out > 0"), "minhash-open",
-        {"few": F.sum((F.col("out") <= FEW).cast("int")), "many": F.sum((F.col("out") > FEW).cast("int"))})
+        F.sum((F.col("root") != F.col("main")).cast("int")).alias("out"), F.count(F.lit(1)).alias("held"))
+        .where("out > 0").select("key", way.alias("way")), "minhash-open",
+        {w: F.sum((F.col("way") == w).cast("int")) for w in ("few", "cut", "blocks")})
+    large = large.join(open_, "key")
     if stat["few"]:
-        here = large.join(open_.where(f"out <= {FEW}").select("key"), "key")
+        here = large.where("way = 'few'")
         strays = here.where("root <> main").select("key", F.col("cid").alias("s"), F.col("root").alias("s_root"))
         linker.check(here.join(strays, "key").where("root <> s_root").select(
             F.least("cid", "s").alias("a"), F.greatest("cid", "s").alias("b")))
-    if not stat["many"]:
-        return
-    rest = large.join(open_.where(f"out > {FEW}").select("key"), "key").select("key", "cid")
-    if cuts < MAX_CUTS:
+    if stat["blocks"]:
+        linker.compare(large.where("way = 'blocks'").select("key", "cid"))
+    if stat["cut"]:
         bands = linker.classes.select("cid", "keys")
-        cut = rest.join(bands, "cid").select("key", "cid", F.explode("keys").alias("more")).where("key <> more")
+        cut = large.where("way = 'cut'").select("key", "cid").join(bands, "cid").select(
+            "key", "cid", F.explode("keys").alias("more")).where("key <> more")
         _settle(linker, cut.select(F.xxhash64("key", "more").alias("key"), "cid"), cuts + 1)
-    else:
-        _take_turns(linker, rest)
-
-
-def _take_turns(linker: _Linker, members: DataFrame):
-    """Each member in turn is the centre of its bucket, until the rest is one component."""
-    while True:
-        rooted = linker.rooted(members)
-        open_ = rooted.groupBy("key").agg(F.min("cid").alias("centre"), F.min("root").alias("lo"),
-                                          F.max("root").alias("hi")).where("lo < hi").select("key", "centre")
-        members, stat = materialize(members.join(open_, "key"), "minhash-turn", {"n": F.count(F.lit(1))})
-        if not stat["n"]:
-            return
-        members = members.where("cid <> centre")
-        linker.check(members.select(F.col("centre").alias("a"), F.col("cid").alias("b")))
-        members = members.select("key", "cid")
 
 
 def near_documents(docs: DataFrame) -> DataFrame:
