@@ -14,7 +14,10 @@ anchors, so only stretches of one anchor (a bin) can share them.
    two stages (``suffixes``): suffixes smaller than their successors directly, all
    others induced by bucket scans; common prefixes of neighbours give the repeats.
 4. A bin with more than ``MAX_BIN`` distinct stretches would burden one task.  Its
-   400-byte strings are counted by 128-bit hash over all tasks instead: exact as well.
+   stretches are cut anew by anchors of longer grams (``GRAMS``): strings that hold more
+   than a few bytes outside a common passage get anchors of their own.  The strings of
+   bins that are still too large after the last grams are counted by 128-bit hash over
+   all tasks: exact as well.
 5. Covered ranges meet their document, are merged, and the rest is hashed.
 
 Copies of texts or passages, however many, are one row after step 2, so no group
@@ -38,11 +41,11 @@ from pyspark.sql import functions as F
 from precedent.llm.common import materialize, n_partitions, small_batches, spread
 
 LENGTH = 400
-GRAM = 128
+GRAMS = (128, 320, 384)
 BLOCK = 1 << 20
 MAX_BIN = 1_000
 
-STRETCH = "doc long, th long, start long, n_win long, anchor long, s1 long, s2 long"
+STRETCH = "doc long, th long, base long, start long, n_win long, anchor long, s1 long, s2 long"
 
 
 def _rows(cols, schema):
@@ -55,9 +58,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.xxhash64("text").alias("th"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row per stretch of every text."""
-    schema = pa.schema([(n, pa.int64()) for n in ("doc", "th", "start", "n_win", "anchor", "s1", "s2")])
+def whole_texts(docs: DataFrame, length: int) -> DataFrame:
+    """``(doc, th, base, raw)``: what may hold a repeat, from its place ``base`` on."""
+    return _keyed(docs).where(F.octet_length("text") >= length).select(
+        "doc", "th", F.lit(0).cast("long").alias("base"), F.col("text").cast("binary").alias("raw"))
+
+
+def stretches(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """A row per stretch of every part; ``start`` counts from the document's beginning."""
+    schema = pa.schema([(n, pa.int64()) for n in ("doc", "th", "base", "start", "n_win", "anchor", "s1", "s2")])
 
     def run(batches):
         import numpy as np
@@ -65,46 +74,42 @@ def stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         from precedent.llm.suffixes import anchored_runs
 
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "raw"):
             cols = [[] for _ in schema]
-            for doc, th, text in zip(*[batch.column(c).to_pylist() for c in ("doc", "th", "text")]):
-                raw = text.encode("utf-8", "surrogatepass")
-                if len(raw) < length:
-                    continue
+            for doc, th, base, raw in zip(*[batch.column(c).to_pylist() for c in ("doc", "th", "base", "raw")]):
                 starts, counts, anchors = anchored_runs(np.frombuffer(raw, np.uint8), length, gram)
                 digests = b"".join(xxhash.xxh3_128_digest(raw[s:s + n + length - 1])
                                    for s, n in zip(starts.tolist(), counts.tolist()))
                 halves = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
-                for col, values in zip(cols, (np.full(len(starts), doc), np.full(len(starts), th), starts,
-                                              counts, anchors.view(np.int64), halves[:, 0], halves[:, 1])):
+                for col, values in zip(cols, (np.full(len(starts), doc), np.full(len(starts), th),
+                                              np.full(len(starts), base), starts + base, counts,
+                                              anchors.view(np.int64), halves[:, 0], halves[:, 1])):
                     col.append(values)
-            if cols[0]:
-                yield _rows([np.concatenate(c) for c in cols], schema)
+            yield _rows([np.concatenate(c) for c in cols], schema)
 
-    return spread(_keyed(docs).select("doc", "th", "text").where(F.octet_length("text") >= length)).mapInArrow(
-        run, STRETCH)
+    return parts.mapInArrow(run, STRETCH)
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` stretches with their bytes: each cut from its one document."""
-    per = wanted.groupBy("doc", "th").agg(F.collect_list(
-        F.struct("start", "n_win", "anchor", "s1", "s2", "n")).alias("cuts"))
-    names = ["doc", "th", "start", "n_win", "anchor", "s1", "s2", "n", "raw"]
+def fetch(parts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """``wanted`` stretches with their bytes, each cut from its part."""
+    per = wanted.groupBy("doc", "th", "base").agg(F.collect_list(
+        F.struct("start", "n_win", "anchor", "s1", "s2")).alias("cuts"))
+    names = ["doc", "th", "start", "anchor", "s1", "s2", "raw"]
     schema = pa.schema([(n, pa.int64()) for n in names[:-1]] + [("raw", pa.binary())])
 
     def run(batches):
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "raw"):
             cols = [[] for _ in schema]
-            for doc, th, text, cuts in zip(*[batch.column(c).to_pylist() for c in ("doc", "th", "text", "cuts")]):
-                raw = text.encode("utf-8", "surrogatepass")
+            for doc, th, base, raw, cuts in zip(*[batch.column(c).to_pylist()
+                                                  for c in ("doc", "th", "base", "raw", "cuts")]):
                 for c in cuts:
-                    row = (doc, th, c["start"], c["n_win"], c["anchor"], c["s1"], c["s2"], c["n"],
-                           raw[c["start"]:c["start"] + c["n_win"] + length - 1])
+                    at = c["start"] - base
+                    row = (doc, th, c["start"], c["anchor"], c["s1"], c["s2"], raw[at:at + c["n_win"] + length - 1])
                     for col, value in zip(cols, row):
                         col.append(value)
             yield _rows(cols, schema)
 
-    return _keyed(docs).select("doc", "th", "text").join(per, ["doc", "th"]).mapInArrow(
+    return parts.join(per, ["doc", "th", "base"]).mapInArrow(
         run, ", ".join(f"{n} long" for n in names[:-1]) + ", raw binary")
 
 
@@ -162,7 +167,7 @@ def sorted_bins(cut: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
 
 def hashed_windows(cut: DataFrame, length: int) -> DataFrame:
     """The same ranges for bins too large for one task: their windows counted by hash."""
-    names = ["doc", "th", "start", "w1", "w2", "s1", "s2"]
+    names = ["doc", "th", "start", "w1", "w2"]
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches):
@@ -171,49 +176,53 @@ def hashed_windows(cut: DataFrame, length: int) -> DataFrame:
 
         for batch in small_batches(batches, "raw", 256 << 10):
             cols = [[] for _ in schema]
-            for doc, th, start, s1, s2, raw in zip(
-                    *[batch.column(c).to_pylist() for c in ("doc", "th", "start", "s1", "s2", "raw")]):
+            for doc, th, start, raw in zip(*[batch.column(c).to_pylist() for c in ("doc", "th", "start", "raw")]):
                 n = len(raw) - length + 1
                 halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i:i + length]) for i in range(n)),
                                        ">i8").astype(np.int64).reshape(-1, 2)
                 for col, values in zip(cols, (np.full(n, doc), np.full(n, th), np.arange(start, start + n),
-                                              halves[:, 0], halves[:, 1], np.full(n, s1), np.full(n, s2))):
+                                              halves[:, 0], halves[:, 1])):
                     col.append(values)
             if cols[0]:
                 yield _rows([np.concatenate(c) for c in cols], schema)
 
-    win = materialize(cut.dropDuplicates(["anchor", "s1", "s2"]).mapInArrow(
+    win = materialize(cut.mapInArrow(
         run, ", ".join(f"{n} long" for n in names)), "suffix-windows")
     twice = win.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return win.join(twice, ["w1", "w2"]).select("doc", "th", "start", (F.col("start") + length).alias("end"))
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_bin: int = MAX_BIN,
+def repeated_ranges(parts: DataFrame, length: int = LENGTH, grams=GRAMS, max_bin: int = MAX_BIN,
                     block: int = BLOCK) -> DataFrame:
-    """``(doc, th, start, end)``: ranges that together cover every repeated ``length``-byte string."""
-    rows = materialize(stretches(docs, length, gram), "suffix-stretches")
+    """``(doc, th, start, end)``: ranges that together cover every ``length``-byte string that
+    repeats within ``parts(doc, th, base, raw)``."""
+    rows = materialize(stretches(parts, length, grams[0]), "suffix-stretches")
     distinct = rows.groupBy("anchor", "s1", "s2").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "start", "n_win")).alias("place"))
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "base", "start", "n_win")).alias("place"))
     bins = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
-    unsettled = materialize(distinct.join(bins, "anchor").select(
-        "place.*", "anchor", "s1", "s2", "n", "d"), "suffix-unsettled")
-    cut = materialize(fetch(docs, unsettled.where(f"d <= {max_bin}"), length), "suffix-cut")
-    parts = [sorted_bins(cut, length, block)]
-    if unsettled.where(f"d > {max_bin}").limit(1).count():
-        parts.append(hashed_windows(fetch(docs, unsettled.where(f"d > {max_bin}"), length), length))
+    unsettled, stat = materialize(distinct.join(bins, "anchor").select(
+        "place.*", "anchor", "s1", "s2", "d"), "suffix-unsettled", {"large": F.sum((F.col("d") > max_bin).cast("int"))})
     twice = distinct.where("n > 1").select("anchor", "s1", "s2")
-    parts.append(rows.join(twice, ["anchor", "s1", "s2"]).select(
-        "doc", "th", "start", (F.col("start") + F.col("n_win") + (length - 1)).alias("end")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
+    out = rows.join(twice, ["anchor", "s1", "s2"]).select(
+        "doc", "th", "start", (F.col("start") + F.col("n_win") + (length - 1)).alias("end"))
+    cut = materialize(fetch(parts, unsettled.where(f"d <= {max_bin}"), length), "suffix-cut")
+    out = out.unionAll(sorted_bins(cut, length, block))
+    if stat["large"]:
+        # Repeated rows of the table give a stretch twice.
+        hot = materialize(fetch(parts, unsettled.where(f"d > {max_bin}"), length)
+                          .dropDuplicates(["anchor", "s1", "s2"]), "suffix-hot")
+        if len(grams) > 1:
+            hot = hot.select("doc", "th", F.col("start").alias("base"), "raw")
+            out = out.unionAll(repeated_ranges(hot, length, grams[1:], max_bin, block))
+        else:
+            out = out.unionAll(hashed_windows(hot, length))
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_bin: int = MAX_BIN,
+def remove_repeats(docs: DataFrame, length: int = LENGTH, grams=GRAMS, max_bin: int = MAX_BIN,
                    block: int = BLOCK) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` per row of ``docs``; ``kept`` the bytes left."""
-    cover = repeated_ranges(docs, length, gram, max_bin, block).groupBy("doc", "th").agg(
+    cover = repeated_ranges(spread(whole_texts(docs, length)), length, grams, max_bin, block).groupBy("doc", "th").agg(
         F.collect_set(F.struct("start", "end")).alias("ranges"))
     cover = materialize(cover, "suffix-cover")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
