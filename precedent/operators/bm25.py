@@ -39,7 +39,6 @@ from precedent.session import materialize as materialize_table
 PUSHDOWN_VOCABULARY = 1024
 # Postings per (term, salt) group a task should hold at most.
 DEFAULT_ROWS_PER_SALT = 1_000_000
-MAX_SALTS = 512
 
 
 @dataclass
@@ -95,18 +94,16 @@ def corpus_stats(docs: DataFrame, text: Column | str, stop_words=None) -> tuple[
     return int(row["n"]), float(row["avgdl"] or 0.0)
 
 
-def document_frequency(postings: DataFrame, rows_per_salt: int = DEFAULT_ROWS_PER_SALT,
-                       max_salts: int = MAX_SALTS) -> DataFrame:
+def document_frequency(postings: DataFrame,
+                       rows_per_salt: int = DEFAULT_ROWS_PER_SALT) -> DataFrame:
     """(term, df, n_salts) from postings."""
     return (postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-            .withColumn("n_salts", F.least(F.lit(max_salts),
-                                           F.ceil(F.col("df") / F.lit(rows_per_salt))).cast("int")))
+            .withColumn("n_salts", F.ceil(F.col("df") / F.lit(rows_per_salt)).cast("int")))
 
 
 def build_keyword_index(docs: DataFrame, doc_id: str, text: Column | str, *,
                         group: str | None = None, stop_words: list[str] | None = None,
                         rows_per_salt: int = DEFAULT_ROWS_PER_SALT,
-                        max_salts: int = MAX_SALTS,
                         broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                         materialize: bool = True) -> KeywordIndex:
     """BM25 index over ``docs``.
@@ -130,12 +127,12 @@ def build_keyword_index(docs: DataFrame, doc_id: str, text: Column | str, *,
                                    {"tokens": F.sum("tf")})
         n_docs = docs.count()
         avgdl = float(m["tokens"] or 0) / n_docs if n_docs else 0.0
-        terms, m = materialize_table(document_frequency(raw, rows_per_salt, max_salts), "terms",
+        terms, m = materialize_table(document_frequency(raw, rows_per_salt), "terms",
                                      {"hot": F.count_if(hot_cond)})
         n_hot = int(m["hot"] or 0)
     else:
         n_docs, avgdl = corpus_stats(docs, text, stops)
-        terms = document_frequency(raw, rows_per_salt, max_salts)
+        terms = document_frequency(raw, rows_per_salt)
         n_hot = terms.filter(hot_cond).count()
     # Terms that need more than one salt: at most total_postings / rows_per_salt.
     hot = terms.filter(hot_cond).select("term", F.col("n_salts").alias("hot_salts"))
@@ -168,14 +165,9 @@ def bm25_scores(queries: DataFrame, index: KeywordIndex, *, query_id: str,
                 text: Column | str, query_group: str | None = None,
                 exclude_self: bool = False,
                 params: RetrievalParams = RetrievalParams(),
-                broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                max_df_ratio: float | None = None) -> DataFrame:
+                broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """(query_id, doc_id, score) for every document sharing a term with the query.
 
-    ``max_df_ratio`` (optional, off by default) ignores query terms found in
-    more than that share of all documents; it changes scores, and bounds the
-    join fan-out of the most frequent terms.
-
     ``query_group`` applies the category pre-filter (F2): a query with a
     non-NULL group only matches documents of the same group; corpus
     statistics stay global.
@@ -200,8 +192,6 @@ def bm25_scores(queries: DataFrame, index: KeywordIndex, *, query_id: str,
     qidf = (index.terms.join(sized.df, "term")
             .withColumn("idf", F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + F.lit(0.5))
                                      / (F.col("df") + F.lit(0.5)))))
-    if max_df_ratio is not None:
-        qidf = qidf.filter(F.col("df") <= F.lit(max_df_ratio * n))
     qidf = qidf.drop("df")
     postings = index.postings
     if vocab is not None:
@@ -210,8 +200,12 @@ def bm25_scores(queries: DataFrame, index: KeywordIndex, *, query_id: str,
         postings = postings.filter(F.col("term").isin(vocab))
     if sized.broadcast:
         # Few query terms: probe a broadcast table while scanning postings.
+        # The postings that pass the term filter are dealt by document first: the sum per
+        # (query, document) is then complete within a task, and the only exchange after it
+        # carries the task's best k per query, not every (query, document) pair.
         probe = F.broadcast(qidf.drop("n_salts"))
-        joined = postings.join(probe, "term")
+        joined = postings.join(F.broadcast(qidf.select("term").distinct()), "term", "left_semi") \
+            .repartition("doc_id").join(probe, "term")
     else:
         # Many query terms: shuffle join on (term, salt) so hot terms split.
         salted = qidf.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))) \

@@ -1,14 +1,16 @@
 """Dense (cosine) retrieval: per-query top-k over a vector corpus.
 
 Plan
-* The query vectors are the bounded side. At most ``max_broadcast_bytes``
-  worth of rows (rows x dim x 8 bytes) is collected, with a ``limit`` of one
-  row more as the size check; if that fits, it is broadcast as one float64
-  matrix (one job). A larger query set is counted, cut into chunks of that
-  size by a hash of the query id, and each chunk makes one pass over the
-  corpus, so neither the driver nor an executor ever holds more than one
-  chunk.
-* The corpus is never shuffled or collected: ``mapInArrow`` scans its
+* A small query set (at most ``max_broadcast_bytes``: rows x dim x 8 bytes) is
+  collected with a ``limit`` of one row more as the size check and broadcast as
+  one float64 matrix (one job).
+* A larger one never reaches the driver: queries and corpus are cut in blocks of
+  that size and meet in a grid of cells by an equi-join key. A cell multiplies
+  its two blocks and keeps the best ``k`` per query, so the shuffle carries
+  each vector once per block of the other side, and k rows per query and cell.
+* The width searched is the common one (or ``dim``); ``width_rejects`` lists
+  the rows of any other width.
+* With the broadcast the corpus is never shuffled: ``mapInArrow`` scans its
   partitions where they are, turns each Arrow batch into a matrix without
   per-row Python, multiplies it with the query block (BLAS), and keeps only
   the best candidates per query in a buffer that is reduced as it grows.
@@ -24,6 +26,7 @@ get no score and are left out.
 from __future__ import annotations
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -37,8 +40,6 @@ from precedent.operators.ranking import top_k
 from precedent.schema import RetrievalParams
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
-# Width assumed for the row bound before the true width is known.
-DEFAULT_DIM_GUESS = 1024
 # Queries multiplied against one Arrow batch at a time (bounds the score block).
 QUERY_BLOCK = 1024
 
@@ -212,17 +213,9 @@ def dense_candidates(queries: DataFrame, corpus: DataFrame, k: int, *,
     # One bounded job in the common case: at most max_rows + 1 query rows are
     # collected (the limit guards the driver); only a larger query set pays a
     # count and is processed in chunks.
-    width = dim or DEFAULT_DIM_GUESS
-    max_rows = max(1, max_broadcast_bytes // (8 * width))
+    dim = dim or common_width(queries, q_vec)
+    max_rows = max(1, max_broadcast_bytes // (8 * max(dim, 1)))
     first = qsel.limit(max_rows + 1).toArrow()
-    if first.num_rows <= max_rows:
-        n = first.num_rows
-        lens = pc.list_value_length(first.column("qv"))
-        dim = int(dim or (pc.max(lens).as_py() or 0))
-    else:
-        stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("dim")).first()
-        n, dim = int(stats["n"]), int(dim or stats["dim"] or 0)
-        first = None
     q_arrow = _arrow_type(queries.schema[query_id].dataType)
     d_arrow = _arrow_type(corpus.schema[doc_id].dataType)
     out_schema = T.StructType([
@@ -234,20 +227,50 @@ def dense_candidates(queries: DataFrame, corpus: DataFrame, k: int, *,
     if grouped:
         dcols.append(F.col(doc_group).cast("string"))
     scan = corpus.select(*dcols)
-    n_chunks = max(1, math.ceil(n * max(dim, 1) * 8 / max_broadcast_bytes))
-    parts = []
-    for c in range(n_chunks):
-        chunk = qsel if n_chunks == 1 else \
-            qsel.filter(F.pmod(F.xxhash64("qid"), F.lit(n_chunks)) == c)
-        rows = first if (n_chunks == 1 and first is not None) else chunk.toArrow()
-        payload = _payload(rows, dim, grouped, exclude_self)
-        bc = spark.sparkContext.broadcast(payload)
-        fn = _scan_fn(bc, k, digits, min_score, exclude_self, grouped, q_arrow, d_arrow)
-        parts.append(scan.mapInArrow(fn, out_schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if first.num_rows <= max_rows:
+        bc = spark.sparkContext.broadcast(_payload(first, dim, grouped, exclude_self))
+        return scan.mapInArrow(_scan_fn(bc, k, digits, min_score, exclude_self, grouped, q_arrow,
+                                        d_arrow), out_schema)
+
+    # More queries than may be broadcast: a grid of query blocks by corpus blocks. Each block
+    # goes to the cells of its row or column by an equi-join key, and each cell keeps the best k.
+    def blocks(df, id_col):
+        n = max(1, math.ceil(df.count() / max_rows))
+        return n, F.pmod(F.xxhash64(id_col), F.lit(n))
+
+    dnames = ["did", "dv", "dg"][:len(dcols)]
+    docs = scan.toDF(*dnames)
+    n_q, q_block = blocks(qsel, "qid")
+    n_d, d_block = blocks(docs, "did")
+    left = qsel.withColumn("_cell", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(n_d - 1)), lambda d: q_block * n_d + d)))
+    right = docs.withColumn("_cell", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(n_q - 1)), lambda q: q * n_d + d_block)))
+
+    def cell(left_rows, right_rows):
+        payload = SimpleNamespace(value=_payload(left_rows, dim, grouped, exclude_self))
+        fn = _scan_fn(payload, k, digits, min_score, exclude_self, grouped, q_arrow, d_arrow)
+        found = list(fn(right_rows.select(dnames).to_batches(max_chunksize=10_000)))
+        schema = pa.schema([("query_id", q_arrow), ("doc_id", d_arrow), ("score", pa.float64())])
+        return pa.Table.from_batches(found, schema=schema)
+
+    return left.groupBy("_cell").cogroup(right.groupBy("_cell")).applyInArrow(cell, out_schema)
+
+
+def common_width(df: DataFrame, vec: str) -> int:
+    """The width that most vectors of ``df`` have (the smaller one on a tie); 0 without vectors."""
+    row = (df.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("w")).count()
+           .orderBy(F.desc("count"), "w").first())
+    return int(row["w"]) if row else 0
+
+
+def width_rejects(df: DataFrame, id_col: str, vec: str, dim: int) -> DataFrame:
+    """``(id, width, reason)`` of the rows that a search of width ``dim`` leaves out."""
+    width = F.size(vec)
+    return df.where(F.col(vec).isNull() | (width != dim)).select(
+        id_col, F.when(F.col(vec).isNotNull(), width).alias("width"),
+        F.when(F.col(vec).isNull(), F.lit("no vector")).otherwise(
+            F.concat(F.lit(f"width is not {dim}"))).alias("reason"))
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, *,

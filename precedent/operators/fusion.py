@@ -34,7 +34,8 @@ def hybrid_topk(queries: DataFrame, vectors: DataFrame, keywords: KeywordIndex,
                 dense_queries: DataFrame | None = None) -> DataFrame:
     """Dense top-2k and BM25 top-2k fused by RRF, best ``k`` kept.
 
-    The two candidate lists are independent branches of one plan.
+    The two candidate lists are independent branches of one plan. ``min_score``
+    is a bound on cosines and applies to the dense list alone.
     ``dense_queries`` supplies the query vectors when they live in another
     frame than the query texts (same ``query_id`` column).
     """
@@ -46,7 +47,5 @@ def hybrid_topk(queries: DataFrame, vectors: DataFrame, keywords: KeywordIndex,
                        exclude_self=exclude_self)
     sparse = bm25_topk(queries, keywords, fetch, query_id=query_id, text=q_text,
                        query_group=query_group, exclude_self=exclude_self, params=params)
-    if params.min_score is not None:
-        sparse = sparse.filter(F.col("score") >= params.min_score)
     fused = rrf_fuse([dense, sparse], params.rrf_c)
     return top_k(fused, "query_id", "score", "doc_id", params.k, digits=params.rank_digits)

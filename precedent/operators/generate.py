@@ -43,7 +43,8 @@ def generate(df: DataFrame, prompt_col: str, generator, *, out_col: str = "recom
             except Exception:  # isolate the failing rows
                 for i in todo:
                     try:
-                        outs[i] = str(generator.generate([all_prompts[i]])[0]).strip()
+                        got = generator.generate([all_prompts[i]])[0]
+                        outs[i] = None if got is None else str(got).strip()
                     except Exception as e:  # noqa: BLE001 - failure becomes data
                         errs[i] = f"{type(e).__name__}: {e}"
             out = pdf[names].copy()

@@ -22,8 +22,9 @@ def hydrate(hits: DataFrame, cases: DataFrame, *, key: str = "ticket_id") -> Dat
     payload = cases.select(F.col(key).alias("doc_id"),
                            *[F.col(c) for c in NEIGHBOUR_FIELDS if c != key])
     out = payload.join(hits, "doc_id")
-    return out.select("query_id", "rank", F.col("doc_id").alias("ticket_id"),
-                      *[c for c in NEIGHBOUR_FIELDS if c != "ticket_id"],
+    if key in NEIGHBOUR_FIELDS:
+        out = out.withColumn(key, F.col("doc_id"))
+    return out.select("query_id", "rank", *NEIGHBOUR_FIELDS,
                       F.col("score").alias("similarity_score"))
 
 
@@ -33,6 +34,7 @@ def nest_neighbours(neighbours: DataFrame) -> DataFrame:
     Each group holds at most k rows, so ``collect_list`` is bounded.
     """
     fields = ["rank", *NEIGHBOUR_FIELDS, "similarity_score"]
+    neighbours = neighbours.withColumn("resolved", F.coalesce("resolved", F.lit(False)))
     return neighbours.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("similar_tickets"))
 

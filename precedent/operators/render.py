@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from precedent.functions.text import or_missing, preview
+from precedent.functions.text import or_missing, preview, strip
 from precedent.schema import ALL_CATEGORIES, MISSING, NO_MATCH_MESSAGE
 
 # Text-report layout (rules of 80 '=' or '-', section titles).
@@ -176,6 +176,6 @@ def manual_ticket(issue="issue", description="description", category="category",
     tid = F.concat(F.lit(MANUAL_ID_PREFIX), stamp)
     if seq is not None:
         tid = F.concat(tid, F.lit("-"), seq.cast("string"))
-    return [tid.alias("ticket_id"), F.trim(F.col(issue)).alias("issue"),
-            F.trim(F.col(description)).alias("description"),
+    return [tid.alias("ticket_id"), strip(F.col(issue)).alias("issue"),
+            strip(F.col(description)).alias("description"),
             F.nullif(F.col(category), F.lit(ALL_CATEGORIES)).alias("category")]

@@ -7,7 +7,7 @@ them as DataFrames; ``sources.index_store`` persists and reloads them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ class CaseIndex:
     vectors: DataFrame               # ticket_id, category, embedding
     keywords: bm25.KeywordIndex      # postings over issue + ' ' + description
     params: RetrievalParams
+    key: str = "ticket_id"           # column that identifies a case in all three tables
 
 
 def with_texts(cases: DataFrame) -> DataFrame:
@@ -35,21 +36,28 @@ def with_texts(cases: DataFrame) -> DataFrame:
         .withColumn("sparse_text", sparse_text("issue", "description"))
 
 
-def case_vectors(cases: DataFrame, encoder=None, params: RetrievalParams = RetrievalParams()
-                 ) -> DataFrame:
-    texts = with_texts(cases).select("ticket_id", "category", "dense_text")
+def case_vectors(cases: DataFrame, encoder=None, params: RetrievalParams = RetrievalParams(),
+                 key: str = "ticket_id") -> DataFrame:
+    texts = with_texts(cases).select(key, "category", "dense_text")
     if encoder is None:
         # Default encoder, computed JVM-side (same vectors as HashingEncoder).
-        vec = hash_embed(texts, "ticket_id", "dense_text", params.dim)
-        return texts.select("ticket_id", "category").join(vec, "ticket_id", "left")
-    return embed(texts, "dense_text", encoder).select("ticket_id", "category", "embedding")
+        vec = hash_embed(texts, key, "dense_text", params.dim)
+        return texts.select(key, "category").join(vec, key, "left")
+    return embed(texts, "dense_text", encoder).select(key, "category", "embedding")
+
+
+def with_row_key(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with a unique ``key`` per row, written once so that every use sees the same keys.
+
+    Ticket ids may be missing (one default for all) or repeated, so they cannot tell rows apart."""
+    return materialize(rows.withColumn(key, F.monotonically_increasing_id()), name)
 
 
 def build_case_index(cases: DataFrame, encoder=None,
                      params: RetrievalParams = RetrievalParams(),
                      vectors: DataFrame | None = None,
-                     store_cases: bool = True) -> CaseIndex:
-    """Payload + vectors + keyword index over ``cases`` (resolved and unresolved
+                     store_cases: bool = True, key: str = "ticket_id") -> CaseIndex:
+    """``key`` must be unique per case (``with_row_key`` gives one). Payload + vectors + keyword index over ``cases`` (resolved and unresolved
     alike). The payload is stored once, so every later use (query side,
     hydration) reads the stored table instead of re-deriving the cases."""
     if store_cases:
@@ -57,38 +65,42 @@ def build_case_index(cases: DataFrame, encoder=None,
     if vectors is None:
         # Encoded once and checkpointed: both the query side and the corpus
         # scan read the stored vectors.
-        vectors = materialize(case_vectors(cases, encoder, params), "vectors")
+        vectors = materialize(case_vectors(cases, encoder, params, key), "vectors")
     vecs = vectors
-    kw = bm25.build_keyword_index(with_texts(cases), "ticket_id", F.col("sparse_text"),
+    kw = bm25.build_keyword_index(with_texts(cases), key, F.col("sparse_text"),
                                   group="category")
-    return CaseIndex(cases, vecs, kw, params)
+    return CaseIndex(cases, vecs, kw, params, key)
 
 
 def search(queries: DataFrame, index: CaseIndex, *, query_vectors: DataFrame | None = None,
            encoder=None, category_filter: bool = False, exclude_self: bool = False,
-           dense_only: bool = False, k: int | None = None) -> DataFrame:
+           dense_only: bool = False, k: int | None = None, fetch: int | None = None,
+           query_key: str = "ticket_id") -> DataFrame:
     """(query_id, doc_id, score, rank) best neighbours per query case.
 
     ``category_filter`` restricts a query with a non-NULL category to cases of
     that category (F2). ``dense_only`` is the fallback without the keyword
     list (J4). ``exclude_self`` drops the query's own id from its results.
+    ``query_key`` names the column that is unique per query; ``fetch`` overrides
+    the 2k candidates taken from each list.
     """
-    p = index.params if k is None else RetrievalParams(**{**index.params.__dict__, "k": k})
+    p = index.params if k is None else replace(index.params, k=k)
+    p = p if fetch is None else replace(p, candidates_per_list=fetch)
     q = with_texts(queries)
     if query_vectors is not None:
         qv = query_vectors
     else:
         # Query batches are encoded row by row where they are (no exchange):
         # the Python encoder gives the same vectors as the corpus-scale JVM one.
-        qv = case_vectors(queries, encoder or HashingEncoder(p.dim), p)
+        qv = case_vectors(queries, encoder or HashingEncoder(p.dim), p, query_key)
     grp = "category" if category_filter else None
     if dense_only:
-        return dense_topk(qv, index.vectors, p.k, params=p, query_id="ticket_id",
-                          q_vec="embedding", doc_id="ticket_id", d_vec="embedding",
+        return dense_topk(qv, index.vectors, p.k, params=p, query_id=query_key,
+                          q_vec="embedding", doc_id=index.key, d_vec="embedding",
                           query_group=grp, doc_group="category" if grp else None,
                           exclude_self=exclude_self)
-    return hybrid_topk(q, index.vectors, index.keywords, query_id="ticket_id",
-                       q_vec="embedding", q_text="sparse_text", doc_id="ticket_id",
+    return hybrid_topk(q, index.vectors, index.keywords, query_id=query_key,
+                       q_vec="embedding", q_text="sparse_text", doc_id=index.key,
                        d_vec="embedding", query_group=grp,
                        doc_group="category" if grp else None,
                        exclude_self=exclude_self, params=p, dense_queries=qv)

@@ -132,26 +132,26 @@ def q27_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- hybrid case search
-def _case_queries_sql() -> list[str]:
+def _case_queries_sql(fetch: int = P.fetch) -> list[str]:
     """Oracle CTEs for leave-one-out hybrid search over ``cases``."""
     dense_tok = (f"list_concat(['issue'], {tokens('issue')}, ['description'], "
                  f"{tokens('description')})")
     return [
         *hash_vector_ctes("cases", "ticket_id", dense_tok, "cv"),
         hash_cosine_cte("cv", "dense_sc"),
-        f"dense_r AS ({ranked('dense_sc', P.fetch)})",
+        f"dense_r AS ({ranked('dense_sc', fetch)})",
         *bm25_ctes("cases", "ticket_id", "issue || ' ' || description", "cases", "ticket_id",
                    "issue || ' ' || description", prefix="cb", exclude_self=True),
-        f"sparse_r AS ({ranked('cb_sc', P.fetch)})",
+        f"sparse_r AS ({ranked('cb_sc', fetch)})",
         rrf_cte(["dense_r", "sparse_r"], "fused"),
     ]
 
 
 def _case_hits(spark: SparkSession, sf_dir: str, *, k: int | None = None,
-               dense_only: bool = False) -> DataFrame:
+               dense_only: bool = False, fetch: int | None = None) -> DataFrame:
     index = build_case_index(cases(spark, sf_dir), params=P)
     return search(index.cases, index, query_vectors=index.vectors, exclude_self=True,
-                  dense_only=dense_only, k=k)
+                  dense_only=dense_only, k=k, fetch=fetch)
 
 
 @register("q19_rrf_fuse", with_cases(
@@ -160,7 +160,7 @@ def _case_hits(spark: SparkSession, sf_dir: str, *, k: int | None = None,
     *_case_queries_sql()))
 def q19_rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole fused list: dense top-6 and BM25 top-6 per case merged by RRF."""
-    hits = _case_hits(spark, sf_dir, k=2 * P.fetch)
+    hits = _case_hits(spark, sf_dir, k=2 * P.fetch, fetch=P.fetch)
     return hits.select(F.col("query_id").alias("ticket_id"),
                        F.col("doc_id").alias("neighbour_id"), "rank", _score())
 
@@ -217,7 +217,7 @@ def _extractive_sql() -> str:
 def _case_results(spark: SparkSession, sf_dir: str, with_prompt: bool = False) -> DataFrame:
     index = build_case_index(cases(spark, sf_dir), params=P)
     return recommend(index.cases, index, query_vectors=index.vectors, exclude_self=True,
-                     with_prompt=with_prompt)
+                     with_prompt=with_prompt, query_key="ticket_id")
 
 
 @register("q21_neighbours", with_cases(
@@ -269,12 +269,92 @@ def q24_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
                       .alias("neighbour_ids"), "recommendation", "error")
 
 
+class ThirdFails:
+    """A generator that answers with its prompt's length and fails where 3 divides it."""
+
+    def generate(self, prompts):
+        if any(len(p) % 3 == 0 for p in prompts):
+            raise ValueError("prompt length")
+        return [f" {len(p)} " for p in prompts]
+
+
+def _generated_sql() -> list[str]:
+    """CTE ``gen(ticket_id, recommendation, error)``: what ``ThirdFails`` makes of every prompt."""
+    return [*_nb_ctes(), _prompt_sql(), f"""prompts AS (
+        SELECT c.ticket_id, pb.query_id IS NULL AS none, length({lit(R.PROMPT_HEAD)} ||
+        printf({lit(R.PROMPT_QUERY)}, {na('c.ticket_id')}, {na('c.issue')}, {na('c.description')},
+        {na('c.category')}) || coalesce(pb.blocks, '') || {lit(R.PROMPT_TAIL)}) AS n
+        FROM cases c LEFT JOIN pb ON pb.query_id = c.ticket_id)""",
+            f"""gen AS (SELECT ticket_id, CASE WHEN none THEN {lit(NO_MATCH_MESSAGE)}
+        WHEN n % 3 <> 0 THEN CAST(n AS VARCHAR) END AS recommendation,
+        CASE WHEN NOT none AND n % 3 = 0 THEN 'ValueError: prompt length' END AS error FROM prompts)"""]
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_case_index(cases(spark, sf_dir), params=P)
+    return recommend(index.cases, index, query_vectors=index.vectors, exclude_self=True,
+                     query_key="ticket_id", generator=ThirdFails())
+
+
 @register("q29_run_summary", with_cases(
-    "SELECT count(*) AS total, count(*) AS succeeded, CAST(0 AS BIGINT) AS failed, "
-    "CAST(NULL AS DOUBLE) AS mean_seconds FROM cases"))
+    "SELECT count(*) AS total, count(*) - count(error) AS succeeded, count(error) AS failed, "
+    "CAST(NULL AS DOUBLE) AS mean_seconds FROM gen", *_generated_sql()))
 def q29_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run summary over the batch results: total / succeeded / failed."""
-    return run_summary(_case_results(spark, sf_dir))
+    """Run summary over batch results of which some failed: total / succeeded / failed."""
+    return run_summary(_generated(spark, sf_dir))
+
+
+@register("q42_generate_errors", with_cases(
+    "SELECT ticket_id, recommendation, error FROM gen", *_generated_sql()))
+def q42_generate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generator that fails on some prompts: their rows carry the error, others their text."""
+    return _generated(spark, sf_dir).select("ticket_id", "recommendation", "error")
+
+
+# Ticket ids that are missing for a third of the cases and shared by another third.
+_BLURRED = ("CASE CAST(substr({0}, 6) AS BIGINT) % 3 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'TWICE' "
+            "ELSE {0} END")
+
+
+@register("q34_no_id_cases", with_cases(
+    f"SELECT query_id AS case_key, rank, {_BLURRED.format('ticket_id')} AS neighbour_id, "
+    f"issue, round(similarity_score, {SCORE_DIGITS}) + 0.0 AS similarity_score FROM nb", *_nb_ctes()))
+def q34_no_id_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases without or with repeated ticket ids, told apart by their row key: each is indexed
+    and answered on its own."""
+    rows = cases(spark, sf_dir).withColumn("case_key", F.col("ticket_id")) \
+        .withColumn("ticket_id", F.expr(_BLURRED.format("ticket_id")))
+    index = build_case_index(rows, params=P, key="case_key")
+    nb = neighbours(index.cases, index, query_vectors=index.vectors, exclude_self=True,
+                    query_key="case_key")
+    return nb.select(F.col("query_id").alias("case_key"), "rank",
+                     F.col("ticket_id").alias("neighbour_id"), "issue", _score("similarity_score"))
+
+
+@register("q35_topk_20", with_cases(
+    f"SELECT query_id AS ticket_id, doc_id AS neighbour_id, rank, "
+    f"round(score, {SCORE_DIGITS}) + 0.0 AS score FROM ({ranked('fused', 20)})",
+    *_case_queries_sql(40)))
+def q35_topk_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid top-20: 2k candidates are taken from each list whatever k is."""
+    return _case_hits(spark, sf_dir, k=20).select(
+        F.col("query_id").alias("ticket_id"), F.col("doc_id").alias("neighbour_id"), "rank", _score())
+
+
+@register("q36_mixed_width", "WITH " + vector_cosine_cte(
+    "(SELECT * FROM embeddings WHERE vec_id % 7 <> 0)", "vec_id", "embedding", "d_sc")
+    + f"\nSELECT query_id AS vec_id, doc_id AS neighbour_id, rank, "
+      f"round(score, {SCORE_DIGITS}) + 0.0 AS score FROM ({ranked('d_sc', P.k)})")
+def q36_mixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector is one component longer: the common width is searched, the others
+    are left out (``width_rejects`` lists them)."""
+    emb = _emb(spark, sf_dir).withColumn("embedding", F.when(
+        F.col("vec_id") % 7 == 0, F.array_append("embedding", F.lit(9.0).cast("float")))
+        .otherwise(F.col("embedding")))
+    hits = dense_topk(emb, emb, P.k, params=P, query_id="vec_id", q_vec="embedding",
+                      doc_id="vec_id", d_vec="embedding", exclude_self=True)
+    return hits.select(F.col("query_id").alias("vec_id"), F.col("doc_id").alias("neighbour_id"),
+                       "rank", _score())
 
 
 def _markdown_sql() -> str:
@@ -451,7 +531,7 @@ def q13_union_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two differently shaped slices appended by column name."""
     docs = read_table(spark, sf_dir, "documents")
     a = docs.filter(F.col("lang") == "en").select("doc_id", "source")
-    b = docs.filter(F.col("lang") != "en").select("doc_id", "lang")
+    b = docs.filter(~F.col("lang").eqNullSafe("en")).select("doc_id", "lang")
     return a.unionByName(b, allowMissingColumns=True)
 
 

@@ -11,9 +11,9 @@ from precedent.operators.embed import HashingEncoder, embed_cached
 from precedent.operators.filters import validate_cases
 from precedent.operators.render import manual_ticket, markdown
 from precedent.operators.stats import category_counts, resolution_counts
-from precedent.plans.case_index import build_case_index, with_texts
+from precedent.plans.case_index import build_case_index, with_row_key, with_texts
 from precedent.plans.recommend import recommend
-from precedent.schema import CASE_FIELDS, RetrievalParams
+from precedent.schema import CASE_FIELDS, DEFAULT_TICKET_ID, RetrievalParams
 from precedent.session import materialize
 from precedent.sources.files import read_cases, read_new
 from precedent.sources.index_store import load_index, write_index
@@ -23,13 +23,17 @@ from precedent.sources.sinks import (load_cache, save_cache, write_results_json,
 
 def build_index_job(spark: SparkSession, cases_dir: str, index_root: str, *,
                     cache_path: str | None = None, only_resolved: bool = False,
-                    encoder=None, params: RetrievalParams = RetrievalParams()) -> dict:
-    """Read every case file, keep the last row per ticket id, embed with the
-    cache, index, persist. Returns counts for the caller to report."""
+                    latest_only: bool = False, encoder=None, params: RetrievalParams = RetrievalParams()) -> dict:
+    """Read every case file, embed with the cache, index, persist. Returns counts
+    for the caller to report. Every row is a case of its own; with ``latest_only``
+    the last row of each given ticket id stays (rows without an id all stay)."""
     encoder = encoder or HashingEncoder(params.dim)
     cases, rejects = read_cases(spark, cases_dir, only_resolved=only_resolved)
-    cases = latest_by_key(cases, "ticket_id", ["_source_file", "_row"]).select(*CASE_FIELDS)
-    cases = materialize(cases, "cases")
+    if latest_only:
+        given = F.col("ticket_id") != DEFAULT_TICKET_ID
+        cases = latest_by_key(cases.where(given), "ticket_id", ["_source_file", "_row"]) \
+            .unionByName(cases.where(~given))
+    cases = with_row_key(cases.select(*CASE_FIELDS), "case_key", "cases")
     texts = with_texts(cases)
     cache = load_cache(spark, cache_path) if cache_path else None
     vec, new_rows = embed_cached(texts, "dense_text", cache, encoder)
@@ -37,8 +41,9 @@ def build_index_job(spark: SparkSession, cases_dir: str, index_root: str, *,
         new_rows = materialize(new_rows, "new-cache-rows")
         save_cache(new_rows, cache_path)
         vec, _ = embed_cached(texts, "dense_text", load_cache(spark, cache_path), encoder)
-    vectors = materialize(vec.select("ticket_id", "category", "embedding"), "vectors")
-    index = build_case_index(cases, encoder, params, vectors=vectors, store_cases=False)
+    vectors = materialize(vec.select("case_key", "category", "embedding"), "vectors")
+    index = build_case_index(cases, encoder, params, vectors=vectors, store_cases=False,
+                             key="case_key")
     version = write_index(index, index_root)
     counts = resolution_counts(cases).first().asDict()
     return {"version": version, **counts,

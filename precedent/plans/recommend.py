@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from precedent.operators.generate import generate
 from precedent.operators.lookup import hydrate, nest_neighbours
 from precedent.operators.render import build_prompt, extractive_recommendation
-from precedent.plans.case_index import CaseIndex, search
+from precedent.plans.case_index import CaseIndex, search, with_row_key
 from precedent.schema import NEIGHBOUR_SCHEMA, NO_MATCH_MESSAGE
 
 RESULT_FIELDS = ["ticket_id", "issue", "description", "category", "similar_tickets",
@@ -25,17 +25,23 @@ RESULT_FIELDS = ["ticket_id", "issue", "description", "category", "similar_ticke
 def neighbours(queries: DataFrame, index: CaseIndex, **search_kw) -> DataFrame:
     """Flat neighbour rows (query_id, rank, ticket_id, ..., similarity_score)."""
     hits = search(queries, index, **search_kw)
-    return hydrate(hits, index.cases)
+    return hydrate(hits, index.cases, key=index.key)
 
 
 def recommend(queries: DataFrame, index: CaseIndex, *, generator=None,
-              with_prompt: bool = False, **search_kw) -> DataFrame:
-    """Result rows: query fields, ranked ``similar_tickets``, ``recommendation``,
+              with_prompt: bool = False, query_key: str | None = None,
+              **search_kw) -> DataFrame:
+    """One result row per query row (``query_key``: a column known to be unique, else row keys
+    are assigned): query fields, ranked ``similar_tickets``, ``recommendation``,
     nullable ``processing_time_seconds`` and ``error`` (M5)."""
-    nested = nest_neighbours(neighbours(queries, index, **search_kw))
-    base = queries.select("ticket_id", "issue", "description", "category")
+    if query_key is None:
+        # Every row is a query of its own, whatever its ticket id.
+        query_key = "_query_key"
+        queries = with_row_key(queries, query_key, "queries")
+    nested = nest_neighbours(neighbours(queries, index, query_key=query_key, **search_kw))
+    base = queries.select(*dict.fromkeys([query_key, "ticket_id", "issue", "description", "category"]))
     empty = F.array().cast(T.ArrayType(NEIGHBOUR_SCHEMA))
-    res = (base.join(nested.withColumnRenamed("query_id", "ticket_id"), "ticket_id", "left")
+    res = (base.join(nested.withColumnRenamed("query_id", query_key), query_key, "left")
            .withColumn("similar_tickets", F.coalesce(F.col("similar_tickets"), empty))
            .withColumn("prompt", build_prompt()))
     if generator is None:

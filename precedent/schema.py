@@ -58,7 +58,7 @@ MISSING = "N/A"
 class RetrievalParams:
     """Search parameters. Defaults are the reference's defaults."""
     k: int = 3                      # neighbours returned per query
-    candidates_per_list: int = 6    # over-fetch per list before fusion (2k)
+    candidates_per_list: int | None = None     # over-fetch per list before fusion; None: 2k
     rrf_c: float = 60.0             # reciprocal rank fusion constant
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
@@ -69,4 +69,4 @@ class RetrievalParams:
 
     @property
     def fetch(self) -> int:
-        return self.candidates_per_list
+        return 2 * self.k if self.candidates_per_list is None else self.candidates_per_list

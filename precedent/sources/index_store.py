@@ -76,7 +76,7 @@ def write_index(index: CaseIndex, root: str) -> str:
     index.keywords.terms.write.parquet(f"{vdir}/terms")
     stats = {"n_docs": index.keywords.n_docs, "avgdl": index.keywords.avgdl,
              "has_group": index.keywords.has_group, "params": asdict(index.params),
-             "stop_words": list(index.keywords.stop_words)}
+             "stop_words": list(index.keywords.stop_words), "key": index.key}
     _write_text(spark, f"{vdir}/stats.json", json.dumps(stats))
     # A new manifest file per version, renamed into place: readers take the
     # newest name, so there is never a moment without a valid manifest.
@@ -114,7 +114,7 @@ def load_index(spark: SparkSession, root: str) -> CaseIndex:
                       int(stats["n_docs"]), float(stats["avgdl"]), bool(stats["has_group"]),
                       tuple(stats.get("stop_words", [])))
     return CaseIndex(spark.read.parquet(f"{vdir}/cases"), spark.read.parquet(f"{vdir}/vectors"),
-                     kw, RetrievalParams(**stats["params"]))
+                     kw, RetrievalParams(**stats["params"]), stats.get("key", "ticket_id"))
 
 
 def point_count(index: CaseIndex) -> int:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.errors import AnalysisException
+
 from precedent.operators.embed import CACHE_SCHEMA
 from precedent.operators.render import REPORT_BANNER, report_block, report_footer
 
@@ -13,7 +15,9 @@ def load_cache(spark: SparkSession, path: str) -> DataFrame:
     """Cached (text_hash, text, model, embedding); an absent cache is empty."""
     try:
         return spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - no cache yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE_SCHEMA)
 
 

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from precedent.operators.normalize import normalize_records, row_to_record
 from precedent.plans.case_index import CaseIndex
 from precedent.plans.recommend import recommend
-from precedent.session import shared_path
 
 NEW_TICKET_COLUMNS = ["Ticket ID", "Issue", "Description", "Category", "Date"]
 
@@ -26,14 +25,17 @@ def new_ticket_stream(spark: SparkSession, source_dir: str,
     """Streaming frame of normalised new tickets from header CSV files."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (spark.readStream.schema(schema).option("header", True)
-           .option("multiLine", True).option("escape", '"').csv(source_dir))
+           .option("multiLine", True).option("escape", '"')
+           # A file whose header is not ``columns`` fails instead of being read by position.
+           .option("enforceSchema", False).csv(source_dir))
     return normalize_records(raw.select(row_to_record(raw, columns).alias("rec")))
 
 
 def recommend_stream(spark: SparkSession, source_dir: str, index: CaseIndex, out_dir: str, *,
-                     checkpoint: str | None = None, available_now: bool = True,
+                     checkpoint: str, available_now: bool = True,
                      generator=None, columns: list[str] = NEW_TICKET_COLUMNS, **search_kw):
-    """Start the streaming query; returns the ``StreamingQuery``."""
+    """Start the streaming query; returns the ``StreamingQuery``. ``checkpoint`` is the
+    query's own folder: a restart with the same one goes on where it stopped."""
     tickets = new_ticket_stream(spark, source_dir, columns)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
@@ -41,7 +43,7 @@ def recommend_stream(spark: SparkSession, source_dir: str, index: CaseIndex, out
         res.write.mode("overwrite").json(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
     writer = (tickets.writeStream.foreachBatch(run_batch)
-              .option("checkpointLocation", checkpoint or shared_path(spark, "stream-ckpt")))
+              .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime="10 seconds")
     return writer.start()
