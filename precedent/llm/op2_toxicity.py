@@ -191,9 +191,9 @@ def fit_curve(features, labels, ridge: float = 1e-2, steps: int = 50):
     """Logistic regression by Newton steps; intercept first, features standardised inside."""
     import numpy as np
 
-    x, y = np.asarray(features, float).reshape(len(labels), -1), np.asarray(labels, float)
-    if len(y) == 0 or y.min() == y.max():
+    if len(set(labels)) < 2:
         return None
+    x, y = np.asarray(features, float), np.asarray(labels, float)
     mean, sd = x.mean(0), x.std(0) + 1e-9
     z = np.hstack([np.ones((len(y), 1)), (x - mean) / sd])
     w = np.zeros(z.shape[1])
