@@ -64,7 +64,6 @@ class TokenEncoder:
 
     def __init__(self, path: str, max_words: int = 1_200_000):
         import os
-        import re
 
         import numpy as np
         from tokenizers import Tokenizer
@@ -78,7 +77,6 @@ class TokenEncoder:
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         # U+0120 stands for the space byte in byte-level vocabularies.
         self.spaced[[i for w, i in vocabulary.items() if w.startswith("\u0120")]] = True
-        self.touching = re.compile(r"\s\x20|\x20\s")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -100,18 +98,20 @@ class TokenEncoder:
         memo, cuts, whole = self.memo, [], []
         new: set[str] = set()
         for i, text in enumerate(texts):
+            cuts.append(None)
             if not text:
-                cuts.append(None)
-            elif self.touching.search(text):
-                cuts.append(None)
+                continue
+            first, *rest = text.split(" ")
+            ids = list(map(memo.get, rest))
+            missing = {w for w, found in zip(rest, ids) if found is None} if None in ids else ()
+            # Cuts that touch white space are never in the memo, so the missing ones tell.
+            if first[-1:].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w in missing):
                 whole.append(i)
-            else:
-                first, *rest = text.split(" ")
-                ids = list(map(memo.get, rest))
-                if None in ids:
-                    new.update(w for w, found in zip(rest, ids) if found is None)
-                    ids = None
-                cuts.append((first, rest, ids))
+                continue
+            if missing:
+                new.update(missing)
+                ids = None
+            cuts[i] = (first, rest, ids)
         new_list = list(new)
         memo.update(zip(new_list, self._encode_cuts(new_list)))
         firsts = [i for i, c in enumerate(cuts) if c is not None and c[0]]
