@@ -8,7 +8,8 @@ table and the other files still load (S7).
 * CSV: files are grouped by their header line (found with one distributed
   pass over the first line of each file), then each group is one
   ``spark.read.csv`` with ``multiLine`` (quoted newlines) and every column
-  read as text. Plans grow with the number of distinct headers, not files.
+  read as text, by its place. Plans grow with the number of distinct headers,
+  not files.
 * JSON: one row per file (whole text); the shape (list of records,
   index-oriented, column arrays, single object) is detected with
   ``from_json`` under four schemas and expanded with higher-order
@@ -21,21 +22,26 @@ table and the other files still load (S7).
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
 import zipfile
 import xml.etree.ElementTree as ET
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from precedent.operators.normalize import normalize_records, row_to_record
+from precedent.operators.normalize import normalize_records
 from precedent.schema import CASE_SCHEMA, REJECT_SCHEMA
+from precedent.session import materialize
 
 SOURCE_COLS = ["_source_file", "_row"]
+#: A quoted CSV field; commas inside it part no fields.
+QUOTED = r'"([^"]|"")*"'
 RECORD_SCHEMA = T.StructType([
     T.StructField("rec", T.MapType(T.StringType(), T.StringType())),
     T.StructField("_source_file", T.StringType()),
@@ -61,30 +67,78 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
 
 # ------------------------------------------------------------------ CSV
 def csv_headers(spark: SparkSession, pattern: str) -> list[tuple[str, str]]:
-    """(file, header line) per CSV file; one row per file reaches the driver."""
+    """(file, first line that is not blank) per CSV file; one row per file reaches the driver."""
     lines = spark.read.text(pattern).select(
         F.col("_metadata.file_path").alias("f"),
         F.col("_metadata.file_block_start").alias("b"),
         F.monotonically_increasing_id().alias("o"), "value")
-    first = lines.filter(F.col("b") == 0).groupBy("f").agg(F.min_by("value", "o").alias("h"))
+    first = lines.filter(F.col("b") == 0).groupBy("f").agg(
+        F.min_by("value", F.when(F.trim("value") != "", F.col("o"))).alias("h"))
     return [(r["f"], r["h"]) for r in first.collect()]
 
 
-def read_csv_records(spark: SparkSession, pattern: str) -> DataFrame:
+def _empty_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Files of no bytes, which Spark's readers pass over."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return [s.getPath().toString() for s in found or [] if s.isFile() and s.getLen() == 0]
+
+
+def column_names(header: str) -> list[str]:
+    """Names of a header line: a blank name is called by its place, a repeated one numbered."""
+    names: list[str] = []
+    for i, name in enumerate(next(csv.reader([header]))):
+        name = new = name or f"Unnamed: {i}"
+        n = 0
+        while new in names:
+            n += 1
+            new = f"{name}.{n}"
+        names.append(new)
+    return names
+
+
+def _csv_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """Columns are read by place and named by the header, so names that differ only in
+    case stay apart. A file without a header, or with a row of more fields than its
+    header, is rejected whole; shorter rows are filled with NULL."""
     if not _exists(spark, pattern):
-        return _empty(spark, RECORD_SCHEMA)
+        return _empty(spark, RECORD_SCHEMA), _empty(spark, REJECT_SCHEMA)
     groups: dict[str, list[str]] = {}
+    bad = [(f, "no header line") for f in _empty_files(spark, pattern)]
     for f, h in csv_headers(spark, pattern):
-        groups.setdefault(h or "", []).append(f)
-    out = None
-    for files in groups.values():
-        df = (spark.read.option("header", True).option("multiLine", True)
-              .option("escape", '"').option("inferSchema", False).csv(files))
-        part = df.select(row_to_record(df).alias("rec"),
-                         F.col("_metadata.file_path").alias("_source_file"),
-                         F.monotonically_increasing_id().alias("_row"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else _empty(spark, RECORD_SCHEMA)
+        if h is None:
+            bad.append((f, "no header line"))
+        else:
+            groups.setdefault(h, []).append(f)
+    rejects = spark.createDataFrame(bad, REJECT_SCHEMA)
+    rows = None
+    for header, files in groups.items():
+        names = column_names(header)
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+                              + [T.StructField("_raw", T.StringType())])
+        df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+              .option("escape", '"').option("columnNameOfCorruptRecord", "_raw").csv(files))
+        rec = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.col(f"c{i}"))])
+        # ``_raw`` is set where a row has more or fewer fields than the header.
+        fields = F.size(F.split(F.regexp_replace("_raw", QUOTED, ""), ",", -1))
+        part = df.select(rec.alias("rec"), F.col("_metadata.file_path").alias("_source_file"),
+                         F.monotonically_increasing_id().alias("_row"),
+                         (F.col("_raw").isNotNull() & (fields > len(names))).alias("_long"))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        return _empty(spark, RECORD_SCHEMA), rejects
+    # Parsed once; both results read the written rows.
+    rows = materialize(rows, "csv-records")
+    long = rows.where("_long").select("_source_file").distinct()
+    rejects = rejects.unionByName(long.select(
+        F.col("_source_file").alias("source_file"),
+        F.lit("row has more fields than the header").alias("reason")))
+    return rows.join(long, "_source_file", "left_anti").select("rec", "_source_file", "_row"), rejects
+
+
+def read_csv_records(spark: SparkSession, pattern: str) -> DataFrame:
+    return _csv_records(spark, pattern)[0]
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -102,7 +156,7 @@ def _json_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
     cols = F.from_json(v, "map<string,array<string>>")
     obj = F.from_json(v, "map<string,string>")
     parsed = raw.select("_source_file", arr.alias("arr"), idx.alias("idx"),
-                        cols.alias("cols"), obj.alias("obj"))
+                        cols.alias("cols"), obj.alias("obj"), F.try_parse_json(v).alias("any"))
     names_i = F.map_keys("idx")
     first_i = F.element_at("idx", F.element_at(names_i, 1))
     keys_i = F.array_sort(F.transform(F.map_keys(first_i),
@@ -118,10 +172,18 @@ def _json_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
     col_short = F.exists(names_c, lambda c: F.size(F.element_at("cols", c)) < F.size(first_c))
     col_rows = F.transform(first_c, lambda x, i: F.map_from_arrays(
         names_c, F.transform(names_c, lambda c: F.try_element_at(F.element_at("cols", c), i + 1))))
-    obj_nested = F.forall(F.map_values("obj"), lambda x: F.substring(F.ltrim(x), 1, 1).isin("{", "["))
+    # By JSON type, not by the text: a string may begin with a bracket.
+    types = F.transform(F.map_values(F.col("any").cast("map<string,variant>")), F.schema_of_variant)
+    obj_nested = F.coalesce(F.forall(types, lambda t: t.startswith("ARRAY") | t.startswith("OBJECT")),
+                            F.lit(False))
+
+    def whole(c: str):
+        """All values have the type asked for; a null among them makes the file one record."""
+        return F.col(c).isNotNull() & (F.size(c) > 0) & F.forall(F.map_values(c), lambda x: x.isNotNull())
+
     kind = (F.when(F.col("arr").isNotNull(), "records")
-            .when(F.col("idx").isNotNull() & (F.size("idx") > 0), "indexed")
-            .when(F.col("cols").isNotNull() & (F.size("cols") > 0), "columns")
+            .when(whole("idx"), "indexed")
+            .when(whole("cols"), "columns")
             .when(F.col("obj").isNotNull() & (F.size("obj") == 0), "empty")
             .when(F.col("obj").isNotNull() & obj_nested, "mixed")
             .when(F.col("obj").isNotNull(), "object")
@@ -166,6 +228,8 @@ def _jsonl_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFr
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
        "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
+# Fixed values of the file format: built-in number formats of dates and times.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
 
 def _col_index(ref: str) -> int:
@@ -175,10 +239,40 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Indices of the cell styles that show a date or a time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode") or ""
+           for f in root.findall("m:numFmts/m:numFmt", _NS)}
+
+    def shows_date(fmt: int) -> bool:
+        if fmt not in own:
+            return fmt in DATE_FORMATS
+        # Quoted text, escaped characters and bracketed colours hold no date letters.
+        return bool(re.search("[dmyhs]", re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", own[fmt].lower())))
+
+    return {k for k, xf in enumerate(root.findall("m:cellXfs/m:xf", _NS))
+            if shows_date(int(xf.get("numFmtId") or 0))}
+
+
+def _date_text(serial: float, epoch: datetime) -> str:
+    """A date cell's serial number as timestamp text; below one it is a time of day."""
+    if epoch.year == 1899 and 1 <= serial < 60:
+        serial += 1          # the format counts a 29 February 1900
+    at = epoch + timedelta(milliseconds=round(serial * 86_400_000))
+    return str(at.time() if 0 <= serial < 1 else at)
+
+
 def parse_xlsx(data: bytes) -> list[dict]:
     """Rows of the first worksheet as dicts keyed by the header row."""
     z = zipfile.ZipFile(io.BytesIO(data))
     wb = ET.fromstring(z.read("xl/workbook.xml"))
+    props = wb.find("m:workbookPr", _NS)
+    late = props is not None and props.get("date1904") in ("1", "true")
+    epoch = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
+    dates = _date_styles(z)
     sheet = wb.find("m:sheets/m:sheet", _NS)
     rid = sheet.get(f"{{{_NS['r']}}}id")
     rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
@@ -203,6 +297,8 @@ def parse_xlsx(data: bytes) -> list[dict]:
                 val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
             elif t == "b":
                 val = None if v is None else ("true" if v.text == "1" else "false")
+            elif t in (None, "n") and v is not None and v.text and int(c.get("s") or 0) in dates:
+                val = _date_text(float(v.text), epoch)
             else:
                 val = None if v is None else v.text
             vals[_col_index(c.get("r"))] = val
@@ -254,8 +350,8 @@ def _xlsx_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
 def read_records(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     """All ``*.csv``, ``*.xlsx``, ``*.json``, ``*.jsonl`` under ``directory`` →
     (records, rejects)."""
-    recs = [read_csv_records(spark, _glob(directory, ".csv"))]
-    rejects = [_empty(spark, REJECT_SCHEMA)]
+    first = _csv_records(spark, _glob(directory, ".csv"))
+    recs, rejects = [first[0]], [first[1]]
     for ext, reader in ((".xlsx", _xlsx_records), (".json", _json_records),
                         (".jsonl", _jsonl_records)):
         pattern = _glob(directory, ext)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from pyspark.errors import AnalysisException
+from pyspark.sql.window import Window
 
 from precedent.operators.embed import CACHE_SCHEMA
 from precedent.operators.render import REPORT_BANNER, report_block, report_footer
+from precedent.session import materialize
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -33,11 +34,17 @@ def write_results_json(results: DataFrame, path: str) -> None:
 
 def number_results(results: DataFrame, order: str = "ticket_id") -> DataFrame:
     """1-based ``result_no`` in ``order`` (W2) without pulling rows into one task:
-    a distributed sort, then per-partition offsets (``zipWithIndex``)."""
-    ordered = results.orderBy(order)
-    schema = ordered.schema.add("result_no", "long")
-    rdd = ordered.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1] + 1))
-    return results.sparkSession.createDataFrame(rdd, schema)
+    a distributed sort, written with each row's partition and place in it, then the
+    number of rows in the partitions before (one narrow row per partition)."""
+    at = F.monotonically_increasing_id()        # partition in the upper bits, place in the lower 33
+    rows = materialize(results.orderBy(order).withColumn("_at", at), "numbered")
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select(
+        "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (rows.join(offsets, "_part").withColumn("result_no", F.col("_before") + place + 1)
+            .drop("_part", "_at", "_before"))
 
 
 def write_results_text(results: DataFrame, path: str, order: str = "ticket_id") -> None:
