@@ -13,8 +13,8 @@ partitions Spark may split.  Texts move once, to meet their covered lines.
 Defined results: null text has no lines and stays null; texts of one or two
 lines have no window and stay whole; windows of three blank lines are never
 repeats; rows with the same ``doc_id`` count as one place for the choice of
-the first occurrence, so repeated rows do not remove each other; null
-``doc_id`` rows stay whole; an empty table gives no rows; further columns are
+the first occurrence, so repeated rows do not remove each other, and they share
+their covered line numbers, also where their texts differ; null ``doc_id`` rows stay whole; an empty table gives no rows; further columns are
 kept as they are (``dedup_lines``) whatever their names.
 """
 
