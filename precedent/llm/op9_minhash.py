@@ -16,13 +16,17 @@ borrow from full ones by a fixed sequence of hashes, so short texts fill all reg
    links in it change nothing.  Otherwise its members outside the star's component meet
    all its members, if there are few of them.  If many, the bucket is held against itself
    in blocks of ``CHUNK`` members, two blocks a task, where the same tests and the full
-   sets decide and links alone are returned; a bucket above ``BLOCKED`` members is first
-   cut by every further band key of its members, up to ``MAX_CUTS`` times, and its parts
-   go through the same steps.
+   sets decide and links alone are returned.  In a bucket above ``BLOCKED`` members two
+   blocks meet only where they can hold a link that is missing: not two of the star's
+   component, and only blocks of sizes within 75 % of each other (both rules are exact).
 
 So no step emits the pairs of a group, and a group of copies or near copies that its
-star links costs its size, not its square.  Two sets with similarity 0.75 share no key with probability 5e-6.  What is
-shuffled: 32 keys per distinct set, registers and full sets of candidates.
+star links costs its size, not its square; a bucket of many unlinked sets of like size
+costs its square, in tasks of bounded size.  With registers that are independent, two
+sets with similarity 0.75 share no key with probability 5e-6; in sets of few shingles
+registers are borrowed, and it is larger.  Two sets that share a key are compared
+whatever else holds that key; only the margin of five standard errors is not exact.
+What is shuffled: 32 keys per distinct set, registers and full sets of candidates.
 
 Defined results: null, empty and blank texts have 0 shingles and link with nothing;
 fewer than five words are one shingle of their own length; long texts enter whole; rows
@@ -51,7 +55,6 @@ SMALL = 12
 FEW = 16
 CHUNK = 500
 BLOCKED = 5_000
-MAX_CUTS = 2
 
 
 def _numbers(seed: int, n: int):
@@ -271,24 +274,45 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
-def blocked_links(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Links ``(a, b)`` between different roots inside each key of ``members(key, cid, root, n,
-    registers, hashes)``: two blocks of a key at a time, enough of them to join the roots."""
-    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"))
-    met = (members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
-           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+def size_steps(top: int = 1 << 40) -> list[int]:
+    """Least sizes of steps so wide that sets with similarity 0.75 stand in the same or in neighbouring steps."""
+    steps = [1]
+    while steps[-1] <= top:
+        steps.append(steps[-1] * 100 // PERCENT + 1)
+    return steps
+
+
+def blocked_links(members: DataFrame, chunk: int = CHUNK, blocked: int = BLOCKED) -> DataFrame:
+    """Links ``(a, b)`` between different roots inside each key of ``members(key, cid, root, main,
+    n, registers, hashes)``: two blocks of a key at a time, enough of them to join the roots.
+    ``main`` is the root of the star, the same for all of a key."""
+    steps = F.array(*[F.lit(s).cast("long") for s in size_steps()])
+    # A part is twice the size step, plus one outside the star's component; small keys are one part.
+    part = 2 * F.size(F.filter(steps, lambda s: s <= F.col("n"))) + (F.col("root") != F.col("main")).cast("int")
+    held = members.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    parted = members.join(held, "key").withColumn(
+        "part", F.when(F.col("held") > blocked, part).otherwise(1)).drop("held", "main")
+    blocks = parted.groupBy("key", "part").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"))
+    blocks = blocks.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("part", "k"))).alias("blocks"))
+    # Blocks are numbered (part, number within it); a block meets those of its own and the next step.
+    meet = F.expr("""flatten(transform(filter(map_keys(blocks), p -> abs(p div 2 - part div 2) <= 1
+        and (p % 2 = 1 or part % 2 = 1)), p -> transform(sequence(0, blocks[p] - 1), i -> struct(p as part, i as i))))""")
+    met = (parted.join(blocks, "key")
+           .withColumn("own", F.struct("part", F.pmod(F.xxhash64("cid"), F.col("blocks")[F.col("part")]).cast("int").alias("i")))
+           .withColumn("other", F.explode(meet))
            .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-           .drop("k", "other"))
+           .withColumn("low", F.col("own") == F.col("lo")).withColumn("apart", F.col("lo") != F.col("hi"))
+           .drop("blocks", "other", "part", "own"))
 
     def compare(table):
         import numpy as np
 
         table = table.sort_by([("n", "ascending"), ("cid", "ascending")])
-        cid, n, own = (table.column(c).to_numpy() for c in ("cid", "n", "own"))
+        cid, n, own = (table.column(c).to_numpy() for c in ("cid", "n", "low"))
         sets = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
         registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, N_REGISTERS)
         _, group = np.unique(table.column("root").to_numpy(), return_inverse=True)
-        least, apart = least_estimate(n), table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        least, apart = least_estimate(n), table.column("apart")[0].as_py()
         found = []
         for i in range(len(cid)):
             # Sizes ascend, so partners stand between here and n / 0.75.
@@ -351,10 +375,14 @@ class _Linker:
         self.add(verified(new, sets))
 
     def compare(self, members: DataFrame):
-        """Hold each key's ``members(key, cid)`` against themselves, block by block."""
-        members = materialize(self.rooted(members), "minhash-blocked")
+        """Hold each key's ``members(key, cid, centre)`` against themselves, block by block."""
+        centre = self.roots.select(F.col("cid").alias("centre"), F.col("root").alias("main"))
+        members = self.rooted(members).join(centre, "centre", "left").select(
+            "key", "cid", "root", F.coalesce("main", "centre").alias("main"))
+        members = materialize(members, "minhash-blocked")
         sets = self.load(members.select("cid").distinct())
-        self.add(blocked_links(members.join(self.classes.select("cid", "n", "registers"), "cid").join(sets, "cid")))
+        members = members.join(self.classes.select("cid", "n", "registers"), "cid").join(sets, "cid")
+        self.add(blocked_links(members, CHUNK, BLOCKED))
 
     def rooted(self, members: DataFrame) -> DataFrame:
         return members.join(self.roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -376,7 +404,7 @@ def _star_pairs(members: DataFrame, buckets: DataFrame) -> DataFrame:
         "cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b"))
 
 
-def _settle(linker: _Linker, members: DataFrame, cuts: int):
+def _settle(linker: _Linker, members: DataFrame):
     """Work on ``members(key, cid)`` until no bucket can hold a link between two components."""
     members = materialize(members, "minhash-members")
     buckets, stat = materialize(_buckets(members), "minhash-buckets",
@@ -388,13 +416,12 @@ def _settle(linker: _Linker, members: DataFrame, cuts: int):
     large = members.join(buckets.where(f"held > {SMALL}").select("key", "centre"), "key")
     centre = linker.roots.select(F.col("cid").alias("centre"), F.col("root").alias("main"))
     large = linker.rooted(large).join(centre, "centre", "left").withColumn("main", F.coalesce("main", "centre"))
-    large = materialize(large.select("key", "cid", "root", "main"), "minhash-large")
-    few, huge = F.col("out") <= FEW, F.col("held") > (BLOCKED if cuts < MAX_CUTS else 1 << 62)
-    way = F.when(few, "few").when(huge, "cut").otherwise("blocks")
+    large = materialize(large.select("key", "cid", "centre", "root", "main"), "minhash-large")
+    way = F.when(F.col("out") <= FEW, "few").otherwise("blocks")
     open_, stat = materialize(large.groupBy("key").agg(
-        F.sum((F.col("root") != F.col("main")).cast("int")).alias("out"), F.count(F.lit(1)).alias("held"))
+        F.sum((F.col("root") != F.col("main")).cast("int")).alias("out"))
         .where("out > 0").select("key", way.alias("way")), "minhash-open",
-        {w: F.sum((F.col("way") == w).cast("int")) for w in ("few", "cut", "blocks")})
+        {w: F.sum((F.col("way") == w).cast("int")) for w in ("few", "blocks")})
     large = large.join(open_, "key")
     if stat["few"]:
         here = large.where("way = 'few'")
@@ -402,12 +429,7 @@ def _settle(linker: _Linker, members: DataFrame, cuts: int):
         linker.check(here.join(strays, "key").where("root <> s_root").select(
             F.least("cid", "s").alias("a"), F.greatest("cid", "s").alias("b")))
     if stat["blocks"]:
-        linker.compare(large.where("way = 'blocks'").select("key", "cid"))
-    if stat["cut"]:
-        bands = linker.classes.select("cid", "keys")
-        cut = large.where("way = 'cut'").select("key", "cid").join(bands, "cid").select(
-            "key", "cid", F.explode("keys").alias("more")).where("key <> more")
-        _settle(linker, cut.select(F.xxhash64("key", "more").alias("key"), "cid"), cuts + 1)
+        linker.compare(large.where("way = 'blocks'").select("key", "cid", "centre"))
 
 
 def near_documents(docs: DataFrame) -> DataFrame:
@@ -418,7 +440,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
         F.first("keys").alias("keys"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
     linker = _Linker(docs, classes)
-    _settle(linker, classes.select(F.explode("keys").alias("key"), "cid"), 0)
+    _settle(linker, classes.select(F.explode("keys").alias("key"), "cid"))
     roots = linker.rooted(classes.select("cid", "d1", "d2", "rep"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = roots.join(least, "root").select("d1", "d2", "component_id")

@@ -306,6 +306,28 @@ def test_near_documents_equal_brute_force(spark, make, odd, monkeypatch, limits)
         assert op9_minhash.near_documents(empty(spark)).count() == 0
 
 
+def test_near_documents_that_share_one_key_only(make, monkeypatch):
+    # All sets are given one common key and no other, in a bucket above every limit; sizes differ.
+    for k, v in {"SMALL": 2, "FEW": 1, "BLOCKED": 10, "CHUNK": 4}.items():
+        monkeypatch.setattr(op9_minhash, k, v)
+    sketch = op9_minhash.sketch
+    monkeypatch.setattr(op9_minhash, "sketch", lambda docs: sketch(docs).withColumn(
+        "keys", F.expr("if(n > 0, array(1L), null)")))
+    rng = random.Random(9)
+    bases = [words(rng, n).split(" ") for n in (60, 60, 80, 100, 300, 400, 55, 74)]
+    rows = [(10 * g + i, " ".join(base + [f"end{i}"] * (i > 0))) for g, base in enumerate(bases) for i in range(4)]
+    got = {r.doc_id: r.component_id for r in op9_minhash.near_documents(make(rows)).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
+def test_size_steps_part_no_pair():
+    steps = np.array(op9_minhash.size_steps(10_000))
+    n = np.arange(1, 10_000)
+    at = np.searchsorted(steps, n, "right")
+    largest = np.searchsorted(steps, n * 100 // op9_minhash.PERCENT, "right")
+    assert (largest - at <= 1).all()
+
+
 def test_register_estimate():
     rng = np.random.default_rng(2)
     make_registers = op9_minhash.Registers()
