@@ -32,13 +32,14 @@ Defined results: null, empty and blank texts have 0 shingles and link with nothi
 fewer than five words are one shingle of their own length; long texts enter whole; rows
 with the same ``doc_id`` are documents of their own and share an id; null ``doc_id``
 stays null and never names a component unless all of it is null; an empty table gives
-no rows; other columns are not read.
+no rows; other columns are not read.  ``one_of_each`` decides by row (id and text), so
+rows that share an id, rows without one and exact copies count as documents there.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precedent.llm.common import components, materialize, small_batches, spread
@@ -182,10 +183,15 @@ def least_estimate(n):
     return PERCENT / 100 - 5 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / filled)
 
 
+def text_hash() -> Column:
+    """128 bits of the text; with ``doc_id`` it tells a row from all but its exact copies."""
+    return F.unhex(F.md5("text"))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n, d1, d2, registers, keys)`` for every row; the last four null without shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-                        ("registers", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """``(doc_id, th, n, d1, d2, registers, keys)`` for every row; the last four null without shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.binary()), ("n", pa.int64()), ("d1", pa.int64()),
+                        ("d2", pa.int64()), ("registers", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         import numpy as np
@@ -194,24 +200,24 @@ def sketch(docs: DataFrame) -> DataFrame:
         shingler, registers = Shingler(), Registers()
         for batch in small_batches(batches, "text"):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, th, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "th", "text")]):
                 hashes = shingler(text or "")
                 if not len(hashes):
-                    rows.append((doc_id, 0, None, None, None, None))
+                    rows.append((doc_id, th, 0, None, None, None, None))
                     continue
                 d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), ">i8").tolist()
                 r = registers(hashes)
-                rows.append((doc_id, len(hashes), d1, d2, r.astype("<u2").tobytes(),
+                rows.append((doc_id, th, len(hashes), d1, d2, r.astype("<u2").tobytes(),
                              registers.keys(r).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)],
                                              schema=schema)
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(
-        run, "doc_id long, n long, d1 long, d2 long, registers binary, keys array<long>")
+    return spread(docs.select("doc_id", "text")).withColumn("th", text_hash()).mapInArrow(
+        run, "doc_id long, th binary, n long, d1 long, d2 long, registers binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(cid, hashes)`` for ``classes(cid, rep, d1, d2)``, from the text of each class's least document."""
+    """``(cid, hashes)`` for ``classes(cid, first, d1, d2)``, from the text of each class's first row."""
     def run(batches):
         import numpy as np
         import xxhash
@@ -227,8 +233,9 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["cid", "hashes"])
 
-    wanted = classes.select("cid", "rep", "d1", "d2")
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
+    wanted = classes.select("cid", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("rep_th"), "d1", "d2")
+    rows = docs.select("doc_id", "text").withColumn("th", text_hash()).join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))).drop("th", "rep_th")
     # Repeated rows of the table give a set twice.
     return rows.mapInArrow(run, "cid long, hashes binary").dropDuplicates(["cid"])
 
@@ -350,7 +357,7 @@ class _Linker:
 
     def load(self, cids: DataFrame) -> DataFrame:
         """The full sets of at least ``cids``, each computed once."""
-        need = self.classes.select("cid", "rep", "d1", "d2").join(cids, "cid", "left_semi")
+        need = self.classes.select("cid", "first", "d1", "d2").join(cids, "cid", "left_semi")
         for known in self.sets:
             need = need.join(known, "cid", "left_anti")
         self.sets.append(materialize(full_sets(self.docs, need), "minhash-sets"))
@@ -432,17 +439,24 @@ def _settle(linker: _Linker, members: DataFrame):
         linker.compare(large.where("way = 'blocks'").select("key", "cid", "centre"))
 
 
-def near_documents(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs``."""
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (``sketch``, written) and ``roots(cid, d1, d2, first, root)``: each class's component
+    and its first row ``(no_id, doc_id, th)``, null ids last."""
     rows = materialize(sketch(docs), "minhash-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"),
+        F.min(first).alias("first"), F.first("n").alias("n"), F.first("registers").alias("registers"),
         F.first("keys").alias("keys"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
     linker = _Linker(docs, classes)
     _settle(linker, classes.select(F.explode("keys").alias("key"), "cid"))
-    roots = linker.rooted(classes.select("cid", "d1", "d2", "rep"))
-    least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return rows, linker.rooted(classes.select("cid", "d1", "d2", "first"))
+
+
+def near_documents(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs``."""
+    rows, roots = _linked(docs)
+    least = roots.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     named = roots.join(least, "root").select("d1", "d2", "component_id")
     linked = rows.where("n > 0").select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"]).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -450,3 +464,26 @@ def near_documents(docs: DataFrame) -> DataFrame:
     return linked.unionAll(alone).select(
         "doc_id", "n_shingles", "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that with the least ``doc_id`` (null last), then
+    the least text hash; of exact copies the least other columns.  Rows without shingles all stay."""
+    rows, roots = _linked(docs)
+    stays = roots.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"), F.lit(True).alias("_stays"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+    texts = rows.where("n > 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("_copies"))
+    # Rows that go, and rows that stay once of several copies, are left out; then one of the copies is added.
+    out = materialize(texts.join(stays, same, "left").where("_stays is null or _copies > 1").select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_stays"), "minhash-out")
+    hashed = docs.withColumn("th", text_hash())
+    single = hashed.join(out, same, "left_anti").select(*docs.columns)
+    copies = hashed.join(out.where("_stays"), same, "left_semi")
+    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_none"))
+    # Partial sums by input partition first, so that many copies are a few rows before they meet.
+    one = (copies.groupBy("doc_id", "th", F.spark_partition_id().alias("_at"))
+           .agg(F.first("text").alias("text"), F.min(others).alias("_others"))
+           .groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.min("_others").alias("_others")))
+    return single.unionAll(one.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_others")[c].alias(c)
+                                        for c in docs.columns]))

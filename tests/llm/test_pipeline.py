@@ -35,3 +35,21 @@ def test_stages_in_order(spark, tmp_path):
     assert abs(before - after) <= n_sources
     pieces = tables[5].agg(F.sum("length"), F.count("*")).first()
     assert pieces[0] > 0 and tables[5].groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_near_copies_leave_one_row(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (1, text, "de", "a", 5),      # repeated rows
+            (None, "null " + text, "en", "a", 5),                                           # near copy without id
+            (2, text.upper(), "en", "b", 5), (2, "quite another text", "en", "b", 5),       # two texts, one id
+            (None, "copy of no id", "en", "a", 5), (None, "copy of no id", "en", "a", 5), (None, "Copy of  no id", "fr", "a", 5),
+            (None, "alone", "en", "a", 5), (7, None, "en", "a", 5), (8, " ", "en", "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs.repartition(3), SF)
+    assert got.columns == docs.columns
+    kept = sorted(map(tuple, got.collect()), key=str)
+    of_none = [r for r in kept if r[0] is None and "copy" in (r[1] or "").lower()]
+    assert len(of_none) == 1
+    assert [r for r in kept if r not in of_none] == sorted(
+        [(1, text, "de", "a", 5), (2, "quite another text", "en", "b", 5), (None, "alone", "en", "a", 5),
+         (7, None, "en", "a", 5), (8, " ", "en", "a", 5)], key=str)
