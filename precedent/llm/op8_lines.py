@@ -1,6 +1,6 @@
 """Line dedup over overlapping windows of three consecutive lines.
 
-Every run of three consecutive lines is hashed (128 bits).  A window whose
+Every run of three consecutive lines is hashed (128 bits, MD5).  A window whose
 lines occur at more than one place of the corpus keeps its first place, by
 (doc_id, line number); the lines under every later place are covered, windows
 that overlap merge by their positions, and covered lines are removed.
@@ -29,7 +29,7 @@ WINDOW = 3
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pos, h1, h2)`` for every window of three lines that is not blank."""
+    """``(doc_id, pos, h)`` for every window of three lines that is not blank."""
     lines = docs.where("text is not null and doc_id is not null").select(
         "doc_id", F.split("text", "\n", -1).alias("lines"))
     lines = lines.where(F.size("lines") >= WINDOW)
@@ -39,18 +39,17 @@ def _windows(docs: DataFrame) -> DataFrame:
         f"i -> array_join(slice(lines, i + 1, {WINDOW}), '\n'))")
     win = lines.select("doc_id", F.posexplode(cut).alias("pos", "w"))
     win = win.where(F.col("w").rlike(r"[^ \t\r\n]"))
-    return win.select("doc_id", "pos", F.xxhash64("w").alias("h1"),
-                      F.xxhash64("w", F.lit("second")).alias("h2"))
+    return win.select("doc_id", "pos", F.unhex(F.md5("w")).alias("h"))
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, covered)``: sorted distinct line numbers under a later occurrence."""
     win = materialize(_windows(spread(docs.select("doc_id", "text"))), "line-windows")
     # One row per (window, document) first: repeats inside a document end here.
-    first = win.groupBy("h1", "h2").agg(
+    first = win.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
     first = first.where("n > 1")
-    later = win.join(first, ["h1", "h2"]).where(
+    later = win.join(first, "h").where(
         F.struct("doc_id", "pos") > F.col("first"))
     lines = later.select("doc_id", F.explode(F.array(*[F.col("pos") + i for i in range(WINDOW)]))
                          .alias("line")).distinct()

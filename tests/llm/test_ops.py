@@ -268,6 +268,32 @@ def test_line_dedup(spark, make, odd):
     assert op8_lines.dedup_lines(odd).count() == 9 and op8_lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_tells_windows_of_equal_xxhash64(spark, make):
+    # Two texts of 16 bytes with the same 64-bit hash: the second word undoes the difference of the first.
+    m, p1, p2, p4, p5 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+    def turn(x, r):
+        return ((x << r) | (x >> (64 - r))) & m
+
+    def mixed(word):
+        return turn(int.from_bytes(word, "little") * p2 & m, 31) * p1 & m
+
+    def state(word):
+        return (turn((42 + p5 + 16 & m) ^ mixed(word), 27) * p1 + p4) & m
+
+    one, tail = b"ab\ncd\nef", b"12345678"
+    for i in range(1_000_000):
+        other = f"x\n{i:05x}\n"[:8].encode().ljust(8, b"z")
+        back = state(one) ^ state(other) ^ mixed(tail)
+        end = (turn(back * pow(p1, -1, 1 << 64) & m, 33) * pow(p2, -1, 1 << 64) & m).to_bytes(8, "little")
+        if other.count(b"\n") == 2 and all(32 <= b < 127 for b in end):
+            break
+    texts = [(one + tail).decode(), (other + end).decode()]
+    assert len({r[0] for r in make(list(enumerate(texts))).select(F.xxhash64("text")).collect()}) == 1
+    got = op8_lines.dedup_lines(make(list(enumerate(texts)))).collect()
+    assert sorted((r.doc_id, r.text, r._n_removed) for r in got) == [(0, texts[0], 0), (1, texts[1], 0)]
+
+
 # ---------------------------------------------------------------- 9
 @pytest.mark.parametrize("limits", [{}, {"SMALL": 2, "FEW": 1, "BLOCKED": 10, "CHUNK": 4}])
 def test_near_documents_equal_brute_force(spark, make, odd, monkeypatch, limits):
