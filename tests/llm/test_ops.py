@@ -294,6 +294,19 @@ def test_line_dedup_tells_windows_of_equal_xxhash64(spark, make):
     assert sorted((r.doc_id, r.text, r._n_removed) for r in got) == [(0, texts[0], 0), (1, texts[1], 0)]
 
 
+def test_line_dedup_by_row(make):
+    a, b = "a1\na2\na3", "b1\nb2\nb3"
+    rows = [(1, a), (1, "x\ny\nz\nown"), (1, "p\n" + a), (None, "n\n" + a), (None, b), (None, "m\n" + b), (0, "q\n" + a),
+            (4, a), (4, "c1\nc2\nc3")]
+    got = sorted(((r.doc_id, r.text, r._n_removed) for r in op8_lines.dedup_lines(make(rows)).collect()), key=str)
+    # Of the two b the row with the less text hash has the first place.
+    texts = sorted([b, "m\n" + b], key=lambda t: hashlib.md5(t.encode()).digest())
+    of_b = [(None, texts[0], 0), (None, "m" if texts[1][0] == "m" else "", 3)]
+    want = [(0, "q\n" + a, 0), (1, "", 3), (1, "x\ny\nz\nown", 0), (1, "p", 3), (None, "n", 3), (4, "", 3),
+            (4, "c1\nc2\nc3", 0), *of_b]
+    assert got == sorted(want, key=str)
+
+
 # ---------------------------------------------------------------- 9
 @pytest.mark.parametrize("limits", [{}, {"SMALL": 2, "FEW": 1, "BLOCKED": 10, "CHUNK": 4}])
 def test_near_documents_equal_brute_force(spark, make, odd, monkeypatch, limits):
