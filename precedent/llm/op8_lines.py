@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precedent.llm.common import materialize, spread
+from precedent.llm.common import materialize
 
 WINDOW = 3
 #: A row's key, in the order of first places; ``doc_id`` is 0 where it is null.
@@ -51,7 +51,7 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 def covered_lines(docs: DataFrame) -> DataFrame:
     """``(no_id, doc_id, th, covered)``: sorted distinct line numbers under a later occurrence."""
-    win = materialize(_windows(spread(docs.select("doc_id", "text"))), "line-windows")
+    win = materialize(_windows(docs.select("doc_id", "text")), "line-windows")
     # One row per (window, document) first: repeats inside a document end here.
     first = win.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "pos")).alias("first"))

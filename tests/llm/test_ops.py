@@ -307,6 +307,12 @@ def test_line_dedup_by_row(make):
     assert got == sorted(want, key=str)
 
 
+def test_line_dedup_stays_off_the_rdd_interface(make, monkeypatch):
+    docs = make([(1, "a\nb\nc"), (2, "a\nb\nc")])
+    monkeypatch.setattr(type(docs), "rdd", property(lambda self: pytest.fail("rdd")))
+    assert sorted(r._n_removed for r in op8_lines.dedup_lines(docs).collect()) == [0, 3]
+
+
 # ---------------------------------------------------------------- 9
 @pytest.mark.parametrize("limits", [{}, {"SMALL": 2, "FEW": 1, "BLOCKED": 10, "CHUNK": 4}])
 def test_near_documents_equal_brute_force(spark, make, odd, monkeypatch, limits):
