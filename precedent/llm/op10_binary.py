@@ -154,9 +154,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     schema = pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()),
                         ("n_ids", pa.int64())])
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
-    if n_partitions(spark) > 1:
-        rows = rows.repartitionByRange(n_partitions(spark), "doc_id")
+    rows = docs.select("doc_id", "text").repartitionByRange(n_partitions(spark), "doc_id")
     files = rows.sortWithinPartitions("doc_id", "text").mapInArrow(
         write, "part long, file string, n_docs long, n_ids long").collect()      # a row per file
     out, start = [], 0

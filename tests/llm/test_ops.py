@@ -408,6 +408,18 @@ def test_token_files_round_trip(spark, odd, tmp_path):
     assert op10_binary.token_files(spark, empty(spark), TOKENIZER).count() == 0
 
 
+def test_token_files_with_one_shuffle_partition(spark, make, tmp_path):
+    docs = make([(i, f"text {i}") for i in range(40)], 4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        files = op10_binary.write_tokens(docs, f"file:{tmp_path}/one", TOKENIZER)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = op10_binary.read_tokens(spark, files).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == list(range(40))
+
+
 def test_clashing_columns_are_kept(spark):
     df = spark.createDataFrame([(1, "a\nb\nc", "s", 1, 2), (2, "a\nb\nc", "s", 3, 4)],
                                "doc_id long, text string, source string, size long, covered long")
