@@ -38,20 +38,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes; the last, partial copy of a document has its first words."""
+    """A row for each copy that the mix takes; the last, partial copy of a document has its first
+    words.  Copies lie with their shard, in the order of their places in it."""
     # Rows with the same id and size share one decision.
     taken = op3_mix.mix(docs).where("taken > 0").groupBy(
         F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(
-        F.max("repeats").alias("repeats"), F.max("part").alias("part"))
+        F.max(F.struct("repeats", "part", "places")).alias("_mix"))
     rows = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(op3_mix.WORD_RE)), F.lit(0)))
     rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    part = F.col("_mix.part")
     cut = F.array_join(F.slice(F.regexp_extract_all(
-        "text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1)), 1, F.col("part").cast("int")), "")
-    whole = rows.where("repeats > 0").withColumn("_copy", F.explode(F.expr("sequence(1, int(repeats))")))
-    part = rows.where("part > 0").withColumn("text", F.when(
-        F.col("part") < F.col("_words"), cut).otherwise(F.col("text"))).withColumn(
-        "n_chars", F.length("text").cast("long"))
-    return whole.select(*docs.columns).unionAll(part.select(*docs.columns))
+        "text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1)), 1, part.cast("int")), "")
+    copies = rows.select("*", F.posexplode("_mix.places").alias("_nth", "_place"))
+    partial = F.col("_nth") >= F.col("_mix.repeats")
+    copies = copies.withColumn("text", F.when(partial & (part < F.col("_words")), cut).otherwise(F.col("text")))
+    copies = copies.withColumn("n_chars", F.when(partial, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    # The salt parts a shard evenly, as places are hashes.
+    copies = copies.repartition(F.col("_place.shard"), F.substring("_place.place", 1, 2))
+    return copies.sortWithinPartitions("_place.shard", "_place.place", F.md5("text")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ tree: at each node the left child takes half of the draws, and how many of
 them come from each source is a multivariate-hypergeometric draw (the sources
 of a uniformly random half).  That fixes an exact quota of blocks for every
 (shard, source); each shard then takes its quota as the next run of the
-source's permuted draws, so shards are disjoint, and orders its documents by
-a hash of its own.
+source's permuted draws, so shards are disjoint.  Every copy has a place in its
+shard by a hash of its own (seed, shard, copy, document id); ``mix`` returns shard and
+place of each copy, and whoever writes the shards (the pipeline) sorts by them.
 
 Randomness is MD5 of ids and a seed: reruns agree, and so does any other
 engine.  All of it is DataFrame code; documents are read once, and what moves
@@ -104,7 +105,7 @@ def splitting_tree(draws: DataFrame, levels: int, seed: str) -> DataFrame:
 def mix(docs: DataFrame, seed: str = "mix", levels: int = SHARD_LEVELS) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken, repeats`` (whole
     copies taken), ``part`` (words of a further, partial copy), ``shards`` (the shard of
-    each whole or partial copy, in order) and ``position`` (its place key within shards)."""
+    each whole or partial copy, in order) and ``places`` (the shard of each copy and its place in it)."""
     sizes = docs.select(
         "doc_id", F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"),
         F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"),
@@ -146,9 +147,10 @@ def mix(docs: DataFrame, seed: str = "mix", levels: int = SHARD_LEVELS) -> DataF
     part = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before"))).cast("long")
     rows = rows.withColumn("part", part)
     n_here = (F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")
+    rows = rows.withColumn("shards", F.slice(F.coalesce("shards", F.array().cast("array<int>")), 1, n_here))
+    places = F.transform("shards", lambda shard, nth: F.struct(shard.alias("shard"), _md5(
+        seed, "place", shard, nth, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("place")))
     return rows.select(
         "doc_id", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
-        F.col("passes").alias("repeats"), "part",
-        F.slice(F.coalesce("shards", F.array().cast("array<int>")), 1, n_here).alias("shards"),
-        F.col("key").alias("position"))
+        F.col("passes").alias("repeats"), "part", "shards", places.alias("places"))

@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from precedent.llm import op2_toxicity
+from precedent.llm import op2_toxicity, op3_mix
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +53,14 @@ def test_near_copies_leave_one_row(spark):
     assert [r for r in kept if r not in of_none] == sorted(
         [(1, text, "de", "a", 5), (2, "quite another text", "en", "b", 5), (None, "alone", "en", "a", 5),
          (7, None, "en", "a", 5), (8, " ", "en", "a", 5)], key=str)
+
+
+def test_mixed_copies_lie_by_shard_and_place(spark):
+    rows = [(i, f"word{i} text", "en", "a", 5) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    places = {r.doc_id: tuple(r.places[0]) for r in op3_mix.mix(docs).collect()}
+    assert len({p[1] for p in places.values()}) == 200
+    parts = {}
+    for r in corpus_pipeline.mix_sources(spark, docs, SF).withColumn("at", F.spark_partition_id()).collect():
+        parts.setdefault(r.at, []).append(places[r.doc_id])
+    assert sum(map(len, parts.values())) == 200 and all(p == sorted(p) for p in parts.values())
