@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precedent.llm import (op1_suffix, op2_toxicity, op3_mix, op4_secrets, op5_pack, op6_fingerprints,
-                           op7_embeddings, op8_lines, op9_minhash, op10_binary)
+                           op7_embeddings, op8_lines, op9_minhash, op10_binary, op12_runs)
 from precedent.llm.common import WORD_RE, documents, read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,9 +64,14 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_binary.token_files(spark, documents(spark, sf_dir), tokenizer_path())
 
 
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_runs.periodic_runs(documents(spark, sf_dir), damaged=True)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_toxicity_scores, op3_mix_sources, op4_secret_spans, op5_packing,
-    op6_fingerprints_edited, op7_near_embeddings, op8_line_dedup, op9_near_documents, op10_token_binary)}
+    op6_fingerprints_edited, op7_near_embeddings, op8_line_dedup, op9_near_documents, op10_token_binary,
+    op12_word_runs)}
 
 
 def _mix_sql(seed: str = "mix", levels: int = op3_mix.SHARD_LEVELS) -> str:
