@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precedent.llm import (op1_suffix, op2_toxicity, op3_mix, op4_secrets, op5_pack, op6_fingerprints,
-                           op7_embeddings, op8_lines, op9_minhash, op10_binary, op12_runs)
+                           op7_embeddings, op8_lines, op9_minhash, op10_binary, op11_quality, op12_runs,
+                           op13_conversations)
 from precedent.llm.common import WORD_RE, documents, read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,14 +65,22 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_binary.token_files(spark, documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_quality.quality(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_runs.periodic_runs(documents(spark, sf_dir), damaged=True)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_conversations.repair(read_table(spark, sf_dir, "conversations"), damaged=True)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_toxicity_scores, op3_mix_sources, op4_secret_spans, op5_packing,
     op6_fingerprints_edited, op7_near_embeddings, op8_line_dedup, op9_near_documents, op10_token_binary,
-    op12_word_runs)}
+    op11_quality_scores, op12_word_runs, op13_conversation_repair)}
 
 
 def _mix_sql(seed: str = "mix", levels: int = op3_mix.SHARD_LEVELS) -> str:
