@@ -9,8 +9,9 @@ text, a mixture of good (share ``prior``) and poor.  Labels of 0 are never used.
    a linear score is an additive one.
 2. The class prior is estimated: a curve that tells positives from unlabelled texts is fitted
    on one half of the sample; on the other half, the share of unlabelled texts above any
-   threshold is at least ``prior`` times that of positives, so the least ratio (with two
-   standard errors for chance) bounds the prior from above, and it is met where no poor text is.
+   threshold is at least ``prior`` times that of positives, so the least ratio (with a standard
+   error for chance) bounds the prior from above, and it is met where no poor text is.  Halves
+   change places, and the two estimates are averaged.
 3. The score minimises the non-negative unbiased risk
    ``prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])`` with logistic loss: where a
    batch's second part falls below zero, its gradient is taken the other way.
@@ -137,13 +138,13 @@ def class_prior(positive, unlabelled) -> float:
     best = 1.0
     for t in np.quantile(positive, np.linspace(0.0, 0.9, 19)):
         p, u = (positive >= t).mean(), (unlabelled >= t).mean()
-        # Two standard errors, so that small samples do not promise too little.
-        chance = 2 * math.sqrt(u * (1 - u) / len(unlabelled)) + 2 * math.sqrt(p * (1 - p) / len(positive))
+        # A standard error of each, as the least of many ratios falls below the true one by chance.
+        chance = math.sqrt(u * (1 - u) / len(unlabelled)) + math.sqrt(p * (1 - p) / len(positive))
         best = min(best, (u + chance) / max(p, 1e-9))
     return float(np.clip(best, 0.02, 0.98))
 
 
-def minimise_risk(p, u, prior: float, epochs: int = 40, batch: int = 1024, rate: float = 0.02, decay: float = 1e-3,
+def minimise_risk(p, u, prior: float, steps: int = 800, batch: int = 1024, rate: float = 0.02, decay: float = 1e-3,
                   seed: int = 11):
     """Weights and intercept that minimise the non-negative risk, by Adam over paired batches."""
     import numpy as np
@@ -152,6 +153,7 @@ def minimise_risk(p, u, prior: float, epochs: int = 40, batch: int = 1024, rate:
     p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
     (w, m, v), t = np.zeros((3, p.shape[1])), 0
     rounds = max(1, -(-max(len(p), len(u)) // batch))
+    epochs = -(-steps // rounds)
     mean = np.zeros_like(w)
     for epoch in range(epochs):
         for at_p, at_u in zip(np.array_split(rng.permutation(len(p)), rounds), np.array_split(rng.permutation(len(u)), rounds)):
@@ -183,9 +185,12 @@ def fit(positive, unlabelled):
     p, u = np.asarray(positive, float), np.asarray(unlabelled, float)
     model = shaped(np.vstack([p, u]))
     zp, zu = model.spread(p), model.spread(u)
-    w = separating_curve(np.vstack([zp[::2], zu[::2]]), np.repeat([1, 0], [len(zp[::2]), len(zu[::2])]))
-    held = [z[1::2] if len(z) > 1 else z for z in (zp, zu)]
-    prior = class_prior(*[z @ w[:-1] for z in held])
+    halves = []
+    for k in (0, 1):
+        own, other = ([z[i::2] if len(z) > 1 else z for z in (zp, zu)] for i in (k, 1 - k))
+        w = separating_curve(np.vstack(own), np.repeat([1, 0], [len(z) for z in own]))
+        halves.append(class_prior(*[z @ w[:-1] for z in other]))
+    prior = sum(halves) / 2
     model.weights, model.bias = minimise_risk(zp, zu, prior)
     return model, prior
 

@@ -30,7 +30,7 @@ def test_prior_is_near_the_share_of_positives():
     for share in (0.3, 0.6, 0.9):
         p = rng.normal(2, 1, 8000)
         u = np.where(rng.random(8000) < share, rng.normal(2, 1, 8000), rng.normal(-3, 1, 8000))
-        assert share - 0.01 < op11.class_prior(p, u) < share + 0.05
+        assert share - 0.03 < op11.class_prior(p, u) < share + 0.03
     assert op11.class_prior(np.zeros(5), np.zeros(5)) == 0.98
 
 
@@ -39,7 +39,7 @@ def test_risk_is_the_non_negative_one():
     rng = np.random.default_rng(5)
     p = rng.normal(1.0, 1, (600, 2))
     u = np.vstack([rng.normal(1.0, 1, (300, 2)), rng.normal(-2.0, 1, (300, 2))])
-    w, b = op11.minimise_risk(p, u, 0.5, batch=10_000, epochs=4_000, decay=0.0)
+    w, b = op11.minimise_risk(p, u, 0.5, batch=10_000, steps=4_000, decay=0.0)
 
     def risk(w, b):
         own = np.logaddexp(0, -(p @ w + b)).mean()
