@@ -8,17 +8,21 @@ borrow from full ones by a fixed sequence of hashes, so short texts fill all reg
 1. Texts with equal sets are one class (128-bit digest of the set, partial sums).
 2. Bands of four registers give each class 32 keys.  Classes that share a key are
    candidates: all pairs of a key held by up to ``SMALL`` classes; for a larger key
-   (a bucket), a star: its least class against all others.
+   (a bucket), a star: one class against all others.  The centre is the class whose keys are
+   the commonest: the original of a group of copies is then the centre of nearly all of the
+   group's buckets, and each copy meets it once.
 3. Candidates pass a size test (exact) and the estimate of Jaccard similarity from the
    registers, corrected for chance collisions, with a margin of five standard errors of
    the registers that the smaller set fills.  The rest is verified on full shingle sets.
-4. Components of the verified links.  A large bucket that is one component is done: more
-   links in it change nothing.  Otherwise its members outside the star's component meet
-   all its members, if there are few of them.  If many, the bucket is held against itself
-   in blocks of ``CHUNK`` members, two blocks a task, where the same tests and the full
-   sets decide and links alone are returned.  In a bucket above ``BLOCKED`` members two
-   blocks meet only where they can hold a link that is missing: not two of the star's
-   component, and only blocks of sizes within 75 % of each other (both rules are exact).
+4. Components of the verified links.  A bucket that is one component is done: more links in
+   it change nothing.  The others get a star from the commonest class outside the first
+   centre's component; then members outside meet all others, if they are ``FEW``; else the
+   bucket is held against itself in blocks, two blocks a task, where the same tests and the
+   full sets decide and links alone are returned.  A pair is tested in the first key that it
+   shares only, and a block is bounded in members (``CHUNK``) and hashes (``BLOCK_HASHES``).
+   In a bucket above ``BLOCKED`` members two blocks meet only where they can hold a link that
+   is missing: not two of the first star's component, and only blocks of sizes within 75 % of
+   each other (both rules are exact).
 
 So no step emits the pairs of a group, and a group of copies or near copies that its
 star links costs its size, not its square; a bucket of many unlinked sets of like size
@@ -53,9 +57,12 @@ MANTISSA = 10
 BAND = 4
 N_BANDS = N_REGISTERS // BAND
 SMALL = 12
-FEW = 16
+FEW = 2
 CHUNK = 500
-BLOCKED = 5_000
+BLOCK_HASHES = 1 << 20
+BLOCKED = 1_000
+#: Stars from further centres before large buckets are held against themselves.
+STARS = 2
 
 
 def _numbers(seed: int, n: int):
@@ -228,16 +235,17 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             for d1, d2, cid, text in zip(*[batch.column(c).to_pylist() for c in ("d1", "d2", "cid", "text")]):
                 hashes = shingler(text or "")
                 if len(hashes) and np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), ">i8").tolist() == [d1, d2]:
-                    rows.append((cid, hashes.tobytes()))
+                    rows.append((cid, hashes.view(np.int64)))
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["cid", "hashes"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int64())))],
+                    names=["cid", "hashes"])
 
     wanted = classes.select("cid", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("rep_th"), "d1", "d2")
     rows = docs.select("doc_id", "text").withColumn("th", text_hash()).join(
         wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))).drop("th", "rep_th")
     # Repeated rows of the table give a set twice.
-    return rows.mapInArrow(run, "cid long, hashes binary").dropDuplicates(["cid"])
+    return rows.mapInArrow(run, "cid long, hashes array<long>").dropDuplicates(["cid"])
 
 
 def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -264,21 +272,11 @@ def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs linked by their full sets."""
-    def run(batches):
-        import numpy as np
-
-        for batch in small_batches(batches, "ha"):
-            keep = []
-            for ha, hb in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist()):
-                x, y = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
-
     one = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha"))
     two = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(one, "a").join(two, "b").where(
+        100 * both >= PERCENT * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
 def size_steps(top: int = 1 << 40) -> list[int]:
@@ -289,22 +287,26 @@ def size_steps(top: int = 1 << 40) -> list[int]:
     return steps
 
 
-def blocked_links(members: DataFrame, chunk: int = CHUNK, blocked: int = BLOCKED) -> DataFrame:
-    """Links ``(a, b)`` between different roots inside each key of ``members(key, cid, root, main,
-    n, registers, hashes)``: two blocks of a key at a time, enough of them to join the roots.
-    ``main`` is the root of the star, the same for all of a key."""
+def blocked_links(members: DataFrame, payload: DataFrame, chunk: int = CHUNK, blocked: int = BLOCKED,
+                  block_hashes: int = BLOCK_HASHES) -> DataFrame:
+    """Links ``(a, b)`` between different roots inside each key of ``members(key, cid, root, main, n)``
+    (a written table: it is read three times), two blocks of a key at a time, enough of them to join the
+    roots; ``payload(cid, registers, keys, hashes)`` holds each class once.
+    ``main`` is the root of the star, the same for all of a key.  A block has about ``chunk``
+    members and ``block_hashes`` hashes at most (or one larger set)."""
     steps = F.array(*[F.lit(s).cast("long") for s in size_steps()])
     # A part is twice the size step, plus one outside the star's component; small keys are one part.
     part = 2 * F.size(F.filter(steps, lambda s: s <= F.col("n"))) + (F.col("root") != F.col("main")).cast("int")
     held = members.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
     parted = members.join(held, "key").withColumn(
         "part", F.when(F.col("held") > blocked, part).otherwise(1)).drop("held", "main")
-    blocks = parted.groupBy("key", "part").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"))
+    blocks = parted.groupBy("key", "part").agg(F.ceil(F.greatest(
+        F.count(F.lit(1)) / chunk, F.sum("n") / block_hashes)).cast("int").alias("k"))
     blocks = blocks.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("part", "k"))).alias("blocks"))
     # Blocks are numbered (part, number within it); a block meets those of its own and the next step.
     meet = F.expr("""flatten(transform(filter(map_keys(blocks), p -> abs(p div 2 - part div 2) <= 1
         and (p % 2 = 1 or part % 2 = 1)), p -> transform(sequence(0, blocks[p] - 1), i -> struct(p as part, i as i))))""")
-    met = (parted.join(blocks, "key")
+    met = (parted.join(blocks, "key").join(payload, "cid")
            .withColumn("own", F.struct("part", F.pmod(F.xxhash64("cid"), F.col("blocks")[F.col("part")]).cast("int").alias("i")))
            .withColumn("other", F.explode(meet))
            .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
@@ -316,7 +318,13 @@ def blocked_links(members: DataFrame, chunk: int = CHUNK, blocked: int = BLOCKED
 
         table = table.sort_by([("n", "ascending"), ("cid", "ascending")])
         cid, n, own = (table.column(c).to_numpy() for c in ("cid", "n", "low"))
-        sets = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
+        hashes = table.column("hashes").combine_chunks()
+        ends = hashes.offsets.to_numpy()
+        # Sorted as unsigned numbers; views, not copies.
+        flat = hashes.values.to_numpy().view(np.uint64)
+        sets = [flat[i:j] for i, j in zip(ends, ends[1:])]
+        key = table.column("key")[0].as_py()
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
         registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, N_REGISTERS)
         _, group = np.unique(table.column("root").to_numpy(), return_inverse=True)
         least, apart = least_estimate(n), table.column("apart")[0].as_py()
@@ -329,6 +337,9 @@ def blocked_links(members: DataFrame, chunk: int = CHUNK, blocked: int = BLOCKED
                 j = j[own[j] != own[i]]
             if len(j):
                 j = j[estimate((registers[j] == registers[i]).sum(1)) >= least[i]]
+            if len(j):
+                # A pair belongs to the first key that it shares; each of its keys comes here.
+                j = j[keys[i][(keys[j] == keys[i]).argmax(1)] == key]
             for k in j.tolist():
                 if group[k] != group[i]:
                     both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
@@ -382,61 +393,73 @@ class _Linker:
         self.add(verified(new, sets))
 
     def compare(self, members: DataFrame):
-        """Hold each key's ``members(key, cid, centre)`` against themselves, block by block."""
+        """Hold each key's ``members(key, cid, centre, n)`` against themselves, block by block."""
         centre = self.roots.select(F.col("cid").alias("centre"), F.col("root").alias("main"))
         members = self.rooted(members).join(centre, "centre", "left").select(
-            "key", "cid", "root", F.coalesce("main", "centre").alias("main"))
-        members = materialize(members, "minhash-blocked")
-        sets = self.load(members.select("cid").distinct())
-        members = members.join(self.classes.select("cid", "n", "registers"), "cid").join(sets, "cid")
-        self.add(blocked_links(members, CHUNK, BLOCKED))
+            "key", "cid", "root", F.coalesce("main", "centre").alias("main"), "n")
+        open_ = members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+        open_ = open_.where("least <> most").select("key")
+        members, stat = materialize(members.join(open_, "key"), "minhash-blocked", {"n": F.count(F.lit(1))})
+        if not stat["n"]:
+            return
+        cids = members.select("cid").distinct()
+        payload = self.load(cids).join(self.classes.select("cid", "registers", "keys"), "cid").join(
+            cids, "cid", "left_semi")
+        self.add(blocked_links(members, payload, CHUNK, BLOCKED))
 
     def rooted(self, members: DataFrame) -> DataFrame:
         return members.join(self.roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """Per key: how many classes hold it, and the least."""
-    return members.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("cid").alias("centre")).where("held > 1")
-
-
 def _small_pairs(members: DataFrame, buckets: DataFrame) -> DataFrame:
     few = members.join(buckets.where(f"held <= {SMALL}").select("key"), "key")
     other = few.select("key", F.col("cid").alias("b"))
     return few.select("key", F.col("cid").alias("a")).join(other, "key").where("a < b").select("a", "b")
 
 
-def _star_pairs(members: DataFrame, buckets: DataFrame) -> DataFrame:
-    return members.join(buckets.where(f"held > {SMALL}").select("key", "centre"), "key").where(
-        "cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b"))
+def _star(members: DataFrame) -> DataFrame:
+    """Per key of ``members(key, cid, common)``: the class whose keys are the commonest, the least of them."""
+    return members.groupBy("key").agg(F.max_by("cid", F.struct("common", -F.col("cid"))).alias("centre"))
 
 
 def _settle(linker: _Linker, members: DataFrame):
-    """Work on ``members(key, cid)`` until no bucket can hold a link between two components."""
+    """Work on ``members(key, cid, n)`` until no bucket can hold a link between two components."""
     members = materialize(members, "minhash-members")
-    buckets, stat = materialize(_buckets(members), "minhash-buckets",
-                                {"large": F.sum((F.col("held") > SMALL).cast("int"))})
-    linker.check(_small_pairs(members, buckets).unionAll(_star_pairs(members, buckets)))
+    held = members.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    buckets, stat = materialize(held, "minhash-buckets", {"large": F.sum((F.col("held") > SMALL).cast("int"))})
     if not stat["large"]:
+        linker.check(_small_pairs(members, buckets))
         return
-    # Large buckets with members outside their centre's component.
-    large = members.join(buckets.where(f"held > {SMALL}").select("key", "centre"), "key")
-    centre = linker.roots.select(F.col("cid").alias("centre"), F.col("root").alias("main"))
-    large = linker.rooted(large).join(centre, "centre", "left").withColumn("main", F.coalesce("main", "centre"))
-    large = materialize(large.select("key", "cid", "centre", "root", "main"), "minhash-large")
-    way = F.when(F.col("out") <= FEW, "few").otherwise("blocks")
-    open_, stat = materialize(large.groupBy("key").agg(
-        F.sum((F.col("root") != F.col("main")).cast("int")).alias("out"))
-        .where("out > 0").select("key", way.alias("way")), "minhash-open",
-        {w: F.sum((F.col("way") == w).cast("int")) for w in ("few", "blocks")})
-    large = large.join(open_, "key")
-    if stat["few"]:
-        here = large.where("way = 'few'")
-        strays = here.where("root <> main").select("key", F.col("cid").alias("s"), F.col("root").alias("s_root"))
-        linker.check(here.join(strays, "key").where("root <> s_root").select(
+    large = materialize(members.join(buckets.where(f"held > {SMALL}"), "key"), "minhash-large")
+    # The original of a group of near copies holds the keys that most of them hold, so it is the centre
+    # of nearly all their buckets, and each copy is compared with it once.
+    common = large.groupBy("cid").agg(F.sum("held").alias("common"))
+    large = materialize(large.select("key", "cid", "n").join(common, "cid"), "minhash-common")
+    centres = materialize(_star(large), "minhash-centres")
+    starred = large.join(centres, "key")
+    linker.check(_small_pairs(members, buckets).unionAll(starred.where("cid <> centre").select(
+        F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b"))))
+    for turn in range(STARS):
+        # Buckets with members outside their first centre's component, and how many.
+        main = linker.roots.select(F.col("cid").alias("centre"), F.col("root").alias("main"))
+        now = linker.rooted(starred).join(main, "centre", "left").withColumn("main", F.coalesce("main", "centre"))
+        out = now.groupBy("key").agg(F.sum((F.col("root") != F.col("main")).cast("int")).alias("out")).where("out > 0")
+        now, stat = materialize(now.join(out, "key"), "minhash-open", {"n": F.count(F.lit(1))})
+        if not stat["n"]:
+            return
+        starred = now.select("key", "cid", "n", "common", "centre")
+        if turn + 1 < STARS:
+            # A further star from the commonest class outside.
+            other = _star(now.where("root <> main")).withColumnRenamed("centre", "s")
+            strays = now.where("root <> main")
+        else:
+            other, strays = None, now.where(f"root <> main and out <= {FEW}")
+        strays = strays.select("key", F.col("cid").alias("s"), F.col("root").alias("s_root"))
+        if other is not None:
+            strays = strays.join(other, ["key", "s"])
+        linker.check(now.join(strays, "key").where("root <> s_root").select(
             F.least("cid", "s").alias("a"), F.greatest("cid", "s").alias("b")))
-    if stat["blocks"]:
-        linker.compare(large.where("way = 'blocks'").select("key", "cid", "centre"))
+    linker.compare(now.where(f"out > {FEW}").select("key", "cid", "centre", "n"))
 
 
 def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -449,7 +472,7 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.first("keys").alias("keys"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
     linker = _Linker(docs, classes)
-    _settle(linker, classes.select(F.explode("keys").alias("key"), "cid"))
+    _settle(linker, classes.select(F.explode("keys").alias("key"), "cid", "n"))
     return rows, linker.rooted(classes.select("cid", "d1", "d2", "first"))
 
 
