@@ -94,7 +94,7 @@ def _mix_sql(seed: str = "mix", levels: int = op3_mix.SHARD_LEVELS) -> str:
 WITH sizes AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS no_src,
          coalesce(len(regexp_extract_all(text, '{WORD_RE}')), 0)::BIGINT AS size,
-         md5('{seed}:doc:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('{seed}:doc:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS key
   FROM documents),
 per AS (SELECT src, no_src, sum(size)::BIGINT AS source_size FROM sizes GROUP BY 1, 2),
 weighed AS (SELECT *, ((row_number() OVER (ORDER BY no_src, src) - 1) % 3 + 1)::DOUBLE AS weight,

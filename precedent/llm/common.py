@@ -16,7 +16,7 @@ from precedent.session import materialize, shared_path
 from precedent.sources.tables import read_table
 
 __all__ = ["documents", "materialize", "shared_path", "read_table", "worker_state", "TokenEncoder",
-           "WORD_RE", "prefix_sum", "components", "n_partitions", "spread"]
+           "WORD_RE", "prefix_sum", "components", "n_partitions", "spread", "packed", "unpacked"]
 
 # Fixed value of the data contract: words are runs of anything but ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -40,6 +40,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n_partitions(spark))
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """``own`` columns and ``_row``, a struct of all others, so that names of a step's own cannot clash with theirs."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*others) if others else F.lit(None).cast("int")).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``columns`` of a frame that ``packed`` made, in their order."""
+    held = getattr(df.schema["_row"].dataType, "names", [])
+    return df.select(*[F.col("_row")[c].alias(c) if c in held else F.col(c) for c in columns])
+
+
 def worker_state(name: str, make):
     """An object kept for the life of a Python worker, across its tasks."""
     box = sys.modules.get("_precedent_worker_state")
@@ -85,12 +97,11 @@ class TokenEncoder:
     def _encode_cuts(self, words: list[str]) -> Iterator[bytes]:
         """Ids of " " + word for each word.  Many words make one text; only the first
         id of a word can begin with a space, and that is where the ids are parted."""
-        for k in range(0, len(words), 4096):
-            ids = self.np.asarray(self.tokenizer.encode(
-                " " + " ".join(words[k:k + 4096]), add_special_tokens=False).ids, dtype="<u4")
-            data = ids.tobytes()
-            at = (4 * self.np.flatnonzero(self.spaced[ids])).tolist() + [len(data)]
-            yield from (data[i:j] for i, j in zip(at, at[1:]))
+        texts = [" " + " ".join(words[k:k + 1024]) for k in range(0, len(words), 1024)]
+        for k in range(0, len(texts), 64):
+            for data in self._encode(texts[k:k + 64]):
+                at = (4 * self.np.flatnonzero(self.spaced[self.np.frombuffer(data, "<u4")])).tolist() + [len(data)]
+                yield from (data[i:j] for i, j in zip(at, at[1:]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.memo) > self.max_words:

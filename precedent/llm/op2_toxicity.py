@@ -78,10 +78,14 @@ def _threat(state, c):
     return 4 if c == MODAL else max(0, state - 1)
 
 
+#: What most words are; shared, so that a word known to a worker costs its key only.
+PLAIN = (OTHER, 0.0)
+
+
 class Grammar:
     """The composition of the transducers over one lexicon."""
 
-    def __init__(self, lexicon: dict[str, float], max_words: int = 400_000):
+    def __init__(self, lexicon: dict[str, float], max_words: int = 150_000):
         self.lexicon, self.max_words = lexicon, max_words
         self.words: dict[str, tuple[int, float] | None] = {}
         self.arcs: dict[tuple, tuple] = {}
@@ -94,7 +98,7 @@ class Grammar:
             if w in words:
                 return (cls, 0.0)
         weight = max((self.lexicon.get(g, 0.0) for g in grams(w)), default=0.0)
-        return (INSULT, weight) if weight > 0 else (OTHER, 0.0)
+        return (INSULT, weight) if weight > 0 else PLAIN
 
     def _arc(self, state, c):
         """Next state and the factor on what the arc emits: (negation, report, target, threat)."""

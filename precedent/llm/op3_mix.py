@@ -19,8 +19,8 @@ are narrow rows.  A source may hold any share of all rows: it is cut into
 running totals go by bucket (``prefix_sum``), so no task gathers a source.
 
 Defined results: null text has size 0; null source is a source of its own,
-after all others; a null ``doc_id`` counts as the text 'null' for its block;
-repeated rows are each a document; empty table gives no rows; other columns,
+after all others; rows with a null ``doc_id`` are dealt to
+blocks by their text's hash (or row number); repeated rows are each a document; empty table gives no rows; other columns,
 whatever their names, are neither read nor returned.
 """
 
@@ -102,14 +102,18 @@ def splitting_tree(draws: DataFrame, levels: int, seed: str) -> DataFrame:
         F.sum("one").alias("quota"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", levels: int = SHARD_LEVELS) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken, repeats`` (whole
+def mix(docs: DataFrame, seed: str = "mix", levels: int = SHARD_LEVELS, row: str | None = None) -> DataFrame:
+    """One row per document: ``doc_id`` (and ``row``, a unique number of the row, if it is named), ``size, source_size, target, taken, repeats`` (whole
     copies taken), ``part`` (words of a further, partial copy), ``shards`` (the shard of
     each whole or partial copy, in order) and ``places`` (the shard of each copy and its place in it)."""
+    own = ["doc_id", row] if row else ["doc_id"]
+    # Rows without an id are told apart by their number or, without one, by their text.
+    no_id = F.concat(F.lit("null:"), F.col(row).cast("string") if row else F.md5(F.coalesce("text", F.lit(""))))
+    name = F.coalesce(F.col("doc_id").cast("string"), no_id)
     sizes = docs.select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"),
+        *own, F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"),
         F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"),
-        _md5(seed, "doc", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("key"))
+        _md5(seed, "doc", name).alias("key"))
     sizes = sizes.withColumn("block", F.substring("key", 1, BLOCK_DIGITS))
     # Text is read once; all later steps read these narrow rows.
     sizes = materialize(sizes, "mix-sizes")
@@ -140,7 +144,7 @@ def mix(docs: DataFrame, seed: str = "mix", levels: int = SHARD_LEVELS) -> DataF
     blocks = blocks.join(shards, ["src", "no_src", "block"], "left").drop("perm", "words")
 
     # Within a block documents are taken in the order of their hash; the last one in part.
-    inner = (Window.partitionBy("src", "no_src", "block").orderBy("key", "size", "doc_id")
+    inner = (Window.partitionBy("src", "no_src", "block").orderBy("key", "size", *own)
              .rowsBetween(Window.unboundedPreceding, -1))
     rows = sizes.join(blocks, ["src", "no_src", "block"]).withColumn(
         "before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
@@ -149,8 +153,8 @@ def mix(docs: DataFrame, seed: str = "mix", levels: int = SHARD_LEVELS) -> DataF
     n_here = (F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")
     rows = rows.withColumn("shards", F.slice(F.coalesce("shards", F.array().cast("array<int>")), 1, n_here))
     places = F.transform("shards", lambda shard, nth: F.struct(shard.alias("shard"), _md5(
-        seed, "place", shard, nth, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("place")))
+        seed, "place", shard, nth, F.col("key")).alias("place")))
     return rows.select(
-        "doc_id", "size", "source_size", "target",
+        *own, "size", "source_size", "target",
         (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
         F.col("passes").alias("repeats"), "part", "shards", places.alias("places"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precedent.llm.common import materialize
+from precedent.llm.common import materialize, packed
 
 WINDOW = 3
 #: A row's key, in the order of first places; ``doc_id`` is 0 where it is null.
@@ -64,7 +64,7 @@ def covered_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` less its covered lines, and ``_n_lines``, ``_n_removed``."""
+    """``docs`` with ``text`` less its covered lines, and ``_n_lines``, ``_n_removed`` (in place of columns so named)."""
     # Merged positions as one flag per line up to the last covered one: each covered line
     # ends a stretch of lines that stay, so the flags take one pass.
     stretch = ("transform(covered, (c, i) -> c - if(i = 0, -1, covered[i - 1]) - 1)")
@@ -73,11 +73,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                                        F.size("covered").alias("_n_covered"))
     same = ((F.col("doc_id").isNull() == F.col("_cover_no_id")) & (_text_hash() == F.col("_cover_th"))
             & (F.coalesce("doc_id", F.lit(0)) == F.col("_cover_doc_id")))
-    out = docs.join(cover, same, "left").drop(*[f"_cover_{k}" for k in KEY])
+    # Further columns travel in a struct, so that none can clash with those of this step.
+    out = packed(docs, "doc_id", "text").join(cover, same, "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     text = F.when(F.col("_flags").isNull(), F.col("text")).otherwise(F.expr(
         "array_join(filter(split(text, '\n', -1), "
         "(l, i) -> i >= size(_flags) or not _flags[i]), '\n')"))
-    return (out.withColumn("_n_lines", n_lines)
-            .withColumn("_n_removed", F.coalesce("_n_covered", F.lit(0)))
-            .withColumn("text", text).drop("_flags", "_n_covered"))
+    added = {"_n_lines": n_lines, "_n_removed": F.coalesce("_n_covered", F.lit(0))}
+    kept = [c for c in docs.columns if c not in added]
+    out = out.select("doc_id", text.alias("text"), "_row", *[v.alias(k) for k, v in added.items()])
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_row")[c].alias(c) for c in kept], *added)

@@ -64,3 +64,45 @@ def test_mixed_copies_lie_by_shard_and_place(spark):
     for r in corpus_pipeline.mix_sources(spark, docs, SF).withColumn("at", F.spark_partition_id()).collect():
         parts.setdefault(r.at, []).append(places[r.doc_id])
     assert sum(map(len, parts.values())) == 200 and all(p == sorted(p) for p in parts.values())
+
+
+def test_stages_keep_clashing_columns_and_every_row(spark):
+    """Null ids, one id on two texts, repeated rows and columns named like the stages' own."""
+    long = " ".join(f"tok{i}" for i in range(30))
+    rows = [(i, f"{long} own{i}", "en", "a", 9) for i in range(3)]
+    rows += [(None, f"no id {i % 2}\nsecond line {i}\nthird {i}", "en", None, 5) for i in range(6)]
+    rows += [(7, "one text here", "en", "b", 5), (7, "two texts under it", "de", "b", 5), (8, None, "en", "b", None),
+             (9, "", "en", "b", 0), (9, "", "en", "b", 0)]
+    names = ["th", "_flags", "_words", "_score", "_n_lines", "_row", "row", "size", "part", "places", "n", "key"]
+    docs = spark.createDataFrame([(*r, *[f"{k}:{i}" for i in range(len(names))]) for k, r in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, "
+                                 + ", ".join(f"{n} string" for n in names)).repartition(3)
+    given = {r["th"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        for r in got.collect():
+            whole = given[r["th"]]
+            assert [r[n] for n in names] == [whole[n] for n in names] and r.doc_id == whole.doc_id
+            assert name in ("mixing", "line_dedup") or r == whole
+        assert got.limit(0).columns == docs.columns
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert pack_total(spark, docs) == docs.count()
+
+
+def pack_total(spark, docs):
+    got = corpus_pipeline.pack_sequences(spark, docs, SF)
+    return got.where("start = 0").count()
+
+
+def test_mixing_without_ids_takes_what_the_mix_takes(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, f"w{i % 40} x y z v u t s r q", "en", "ab"[i % 2], 9) for i in range(200)]
+    rows += [(5, f"w{i} x y z v u t s r q", "en", "ab"[i % 2], 9) for i in range(200)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    words = F.sum(F.regexp_count("text", F.lit(r"\S+")))
+    targets = [r.target for r in op3_mix.mix(docs).select("source_size", "target").distinct().collect()]
+    got = [r[1] for r in corpus_pipeline.mix_sources(spark, docs, SF).groupBy("source").agg(words).collect()]
+    # Weights 1 and 2 of 3,800 words, whatever the ids.
+    total = docs.agg(words).first()[0]
+    assert sorted(map(round, targets)) == sorted(got) == [round(total / 3), round(total * 2 / 3)]
