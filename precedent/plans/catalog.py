@@ -32,6 +32,8 @@ from precedent.plans.registry import register
 from precedent.plans.sql_snippets import (bm25_ctes, clean, hash_cosine_cte, hash_vector_ctes,
                                           lit, na, ranked, rrf_cte, tokens, vector_cosine_cte)
 from precedent.schema import NO_MATCH_MESSAGE, RetrievalParams
+from precedent.session import shared_path
+from precedent.sources.files import csv_rejects, read_csv
 from precedent.sources.tables import read_table
 
 P = RetrievalParams()
@@ -419,6 +421,44 @@ def q01_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_records(_raw_case_records(cases(spark, sf_dir)))
 
 
+# ---------------------------------------------------------------- sources and stores
+CSV_FIELDS = {"ticket_id": "Ticket ID", "issue": "Issue", "description": "Description", "category": "Category",
+              "resolution": "Resolution", "agent_name": "Agent Name", "resolved": "Resolved"}
+
+
+@register("q37_csv_roundtrip", with_cases(
+    "SELECT ticket_id, issue, description, category, '' AS date, resolution, agent_name, resolved FROM cases"))
+def q37_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written as CSV, quoted line breaks included, and read back by byte ranges."""
+    path = shared_path(spark, "cases-csv")
+    (cases(spark, sf_dir).select(*[F.col(c).cast("string").alias(n) for c, n in CSV_FIELDS.items()])
+     .write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_csv(spark, path).drop("_source_file", "_row")
+
+
+@register("q39_rejects", """
+WITH marked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) + 1 AS line, doc_id % 40 AS g
+                FROM documents),
+bad AS (SELECT g, min(line) AS line FROM marked WHERE g % 8 = 3 AND doc_id % 7 = 2 GROUP BY g)
+SELECT 'group=' || g AS file, 'line ' || line || ' is not UTF-8' AS reason FROM bad""")
+def q39_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files made from all documents, some lines with a byte that UTF-8 does not have: each such file is
+    rejected with the first bad line, the others load (S7)."""
+    path = shared_path(spark, "rejects-csv")
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("group"))
+    bad = (F.col("group") % 8 == 3) & (F.col("doc_id") % 7 == 2)
+    # Text parts are written as they are, so bytes that are not UTF-8 stay.
+    value = F.concat(F.encode(F.col("doc_id").cast("string"), "UTF-8"), F.lit(b",n"),
+                     F.when(bad, F.lit(b"\xff")).otherwise(F.lit(b""))).cast("string")
+    head = rows.select("group").distinct().select("group", F.lit(None).cast("long").alias("doc_id"),
+                                                  F.lit("Ticket ID,Issue").alias("value"))
+    lines = head.unionByName(rows.select("group", "doc_id", value.alias("value")))
+    (lines.repartition(40, "group").sortWithinPartitions("group", F.asc_nulls_first("doc_id")).select("group", "value")
+     .write.partitionBy("group").text(path))
+    return csv_rejects(spark, path + "/*/*.txt").select(F.regexp_extract("source_file", r"(group=\d+)", 1).alias("file"), "reason")
+
+
 @register("q02_clean_text",
           f"SELECT doc_id, {clean('text')} AS clean_text FROM documents")
 def q02_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,8 @@ Each reader yields ``(rec map<string,string>, _source_file, _row)`` rows;
 cannot be read are not fatal: they go to a ``rejects(source_file, reason)``
 table and the other files still load (S7).
 
-* CSV: files are grouped by their header line (found with one distributed
-  pass over the first line of each file), then each group is one
-  ``spark.read.csv`` with ``multiLine`` (quoted newlines) and every column
-  read as text, by its place. Plans grow with the number of distinct headers,
-  not files.
+* CSV: ``csv_ranges`` cuts files into records, many tasks a file, quoted
+  newlines included; a file's header names its columns, read as text by place.
 * JSON: one row per file (whole text); the shape (list of records,
   index-oriented, column arrays, single object) is detected with
   ``from_json`` under four schemas and expanded with higher-order
@@ -38,10 +35,11 @@ from pyspark.sql import types as T
 from precedent.operators.normalize import normalize_records
 from precedent.schema import CASE_SCHEMA, REJECT_SCHEMA
 from precedent.session import materialize
+from precedent.sources.csv_ranges import csv_rows
 
 SOURCE_COLS = ["_source_file", "_row"]
 #: A quoted CSV field; commas inside it part no fields.
-QUOTED = r'"([^"]|"")*"'
+QUOTED = r'"[^"]*("|\z)'
 RECORD_SCHEMA = T.StructType([
     T.StructField("rec", T.MapType(T.StringType(), T.StringType())),
     T.StructField("_source_file", T.StringType()),
@@ -66,17 +64,6 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
 
 
 # ------------------------------------------------------------------ CSV
-def csv_headers(spark: SparkSession, pattern: str) -> list[tuple[str, str]]:
-    """(file, first line that is not blank) per CSV file; one row per file reaches the driver."""
-    lines = spark.read.text(pattern).select(
-        F.col("_metadata.file_path").alias("f"),
-        F.col("_metadata.file_block_start").alias("b"),
-        F.monotonically_increasing_id().alias("o"), "value")
-    first = lines.filter(F.col("b") == 0).groupBy("f").agg(
-        F.min_by("value", F.when(F.trim("value") != "", F.col("o"))).alias("h"))
-    return [(r["f"], r["h"]) for r in first.collect()]
-
-
 def _empty_files(spark: SparkSession, pattern: str) -> list[str]:
     """Files of no bytes, which Spark's readers pass over."""
     jvm = spark.sparkContext._jvm
@@ -98,49 +85,62 @@ def column_names(header: str) -> list[str]:
     return names
 
 
+def _header_names(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        names = [column_names(h) for h in batch.column("header").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("at"), pa.array(names, pa.list_(pa.string()))],
+                                         names=["f", "at", "names"])
+
+
 def _csv_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """Columns are read by place and named by the header, so names that differ only in
-    case stay apart. A file without a header, or with a row of more fields than its
-    header, is rejected whole; shorter rows are filled with NULL."""
+    """Columns are read by place and named by the file's header, so names that differ only in
+    case stay apart. A file without a header, with a row of more fields than its header, or with
+    bytes that are not UTF-8 is rejected whole; shorter rows are filled with NULL. Headers are a
+    table, a row a file; only the greatest number of columns reaches the driver."""
     if not _exists(spark, pattern):
         return _empty(spark, RECORD_SCHEMA), _empty(spark, REJECT_SCHEMA)
-    groups: dict[str, list[str]] = {}
-    bad = [(f, "no header line") for f in _empty_files(spark, pattern)]
-    for f, h in csv_headers(spark, pattern):
-        if h is None:
-            bad.append((f, "no header line"))
-        else:
-            groups.setdefault(h, []).append(f)
-    rejects = spark.createDataFrame(bad, REJECT_SCHEMA)
-    rows = None
-    for header, files in groups.items():
-        names = column_names(header)
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
-                              + [T.StructField("_raw", T.StringType())])
-        df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-              .option("escape", '"').option("columnNameOfCorruptRecord", "_raw").csv(files))
-        rec = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.col(f"c{i}"))])
-        # ``_raw`` is set where a row has more or fewer fields than the header.
-        fields = F.size(F.split(F.regexp_replace("_raw", QUOTED, ""), ",", -1))
-        part = df.select(rec.alias("rec"), F.col("_metadata.file_path").alias("_source_file"),
-                         F.monotonically_increasing_id().alias("_row"),
-                         (F.col("_raw").isNotNull() & (fields > len(names))).alias("_long"))
-        rows = part if rows is None else rows.unionByName(part)
-    if rows is None:
+    rows, states = csv_rows(spark, pattern)
+    first = rows.where(F.trim("text") != "").groupBy("f").agg(F.min(F.struct("row", "text")).alias("h"))
+    headers, width = materialize(
+        first.select("f", F.col("h.row").alias("at"), F.col("h.text").alias("header"))
+        .mapInArrow(_header_names, "f string, at long, names array<string>"), "csv-headers",
+        {"width": F.max(F.size("names"))})
+    files = states.groupBy("f").agg(F.min("bad_line").alias("bad_line"))
+    empty = spark.createDataFrame([(f, "no header line") for f in _empty_files(spark, pattern)], REJECT_SCHEMA)
+    rejects = empty.unionByName(files.join(headers, "f", "left_anti").where("bad_line is null").select(
+        F.col("f").alias("source_file"), F.lit("no header line").alias("reason")))
+    broken = files.where("bad_line is not null").select(F.col("f").alias("source_file"), F.concat(
+        F.lit("line "), F.col("bad_line").cast("string"), F.lit(" is not UTF-8")).alias("reason"))
+    rejects = rejects.unionByName(broken)
+    if not width["width"]:
         return _empty(spark, RECORD_SCHEMA), rejects
+    schema = ", ".join(f"c{i} string" for i in range(width["width"]))
+    parsed = F.from_csv("text", schema, {"escape": '"'})
+    fields = F.array(*[F.col("p")[f"c{i}"] for i in range(width["width"])])
+    n_fields = F.size(F.split(F.regexp_replace("text", QUOTED, ""), ",", -1))
+    data = rows.join(headers, "f").where("row > at").withColumn("p", parsed).select(
+        F.map_from_arrays("names", F.slice(fields, 1, F.size("names"))).alias("rec"),
+        F.col("f").alias("_source_file"), F.col("row").alias("_row"), (n_fields > F.size("names")).alias("_long"))
     # Parsed once; both results read the written rows.
-    rows = materialize(rows, "csv-records")
-    long = rows.where("_long").select("_source_file").distinct()
-    rejects = rejects.unionByName(long.select(
-        F.col("_source_file").alias("source_file"),
-        F.lit("row has more fields than the header").alias("reason")))
-    return rows.join(long, "_source_file", "left_anti").select("rec", "_source_file", "_row"), rejects
+    data = materialize(data, "csv-records")
+    long = data.where("_long").select("_source_file").distinct()
+    rejects = rejects.unionByName(long.join(broken, F.col("_source_file") == F.col("source_file"), "left_anti").select(
+        F.col("_source_file").alias("source_file"), F.lit("row has more fields than the header").alias("reason")))
+    out = long.unionAll(broken.select("source_file")).distinct()
+    return data.join(out, "_source_file", "left_anti").select("rec", "_source_file", "_row"), rejects
 
 
 def read_csv_records(spark: SparkSession, pattern: str) -> DataFrame:
     return _csv_records(spark, pattern)[0]
 
 
+def csv_rejects(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(source_file, reason)`` of the CSV files that cannot be read."""
+    return _csv_records(spark, pattern)[1]
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV(s) → normalised cases (S1 + P1)."""
     return normalize_records(read_csv_records(spark, _glob(path, ".csv")), keep=SOURCE_COLS)
