@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from precedent.operators import bm25
 from precedent.operators.dense import dense_topk
@@ -19,7 +20,7 @@ from precedent.functions.text import (choice_label, clean_text, dense_text, firs
                                       parse_label, sparse_text)
 from precedent.operators import render as R
 from precedent.operators.dedupe import latest_by_key
-from precedent.operators.embed import cache_misses, text_key
+from precedent.operators.embed import cache_misses, embed_cached, text_key
 from precedent.operators.evaluate import (category_agreement, containment_truth, hit_rank,
                                          hit_summary)
 from precedent.operators.filters import (MISSING_DESCRIPTION, MISSING_ISSUE, only_resolved,
@@ -31,10 +32,13 @@ from precedent.plans.recommend import neighbours, recommend, run_summary
 from precedent.plans.registry import register
 from precedent.plans.sql_snippets import (bm25_ctes, clean, hash_cosine_cte, hash_vector_ctes,
                                           lit, na, ranked, rrf_cte, tokens, vector_cosine_cte)
-from precedent.schema import NO_MATCH_MESSAGE, RetrievalParams
-from precedent.session import shared_path
+from precedent.schema import NEIGHBOUR_SCHEMA, NO_MATCH_MESSAGE, RetrievalParams
+from precedent.session import materialize, shared_path
 from precedent.sources.files import csv_rejects, read_csv
+from precedent.sources.index_store import load_index, upsert_index, write_index
+from precedent.sources.sinks import load_cache, number_results, save_cache, write_results_json
 from precedent.sources.tables import read_table
+from precedent.streaming.recommend_stream import NEW_TICKET_COLUMNS, recommend_stream
 
 P = RetrievalParams()
 SCORE_DIGITS = 6
@@ -254,23 +258,117 @@ def q23_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _case_results(spark, sf_dir).select("ticket_id", "recommendation")
 
 
-@register("q24_recommend", with_cases(
+_RECOMMEND_SQL = with_cases(
     "SELECT c.ticket_id, c.issue, c.category, CAST(r.n AS INTEGER) AS n_similar, "
     "coalesce(ids.neighbour_ids, '') AS neighbour_ids, r.recommendation, "
     "CAST(NULL AS VARCHAR) AS error FROM cases c JOIN rec r USING (ticket_id) "
     "LEFT JOIN (SELECT query_id, string_agg(ticket_id, ',' ORDER BY rank) AS neighbour_ids "
     "FROM nb GROUP BY query_id) ids ON ids.query_id = c.ticket_id",
-    *_nb_ctes(), _extractive_sql()))
+    *_nb_ctes(), _extractive_sql())
+
+
+@register("q24_recommend", _RECOMMEND_SQL)
 def q24_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch recommendation for every case: hybrid search → payload → prompt →
     generator, one set-based job (M5); flattened for comparison."""
-    res = _case_results(spark, sf_dir)
+    return _flat(_case_results(spark, sf_dir))
+
+
+def _flat(res: DataFrame) -> DataFrame:
     return res.select("ticket_id", "issue", "category",
                       F.size("similar_tickets").alias("n_similar"),
                       F.array_join(F.transform("similar_tickets", lambda x: x["ticket_id"]), ",")
                       .alias("neighbour_ids"), "recommendation", "error")
 
 
+@register("q40_results_json", _RECOMMEND_SQL)
+def q40_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of every case written as JSON Lines and read back (K3)."""
+    path = shared_path(spark, "results-json")
+    results = _case_results(spark, sf_dir)
+    write_results_json(results, path)
+    return _flat(spark.read.schema(results.schema).json(path))
+
+
+@register("q41_stream", _RECOMMEND_SQL)
+def q41_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case as a new ticket of a stream over CSV files, against a stored index: stopped after the first
+    half of the files and started again with the same checkpoint (M6)."""
+    root, incoming, out, state = (shared_path(spark, f"stream-{n}") for n in ("index", "incoming", "out", "state"))
+    write_index(build_case_index(cases(spark, sf_dir), params=P), root)
+    new = cases(spark, sf_dir).withColumn("half", F.col("conv_id") % 2)
+    columns = ["ticket_id", "issue", "description", "category", "date"]
+    for half in (0, 1):
+        (new.where(F.col("half") == half).select(*[F.col(c).alias(n) for c, n in zip(columns, NEW_TICKET_COLUMNS)])
+         .write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).mode("append").csv(incoming))
+        recommend_stream(spark, incoming, root, out, checkpoint=state, exclude_self=True,
+                         query_key="ticket_id").awaitTermination()
+    results = spark.read.schema(_results_schema()).json(f"{out}/batch_id=*")
+    return _flat(results)
+
+
+def _results_schema() -> T.StructType:
+    return T.StructType([*[T.StructField(c, T.StringType()) for c in ("ticket_id", "issue", "category", "recommendation",
+                                                                     "error")],
+                         T.StructField("similar_tickets", T.ArrayType(NEIGHBOUR_SCHEMA))])
+
+
+@register("q43_result_numbers", with_cases(
+    "SELECT ticket_id, row_number() OVER (ORDER BY ticket_id) AS result_no FROM cases"))
+def q43_result_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the results in the text report, by ticket id, without one task for all."""
+    return number_results(cases(spark, sf_dir)).select("ticket_id", F.col("result_no").cast("long").alias("result_no"))
+
+
+@register("q44_cache_roundtrip", "SELECT sha256(text) AS text_hash, CAST(1 AS BIGINT) AS n, CAST(CASE WHEN "
+          "bool_or(lang = 'en') THEN 1 ELSE 2 END AS BIGINT) AS written FROM documents WHERE text IS NOT NULL GROUP BY text")
+def q44_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An embedding cache filled from the English documents, then from all: each text is encoded once, in the
+    first or the second write (S10, K2, M2)."""
+    path = shared_path(spark, "cache")
+    docs = read_table(spark, sf_dir, "documents").where("text is not null")
+    for part in (docs.where("lang = 'en'"), docs):
+        _, new_rows = embed_cached(part.select("doc_id", "text"), "text", load_cache(spark, path))
+        save_cache(materialize(new_rows, "cache-rows"), path)
+        if part is not docs:
+            first = materialize(load_cache(spark, path).select("text_hash", F.lit(1).alias("early")), "cache-first")
+    cache = load_cache(spark, path).groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"))
+    return cache.join(first, "text_hash", "left").select(
+        "text_hash", "n", F.when(F.col("early") == 1, 1).otherwise(2).cast("long").alias("written"))
+
+
+@register("q45_index_upsert", with_cases(
+    f"SELECT query_id AS ticket_id, doc_id AS neighbour_id, rank, "
+    f"round(score, {SCORE_DIGITS}) + 0.0 AS score FROM ({ranked('fused', P.k)})", *_case_queries_sql()))
+def q45_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid top-3 on an index of which a third of the cases was replaced by an upsert."""
+    root = shared_path(spark, "upsert-index")
+    whole = materialize(cases(spark, sf_dir), "upsert-cases")
+    third = F.col("conv_id") % 3 == 0
+    before = whole.withColumn("description", F.when(third, F.reverse("description")).otherwise(F.col("description")))
+    write_index(build_case_index(before, params=P), root)
+    upsert_index(spark, root, build_case_index(whole.where(third), params=P))
+    index = load_index(spark, root)
+    hits = search(index.cases, index, query_vectors=index.vectors, exclude_self=True)
+    return hits.select(F.col("query_id").alias("ticket_id"), F.col("doc_id").alias("neighbour_id"), "rank", _score())
+
+
+class PromptClock:
+    """A generator that answers with its prompt's length, and the clock it moves: a sixteenth of a second for
+    each character beyond a multiple of 100."""
+
+    def __init__(self):
+        self.now = 0.0
+
+    def __call__(self):
+        return self.now
+
+    def generate(self, prompts):
+        self.now += sum(len(p) % 100 for p in prompts) / 16
+        return ThirdFails().generate(prompts)
+
+
 class ThirdFails:
     """A generator that answers with its prompt's length and fails where 3 divides it."""
 
@@ -313,6 +411,19 @@ def q42_generate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _generated(spark, sf_dir).select("ticket_id", "recommendation", "error")
 
 
+@register("q48_mean_seconds", with_cases(
+    "SELECT count(*) AS total, count(*) - count(g.error) AS succeeded, count(g.error) AS failed, "
+    "round(avg(CASE WHEN g.error IS NULL THEN CASE WHEN none THEN 0.0 ELSE round((n % 100) / 16.0, 2) END END), 6) "
+    "AS mean_seconds FROM gen g JOIN prompts USING (ticket_id)", *_generated_sql()))
+def q48_mean_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean seconds of the generator calls that succeeded, each call timed in its worker, rounded to 2 (A4)."""
+    index = build_case_index(cases(spark, sf_dir), params=P)
+    clock = PromptClock()
+    res = recommend(index.cases, index, query_vectors=index.vectors, exclude_self=True, query_key="ticket_id",
+                    generator=clock, clock=clock)
+    return run_summary(res).withColumn("mean_seconds", F.round("mean_seconds", 6))
+
+
 # Ticket ids that are missing for a third of the cases and shared by another third.
 _BLURRED = ("CASE CAST(substr({0}, 6) AS BIGINT) % 3 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'TWICE' "
             "ELSE {0} END")

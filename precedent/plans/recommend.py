@@ -29,11 +29,12 @@ def neighbours(queries: DataFrame, index: CaseIndex, **search_kw) -> DataFrame:
 
 
 def recommend(queries: DataFrame, index: CaseIndex, *, generator=None,
-              with_prompt: bool = False, query_key: str | None = None,
+              with_prompt: bool = False, query_key: str | None = None, clock=None,
               **search_kw) -> DataFrame:
     """One result row per query row (``query_key``: a column known to be unique, else row keys
     are assigned): query fields, ranked ``similar_tickets``, ``recommendation``,
-    nullable ``processing_time_seconds`` and ``error`` (M5)."""
+    nullable ``processing_time_seconds`` and ``error`` (M5). With a ``clock`` (``generate``) the seconds
+    are those of each row's generator call, rounded to 2; without one they stay NULL."""
     if query_key is None:
         # Every row is a query of its own, whatever its ticket id.
         query_key = "_query_key"
@@ -51,9 +52,10 @@ def recommend(queries: DataFrame, index: CaseIndex, *, generator=None,
         # One pass: rows without neighbours get the no-match text (M4)
         # without a generator call.
         res = generate(res.withColumn("_no_hits", F.size("similar_tickets") == 0), "prompt",
-                       generator, skip_col="_no_hits", fallback=NO_MATCH_MESSAGE) \
-            .drop("_no_hits")
-    res = res.withColumn("processing_time_seconds", F.lit(None).cast("double"))
+                       generator, skip_col="_no_hits", fallback=NO_MATCH_MESSAGE, clock=clock,
+                       seconds_col="_seconds").drop("_no_hits")
+    timed = F.round("_seconds", 2) if "_seconds" in res.columns else F.lit(None).cast("double")
+    res = res.withColumn("processing_time_seconds", timed)
     cols = RESULT_FIELDS + (["prompt"] if with_prompt else [])
     return res.select(*cols)
 

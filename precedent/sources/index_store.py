@@ -9,6 +9,13 @@ Layout under ``root``::
     versions/<version>/stats.json n_docs, avgdl, params
     _manifests/<version>.json     {"version": ...}  (newest name wins)
 
+An index is a list of segments, each the tables of one write; a case lives in the last segment
+that has its key, and load hides the rows of earlier ones (an anti-join with the later segments'
+keys; none for a single segment). ``upsert_index`` writes one new segment with the new cases only,
+and the term table, whose counts are the old ones less those of the replaced cases. A version with
+more than ``MAX_SEGMENTS`` is written anew as one segment. ``drop_old`` removes what no version of
+the last few needs.
+
 A rebuild writes a whole new version, then adds its manifest with a
 rename, so readers never see a half-written index and a shorter rebuild
 leaves no stale points (the index is replaced by ticket_id, not by list
@@ -25,12 +32,16 @@ import uuid
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from precedent.operators.bm25 import KeywordIndex
 from precedent.plans.case_index import CaseIndex
 from precedent.schema import RetrievalParams
+from precedent.session import materialize
 
 MANIFESTS = "_manifests"
+#: An upsert that would leave more segments merges them into one.
+MAX_SEGMENTS = 8
 
 
 class IndexNotFound(RuntimeError):
@@ -43,14 +54,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, p, _ = _fs(spark, path)
     out = fs.create(p, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
+def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p, jvm = _fs(spark, path)
     if not fs.exists(p):
         return None
@@ -65,56 +76,139 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(lines)
 
 
-def write_index(index: CaseIndex, root: str) -> str:
-    """Write every table of ``index`` as a new version and switch the manifest."""
-    spark = index.cases.sparkSession
-    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"  # sorts by creation time
-    vdir = f"{root.rstrip('/')}/versions/{version}"
-    index.cases.write.parquet(f"{vdir}/cases")
-    index.vectors.write.parquet(f"{vdir}/vectors")
-    index.keywords.postings.write.parquet(f"{vdir}/postings")
-    index.keywords.terms.write.parquet(f"{vdir}/terms")
-    stats = {"n_docs": index.keywords.n_docs, "avgdl": index.keywords.avgdl,
-             "has_group": index.keywords.has_group, "params": asdict(index.params),
-             "stop_words": list(index.keywords.stop_words), "key": index.key}
-    _write_text(spark, f"{vdir}/stats.json", json.dumps(stats))
+def _versions(root: str) -> str:
+    return f"{root.rstrip('/')}/versions"
+
+
+def _new_version() -> str:
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"  # sorts by creation time
+
+
+def _publish(spark: SparkSession, root: str, version: str, stats: dict) -> None:
+    write_text(spark, f"{_versions(root)}/{version}/stats.json", json.dumps(stats))
     # A new manifest file per version, renamed into place: readers take the
     # newest name, so there is never a moment without a valid manifest.
     mdir = f"{root.rstrip('/')}/{MANIFESTS}"
     tmp = f"{mdir}/.{version}.tmp"
-    _write_text(spark, tmp, json.dumps({"version": version}))
+    write_text(spark, tmp, json.dumps({"version": version}))
     fs, p_tmp, jvm = _fs(spark, tmp)
     fs.rename(p_tmp, jvm.org.apache.hadoop.fs.Path(f"{mdir}/{version}.json"))
+
+
+def _write_segment(index: CaseIndex, vdir: str) -> None:
+    index.cases.write.parquet(f"{vdir}/cases")
+    index.vectors.write.parquet(f"{vdir}/vectors")
+    index.keywords.postings.write.parquet(f"{vdir}/postings")
+
+
+def write_index(index: CaseIndex, root: str) -> str:
+    """Write every table of ``index`` as a new version of one segment and switch the manifest."""
+    spark = index.cases.sparkSession
+    version = _new_version()
+    vdir = f"{_versions(root)}/{version}"
+    _write_segment(index, vdir)
+    index.keywords.terms.write.parquet(f"{vdir}/terms")
+    stats = {"n_docs": index.keywords.n_docs, "avgdl": index.keywords.avgdl, "segments": [version],
+             "has_group": index.keywords.has_group, "params": asdict(index.params),
+             "stop_words": list(index.keywords.stop_words), "key": index.key}
+    _publish(spark, root, version, stats)
     return version
 
 
-def _current_version(spark: SparkSession, root: str) -> str | None:
+def upsert_index(spark: SparkSession, root: str, new: CaseIndex) -> str:
+    """Add the cases of ``new`` (an index over the new cases alone) to the index at ``root``; cases whose key
+    is there already are replaced. Only the new segment and the term table are written."""
+    old, stats = load_index(spark, root), _stats(spark, root)
+    if new.key != old.key:
+        raise ValueError(f"cases are keyed by {old.key}, the new ones by {new.key}")
+    keys = new.cases.select(F.col(new.key).alias("doc_id")).distinct()
+    gone = old.keywords.postings.join(keys, "doc_id", "left_semi")
+    per_term = materialize(gone.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")),
+                           "replaced-terms")
+    n_gone = old.cases.join(keys, F.col(old.key) == keys["doc_id"], "left_semi").count()
+    gone_terms = per_term.agg(F.sum("tf")).first()[0] or 0
+    counts = (old.keywords.terms.select("term", "df", "n_salts")
+              .unionByName(new.keywords.terms.select("term", "df", "n_salts"))
+              .unionByName(per_term.select("term", (-F.col("df")).alias("df"), F.lit(1).alias("n_salts"))))
+    # A posting keeps the salt of its segment; queries ask for all salts up to the greatest number.
+    terms = counts.groupBy("term").agg(F.sum("df").alias("df"), F.max("n_salts").alias("n_salts")).where("df > 0")
+    length = (round(old.keywords.n_docs * old.keywords.avgdl) - gone_terms
+              + round(new.keywords.n_docs * new.keywords.avgdl))
+    n_docs = old.keywords.n_docs - n_gone + new.keywords.n_docs
+    version = _new_version()
+    vdir = f"{_versions(root)}/{version}"
+    _write_segment(new, vdir)
+    terms.write.parquet(f"{vdir}/terms")
+    stats |= {"n_docs": n_docs, "avgdl": length / n_docs if n_docs else 0.0,
+              "segments": [*stats["segments"], version]}
+    _publish(spark, root, version, stats)
+    if len(stats["segments"]) > MAX_SEGMENTS:
+        return write_index(load_index(spark, root), root)
+    return version
+
+
+def drop_old(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Remove the manifests before the last ``keep`` and the folders that none of these needs."""
+    names = _manifest_names(spark, root)
+    needed: set[str] = set()
+    for name in names[-keep:]:
+        needed |= {name, *_stats(spark, root, name)["segments"]}
+    fs, p, jvm = _fs(spark, _versions(root))
+    gone = sorted({st.getPath().getName() for st in fs.listStatus(p)} - needed)
+    for name in names[:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{MANIFESTS}/{name}.json"), False)
+    for name in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{_versions(root)}/{name}"), True)
+    return gone
+
+
+def _manifest_names(spark: SparkSession, root: str) -> list[str]:
     fs, p, _ = _fs(spark, f"{root.rstrip('/')}/{MANIFESTS}")
     if not fs.exists(p):
-        return None
+        return []
     names = [st.getPath().getName() for st in fs.listStatus(p)]
-    names = sorted(n for n in names if n.endswith(".json") and not n.startswith("."))
-    if not names:
-        return None
-    return json.loads(_read_text(spark, f"{root.rstrip('/')}/{MANIFESTS}/{names[-1]}"))["version"]
+    return sorted(n.removesuffix(".json") for n in names if n.endswith(".json") and not n.startswith("."))
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    names = _manifest_names(spark, root)
+    return json.loads(read_text(spark, f"{root.rstrip('/')}/{MANIFESTS}/{names[-1]}.json"))["version"] if names else None
 
 
 def index_exists(spark: SparkSession, root: str) -> bool:
-    return _current_version(spark, root) is not None
+    return current_version(spark, root) is not None
 
 
-def load_index(spark: SparkSession, root: str) -> CaseIndex:
-    """The current version; a missing index is an explicit error."""
-    version = _current_version(spark, root)
+def _stats(spark: SparkSession, root: str, version: str | None = None) -> dict:
+    version = version or current_version(spark, root)
     if version is None:
         raise IndexNotFound(f"no case index at {root}; build it first")
-    vdir = f"{root.rstrip('/')}/versions/{version}"
-    stats = json.loads(_read_text(spark, f"{vdir}/stats.json"))
-    kw = KeywordIndex(spark.read.parquet(f"{vdir}/postings"), spark.read.parquet(f"{vdir}/terms"),
+    stats = json.loads(read_text(spark, f"{_versions(root)}/{version}/stats.json"))
+    return {"segments": [version], **stats, "version": version}
+
+
+def load_index(spark: SparkSession, root: str, version: str | None = None) -> CaseIndex:
+    """The current version (or the one named); a missing index is an explicit error."""
+    stats = _stats(spark, root, version)
+    segments, key = stats["segments"], stats.get("key", "ticket_id")
+
+    def table(name: str, id_col: str) -> DataFrame:
+        """Rows of all segments whose key no later segment has."""
+        out, later = None, None
+        for seg in reversed(segments):
+            rows = spark.read.parquet(f"{_versions(root)}/{seg}/{name}")
+            if later is not None:
+                rows = rows.join(later.withColumnRenamed("_key", id_col), id_col, "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+            if seg != segments[0]:
+                keys = spark.read.parquet(f"{_versions(root)}/{seg}/cases").select(F.col(key).alias("_key"))
+                later = keys if later is None else later.unionAll(keys)
+        return out
+
+    kw = KeywordIndex(table("postings", "doc_id"), spark.read.parquet(f"{_versions(root)}/{stats['version']}/terms"),
                       int(stats["n_docs"]), float(stats["avgdl"]), bool(stats["has_group"]),
                       tuple(stats.get("stop_words", [])))
-    return CaseIndex(spark.read.parquet(f"{vdir}/cases"), spark.read.parquet(f"{vdir}/vectors"),
-                     kw, RetrievalParams(**stats["params"]), stats.get("key", "ticket_id"))
+    return CaseIndex(table("cases", key), table("vectors", key), kw, RetrievalParams(**stats["params"]), key)
 
 
 def point_count(index: CaseIndex) -> int:
