@@ -442,7 +442,8 @@ def _settle(linker: _Linker, members: DataFrame):
     for turn in range(STARS):
         # Buckets with members outside their first centre's component, and how many.
         main = linker.roots.select(F.col("cid").alias("centre"), F.col("root").alias("main"))
-        now = linker.rooted(starred).join(main, "centre", "left").withColumn("main", F.coalesce("main", "centre"))
+        now = materialize(linker.rooted(starred).join(main, "centre", "left").withColumn(
+            "main", F.coalesce("main", "centre")), "minhash-rooted")      # read twice
         out = now.groupBy("key").agg(F.sum((F.col("root") != F.col("main")).cast("int")).alias("out")).where("out > 0")
         now, stat = materialize(now.join(out, "key"), "minhash-open", {"n": F.count(F.lit(1))})
         if not stat["n"]:
