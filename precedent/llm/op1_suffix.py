@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from precedent.llm.suffixes import anchored_runs, repeated_starts
 from precedent.llm.common import materialize, n_partitions, small_batches, spread
 
 LENGTH = 400
@@ -72,8 +73,6 @@ def stretches(parts: DataFrame, length: int, gram: int) -> DataFrame:
         import numpy as np
         import xxhash
 
-        from precedent.llm.suffixes import anchored_runs
-
         for batch in small_batches(batches, "raw"):
             cols = [[] for _ in schema]
             for doc, th, base, raw in zip(*[batch.column(c).to_pylist() for c in ("doc", "th", "base", "raw")]):
@@ -123,8 +122,6 @@ def sorted_bins(cut: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
     def solve(strings):
         import numpy as np
 
-        from precedent.llm.suffixes import repeated_starts
-
         data = np.frombuffer(b"".join(s[-1] for s in strings), np.uint8)
         sizes = np.array([len(s[-1]) for s in strings])
         base = np.cumsum(sizes) - sizes
