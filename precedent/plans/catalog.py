@@ -28,6 +28,7 @@ from precedent.operators.filters import (MISSING_DESCRIPTION, MISSING_ISSUE, onl
 from precedent.operators.lookup import lookup_case
 from precedent.operators.normalize import normalize_records
 from precedent.operators.stats import category_counts, index_stats, resolution_counts
+from precedent.operators.verbatim import verbatim_truth
 from precedent.plans.recommend import neighbours, recommend, run_summary
 from precedent.plans.registry import register
 from precedent.plans.sql_snippets import (bm25_ctes, clean, hash_cosine_cte, hash_vector_ctes,
@@ -706,6 +707,27 @@ def q25_hit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("item_id", "doc_id", "rank", "hit")
 
 
+# The first word, two words cut inside, and the first run of symbols.
+_SLICES = {"word": r"^\S+", "cut": r"\S\s+\S{1,3}", "symbols": r"[^\p{L}\p{N}\s]+"}
+
+
+@register("q46_short_passages", "WITH slices AS (" + " UNION ALL ".join(
+    f"SELECT item_id || ':{kind}' AS passage_id, regexp_extract(text, '{pattern}') AS passage FROM benchmark"
+    for kind, pattern in _SLICES.items()) + ")\n"
+    "SELECT s.passage_id, count(DISTINCT d.doc_id) AS n_docs, min(d.doc_id) AS first_doc FROM slices s "
+    "JOIN documents d ON contains(d.text, s.passage) WHERE s.passage <> '' GROUP BY s.passage_id")
+def q46_short_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold each short slice of the benchmark passages verbatim: one word, two cut words, or
+    symbols only, which no term index finds (A7)."""
+    bench = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    slices = bench.select(F.explode(F.array(*[
+        F.struct(F.concat(F.col("item_id").cast("string"), F.lit(f":{kind}")).alias("passage_id"),
+                 F.regexp_extract("text", pattern, 0).alias("passage"))
+        for kind, pattern in _SLICES.items()])).alias("s")).select("s.*")
+    truth = verbatim_truth(slices, "passage_id", "passage", read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return truth.groupBy("passage_id").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
 @register("q26_category_agreement", with_cases(
     "SELECT query_id AS ticket_id, count(*) FILTER (WHERE n.category = q.category) "
     "AS same_category, count(*) AS neighbours, "
