@@ -35,7 +35,7 @@ from precedent.plans.sql_snippets import (bm25_ctes, clean, hash_cosine_cte, has
                                           lit, na, ranked, rrf_cte, tokens, vector_cosine_cte)
 from precedent.schema import NEIGHBOUR_SCHEMA, NO_MATCH_MESSAGE, RetrievalParams
 from precedent.session import materialize, shared_path
-from precedent.sources.files import csv_rejects, read_csv
+from precedent.sources.files import csv_rejects, read_csv, read_json
 from precedent.sources.index_store import load_index, upsert_index, write_index
 from precedent.sources.sinks import load_cache, number_results, save_cache, write_results_json
 from precedent.sources.tables import read_table
@@ -549,6 +549,34 @@ def q37_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path).drop("_source_file", "_row")
 
 
+@register("q38_json_shapes", with_cases(
+    "SELECT ticket_id, issue, description, category, '' AS date, resolution, agent_name, resolved FROM cases"))
+def q38_json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written as JSON files of the four shapes (lists, index-oriented, column arrays, single objects) and
+    read back, lists by byte ranges (S3-S6, P1)."""
+    path = shared_path(spark, "cases-json")
+    rec = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in CSV_FIELDS.items()])
+    h = F.xxhash64("ticket_id")
+    # One case in 50 is a file of its own; the others lie some 500 to a file.
+    rows = cases(spark, sf_dir).select(
+        rec.alias("rec"), F.when(F.pmod(h, F.lit(50)) == 0, "object").otherwise(
+            F.element_at(F.array(*[F.lit(x) for x in ("records", "indexed", "columns")]),
+                         (F.pmod(h, F.lit(3)) + 1).cast("int"))).alias("shape"), "ticket_id")
+    rows, stat = materialize(rows, "cases-shaped", {"n": F.count(F.lit(1))})
+    part = F.when(F.col("shape") == "object", F.col("ticket_id")).otherwise(
+        F.pmod(F.xxhash64("ticket_id", F.lit(1)), F.lit(stat["n"] // 1500 + 1)).cast("string"))
+    files = rows.groupBy("shape", part.alias("part")).agg(F.collect_list("rec").alias("recs"))
+    names = list(CSV_FIELDS.values())
+    index = F.transform(F.sequence(F.lit(0), F.size("recs") - 1), lambda i: i.cast("string"))
+    columns = F.struct(*[F.col("recs")[n].alias(n) for n in names])
+    indexed = F.struct(*[F.map_from_arrays(index, F.col("recs")[n]).alias(n) for n in names])
+    text = (F.when(F.col("shape") == "records", F.to_json("recs")).when(F.col("shape") == "indexed", F.to_json(indexed))
+            .when(F.col("shape") == "columns", F.to_json(columns)).otherwise(F.to_json(F.col("recs")[0])))
+    (files.select(F.concat_ws("-", "shape", F.xxhash64("part").cast("string")).alias("file"), text.alias("value"))
+     .write.partitionBy("file").text(path))
+    return read_json(spark, path + "/*/*.txt").drop("_source_file", "_row")
+
+
 @register("q39_rejects", """
 WITH marked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) + 1 AS line, doc_id % 40 AS g
                 FROM documents),

@@ -7,10 +7,10 @@ table and the other files still load (S7).
 
 * CSV: ``csv_ranges`` cuts files into records, many tasks a file, quoted
   newlines included; a file's header names its columns, read as text by place.
-* JSON: one row per file (whole text); the shape (list of records,
-  index-oriented, column arrays, single object) is detected with
-  ``from_json`` under four schemas and expanded with higher-order
-  functions.
+* JSON: ``json_ranges`` cuts lists of records into elements, many tasks a
+  file; files of the other shapes (index-oriented, column arrays, single
+  object) are one value each, detected with ``from_json`` under three
+  schemas and expanded with higher-order functions.
 * JSON Lines (``*.jsonl``): one object per line, read as splittable text;
   the scale path for very large inputs.
 * XLSX: ``binaryFile`` + ``mapInPandas``; each workbook is parsed in the
@@ -36,6 +36,7 @@ from precedent.operators.normalize import normalize_records
 from precedent.schema import CASE_SCHEMA, REJECT_SCHEMA
 from precedent.session import materialize
 from precedent.sources.csv_ranges import csv_rows
+from precedent.sources.json_ranges import json_elements
 
 SOURCE_COLS = ["_source_file", "_row"]
 #: A quoted CSV field; commas inside it part no fields.
@@ -148,14 +149,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 # ------------------------------------------------------------------ JSON
 def _json_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
-    raw = spark.read.text(pattern, wholetext=True).select(
-        F.col("_metadata.file_path").alias("_source_file"), "value")
+    """Arrays of objects are cut by byte ranges, many tasks a file; the other shapes are one value a file."""
+    elements, broken, single = json_elements(spark, pattern)
+    # Parsed once; records and rejects read the written rows.
+    listed = materialize(elements.select("f", "row", F.from_json("text", "map<string,string>").alias("rec")), "json-list")
+    broken = broken.unionAll(listed.where("rec is null").select("f")).distinct()
+    raw = single.select(F.col("f").alias("_source_file"), "value")
     v = F.col("value")
-    arr = F.from_json(v, "array<map<string,string>>")
     idx = F.from_json(v, "map<string,map<string,string>>")
     cols = F.from_json(v, "map<string,array<string>>")
     obj = F.from_json(v, "map<string,string>")
-    parsed = raw.select("_source_file", arr.alias("arr"), idx.alias("idx"),
+    parsed = raw.select("_source_file", idx.alias("idx"),
                         cols.alias("cols"), obj.alias("obj"), F.try_parse_json(v).alias("any"))
     names_i = F.map_keys("idx")
     first_i = F.element_at("idx", F.element_at(names_i, 1))
@@ -181,8 +185,7 @@ def _json_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
         """All values have the type asked for; a null among them makes the file one record."""
         return F.col(c).isNotNull() & (F.size(c) > 0) & F.forall(F.map_values(c), lambda x: x.isNotNull())
 
-    kind = (F.when(F.col("arr").isNotNull(), "records")
-            .when(whole("idx"), "indexed")
+    kind = (F.when(whole("idx"), "indexed")
             .when(whole("cols"), "columns")
             .when(F.col("obj").isNotNull() & (F.size("obj") == 0), "empty")
             .when(F.col("obj").isNotNull() & obj_nested, "mixed")
@@ -197,18 +200,27 @@ def _json_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
         .when((F.col("kind") == "columns") & col_short, F.lit("column shorter than the first")))
     good = shaped.filter(F.col("reason").isNull()).withColumn(
         "records",
-        F.when(F.col("kind") == "records", F.col("arr"))
-        .when(F.col("kind") == "indexed", idx_rows)
+        F.when(F.col("kind") == "indexed", idx_rows)
         .when(F.col("kind") == "columns", col_rows)
         .when(F.col("kind") == "object", F.array(F.col("obj")))
         .otherwise(F.array().cast("array<map<string,string>>")))
     recs = good.select("_source_file", F.posexplode("records").alias("_row", "rec")) \
         .select("rec", "_source_file", F.col("_row").cast("long"))
+    recs = recs.unionByName(listed.join(broken, "f", "left_anti").select(
+        "rec", F.col("f").alias("_source_file"), F.col("row").alias("_row")))
     rejects = shaped.filter(F.col("reason").isNotNull()) \
         .select(F.col("_source_file").alias("source_file"), "reason")
+    rejects = rejects.unionByName(broken.select(
+        F.col("f").alias("source_file"), F.lit("not a JSON object or list of objects").alias("reason")))
     return recs, rejects
 
 
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON file(s) of any of the four shapes → normalised cases (S3-S6 + P1); ``path`` is a folder or a pattern."""
+    records = _json_records(spark, path if "*" in path else _glob(path, ".json"))[0]
+    return normalize_records(records, keep=SOURCE_COLS)
+
+
 def _jsonl_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
     """JSON Lines: one object per line, read line by line (splittable, the
     scale path); a line that is not an object becomes a reject."""
