@@ -70,8 +70,12 @@ class TokenEncoder:
     space that stands between two characters that are not white space, and it
     merges only within pieces.  So a text is cut at those spaces, each distinct
     cut is encoded once per worker, and a text's ids are the concatenation.
-    Texts where a space touches other white space are encoded whole.  The memo
-    is emptied when it holds ``max_words`` cuts; that changes speed only.
+    Texts where a space touches other white space are encoded whole.
+
+    Cuts are told apart per batch by Arrow's dictionary encoding, so the memo is
+    asked once for each distinct cut of a batch, and ids are put together by one
+    ``take``.  The memo is two generations of at most ``max_words / 2`` cuts: when
+    the young one is full it becomes the old one, and a cut found there moves back.
     """
 
     def __init__(self, path: str, max_words: int = 1_200_000):
@@ -85,6 +89,7 @@ class TokenEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.max_words = max_words
         self.memo: dict[str, bytes] = {}        # key: a cut without its leading space
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         # U+0120 stands for the space byte in byte-level vocabularies.
@@ -103,39 +108,53 @@ class TokenEncoder:
                 at = (4 * self.np.flatnonzero(self.spaced[self.np.frombuffer(data, "<u4")])).tolist() + [len(data)]
                 yield from (data[i:j] for i, j in zip(at, at[1:]))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memo) > self.max_words:
-            self.memo.clear()
-        memo, cuts, whole = self.memo, [], []
-        new: set[str] = set()
-        for i, text in enumerate(texts):
-            cuts.append(None)
-            if not text:
-                continue
-            first, *rest = text.split(" ")
-            ids = list(map(memo.get, rest))
-            missing = {w for w, found in zip(rest, ids) if found is None} if None in ids else ()
-            # Cuts that touch white space are never in the memo, so the missing ones tell.
-            if first[-1:].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w in missing):
-                whole.append(i)
-                continue
-            if missing:
-                new.update(missing)
-                ids = None
-            cuts[i] = (first, rest, ids)
-        new_list = list(new)
-        memo.update(zip(new_list, self._encode_cuts(new_list)))
-        firsts = [i for i, c in enumerate(cuts) if c is not None and c[0]]
-        starts = dict(zip(firsts, self._encode([cuts[i][0] for i in firsts])))
-        wholes = dict(zip(whole, self._encode([texts[i] for i in whole])))
-        out = []
-        for i, c in enumerate(cuts):
-            if c is None:
-                out.append(wholes.get(i, b""))
-            else:
-                first, rest, ids = c
-                out.append(starts.get(i, b"") + b"".join(ids or map(memo.__getitem__, rest)))
-        return out
+    def _cut_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of " " + word for each of the distinct ``words``."""
+        if len(self.memo) > self.max_words // 2:
+            self.memo, self.older = {}, self.memo
+        ids = list(map(self.memo.get, words))
+        missing = [i for i, found in enumerate(ids) if found is None]
+        for i, found in zip(missing, [self.older.get(words[i]) for i in missing]):
+            if found is not None:
+                ids[i] = self.memo[words[i]] = found
+        missing = [i for i in missing if ids[i] is None]
+        for i, found in zip(missing, self._encode_cuts([words[i] for i in missing])):
+            ids[i] = self.memo[words[i]] = found
+        return ids
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        np, pc = self.np, pa.compute
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        col = pc.fill_null(col.cast(pa.large_string()), "")
+        if not len(col):
+            return []
+        cuts = pc.split_pattern(col, " ")
+        words = cuts.flatten().dictionary_encode()
+        place = np.asarray(words.indices).astype("i8")              # of each cut in the dictionary
+        starts = np.asarray(cuts.offsets).astype("i8")
+        starts, ends = starts[:-1] - starts[0], starts[1:] - starts[0]
+        distinct = words.dictionary.to_pylist()
+        is_first = np.zeros(len(place), dtype=bool)
+        is_first[starts] = True
+        # A cut that is empty or begins or ends with white space: its text is encoded whole.
+        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in distinct), bool, len(distinct))
+        firsts = [distinct[i] for i in place[starts].tolist()]
+        whole = np.logical_or.reduceat(odd[place] & ~is_first, starts)
+        whole |= np.fromiter((w[-1:].isspace() for w in firsts), bool, len(firsts))
+        asked = np.zeros(len(distinct), dtype=bool)
+        asked[place[~is_first & ~np.repeat(whole, ends - starts)]] = True
+        asked = np.flatnonzero(asked).tolist()
+        # Pieces: a cut each, the empty one, then the first cut of each text or the text.
+        pieces = [b""] * (len(distinct) + 1)
+        for i, ids in zip(asked, self._cut_ids([distinct[i] for i in asked])):
+            pieces[i] = ids
+        pieces += self._encode([col[i].as_py() if w else firsts[i] for i, w in enumerate(whole.tolist())])
+        place[np.repeat(whole, ends - starts)] = len(distinct)
+        place[starts] = len(distinct) + 1 + np.arange(len(col))
+        joined = pa.array(pieces, pa.large_binary()).take(pa.array(place))
+        at = np.frombuffer(joined.buffers()[1], "<i8")
+        data = memoryview(joined.buffers()[2] or b"")
+        return [bytes(data[i:j]) for i, j in zip(at[starts].tolist(), at[ends].tolist())]
 
 
 def token_encoder(path: str) -> TokenEncoder:

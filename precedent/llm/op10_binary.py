@@ -144,7 +144,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 files.create_dir(inner.rpartition("/")[0], recursive=True)
                 writer = FrameWriter(files.open_output_stream(inner, compression=None))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(),
-                                   encoder.encode(batch.column("text").to_pylist())):
+                                   encoder.encode(batch.column("text"))):
                 writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()

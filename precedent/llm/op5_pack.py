@@ -95,7 +95,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
         for batch in small_batches(batches, "text"):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(),
-                                   encoder.encode(batch.column("text").to_pylist())):
+                                   encoder.encode(batch.column("text"))):
                 ids += end
                 total, at = len(ids) // 4, 0
                 while at < total:
