@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,7 +124,7 @@ class TokenEncoder:
         return ids
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
-        np, pc = self.np, pa.compute
+        np = self.np
         col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         col = pc.fill_null(col.cast(pa.large_string()), "")
         if not len(col):
@@ -165,7 +166,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int =
     """Slices of the batches holding about ``max_bytes`` of text each (one row at least),
     so that a task's memory is bounded by its longest text, not by rows per batch."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy()
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
         at, total = 0, 0
         for i, n in enumerate(lengths):
             if total and total + n > max_bytes:
