@@ -5,20 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from precedent.session import materialize
+
+#: Hits of at most this many bytes are broadcast to the payload scan.
+HITS_BROADCAST_BYTES = 256 << 20
+# Score, rank and the row's share of the hash table, beside the two ids.
+_HIT_BYTES = 64
 
 NEIGHBOUR_FIELDS = ["ticket_id", "issue", "description", "category", "resolution",
                     "agent_name", "resolved"]
 
 
-def hydrate(hits: DataFrame, cases: DataFrame, *, key: str = "ticket_id") -> DataFrame:
+def hydrate(hits: DataFrame, cases: DataFrame, *, key: str = "ticket_id",
+            max_broadcast_bytes: int = HITS_BROADCAST_BYTES) -> DataFrame:
     """hits(query_id, doc_id, score, rank) ⋈ cases on ``key`` → neighbour rows.
 
     Ranking ran on ids only; the payload is joined to at most k rows per
-    query. The hits come out of a shuffle (the top-k window), so adaptive
-    execution knows their exact size at run time and turns the join into a
-    broadcast join when they are small; otherwise both sides shuffle on the
-    key. Counting the hits up front would run the whole search twice.
+    query. The hits are written once and their bytes summed on the way; when
+    they fit ``max_broadcast_bytes`` they are broadcast and the payload is
+    scanned where it lies, without an exchange. Larger hits meet it in a
+    shuffle join on the key, which adaptive execution splits at a hot case.
     """
+    ids = F.coalesce(F.octet_length(F.col("query_id").cast("string")), F.lit(0)) \
+        + F.coalesce(F.octet_length(F.col("doc_id").cast("string")), F.lit(0))
+    hits, size = materialize(hits.select("query_id", "doc_id", "score", "rank"), "hits",
+                             {"bytes": F.sum(ids + F.lit(_HIT_BYTES))})
+    if (size["bytes"] or 0) <= max_broadcast_bytes:
+        hits = F.broadcast(hits)
     payload = cases.select(F.col(key).alias("doc_id"),
                            *[F.col(c) for c in NEIGHBOUR_FIELDS if c != key])
     out = payload.join(hits, "doc_id")

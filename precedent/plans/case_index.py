@@ -28,6 +28,31 @@ class CaseIndex:
     keywords: bm25.KeywordIndex      # postings over issue + ' ' + description
     params: RetrievalParams
     key: str = "ticket_id"           # column that identifies a case in all three tables
+    category_parts: int = 0          # folders that vectors and postings are stored in, by category (0: one)
+
+
+#: Partition column of a stored index whose vectors and postings lie in folders by category.
+PART = "_category_part"
+
+
+def category_part(category: str, parts: int):
+    """The folder of a category: a hash, so that any number of categories, empty and odd names fit ``parts`` folders."""
+    return F.pmod(F.xxhash64(category), F.lit(parts)).cast("int")
+
+
+def pruned(index: CaseIndex, queries: DataFrame) -> CaseIndex:
+    """``index`` reduced to the folders of the queries' categories, by a partition filter: the others are neither
+    listed for reading nor read. At most ``category_parts`` + 1 numbers reach the driver. A query without a
+    category searches every case, so with one in the batch nothing is left out."""
+    if not index.category_parts:
+        return index
+    part = F.when(F.col("category").isNotNull(), category_part("category", index.category_parts))
+    asked = {r[0] for r in queries.select(part).distinct().collect()}
+    if None in asked:
+        return index
+    keep = F.col(PART).isin(sorted(asked))
+    return replace(index, vectors=index.vectors.where(keep),
+                   keywords=replace(index.keywords, postings=index.keywords.postings.where(keep)))
 
 
 def with_texts(cases: DataFrame) -> DataFrame:
@@ -79,13 +104,16 @@ def search(queries: DataFrame, index: CaseIndex, *, query_vectors: DataFrame | N
     """(query_id, doc_id, score, rank) best neighbours per query case.
 
     ``category_filter`` restricts a query with a non-NULL category to cases of
-    that category (F2). ``dense_only`` is the fallback without the keyword
+    that category (F2), and reads only the folders of the asked categories where
+    the index is stored by category. ``dense_only`` is the fallback without the keyword
     list (J4). ``exclude_self`` drops the query's own id from its results.
     ``query_key`` names the column that is unique per query; ``fetch`` overrides
     the 2k candidates taken from each list.
     """
     p = index.params if k is None else replace(index.params, k=k)
     p = p if fetch is None else replace(p, candidates_per_list=fetch)
+    if category_filter:
+        index = pruned(index, queries)
     q = with_texts(queries)
     if query_vectors is not None:
         qv = query_vectors

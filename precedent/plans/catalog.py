@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from precedent.operators import bm25
 from precedent.operators.dense import dense_topk
 from precedent.operators.embed import hash_embed_sparse
-from precedent.plans.case_index import build_case_index, case_vectors, search
-from precedent.plans.fixtures import cases, with_cases
+from precedent.plans.case_index import build_case_index, case_vectors, pruned, search
+from precedent.plans.fixtures import CATEGORIES, cases, with_cases
 from precedent.functions.text import (choice_label, clean_text, dense_text, first_line,
                                       parse_label, sparse_text)
 from precedent.operators import render as R
@@ -850,3 +850,24 @@ def q33_hybrid_category(spark: SparkSession, sf_dir: str) -> DataFrame:
                   category_filter=True)
     return hits.select(F.col("query_id").alias("ticket_id"),
                        F.col("doc_id").alias("neighbour_id"), "rank", _score())
+
+
+@register("q47_category_pruned", with_cases(
+    f"SELECT f.query_id AS ticket_id, f.rank, n.ticket_id AS neighbour_id, n.category, n.issue, n.resolution, "
+    f"round(f.score, {SCORE_DIGITS}) + 0.0 AS score FROM ({ranked('fused', P.k)}) f "
+    "JOIN cases n ON n.ticket_id = f.doc_id",
+    *_category_sql()))
+def q47_category_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases of each category as a batch of their own against an index stored by category: each batch reads
+    the folders of its category alone, and the payload is scanned without an exchange (F2, J5, S9)."""
+    root = shared_path(spark, "category-index")
+    write_index(build_case_index(cases(spark, sf_dir), params=P), root, category_parts=16)
+    index = load_index(spark, root)
+    out = None
+    for category in CATEGORIES:
+        own = F.col("category") == category
+        found = neighbours(index.cases.where(own), index, query_vectors=pruned(index, index.cases.where(own))
+                           .vectors.where(own), exclude_self=True, category_filter=True)
+        out = found if out is None else out.unionByName(found)
+    return out.select(F.col("query_id").alias("ticket_id"), "rank", F.col("ticket_id").alias("neighbour_id"),
+                      "category", "issue", "resolution", F.round("similarity_score", SCORE_DIGITS).alias("score"))

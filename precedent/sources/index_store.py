@@ -16,6 +16,9 @@ and the term table, whose counts are the old ones less those of the replaced cas
 more than ``MAX_SEGMENTS`` is written anew as one segment. ``drop_old`` removes what no version of
 the last few needs.
 
+With ``category_parts`` the vectors and postings of every segment lie in that many folders by a hash of
+the category, so that a search within categories reads the folders of these alone.
+
 A rebuild writes a whole new version, then adds its manifest with a
 rename, so readers never see a half-written index and a shorter rebuild
 leaves no stale points (the index is replaced by ticket_id, not by list
@@ -34,8 +37,10 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from precedent.operators.bm25 import KeywordIndex
-from precedent.plans.case_index import CaseIndex
+from precedent.plans.case_index import PART, CaseIndex, category_part
 from precedent.schema import RetrievalParams
 from precedent.session import materialize
 
@@ -95,22 +100,38 @@ def _publish(spark: SparkSession, root: str, version: str, stats: dict) -> None:
     fs.rename(p_tmp, jvm.org.apache.hadoop.fs.Path(f"{mdir}/{version}.json"))
 
 
-def _write_segment(index: CaseIndex, vdir: str) -> None:
+def _write_segment(index: CaseIndex, vdir: str, parts: int) -> dict:
+    """Write the tables; returns the schemas of those in folders, which an empty table could not tell."""
     index.cases.write.parquet(f"{vdir}/cases")
-    index.vectors.write.parquet(f"{vdir}/vectors")
-    index.keywords.postings.write.parquet(f"{vdir}/postings")
-
-
-def write_index(index: CaseIndex, root: str) -> str:
-    """Write every table of ``index`` as a new version of one segment and switch the manifest."""
+    schemas = {}
+    for name, rows, category, order in (("vectors", index.vectors, "category", []),
+                                        ("postings", index.keywords.postings, "grp", ["term"])):
+        rows, path = rows.drop(PART), f"{vdir}/{name}"
+        if parts:
+            rows = rows.withColumn(PART, category_part(category, parts))
+            schemas[name] = rows.schema.json()
+            rows.sortWithinPartitions(PART, *order).write.partitionBy(PART).parquet(path)
+        else:
+            rows.write.parquet(path)
+    return schemas
+
+
+def write_index(index: CaseIndex, root: str, category_parts: int | None = None) -> str:
+    """Write every table of ``index`` as a new version of one segment and switch the manifest.
+
+    ``category_parts``: number of folders by category (default: as the index has; 0: none)."""
+    parts = index.category_parts if category_parts is None else category_parts
+    if parts and not index.keywords.has_group:
+        raise ValueError("index was built without a group column")
     spark = index.cases.sparkSession
     version = _new_version()
     vdir = f"{_versions(root)}/{version}"
-    _write_segment(index, vdir)
+    schemas = _write_segment(index, vdir, parts)
     index.keywords.terms.write.parquet(f"{vdir}/terms")
     stats = {"n_docs": index.keywords.n_docs, "avgdl": index.keywords.avgdl, "segments": [version],
              "has_group": index.keywords.has_group, "params": asdict(index.params),
-             "stop_words": list(index.keywords.stop_words), "key": index.key}
+             "stop_words": list(index.keywords.stop_words), "key": index.key,
+             "category_parts": parts, "schemas": schemas}
     _publish(spark, root, version, stats)
     return version
 
@@ -137,7 +158,7 @@ def upsert_index(spark: SparkSession, root: str, new: CaseIndex) -> str:
     n_docs = old.keywords.n_docs - n_gone + new.keywords.n_docs
     version = _new_version()
     vdir = f"{_versions(root)}/{version}"
-    _write_segment(new, vdir)
+    _write_segment(new, vdir, old.category_parts)
     terms.write.parquet(f"{vdir}/terms")
     stats |= {"n_docs": n_docs, "avgdl": length / n_docs if n_docs else 0.0,
               "segments": [*stats["segments"], version]}
@@ -191,12 +212,14 @@ def load_index(spark: SparkSession, root: str, version: str | None = None) -> Ca
     """The current version (or the one named); a missing index is an explicit error."""
     stats = _stats(spark, root, version)
     segments, key = stats["segments"], stats.get("key", "ticket_id")
+    schemas = {n: T.StructType.fromJson(json.loads(s)) for n, s in stats.get("schemas", {}).items()}
 
     def table(name: str, id_col: str) -> DataFrame:
         """Rows of all segments whose key no later segment has."""
         out, later = None, None
         for seg in reversed(segments):
-            rows = spark.read.parquet(f"{_versions(root)}/{seg}/{name}")
+            read = spark.read if name not in schemas else spark.read.schema(schemas[name])
+            rows = read.parquet(f"{_versions(root)}/{seg}/{name}")
             if later is not None:
                 rows = rows.join(later.withColumnRenamed("_key", id_col), id_col, "left_anti")
             out = rows if out is None else out.unionByName(rows)
@@ -208,7 +231,8 @@ def load_index(spark: SparkSession, root: str, version: str | None = None) -> Ca
     kw = KeywordIndex(table("postings", "doc_id"), spark.read.parquet(f"{_versions(root)}/{stats['version']}/terms"),
                       int(stats["n_docs"]), float(stats["avgdl"]), bool(stats["has_group"]),
                       tuple(stats.get("stop_words", [])))
-    return CaseIndex(table("cases", key), table("vectors", key), kw, RetrievalParams(**stats["params"]), key)
+    return CaseIndex(table("cases", key), table("vectors", key), kw, RetrievalParams(**stats["params"]), key,
+                     int(stats.get("category_parts", 0)))
 
 
 def point_count(index: CaseIndex) -> int:
