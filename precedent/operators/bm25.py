@@ -6,8 +6,8 @@ Index layout (long form, one row per distinct (term, doc)):
     n_docs, avgdl (scalars)
 
 Scale notes
-* Term frequency is a ``groupBy(doc_id, term)`` over tokens partitioned by
-  ``doc_id`` (one exchange), so postings are stored clustered by document.
+* Term frequency is counted within each document's row, so postings are made
+  in the scan without an exchange and stored clustered by document.
 * Frequent terms are hot keys: a term in a third of all documents owns a third
   of all postings. At build time every term gets ``n_salts =
   ceil(df / rows_per_salt)`` (capped), and each of its postings a salt
@@ -55,30 +55,47 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def counted_terms(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
+    """``keep`` columns with (term, tf) for every distinct term of a row's ``tokens`` array, counted within the
+    row: the sorted tokens' runs, so nothing is exchanged and a text never leaves its scan."""
+    held = rows.select(*keep, F.sort_array(tokens).alias("_sorted"))
+    # First places of the runs, 1-based, and the place after the last.
+    starts = F.filter(F.sequence(F.lit(1), F.size("_sorted")), lambda i: (i == 1) | (
+        F.element_at("_sorted", i) != F.element_at("_sorted", F.greatest(i - 1, F.lit(1)))))
+    runs = held.select(*keep, "_sorted", F.when(F.size("_sorted") > 0, starts).alias("_starts"))
+    nexts = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_sorted") + 1))
+    pairs = F.zip_with("_starts", nexts, lambda i, j: F.struct(
+        F.element_at("_sorted", i).alias("term"), (j - i).cast("long").alias("tf")))
+    # explode_outer and a filter on the term: a plain explode makes the optimizer add a
+    # "non-empty array" filter that evaluates the whole tokeniser a second time.
+    return (runs.select(*keep, F.explode_outer(pairs).alias("_run")).select(*keep, "_run.term", "_run.tf")
+            .where(F.col("term").isNotNull()))
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """``df`` dealt round robin when Spark's size estimate says that its scan has fewer splits than there are
+    cores, so that a small table in one file is still tokenised by all of them. A large table is not exchanged."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df if size >= cores * split else df.repartition(cores)
+
+
 def term_postings(docs: DataFrame, doc_id: str, text: Column | str,
                   group: str | None = None, stop_words=None) -> DataFrame:
     """(doc_id, doc_len[, grp], term, tf) for every distinct term of every document.
 
-    The documents are hash-partitioned by ``doc_id`` *before* tokenising:
-    that one exchange moves the raw text (no more bytes than the exploded
-    tokens, with far fewer rows), spreads the tokeniser over all tasks even
-    when the input has few splits, and lets the term-frequency aggregation
-    run without a further exchange. The postings come out clustered by
-    document, so in every BM25 query the map-side partial sum per
-    (query, doc) is already complete before its shuffle.
+    Terms are counted within the row (``counted_terms``): neither the text nor
+    the postings are exchanged, and the postings come out clustered by
+    document as the documents lie in the scan.
     """
-    cols = [F.col(doc_id).alias("doc_id"), _c(text).alias("_text")]
+    cols = [F.col(doc_id).alias("doc_id"), tokenize(_c(text), stop_words).alias("_tokens")]
     if group:
         cols.append(F.col(group).alias("grp"))
     keys = ["doc_id", "doc_len"] + (["grp"] if group else [])
-    # explode_outer + a null filter: a plain explode makes the optimizer add a
-    # "non-empty array" filter that evaluates the whole tokeniser a second time.
-    return (docs.select(*cols).repartition("doc_id")
-            .select("doc_id", *(["grp"] if group else []), tokenize("_text", stop_words).alias("tokens"))
-            .select("doc_id", F.size("tokens").cast("long").alias("doc_len"),
-                    *(["grp"] if group else []), F.explode_outer("tokens").alias("term"))
-            .filter(F.col("term").isNotNull())
-            .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
+    rows = spread_scan(docs).select(*cols).withColumn("doc_len", F.size("_tokens").cast("long"))
+    return counted_terms(rows, "_tokens", *keys)
 
 
 def term_counts(docs: DataFrame, text: Column | str) -> DataFrame:

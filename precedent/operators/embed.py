@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from precedent.functions.text import tokenize
+from precedent.operators.bm25 import counted_terms, spread_scan
 
 VECTOR_TYPE = T.ArrayType(T.FloatType())
 
@@ -131,23 +132,22 @@ def hash_embed_sparse(df: DataFrame, id_col: str, text: Column | str, dim: int =
     weight) for every bucket hit by at least one term of a row with tokens,
     weights already divided by the row's L2 norm (float32 values).
 
-    Bucket and sign come from ``md5`` in SQL. The text is exchanged once by
-    id before tokenising (parallel tokeniser, no token shuffle); the term counts, bucket sums and the norm (a window over the same id)
-    all reuse that partitioning, and every group is bounded by one row's
-    terms. No tokens move into Python workers.
+    Bucket and sign come from ``md5`` in SQL. Terms are counted within the row;
+    what is exchanged, once, by id, is (id, bucket, weight), never a text or a
+    term. The bucket sums and the norm (a window over the same id) share that
+    partitioning, and every group is bounded by one row's terms. No tokens move
+    into Python workers.
     """
     src = F.col(text) if isinstance(text, str) else text
     h = F.md5(F.col("term"))
     bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
     sign = F.when(F.pmod(F.conv(F.substring(h, 9, 1), 16, 10).cast("int"), F.lit(2)) == 0,
                   F.lit(1.0)).otherwise(F.lit(-1.0))
-    tf = (df.select(F.col(id_col).alias("_id"), src.alias("_text")).repartition("_id")
-          .select("_id", F.explode_outer(tokenize("_text")).alias("term"))
-          .filter(F.col("term").isNotNull())
-          .groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = counted_terms(spread_scan(df).select(F.col(id_col).alias("_id"), tokenize(src).alias("_tokens")),
+                       "_tokens", "_id")
     w = (tf.select("_id", bucket.alias("bucket"),
                    (sign * (F.lit(1.0) + F.log(F.col("tf")))).alias("w"))
-         .groupBy("_id", "bucket").agg(F.sum("w").alias("w")))
+         .repartition("_id").groupBy("_id", "bucket").agg(F.sum("w").alias("w")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_id")))
     return (w.withColumn("norm", norm).filter(F.col("norm") > 0)
             .select(F.col("_id").alias(id_col), "bucket",
