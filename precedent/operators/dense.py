@@ -5,9 +5,10 @@ Plan
   collected with a ``limit`` of one row more as the size check and broadcast as
   one float64 matrix (one job).
 * A larger one never reaches the driver: queries and corpus are cut in blocks of
-  that size and meet in a grid of cells by an equi-join key. A cell multiplies
-  its two blocks and keeps the best ``k`` per query, so the shuffle carries
-  each vector once per block of the other side, and k rows per query and cell.
+  four times that size (and in enough blocks to give every core some cells) and
+  meet in a grid of cells by an equi-join key. A cell multiplies its two blocks
+  and keeps the best ``k`` per query, so the shuffle carries each vector once per
+  block of the other side, and k rows per query and cell.
 * The width searched is the common one (or ``dim``); ``width_rejects`` lists
   the rows of any other width.
 * With the broadcast the corpus is never shuffled: ``mapInArrow`` scans its
@@ -19,8 +20,10 @@ Plan
 * The global top-k is a ``row_number`` window whose partial group limit
   runs before the shuffle (see ``ranking``).
 
-Scores are exact cosines computed in float64; zero or wrongly sized vectors
-get no score and are left out.
+Candidates are found with a product in float32, lowered by its error bound, and
+scored as exact cosines in float64. What a pair may still reach is bounded by the
+query's best ``k`` so far, so that few pairs pass after the first rows. Zero or
+wrongly sized vectors get no score and are left out.
 """
 
 from __future__ import annotations
@@ -39,9 +42,17 @@ from pyspark.sql import types as T
 from precedent.operators.ranking import top_k
 from precedent.schema import RetrievalParams
 
-DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
-# Queries multiplied against one Arrow batch at a time (bounds the score block).
+# A broadcast matrix is held by every Python worker of an executor.
+DEFAULT_MAX_BROADCAST_BYTES = 32 << 20
+# Bytes of a block of the grid, as a multiple of what may be broadcast.
+GRID_BLOCK = 4
+# Queries and corpus rows multiplied at a time (bounds the score block).
 QUERY_BLOCK = 1024
+DOC_BLOCK = 4096
+# Pairs scored in float64 at a time.
+EXACT_PAIRS = 16_384
+# Cells of a grid for each core, so that unequal cells even out.
+CELLS_PER_CORE = 4
 
 _ARROW_TYPES = {
     T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(),
@@ -100,6 +111,29 @@ def _keep_best(qi, ids, s, r, k, tol):
     return qi, ids, s, r
 
 
+def _first_copies(m: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Rows left of equal vectors: those with the ``n`` smallest ids (null first) of each; others cannot be ranked,
+    as their scores are equal."""
+    rows = np.ascontiguousarray(m).view(np.dtype((np.void, m.dtype.itemsize * m.shape[1]))).ravel()
+    _, code = np.unique(rows, return_inverse=True)
+    if code.max() + 1 > len(code) // 2:
+        return np.arange(len(ids))
+    f = pd.DataFrame({"code": code, "id": ids}).sort_values(["code", "id"], kind="mergesort", na_position="first")
+    last = f.shift()
+    other = (f["id"] != last["id"]) & ~(f["id"].isna() & last["id"].isna())
+    nth = (other | (f["code"] != last["code"])).groupby(f["code"]).cumsum()
+    return np.sort(f.index[nth <= n].to_numpy())
+
+
+def _exact(q: np.ndarray, m: np.ndarray, qi: np.ndarray, di: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs in float64."""
+    s = np.empty(len(qi))
+    for a in range(0, len(qi), EXACT_PAIRS):
+        b = a + EXACT_PAIRS
+        s[a:b] = np.einsum("ij,ij->i", q[qi[a:b]], m[di[a:b]])
+    return s
+
+
 def _scan_fn(bc, k: int, digits: int, min_score: float | None, exclude_self: bool,
              grouped: bool, q_arrow: pa.DataType, d_arrow: pa.DataType):
     tol = 2.0 * 10.0 ** (-digits)
@@ -109,54 +143,93 @@ def _scan_fn(bc, k: int, digits: int, min_score: float | None, exclude_self: boo
         qmat, qids, dim = payload["mat"], payload["ids"], payload["dim"]
         qgrp, gcode, idpos = payload["grp"], payload["gcode"], payload["idpos"]
         nq = qmat.shape[0]
+        # Error of a float32 product of two unit vectors.
+        margin = np.float32(2.0 * (dim + 2) * np.finfo(np.float32).eps + tol)
+        q32 = qmat.astype(np.float32)
+        # What a query's k-th best score is at least.
+        least = -np.inf if min_score is None else min_score
+        floor = np.full(nq, least)
+        members = {}
+        if grouped:
+            order = np.argsort(qgrp, kind="stable")
+            cuts = np.flatnonzero(np.diff(qgrp[order])) + 1
+            members = {int(qgrp[part[0]]): part for part in np.split(order, cuts) if len(part)}
         buf = ([], [], [], [])
-        held = 0
-        for rb in batches:
-            if nq == 0 or rb.num_rows == 0:
-                continue
-            m, valid = _matrix(rb.column(1), dim)
-            if len(m) == 0:
-                continue
-            ids = rb.column(0).to_numpy(zero_copy_only=False)[valid]
-            m, nz = _unit(m)
-            ids = ids[nz]
-            nb = len(ids)
-            if nb == 0:
-                continue
-            if exclude_self:
-                # position of each corpus id among the query ids, -1 if absent
-                self_pos = idpos.get_indexer(ids).astype(np.int64)
-            if grouped:
-                dg = rb.column(2).to_numpy(zero_copy_only=False)[valid][nz]
-                dcode = gcode.get_indexer(dg).astype(np.int64)
-                dcode[dcode < 0] = -2
-            kk = min(k, nb)
-            for q0 in range(0, nq, QUERY_BLOCK):
-                q1 = min(nq, q0 + QUERY_BLOCK)
-                s = qmat[q0:q1] @ m.T
+        held, limit = 0, 0
+
+        def best():
+            """The buffer reduced to what can be ranked; the floors raised to each query's k-th."""
+            nonlocal buf, held, limit
+            qi, ids, s, r = _keep_best(*(np.concatenate(b) for b in buf), k, tol)
+            buf, held = tuple([p] for p in (qi, ids, s, r)), len(qi)
+            limit = 2 * held + 10_000
+            order = np.lexsort((-r, qi))
+            first = np.flatnonzero(np.r_[True, qi[order][1:] != qi[order][:-1]])
+            full = np.diff(np.r_[first, held]) >= k
+            kth = order[first[full] + k - 1]
+            floor[qi[kth]] = np.maximum(floor[qi[kth]], r[kth] - tol)
+
+        def meet(rows, m, m32, ids, self_pos):
+            """Candidates among the queries ``rows`` (positions) and a block of the corpus."""
+            nonlocal held
+            for a in range(0, len(rows), QUERY_BLOCK):
+                at = rows[a:a + QUERY_BLOCK]
+                s = q32[at] @ m32.T
                 if exclude_self:
-                    cols = np.flatnonzero((self_pos >= q0) & (self_pos < q1))
-                    s[self_pos[cols] - q0, cols] = -np.inf
-                if grouped:
-                    qg = qgrp[q0:q1]
-                    bad = (qg[:, None] >= 0) & (qg[:, None] != dcode[None, :])
-                    s[bad] = -np.inf
+                    place = np.full(nq + 1, -1)
+                    place[at] = np.arange(len(at))
+                    cols = np.flatnonzero(place[self_pos] >= 0)
+                    s[place[self_pos[cols]], cols] = -np.inf
+                low = floor[at]
+                new = np.flatnonzero(low <= least)
+                if len(new) and len(ids) >= k:
+                    kth = np.partition(s[new], len(ids) - k, axis=1)[:, len(ids) - k] - margin
+                    low[new] = np.maximum(least, kth)
+                low = (low - margin).astype(np.float32)
+                qi, di = np.nonzero((s >= low[:, None]) & (s > -np.inf))
+                if len(qi) == 0:
+                    continue
+                qi = at[qi]
+                score = _exact(qmat, m, qi, di)
                 if min_score is not None:
-                    s[s < min_score] = -np.inf
-                r = np.round(s, digits)
-                kth = np.partition(r, nb - kk, axis=1)[:, nb - kk]
-                sel = (r >= (kth - tol)[:, None]) & np.isfinite(r)
-                qi, di = np.nonzero(sel)
-                parts = (qi + q0, ids[di], s[qi, di], r[qi, di])
-                if len(qi) > 4 * k * (q1 - q0):
+                    on = score >= min_score
+                    qi, di, score = qi[on], di[on], score[on]
+                parts = (qi, ids[di], score, np.round(score, digits))
+                if len(qi) > 4 * k * len(at):
                     parts = _keep_best(*parts, k, tol)  # many exact ties in this block
                 for b, part in zip(buf, parts):
                     b.append(part)
                 held += len(parts[0])
-            if held > 8 * nq * k + 100_000:
-                parts = _keep_best(*(np.concatenate(b) for b in buf), k, tol)
-                buf = tuple([p] for p in parts)
-                held = len(parts[0])
+
+        for rb in batches:
+            if nq == 0 or rb.num_rows == 0:
+                continue
+            for at in range(0, rb.num_rows, DOC_BLOCK):
+                part = rb.slice(at, DOC_BLOCK)
+                m, valid = _matrix(part.column(1), dim)
+                if len(m) == 0:
+                    continue
+                m, nz = _unit(m)
+                ids = part.column(0).to_numpy(zero_copy_only=False)[valid][nz]
+                if len(ids) == 0:
+                    continue
+                dcode = np.zeros(len(ids), dtype=np.int64)
+                if grouped:
+                    dcode = gcode.get_indexer(part.column(2).to_numpy(zero_copy_only=False)[valid][nz]).astype(np.int64)
+                # Position of each corpus id among the query ids, nq if absent.
+                self_pos = np.full(len(ids), nq)
+                if exclude_self:
+                    found = idpos.get_indexer(ids)
+                    self_pos[found >= 0] = found[found >= 0]
+                for code, rows in (members.items() if grouped else [(-1, np.arange(nq))]):
+                    # A query without a group meets every row, one with a group the rows of that group.
+                    on = np.flatnonzero(dcode == code) if code >= 0 else np.arange(len(ids))
+                    if len(on) == 0:
+                        continue
+                    on = on[_first_copies(m[on], ids[on], k + 1)]
+                    meet(rows, m[on], m[on].astype(np.float32), ids[on], self_pos[on])
+                if held > limit:
+                    best()
         if held == 0:
             return
         qi, ids, s, _ = _keep_best(*(np.concatenate(b) for b in buf), k, tol)
@@ -234,8 +307,11 @@ def dense_candidates(queries: DataFrame, corpus: DataFrame, k: int, *,
 
     # More queries than may be broadcast: a grid of query blocks by corpus blocks. Each block
     # goes to the cells of its row or column by an equi-join key, and each cell keeps the best k.
+    # Enough blocks that every core has some cells to work on.
+    least = math.ceil(math.sqrt(CELLS_PER_CORE * spark.sparkContext.defaultParallelism))
+
     def blocks(df, id_col):
-        n = max(1, math.ceil(df.count() / max_rows))
+        n = max(least, math.ceil(df.count() / (GRID_BLOCK * max_rows)))
         return n, F.pmod(F.xxhash64(id_col), F.lit(n))
 
     dnames = ["did", "dv", "dg"][:len(dcols)]
@@ -254,7 +330,9 @@ def dense_candidates(queries: DataFrame, corpus: DataFrame, k: int, *,
         schema = pa.schema([("query_id", q_arrow), ("doc_id", d_arrow), ("score", pa.float64())])
         return pa.Table.from_batches(found, schema=schema)
 
-    return left.groupBy("_cell").cogroup(right.groupBy("_cell")).applyInArrow(cell, out_schema)
+    cells = n_q * n_d
+    return (left.repartition(cells, "_cell").groupBy("_cell")
+            .cogroup(right.repartition(cells, "_cell").groupBy("_cell")).applyInArrow(cell, out_schema))
 
 
 def common_width(df: DataFrame, vec: str) -> int:
