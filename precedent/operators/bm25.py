@@ -19,16 +19,28 @@ Scale notes
 * Scores are summed with a partial ``HashAggregate`` per ``(query, doc)``
   before their shuffle; the top-k uses a partial group limit (see
   ``ranking``).
+* Frequent terms pair nearly every query with nearly every document. Where the
+  statistics tell more than ``GRID_PAIRS`` such rows, none of them is made: queries
+  and weighted postings meet block by block in a grid of cells, each cell adds the
+  postings of a query's terms up in one array of scores and gives the best ``k``
+  per query on (``grid_candidates``). The work is the same and exact; what is
+  exchanged and held is postings and k rows per query and cell.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from precedent.functions.text import tokenize
+from precedent.operators.dense import CELLS_PER_CORE, _arrow_type, _keep_best
 from precedent.operators.ranking import top_k
 from precedent.operators.sizing import DEFAULT_BROADCAST_ROWS, Sized, maybe_broadcast
 from precedent.schema import RetrievalParams
@@ -39,6 +51,12 @@ from precedent.session import materialize as materialize_table
 PUSHDOWN_VOCABULARY = 1024
 # Postings per (term, salt) group a task should hold at most.
 DEFAULT_ROWS_PER_SALT = 1_000_000
+# Rows of (query term, posting) beyond which a top-k search goes through the grid.
+GRID_PAIRS = 10_000_000
+# Query terms, and postings, of a block of the grid.
+GRID_BLOCK_ROWS = 1_000_000
+# Weights of terms up to this many are broadcast to the postings.
+GRID_BROADCAST_TERMS = 500_000
 
 
 @dataclass
@@ -192,8 +210,6 @@ def bm25_scores(queries: DataFrame, index: KeywordIndex, *, query_id: str,
     if query_group and not index.has_group:
         raise ValueError("index was built without a group column")
     qt = query_terms(queries, query_id, text, query_group, index.stop_words)
-    n, avgdl = index.n_docs, index.avgdl
-    k1, b = params.bm25_k1, params.bm25_b
     # One bounded collect decides the small case: those rows are both the
     # size check and the vocabulary pushed into the postings scan. Only a
     # larger query side pays a count for the broadcast decision.
@@ -206,10 +222,7 @@ def bm25_scores(queries: DataFrame, index: KeywordIndex, *, query_id: str,
     else:
         sized = maybe_broadcast(qt, broadcast_rows)
     # IDF per query term; terms absent from the corpus drop out here.
-    qidf = (index.terms.join(sized.df, "term")
-            .withColumn("idf", F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + F.lit(0.5))
-                                     / (F.col("df") + F.lit(0.5)))))
-    qidf = qidf.drop("df")
+    qidf = index.terms.join(sized.df, "term").withColumn("idf", _idf(index)).drop("df")
     postings = index.postings
     if vocab is not None:
         # A small query side (one ticket, a few tickets) becomes a term filter
@@ -232,15 +245,188 @@ def bm25_scores(queries: DataFrame, index: KeywordIndex, *, query_id: str,
         joined = joined.filter(F.col("query_id") != F.col("doc_id"))
     if query_group:
         joined = joined.filter(F.col("qgrp").isNull() | (F.col("qgrp") == F.col("grp")))
-    tf = F.col("tf").cast("double")
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / F.lit(avgdl if avgdl > 0 else 1.0))
-    contrib = F.col("idf") * tf * F.lit(k1 + 1.0) / (tf + norm)
-    return (joined.select("query_id", "doc_id", contrib.alias("c"))
+    return (joined.select("query_id", "doc_id", _weight(index, params).alias("c"))
             .groupBy("query_id", "doc_id").agg(F.sum("c").alias("score")))
 
 
-def bm25_topk(queries: DataFrame, index: KeywordIndex, k: int, **kw) -> DataFrame:
+def _weight(index: KeywordIndex, params: RetrievalParams) -> Column:
+    """What a posting adds to the score of a query that holds its term."""
+    k1, b = params.bm25_k1, params.bm25_b
+    tf = F.col("tf").cast("double")
+    avgdl = index.avgdl if index.avgdl > 0 else 1.0
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / F.lit(avgdl))
+    return F.col("idf") * tf * F.lit(k1 + 1.0) / (tf + norm)
+
+
+def _idf(index: KeywordIndex) -> Column:
+    n = F.lit(float(index.n_docs))
+    return F.log(F.lit(1.0) + (n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+
+
+def _postings_by(key: np.ndarray, n: int, rows: np.ndarray, w: np.ndarray):
+    """(starts, rows, weights) of the postings in the order of ``key``."""
+    order = np.lexsort((rows, key))
+    starts = np.searchsorted(key[order], np.arange(n + 1))
+    return starts, rows[order], w[order]
+
+
+def _codes(col: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """(codes in the order of the values, values); null has the first code."""
+    col = pa.chunked_array([col]) if isinstance(col, pa.Array) else col
+    col = col.combine_chunks().dictionary_encode()
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    order = pc.sort_indices(col.dictionary)
+    rank = np.empty(len(order) + 1, dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(1, len(order) + 1)
+    rank[-1] = 0
+    at = pc.fill_null(col.indices, len(order)).to_numpy()
+    return rank[at], pa.concat_arrays([pa.nulls(1, col.dictionary.type), col.dictionary.take(order)])
+
+
+def _grid_cell(k: int, digits: int, grouped: bool, exclude_self: bool, schema: pa.Schema):
+    """The function of a cell: (query_id, tids[, qgrp]) x (doc_id, tid, w[, grp]) -> best ``k`` documents per query."""
+    tol = 2.0 * 10.0 ** (-digits)
+
+    def cell(queries: pa.Table, postings: pa.Table) -> pa.Table:
+        if queries.num_rows == 0 or postings.num_rows == 0:
+            return schema.empty_table()
+        docs, ids = _codes(postings["doc_id"])
+        vocab, term = np.unique(postings["tid"].to_numpy(), return_inverse=True)
+        w = postings["w"].to_numpy()
+        n_docs, n_terms = len(ids), len(vocab)
+        # Documents are numbered by group, then id, so that a group's scores are one stretch.
+        whole = (*_postings_by(term, n_terms, docs, w), 0, 0, n_docs, np.arange(n_docs))
+        stretch = {}
+        if grouped:
+            code, names = _codes(postings["grp"])
+            held, row = np.unique(code * n_docs + docs, return_inverse=True)
+            cuts = np.searchsorted(held // n_docs, np.arange(len(names) + 1))
+            by_group = _postings_by(code * n_terms + term, len(names) * n_terms, row, w)
+            stretch = {name: (*by_group, g * n_terms, cuts[g], cuts[g + 1], held % n_docs)
+                       for g, name in enumerate(names.to_pylist()) if g}
+        lists = queries["tids"].combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        asked = lists.flatten().to_numpy()
+        place = np.minimum(np.searchsorted(vocab, asked), n_terms - 1)
+        place[vocab[place] != asked] = -1
+        ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+        qcode, qids = _codes(queries["query_id"])
+        own = np.full(len(qids), -1)
+        if exclude_self:
+            at = pc.index_in(qids, ids, skip_nulls=True)
+            own = pc.fill_null(at, -1).to_numpy()
+        groups = queries["qgrp"].to_pylist() if grouped else None
+        order = np.argsort(qcode, kind="stable")
+        out = ([], [], [])
+        for nth, i in enumerate(order):
+            name = groups[i] if grouped else None
+            starts, rows, weights, base, lo, hi, doc = whole if name is None else stretch.get(name, (None,) * 7)
+            last = nth + 1 == len(order) or qcode[order[nth + 1]] != qcode[i]
+            alone = last and (nth == 0 or qcode[order[nth - 1]] != qcode[i])
+            if nth == 0 or qcode[order[nth - 1]] != qcode[i]:
+                total = None
+            if starts is not None:
+                t = place[ends[i]:ends[i + 1]]
+                t = t[t >= 0] + base
+                cuts_ = [(a, b) for a, b in zip(starts[t], starts[t + 1]) if b > a]
+                if cuts_:
+                    score = np.bincount(np.concatenate([rows[a:b] for a, b in cuts_]) - lo,
+                                        np.concatenate([weights[a:b] for a, b in cuts_]), minlength=hi - lo)
+                    if alone:
+                        total, of = score, doc[lo:hi]
+                    else:
+                        # A query id with several groups: its rows' scores add up by document.
+                        total = np.zeros(n_docs) if total is None else total
+                        of = np.arange(n_docs)
+                        total[doc[lo:hi]] += score
+            if not last or total is None:
+                continue
+            q = qcode[i]
+            if own[q] >= 0:
+                total[of == own[q] if len(of) < n_docs else own[q]] = 0.0
+            least = np.partition(total, len(total) - k)[len(total) - k] - tol if len(total) > k else 0.0
+            sel = np.flatnonzero((total >= least) & (total > 0))
+            part = (np.full(len(sel), q), of[sel], total[sel], np.round(total[sel], digits))
+            if len(sel) > 4 * k:
+                part = _keep_best(*part, k, tol)
+            for b, x in zip(out, part):
+                b.append(x)
+        if not out[0]:
+            return schema.empty_table()
+        q, d, s = (np.concatenate(x) for x in out)
+        return pa.Table.from_arrays([qids.take(pa.array(q)).cast(schema.field(0).type),
+                                     ids.take(pa.array(d)).cast(schema.field(1).type), pa.array(s)], schema=schema)
+
+    return cell
+
+
+def _asked(qt: DataFrame, index: KeywordIndex) -> DataFrame:
+    """(term, df, n_salts, asked): the query terms of the index and the number of queries that hold each."""
+    return index.terms.join(qt.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("asked")), "term")
+
+
+def grid_candidates(qt: DataFrame, index: KeywordIndex, k: int, *, exclude_self: bool, grouped: bool,
+                    params: RetrievalParams, broadcast_terms: int = GRID_BROADCAST_TERMS,
+                    block_rows: int = GRID_BLOCK_ROWS) -> DataFrame:
+    """(query_id, doc_id, score): per cell of the grid, the documents that can be among a query's best ``k``.
+
+    A posting's weight holds the idf, so a query is the list of its terms' numbers. The blocks of a side
+    are dealt by a hash of the id; a document's equal terms are added up before, so that rows which share an
+    id, or have none, weigh no more than one document."""
+    spark = qt.sparkSession
+    terms, m = materialize_table(
+        _asked(qt, index).withColumn("idf", _idf(index)).withColumn("tid", F.monotonically_increasing_id()),
+        "asked-terms", {"n": F.count(F.lit(1)), "rows": F.sum("df")})
+    by_query = ["query_id"] + (["qgrp"] if grouped else [])
+    by_doc = ["doc_id"] + (["grp"] if grouped else [])
+    queries, q = materialize_table(
+        qt.join(terms.select("term", "tid"), "term").groupBy(*by_query).agg(F.sort_array(F.collect_list("tid")).alias("tids")),
+        "queries", {"n": F.count(F.lit(1)), "terms": F.sum(F.size("tids"))})
+    # Weights of the postings, joined by broadcast or by (term, salt) as in ``bm25_scores``.
+    weights = terms.select("term", "n_salts", "idf", "tid")
+    if m["n"] <= broadcast_terms:
+        found = index.postings.join(F.broadcast(weights.drop("n_salts")), "term")
+    else:
+        found = index.postings.join(weights.withColumn("salt", F.explode(F.sequence(
+            F.lit(0), F.col("n_salts") - 1))).drop("n_salts"), ["term", "salt"])
+    if exclude_self:
+        # Null equals no id and is not unequal to one either.
+        queries, found = queries.where("query_id is not null"), found.where("doc_id is not null")
+    found = found.select(*by_doc, "tid", _weight(index, params).alias("w")).groupBy(*by_doc, "tid").agg(F.sum("w").alias("w"))
+    # Enough cells for every core, dealt so that little is sent twice: a query is sent once a block of documents.
+    cells = CELLS_PER_CORE * spark.sparkContext.defaultParallelism
+    n_terms, n_rows = max(1, q["terms"] or 0), max(1, m["rows"] or 0)
+    n_q = max(1, math.ceil(n_terms / block_rows), round(math.sqrt(cells * n_terms / n_rows)))
+    n_d = max(math.ceil(n_rows / block_rows), math.ceil(cells / n_q))
+    left = queries.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_d - 1)), lambda d: F.pmod(
+        F.xxhash64("query_id"), F.lit(n_q)) * n_d + d)))
+    right = found.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_q - 1)), lambda i: i * n_d + F.pmod(
+        F.xxhash64("doc_id"), F.lit(n_d)))))
+    kinds = [qt.schema["query_id"].dataType, index.postings.schema["doc_id"].dataType]
+    out = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("doc_id", kinds[1]),
+                        T.StructField("score", T.DoubleType())])
+    schema = pa.schema([("query_id", _arrow_type(kinds[0])), ("doc_id", _arrow_type(kinds[1])), ("score", pa.float64())])
+    fn = _grid_cell(k, params.rank_digits, grouped, exclude_self, schema)
+    return (left.repartition(n_q * n_d, "_cell").groupBy("_cell")
+            .cogroup(right.repartition(n_q * n_d, "_cell").groupBy("_cell")).applyInArrow(fn, out))
+
+
+def bm25_topk(queries: DataFrame, index: KeywordIndex, k: int, *, grid_pairs: int = GRID_PAIRS, **kw) -> DataFrame:
     """(query_id, doc_id, score, rank) best ``k`` documents per query."""
     params = kw.get("params", RetrievalParams())
-    return top_k(bm25_scores(queries, index, **kw), "query_id", "score", "doc_id", k,
-                 digits=params.rank_digits)
+    group, exclude_self = kw.get("query_group"), kw.get("exclude_self", False)
+    if group and not index.has_group:
+        raise ValueError("index was built without a group column")
+    qt = query_terms(queries, kw["query_id"], kw["text"], group, index.stop_words)
+    scores = None
+    same = qt.schema["query_id"].dataType == index.postings.schema["doc_id"].dataType
+    # The pairs follow from the term statistics; a few query terms are not even counted.
+    if (same or not exclude_self) and len(qt.select("term").limit(PUSHDOWN_VOCABULARY + 1).collect()) > PUSHDOWN_VOCABULARY:
+        qt = materialize_table(qt, "query-terms")
+        pairs = _asked(qt, index).agg(F.sum(F.col("df") * F.col("asked"))).first()[0] or 0
+        if pairs > grid_pairs:
+            scores = grid_candidates(qt, index, k, exclude_self=exclude_self, grouped=bool(group), params=params)
+    if scores is None:
+        scores = bm25_scores(queries, index, **kw)
+    return top_k(scores, "query_id", "score", "doc_id", k, digits=params.rank_digits)
