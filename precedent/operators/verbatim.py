@@ -14,20 +14,31 @@ its places are split by a salt of the document, and only such grams' passages ar
 a salt.  Equal passages are searched once.  The lookup's key holds document and place, so no key
 of it is hot.
 
+Few passages (``SCAN_PASSAGES`` distinct texts of ``SCAN_BYTES`` in all) need no index: short ones stand nearly
+everywhere, and their places are far more than the text. They are broadcast and looked for in every text where
+it lies; a document's finds are one bit a passage, joined by document with ``bit_or``.
+
 Defined results: null and empty passages and texts hold nothing and stand nowhere; rows that
 share an id are searched each, and give one pair; a null id is kept as null.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from precedent.operators.sizing import DEFAULT_BROADCAST_ROWS, maybe_broadcast
 from precedent.session import materialize
 
 GRAM = 3
 ROWS_PER_SALT = 1_000_000
+# Passages that are looked for in every text, and their bytes.
+SCAN_PASSAGES = 2_000
+SCAN_BYTES = 1 << 20
+# Passages told by one long.
+BITS = 63
 
 
 def _chars(text: str) -> Column:
@@ -66,10 +77,59 @@ def occurrences(docs: DataFrame, did: str, dtext: str, wanted: DataFrame, sizes:
     return grams.join(maybe_broadcast(wanted, broadcast_rows).df, "gram").select("gram", "row", "did", "pos")
 
 
+def _holds(bc, rows_at_once: int = 512):
+    def fn(batches):
+        passages = bc.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                words = []
+                for text in part.column(1).to_pylist():
+                    held = [0] * -(-len(passages) // BITS)
+                    for i, passage in enumerate(passages):
+                        if passage in text:
+                            held[i // BITS] |= 1 << (i % BITS)
+                    words.append(held)
+                columns = [pa.array(w, pa.int64()) for w in zip(*words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns],
+                                                 names=["did", *[f"w{i}" for i in range(len(columns))]])
+    return fn
+
+
+def scanned_truth(passages: DataFrame, pid: str, ptext: str, texts: list[str], docs: DataFrame, did: str,
+                  dtext: str) -> DataFrame:
+    """``verbatim_truth`` for the few distinct ``texts``: each is looked for in every document."""
+    spark = docs.sparkSession
+    bc = spark.sparkContext.broadcast(texts)
+    words = [f"w{i}" for i in range(-(-len(texts) // BITS))]
+    body = docs.select(F.col(did).alias("did"), F.col(dtext).alias("dtext")).where("dtext is not null")
+    found = body.mapInArrow(_holds(bc), T.StructType([T.StructField("did", docs.schema[did].dataType),
+                                                      *[T.StructField(w, T.LongType()) for w in words]]))
+    found = materialize(found.where(" or ".join(f"{w} <> 0" for w in words)), "verbatim-found")
+    per = found.groupBy("did").agg(*[F.bit_or(w).alias(w) for w in words])
+    pairs = per.select("did", F.explode(F.expr(
+        f"filter(sequence(0, {len(texts) - 1}), i -> getbit(array({', '.join(words)})[cast(i div {BITS} as int)], "
+        f"i % {BITS}) = 1)")).alias("nth"))
+    numbers = spark.createDataFrame(list(enumerate(texts)), "nth int, ptext string")
+    own, m = materialize(passages.select(F.col(pid).alias("_pid"), F.col(ptext).alias("ptext"))
+                         .join(F.broadcast(numbers), "ptext").select("_pid", "nth").distinct(), "verbatim-passages",
+                         {"n": F.count(F.lit(1))})
+    # A document is told once for each text, so only a passage id with several texts can give a pair twice.
+    several = own.groupBy("_pid").count().where("count > 1").limit(1).count()
+    out = pairs.join(F.broadcast(own) if m["n"] <= DEFAULT_BROADCAST_ROWS else own, "nth").select(
+        F.col("_pid").alias(pid), F.col("did").alias(did))
+    return out.distinct() if several else out
+
+
 def verbatim_truth(passages: DataFrame, pid: str, ptext: str, docs: DataFrame, did: str, dtext: str,
                    rows_per_salt: int = ROWS_PER_SALT,
                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``(pid, did)`` wherever the document's text holds the passage, of any length and any characters."""
+    distinct = passages.select(F.col(ptext).alias("ptext")).where("ptext <> ''").distinct()
+    size = distinct.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("ptext")).alias("bytes")).first()
+    if 0 < size["n"] <= min(SCAN_PASSAGES, broadcast_rows) and size["bytes"] <= SCAN_BYTES:
+        texts = sorted(r["ptext"] for r in distinct.collect())
+        return scanned_truth(passages, pid, ptext, texts, docs, did, dtext)
     cover = materialize(covers(passages, ptext), "verbatim-covers")
     sizes = sorted(r["size"] for r in cover.select("size").distinct().collect())        # GRAM values at most
     if not sizes:

@@ -42,3 +42,14 @@ def test_no_text_is_moved(spark):
     passages, docs = _frames(spark)
     plan = verbatim_truth(passages, "item", "passage", docs, "doc_id", "body")._jdf.queryExecution().executedPlan().toString()
     assert "body" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_few_passages_are_looked_for_without_places(spark, monkeypatch):
+    """Short passages stand nearly everywhere: no place of theirs is written, and ids that repeat give one pair."""
+    from precedent.operators import verbatim
+    monkeypatch.setattr(verbatim, "occurrences", None)
+    words = [f"p{i}" for i in range(150)]
+    passages = spark.createDataFrame([*[(i % 140, w) for i, w in enumerate(words)], (3, "p3"), (7, "")], "item int, passage string")
+    docs = spark.createDataFrame([(i // 2 if i % 9 else None, " ".join(words[i:i + 80])) for i in range(60)], "doc_id int, body string")
+    got = verbatim_truth(passages, "item", "passage", docs, "doc_id", "body")
+    assert sorted([tuple(r) for r in got.collect()], key=str) == _truth(passages, docs)
