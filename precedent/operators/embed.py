@@ -1,7 +1,7 @@
 """Text → vector (M1), with a text-keyed cache.
 
 The encoder is pluggable: any object with ``encode(list) -> list[vector]``.
-It runs inside Arrow-batched pandas UDFs, so the corpus is embedded where it
+It runs inside Arrow UDFs, some rows at a time, so the corpus is embedded where it
 lies, partition by partition; nothing passes through the driver.
 
 The default ``HashingEncoder`` needs no model files: signed feature hashing
@@ -17,7 +17,7 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +26,14 @@ from precedent.functions.text import tokenize
 from precedent.operators.bm25 import counted_terms, spread_scan
 
 VECTOR_TYPE = T.ArrayType(T.FloatType())
+# Rows that an encoder gets at a time: the tokens of a whole Arrow batch would be millions of Python strings.
+ENCODE_ROWS = 512
+# Terms whose slots a Python worker keeps.
+MEMO_TERMS = 200_000
+# Bytes of input for each partition that vectors are summed in.
+SUM_BYTES = 8 << 20
+# An estimate of the size may be far too high, as it multiplies over joins.
+MAX_PARTS = 4_096
 
 
 class HashingEncoder:
@@ -46,7 +54,7 @@ class HashingEncoder:
         if hit is None:
             h = hashlib.md5(term.encode("utf-8")).hexdigest()
             hit = (int(h[:8], 16) % self.dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0)
-            if len(self._memo) > 2_000_000:
+            if len(self._memo) >= MEMO_TERMS:
                 self._memo.clear()
             self._memo[term] = hit
         return hit
@@ -67,12 +75,18 @@ class HashingEncoder:
 
 
 def _encoder_udf(encoder):
-    @F.pandas_udf(VECTOR_TYPE)
-    def encode(col: pd.Series) -> pd.Series:
-        return pd.Series(encoder.encode(col.tolist()), dtype=object)
+    @F.arrow_udf(VECTOR_TYPE)
+    def encode(col: pa.Array) -> pa.Array:
+        parts = [_vectors(encoder.encode(col.slice(at, ENCODE_ROWS).to_pylist()))
+                 for at in range(0, len(col), ENCODE_ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
     return encode
 
 
+def _vectors(vectors) -> pa.Array:
+    return pa.array([None if v is None else np.asarray(v, dtype=np.float32) for v in vectors], pa.list_(pa.float32()))
+
+
 def embed(df: DataFrame, text: Column | str, encoder=None,
           out_col: str = "embedding") -> DataFrame:
     """Append ``out_col`` (array<float>) computed from ``text`` by ``encoder`` (M1)."""
@@ -143,11 +157,14 @@ def hash_embed_sparse(df: DataFrame, id_col: str, text: Column | str, dim: int =
     bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
     sign = F.when(F.pmod(F.conv(F.substring(h, 9, 1), 16, 10).cast("int"), F.lit(2)) == 0,
                   F.lit(1.0)).otherwise(F.lit(-1.0))
+    # A number of partitions by the input's size: joined to fewer, one task would sum vectors of many documents.
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, min(MAX_PARTS, math.ceil(size / SUM_BYTES)))
     tf = counted_terms(spread_scan(df).select(F.col(id_col).alias("_id"), tokenize(src).alias("_tokens")),
                        "_tokens", "_id")
     w = (tf.select("_id", bucket.alias("bucket"),
                    (sign * (F.lit(1.0) + F.log(F.col("tf")))).alias("w"))
-         .repartition("_id").groupBy("_id", "bucket").agg(F.sum("w").alias("w")))
+         .repartition(parts, "_id").groupBy("_id", "bucket").agg(F.sum("w").alias("w")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_id")))
     return (w.withColumn("norm", norm).filter(F.col("norm") > 0)
             .select(F.col("_id").alias(id_col), "bucket",
