@@ -159,8 +159,12 @@ def _json_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
     idx = F.from_json(v, "map<string,map<string,string>>")
     cols = F.from_json(v, "map<string,array<string>>")
     obj = F.from_json(v, "map<string,string>")
-    parsed = raw.select("_source_file", idx.alias("idx"),
-                        cols.alias("cols"), obj.alias("obj"), F.try_parse_json(v).alias("any"))
+    # By JSON type, not by the text: a string may begin with a bracket.
+    types = F.transform(F.map_values(F.try_parse_json(v).cast("map<string,variant>")), F.schema_of_variant)
+    nested = F.coalesce(F.forall(types, lambda t: t.startswith("ARRAY") | t.startswith("OBJECT")), F.lit(False))
+    # Parsed once and written: as expressions, the lookups of every row and column below would each parse the file.
+    parsed = materialize(raw.select("_source_file", idx.alias("idx"), cols.alias("cols"), obj.alias("obj"),
+                                    nested.alias("nested")), "json-parsed")
     names_i = F.map_keys("idx")
     first_i = F.element_at("idx", F.element_at(names_i, 1))
     keys_i = F.array_sort(F.transform(F.map_keys(first_i),
@@ -176,10 +180,6 @@ def _json_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
     col_short = F.exists(names_c, lambda c: F.size(F.element_at("cols", c)) < F.size(first_c))
     col_rows = F.transform(first_c, lambda x, i: F.map_from_arrays(
         names_c, F.transform(names_c, lambda c: F.try_element_at(F.element_at("cols", c), i + 1))))
-    # By JSON type, not by the text: a string may begin with a bracket.
-    types = F.transform(F.map_values(F.col("any").cast("map<string,variant>")), F.schema_of_variant)
-    obj_nested = F.coalesce(F.forall(types, lambda t: t.startswith("ARRAY") | t.startswith("OBJECT")),
-                            F.lit(False))
 
     def whole(c: str):
         """All values have the type asked for; a null among them makes the file one record."""
@@ -188,7 +188,7 @@ def _json_records(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
     kind = (F.when(whole("idx"), "indexed")
             .when(whole("cols"), "columns")
             .when(F.col("obj").isNotNull() & (F.size("obj") == 0), "empty")
-            .when(F.col("obj").isNotNull() & obj_nested, "mixed")
+            .when(F.col("obj").isNotNull() & F.col("nested"), "mixed")
             .when(F.col("obj").isNotNull(), "object")
             .otherwise("invalid"))
     shaped = parsed.withColumn("kind", kind).withColumn(

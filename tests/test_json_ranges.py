@@ -49,3 +49,15 @@ def test_shapes_and_rejects(spark, tmp_path, small_ranges):
     assert [(f, r) for f, _, r in got if f in ("good.json", "object.json")] == [
         ("good.json", {"a": "]"}), ("good.json", {}), ("object.json", {"a": "x}", "b": "y"})]
     assert not [g for g in got if g[0] in ("empty.json", "blank.json")]
+
+
+def test_other_shapes_are_parsed_once(spark, tmp_path):
+    """Rows of index-oriented and column files come from written columns, not from a parse for each lookup."""
+    want = {"Ticket ID": [f"T-{i}" for i in range(12)], "Issue": [f"i{i}" for i in range(12)]}
+    (tmp_path / "c.json").write_text(json.dumps(want))
+    (tmp_path / "i.json").write_text(json.dumps({c: {str(i): x for i, x in enumerate(v)} for c, v in want.items()}))
+    recs, rejects = _json_records(spark, str(tmp_path / "*.json"))
+    assert "from_json" not in recs._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["_source_file"][-6:], r["_row"], r["rec"]["Ticket ID"], r["rec"]["Issue"]) for r in recs.collect())
+    assert got == [(f, i, f"T-{i}", f"i{i}") for f in ("c.json", "i.json") for i in range(12)]
+    assert rejects.count() == 0
