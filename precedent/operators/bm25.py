@@ -51,6 +51,9 @@ from precedent.session import materialize as materialize_table
 PUSHDOWN_VOCABULARY = 1024
 # Postings per (term, salt) group a task should hold at most.
 DEFAULT_ROWS_PER_SALT = 1_000_000
+# Bytes of text of a task whose texts are dealt, and of a split that is read as it lies (on average).
+DEALT_BYTES = 32 << 20
+SPLIT_BYTES = 128 << 20
 # Rows of (query term, posting) beyond which a top-k search goes through the grid.
 GRID_PAIRS = 10_000_000
 # Query terms, and postings, of a block of the grid.
@@ -90,14 +93,21 @@ def counted_terms(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
             .where(F.col("term").isNotNull()))
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
+def spread_scan(df: DataFrame, text: Column | str | None = None) -> DataFrame:
     """``df`` dealt round robin when Spark's size estimate says that its scan has fewer splits than there are
-    cores, so that a small table in one file is still tokenised by all of them. A large table is not exchanged."""
+    cores, so that a small table in one file is still tokenised by all of them. With ``text`` the bytes of the texts
+    are summed: tasks that are dealt get ``DEALT_BYTES`` each, and a scan of more than ``SPLIT_BYTES`` a split is
+    dealt too, so that what a task sorts does not grow with the table. Other large tables are not exchanged."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df if size >= cores * split else df.repartition(cores)
+    if text is None:
+        return df if size >= cores * split else df.repartition(cores)
+    held = df.agg(F.sum(F.octet_length(_c(text)))).first()[0] or 0
+    if size >= cores * split and held <= SPLIT_BYTES * df.rdd.getNumPartitions():
+        return df
+    return df.repartition(max(cores, math.ceil(held / DEALT_BYTES)))
 
 
 def term_postings(docs: DataFrame, doc_id: str, text: Column | str,
@@ -112,7 +122,7 @@ def term_postings(docs: DataFrame, doc_id: str, text: Column | str,
     if group:
         cols.append(F.col(group).alias("grp"))
     keys = ["doc_id", "doc_len"] + (["grp"] if group else [])
-    rows = spread_scan(docs).select(*cols).withColumn("doc_len", F.size("_tokens").cast("long"))
+    rows = spread_scan(docs, text).select(*cols).withColumn("doc_len", F.size("_tokens").cast("long"))
     return counted_terms(rows, "_tokens", *keys)
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from precedent.operators import bm25 as B
 from precedent.operators import embed as E
 
 
@@ -29,3 +30,21 @@ def test_vectors_are_summed_in_partitions_by_size(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c{i}") for i in range(50)], "id int, text string")
     plan = E.hash_embed_sparse(docs, "id", "text")._jdf.queryExecution().executedPlan().toString()
     assert ", 37)" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_texts_are_dealt_by_their_bytes(spark, tmp_path, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    spark.createDataFrame([(i, f"a b c{i}") for i in range(50)], "id int, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert B.spread_scan(docs, "text").rdd.getNumPartitions() == cores
+    monkeypatch.setattr(B, "DEALT_BYTES", 4)
+    held = sum(len(f"a b c{i}") for i in range(50))
+    assert B.spread_scan(docs, "text").rdd.getNumPartitions() == max(cores, -(-held // 4))
+    assert {(r.doc_id, r.term, r.tf) for r in B.term_postings(docs, "id", "text").collect()} >= {(7, "c7", 1), (49, "a", 1)}
+    # Splits with more text than a task may have are dealt, also where there are enough of them.
+    monkeypatch.setattr(B, "SPLIT_BYTES", 1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        assert B.spread_scan(docs, "text").rdd.getNumPartitions() == max(cores, -(-held // 4))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
