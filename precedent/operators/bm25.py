@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from precedent.functions.text import tokenize
-from precedent.operators.dense import CELLS_PER_CORE, _arrow_type, _keep_best
+from precedent.operators.dense import CELLS_PER_CORE, _arrow_type, _keep_best, cell_keys
 from precedent.operators.ranking import top_k
 from precedent.operators.sizing import DEFAULT_BROADCAST_ROWS, Sized, maybe_broadcast
 from precedent.schema import RetrievalParams
@@ -195,15 +195,15 @@ def build_keyword_index(docs: DataFrame, doc_id: str, text: Column | str, *,
 
 
 def query_terms(queries: DataFrame, query_id: str, text: Column | str,
-                group: str | None = None, stop_words=None) -> DataFrame:
-    """(query_id, term[, qgrp]) with each term once per query."""
+                group: str | None = None, stop_words=None, once: bool = True) -> DataFrame:
+    """(query_id, term[, qgrp]) with each term once per query row, and per query with ``once`` (which exchanges them)."""
     cols = [F.col(query_id).alias("query_id"),
             F.explode_outer(F.array_distinct(tokenize(text, stop_words))).alias("term")]
     if group:
         cols.append(F.col(group).alias("qgrp"))
+    found = queries.select(*cols).filter(F.col("term").isNotNull())
     # Each (query, term) once, also when a query id repeats.
-    return queries.select(*cols).filter(F.col("term").isNotNull()) \
-        .dropDuplicates(["query_id", "term"])
+    return found.dropDuplicates(["query_id", "term"]) if once else found
 
 
 def bm25_scores(queries: DataFrame, index: KeywordIndex, *, query_id: str,
@@ -385,9 +385,15 @@ def grid_candidates(qt: DataFrame, index: KeywordIndex, k: int, *, exclude_self:
     are dealt by a hash of the id; a document's equal terms are added up before, so that rows which share an
     id, or have none, weigh no more than one document."""
     spark = qt.sparkSession
+    # The number of a term is its place in its partition and the partition (33 bits and more of Spark's id).
+    at, part = F.col("_id") % (1 << 33), F.shiftright("_id", 33)
     terms, m = materialize_table(
-        _asked(qt, index).withColumn("idf", _idf(index)).withColumn("tid", F.monotonically_increasing_id()),
-        "asked-terms", {"n": F.count(F.lit(1)), "rows": F.sum("df")})
+        _asked(qt, index).withColumn("idf", _idf(index)).withColumn("_id", F.monotonically_increasing_id()),
+        "asked-terms", {"n": F.count(F.lit(1)), "rows": F.sum("df"), "place": F.max(at), "part": F.max(part)})
+    # Interleaved, the numbers of even partitions are small: a posting carries 4 bytes of them, not 8.
+    parts = (m["part"] or 0) + 1
+    small = ((m["place"] or 0) + 1) * parts < 1 << 31
+    terms = terms.withColumn("tid", (at * parts + part).cast("int" if small else "long"))
     by_query = ["query_id"] + (["qgrp"] if grouped else [])
     by_doc = ["doc_id"] + (["grp"] if grouped else [])
     queries, q = materialize_table(
@@ -409,10 +415,11 @@ def grid_candidates(qt: DataFrame, index: KeywordIndex, k: int, *, exclude_self:
     n_terms, n_rows = max(1, q["terms"] or 0), max(1, m["rows"] or 0)
     n_q = max(1, math.ceil(n_terms / block_rows), round(math.sqrt(cells * n_terms / n_rows)))
     n_d = max(math.ceil(n_rows / block_rows), math.ceil(cells / n_q))
-    left = queries.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_d - 1)), lambda d: F.pmod(
-        F.xxhash64("query_id"), F.lit(n_q)) * n_d + d)))
-    right = found.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_q - 1)), lambda i: i * n_d + F.pmod(
-        F.xxhash64("doc_id"), F.lit(n_d)))))
+    key = cell_keys(spark, n_q * n_d)
+    left = queries.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_d - 1)), lambda d: key(F.pmod(
+        F.xxhash64("query_id"), F.lit(n_q)) * n_d + d))))
+    right = found.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_q - 1)), lambda i: key(
+        i * n_d + F.pmod(F.xxhash64("doc_id"), F.lit(n_d))))))
     kinds = [qt.schema["query_id"].dataType, index.postings.schema["doc_id"].dataType]
     out = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("doc_id", kinds[1]),
                         T.StructField("score", T.DoubleType())])
@@ -432,7 +439,8 @@ def bm25_topk(queries: DataFrame, index: KeywordIndex, k: int, *, grid_pairs: in
     scores = None
     same = qt.schema["query_id"].dataType == index.postings.schema["doc_id"].dataType
     # The pairs follow from the term statistics; a few query terms are not even counted.
-    if (same or not exclude_self) and len(qt.select("term").limit(PUSHDOWN_VOCABULARY + 1).collect()) > PUSHDOWN_VOCABULARY:
+    rows = query_terms(queries, kw["query_id"], kw["text"], group, index.stop_words, once=False)
+    if (same or not exclude_self) and len(rows.select("term").limit(PUSHDOWN_VOCABULARY + 1).collect()) > PUSHDOWN_VOCABULARY:
         qt = materialize_table(qt, "query-terms")
         pairs = _asked(qt, index).agg(F.sum(F.col("df") * F.col("asked"))).first()[0] or 0
         if pairs > grid_pairs:

@@ -29,13 +29,14 @@ wrongly sized vectors get no score and are left out.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,8 +52,8 @@ QUERY_BLOCK = 1024
 DOC_BLOCK = 4096
 # Pairs scored in float64 at a time.
 EXACT_PAIRS = 16_384
-# Cells of a grid for each core, so that unequal cells even out.
-CELLS_PER_CORE = 4
+# Cells of a grid for each core. Blocks are dealt by a hash, so cells are even; each more sends every row to more cells.
+CELLS_PER_CORE = 2
 
 _ARROW_TYPES = {
     T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(),
@@ -307,21 +308,23 @@ def dense_candidates(queries: DataFrame, corpus: DataFrame, k: int, *,
 
     # More queries than may be broadcast: a grid of query blocks by corpus blocks. Each block
     # goes to the cells of its row or column by an equi-join key, and each cell keeps the best k.
-    # Enough blocks that every core has some cells to work on.
-    least = math.ceil(math.sqrt(CELLS_PER_CORE * spark.sparkContext.defaultParallelism))
+    # Enough blocks that every core has some cells to work on, and no more: each sends all rows of the other side again.
+    cells = CELLS_PER_CORE * spark.sparkContext.defaultParallelism
+    fewest = math.floor(math.sqrt(cells))
 
-    def blocks(df, id_col):
+    def blocks(df, id_col, least):
         n = max(least, math.ceil(df.count() / (GRID_BLOCK * max_rows)))
         return n, F.pmod(F.xxhash64(id_col), F.lit(n))
 
     dnames = ["did", "dv", "dg"][:len(dcols)]
     docs = scan.toDF(*dnames)
-    n_q, q_block = blocks(qsel, "qid")
-    n_d, d_block = blocks(docs, "did")
+    n_q, q_block = blocks(qsel, "qid", math.ceil(cells / fewest))
+    n_d, d_block = blocks(docs, "did", fewest)
+    key = cell_keys(spark, n_q * n_d)
     left = qsel.withColumn("_cell", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(n_d - 1)), lambda d: q_block * n_d + d)))
+        F.sequence(F.lit(0), F.lit(n_d - 1)), lambda d: key(q_block * n_d + d))))
     right = docs.withColumn("_cell", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(n_q - 1)), lambda q: q * n_d + d_block)))
+        F.sequence(F.lit(0), F.lit(n_q - 1)), lambda q: key(q * n_d + d_block))))
 
     def cell(left_rows, right_rows):
         payload = SimpleNamespace(value=_payload(left_rows, dim, grouped, exclude_self))
@@ -335,6 +338,18 @@ def dense_candidates(queries: DataFrame, corpus: DataFrame, k: int, *,
             .cogroup(right.repartition(cells, "_cell").groupBy("_cell")).applyInArrow(cell, out_schema))
 
 
+def cell_keys(spark: SparkSession, n: int) -> Callable[[Column], Column]:
+    """From a cell's number (0 to ``n`` - 1) to its key: keys that ``repartition(n, key)`` deals to ``n`` different
+    partitions. Numbers themselves share partitions, so that one task gets several cells and others none."""
+    at = F.pmod(F.hash("id"), F.lit(n))
+    first = spark.range(0, 64 * n, 1, 1).groupBy(at.alias("at")).agg(F.min("id").alias("id")).collect()
+    keys = {r["at"]: r["id"] for r in first}
+    if len(keys) < n:
+        return lambda cell: cell.cast("long")
+    held = F.array(*[F.lit(keys[i]).cast("long") for i in range(n)])
+    return lambda cell: F.element_at(held, (cell + 1).cast("int"))
+
+
 def common_width(df: DataFrame, vec: str) -> int:
     """The width that most vectors of ``df`` have (the smaller one on a tie); 0 without vectors."""
     row = (df.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("w")).count()

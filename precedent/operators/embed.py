@@ -176,8 +176,12 @@ def hash_embed(df: DataFrame, id_col: str, text: Column | str, dim: int = 384,
     """Dense ``array<float>`` form of ``hash_embed_sparse`` (same vectors as
     the Python ``HashingEncoder``); rows without tokens are absent."""
     sparse = hash_embed_sparse(df, id_col, text, dim)
-    per = sparse.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0).cast("float")))
+    # The zeros before each bucket and its weight, by bucket, then those after the last: linear in ``dim``, where
+    # a lookup of every bucket in a map is ``dim`` times the row's terms.
+    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n.cast("int"))
+    per = sparse.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("_held"))
+    before = F.concat(F.array(F.lit(-1)), F.col("_held.bucket"))
+    spans = F.zip_with(F.col("_held"), F.slice(before, F.lit(1), F.size("_held")), lambda e, b: F.concat(
+        zeros(e["bucket"] - b - 1), F.array(e["weight"])))
+    dense = F.concat(F.flatten(spans), zeros(F.lit(dim - 1) - F.element_at("_held.bucket", -1)))
     return per.select(id_col, dense.alias(out_col))
