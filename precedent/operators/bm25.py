@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from precedent.functions.text import tokenize
-from precedent.operators.dense import CELLS_PER_CORE, _arrow_type, _keep_best, cell_keys
+from precedent.operators.dense import CELLS_PER_CORE, _arrow_type, _keep_best, cell_keys, grid_width
 from precedent.operators.ranking import top_k
 from precedent.operators.sizing import DEFAULT_BROADCAST_ROWS, Sized, maybe_broadcast
 from precedent.schema import RetrievalParams
@@ -413,7 +413,7 @@ def grid_candidates(qt: DataFrame, index: KeywordIndex, k: int, *, exclude_self:
     # Enough cells for every core, dealt so that little is sent twice: a query is sent once a block of documents.
     cells = CELLS_PER_CORE * spark.sparkContext.defaultParallelism
     n_terms, n_rows = max(1, q["terms"] or 0), max(1, m["rows"] or 0)
-    n_q = max(1, math.ceil(n_terms / block_rows), round(math.sqrt(cells * n_terms / n_rows)))
+    n_q = max(math.ceil(n_terms / block_rows), grid_width(cells, math.sqrt(cells * n_terms / n_rows)))
     n_d = max(math.ceil(n_rows / block_rows), math.ceil(cells / n_q))
     key = cell_keys(spark, n_q * n_d)
     left = queries.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_d - 1)), lambda d: key(F.pmod(

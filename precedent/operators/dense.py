@@ -310,7 +310,7 @@ def dense_candidates(queries: DataFrame, corpus: DataFrame, k: int, *,
     # goes to the cells of its row or column by an equi-join key, and each cell keeps the best k.
     # Enough blocks that every core has some cells to work on, and no more: each sends all rows of the other side again.
     cells = CELLS_PER_CORE * spark.sparkContext.defaultParallelism
-    fewest = math.floor(math.sqrt(cells))
+    wide = grid_width(cells, math.sqrt(cells))
 
     def blocks(df, id_col, least):
         n = max(least, math.ceil(df.count() / (GRID_BLOCK * max_rows)))
@@ -318,8 +318,8 @@ def dense_candidates(queries: DataFrame, corpus: DataFrame, k: int, *,
 
     dnames = ["did", "dv", "dg"][:len(dcols)]
     docs = scan.toDF(*dnames)
-    n_q, q_block = blocks(qsel, "qid", math.ceil(cells / fewest))
-    n_d, d_block = blocks(docs, "did", fewest)
+    n_q, q_block = blocks(qsel, "qid", wide)
+    n_d, d_block = blocks(docs, "did", cells // wide)
     key = cell_keys(spark, n_q * n_d)
     left = qsel.withColumn("_cell", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(n_d - 1)), lambda d: key(q_block * n_d + d))))
@@ -338,6 +338,13 @@ def dense_candidates(queries: DataFrame, corpus: DataFrame, k: int, *,
             .cogroup(right.repartition(cells, "_cell").groupBy("_cell")).applyInArrow(cell, out_schema))
 
 
+def grid_width(cells: int, wanted: float) -> int:
+    """The divisor of ``cells`` next to ``wanted`` (the larger one on a tie): a grid of that width has just as many
+    cells, so that the last of them do not keep a few cores busy while the others wait."""
+    fits = [d for d in range(1, cells + 1) if cells % d == 0]
+    return min(fits, key=lambda d: (round(abs(math.log(d / wanted)), 9), -d))
+
+
 def cell_keys(spark: SparkSession, n: int) -> Callable[[Column], Column]:
     """From a cell's number (0 to ``n`` - 1) to its key: keys that ``repartition(n, key)`` deals to ``n`` different
     partitions. Numbers themselves share partitions, so that one task gets several cells and others none."""

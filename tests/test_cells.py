@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from precedent.operators import bm25, embed
-from precedent.operators.dense import cell_keys
+from precedent.operators.dense import cell_keys, grid_width
 
 
 def test_each_cell_has_a_task_of_its_own(spark):
@@ -15,6 +15,11 @@ def test_each_cell_has_a_task_of_its_own(spark):
         assert sorted(r["count"] for r in dealt) == [1] * n
 
 
+def test_a_grid_has_as_many_cells_as_asked():
+    assert [grid_width(c, c ** 0.5) for c in (1, 2, 12, 16, 24)] == [1, 2, 4, 4, 6]
+    assert grid_width(24, 0.01) == 1 and grid_width(24, 900) == 24
+
+
 def test_vectors_are_put_together_without_a_lookup_of_every_bucket(spark):
     rows = [(i, " ".join(f"w{i * j % 97}" for j in range(i % 40)), ) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, text string")
