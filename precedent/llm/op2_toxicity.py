@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precedent.llm.common import materialize, small_batches, spread
+from precedent.llm.common import free_worker, materialize, small_batches, spread
 
 SAMPLE_DOCS = 20_000
 MAX_LEXICON = 50_000
@@ -164,6 +164,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> Dat
 def learn_lexicon(rows: DataFrame, max_lexicon: int) -> dict[str, float]:
     """Log odds of the words and beginnings that stand in toxic rows more than in others."""
     def count(batches):
+        free_worker()
         seen: dict[str, list[int]] = {}
         for batch in small_batches(batches, "text"):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
@@ -221,6 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, ma
     lexicon = learn_lexicon(rows.where("key % 2 = 0"), max_lexicon)
 
     def measure(batches):
+        free_worker()
         grammar = Grammar(lexicon)
         for batch in small_batches(batches, "text"):
             f = [grammar.features(t) for t in batch.column("text").to_pylist()]
@@ -237,6 +239,7 @@ def score(docs: DataFrame, model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)       # max_lexicon entries at most
 
     def run(batches):
+        free_worker()
         grammar = Grammar(shared.value)
         for whole in batches:
             for batch in small_batches([whole], "text"):

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precedent.llm.common import components, materialize, small_batches, spread
+from precedent.llm.common import components, free_worker, materialize, small_batches, spread
 
 WORDS = 5
 # Fixed values of the contract: linked where 100 * intersection >= 75 * union.
@@ -205,6 +205,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         import numpy as np
         import xxhash
 
+        free_worker()
         shingler, registers = Shingler(), Registers()
         for batch in small_batches(batches, "text"):
             rows = []
@@ -230,6 +231,7 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
         import numpy as np
         import xxhash
 
+        free_worker()
         shingler = Shingler()
         for batch in small_batches(batches, "text"):
             rows = []
@@ -259,6 +261,7 @@ def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches):
         import numpy as np
 
+        free_worker()
         for batch in batches:
             if not batch.num_rows:
                 continue

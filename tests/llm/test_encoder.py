@@ -38,3 +38,26 @@ ENCODER = TokenEncoder(PATH, max_words=100)
 @given(st.lists(st.text(alphabet="ab '1é\n\t 　Ġ.", max_size=24), max_size=6))
 def test_any_text(texts):
     assert ENCODER.encode(texts) == plain(texts)
+
+
+def test_later_steps_do_not_hold_the_encoder(spark, make):
+    import sys
+
+    import pyarrow as pa
+
+    from precedent.llm import op2_toxicity, op5_pack, op9_minhash
+
+    def holders():
+        def look(batches):
+            held = "_precedent_worker_state" in sys.modules
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([int(held)] * batch.num_rows)], names=["held"])
+        return spark.range(0, 64, 1, 64).mapInArrow(look, "held long").groupBy().sum("held").first()[0]
+
+    docs = make([(i, f"some words of text {i} and more of them {i % 7}") for i in range(256)], 64)
+    for step in (lambda: op9_minhash.sketch(docs), lambda: op2_toxicity.score(docs, ({}, None))):
+        assert op5_pack.pack(docs, PATH).count() == 256
+        before = holders()
+        assert before > 0
+        step().write.format("noop").mode("overwrite").save()
+        assert holders() < before / 2
