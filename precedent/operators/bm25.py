@@ -58,6 +58,9 @@ SPLIT_BYTES = 128 << 20
 GRID_PAIRS = 10_000_000
 # Query terms, and postings, of a block of the grid.
 GRID_BLOCK_ROWS = 1_000_000
+# A cell holds a term's weights as a row over its documents where more than one in this many hold the term: at most
+# this many numbers for each posting of the cell.
+GRID_DENSE_SHARE = 16
 # Weights of terms up to this many are broadcast to the postings.
 GRID_BROADCAST_TERMS = 500_000
 
@@ -294,6 +297,22 @@ def _codes(col: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     return rank[at], pa.concat_arrays([pa.nulls(1, col.dictionary.type), col.dictionary.take(order)])
 
 
+def _reaching(total: np.ndarray, k: int, tol: float) -> np.ndarray:
+    """Places of the scores above 0 that are at most ``tol`` below the ``k``-th best."""
+    n = len(total)
+    least = 0.0
+    if n > k:
+        # The k-th of the best of some stretches is no more than the k-th of all, and far fewer are to be sorted.
+        parts = min(n, max(64, 8 * k))
+        tops = total[:n // parts * parts].reshape(parts, -1).max(1)
+        least = np.partition(tops, parts - k)[parts - k] - tol
+    sel = np.flatnonzero(total >= least) if least > 0 else np.flatnonzero(total > 0)
+    if len(sel) > k:
+        held = total[sel]
+        sel = sel[held >= np.partition(held, len(held) - k)[len(held) - k] - tol]
+    return sel
+
+
 def _grid_cell(k: int, digits: int, grouped: bool, exclude_self: bool, schema: pa.Schema):
     """The function of a cell: (query_id, tids[, qgrp]) x (doc_id, tid, w[, grp]) -> best ``k`` documents per query."""
     tol = 2.0 * 10.0 ** (-digits)
@@ -307,6 +326,16 @@ def _grid_cell(k: int, digits: int, grouped: bool, exclude_self: bool, schema: p
         n_docs, n_terms = len(ids), len(vocab)
         # Documents are numbered by group, then id, so that a group's scores are one stretch.
         whole = (*_postings_by(term, n_terms, docs, w), 0, 0, n_docs, np.arange(n_docs))
+        # Terms of many documents: a row of weights each, which a query of no group adds up instead of the postings.
+        often = np.flatnonzero(np.diff(whole[0]) * GRID_DENSE_SHARE > n_docs)
+        if grouped and not queries["qgrp"].null_count:
+            often = often[:0]
+        row_of = np.full(n_terms, -1)
+        row_of[often] = np.arange(len(often))
+        dense = np.empty((len(often), n_docs))
+        for r, t in zip(dense, often):
+            at = slice(whole[0][t], whole[0][t + 1])
+            r[:] = np.bincount(whole[1][at], whole[2][at], minlength=n_docs)
         stretch = {}
         if grouped:
             code, names = _codes(postings["grp"])
@@ -338,11 +367,17 @@ def _grid_cell(k: int, digits: int, grouped: bool, exclude_self: bool, schema: p
                 total = None
             if starts is not None:
                 t = place[ends[i]:ends[i + 1]]
-                t = t[t >= 0] + base
+                t = t[t >= 0]
+                full = row_of[t] if name is None else np.full(len(t), -1)
+                t = t[full < 0] + base
                 cuts_ = [(a, b) for a, b in zip(starts[t], starts[t + 1]) if b > a]
-                if cuts_:
-                    score = np.bincount(np.concatenate([rows[a:b] for a, b in cuts_]) - lo,
-                                        np.concatenate([weights[a:b] for a, b in cuts_]), minlength=hi - lo)
+                full = full[full >= 0]
+                if cuts_ or len(full):
+                    score = np.zeros(hi - lo) if not cuts_ else np.bincount(
+                        np.concatenate([rows[a:b] for a, b in cuts_]) - lo,
+                        np.concatenate([weights[a:b] for a, b in cuts_]), minlength=hi - lo)
+                    for r in full:
+                        score += dense[r]
                     if alone:
                         total, of = score, doc[lo:hi]
                     else:
@@ -355,8 +390,7 @@ def _grid_cell(k: int, digits: int, grouped: bool, exclude_self: bool, schema: p
             q = qcode[i]
             if own[q] >= 0:
                 total[of == own[q] if len(of) < n_docs else own[q]] = 0.0
-            least = np.partition(total, len(total) - k)[len(total) - k] - tol if len(total) > k else 0.0
-            sel = np.flatnonzero((total >= least) & (total > 0))
+            sel = _reaching(total, k, tol)
             part = (np.full(len(sel), q), of[sel], total[sel], np.round(total[sel], digits))
             if len(sel) > 4 * k:
                 part = _keep_best(*part, k, tol)

@@ -186,10 +186,12 @@ def _scan_fn(bc, k: int, digits: int, min_score: float | None, exclude_self: boo
                 if len(new) and len(ids) >= k:
                     kth = np.partition(s[new], len(ids) - k, axis=1)[:, len(ids) - k] - margin
                     low[new] = np.maximum(least, kth)
-                low = (low - margin).astype(np.float32)
-                qi, di = np.nonzero((s >= low[:, None]) & (s > -np.inf))
-                if len(qi) == 0:
+                # Never as low as minus infinity, the score of a row's own id.
+                low = np.maximum(low - margin, np.finfo(np.float32).min).astype(np.float32)
+                pairs = np.flatnonzero(s >= low[:, None])
+                if len(pairs) == 0:
                     continue
+                qi, di = np.divmod(pairs, s.shape[1])
                 qi = at[qi]
                 score = _exact(qmat, m, qi, di)
                 if min_score is not None:

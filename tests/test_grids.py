@@ -1,6 +1,7 @@
 """Searches of many queries: blocks of queries and documents meet in cells; no pair of all is made."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from precedent.operators import bm25, dense
@@ -73,3 +74,40 @@ def test_few_pairs_pass_after_the_first_rows(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(20_000)), pa.array(list(m))], names=["id", "v"])
     out = list(dense._scan_fn(bc, 3, 9, None, False, False, pa.int64(), pa.int64())([batch]))
     assert out[0].num_rows >= 1500 and sum(scored) < 500 * 3 * 12
+
+
+def _cell_tables(n):
+    ids = pa.array([f"d{i:03}" for i in range(n)])
+    # Terms 0 and 1 are in all and half of the documents, the others in one each.
+    held = [[0, *([1] if i % 2 else []), i + 2] for i in range(n)]
+    queries = pa.table({"query_id": ids, "tids": pa.array(held, pa.list_(pa.int32()))})
+    rows = [(f"d{i:03}", t, 1.0 + (i * 7 + t) % 11 / 11) for i, terms in enumerate(held) for t in terms]
+    return queries, pa.table({"doc_id": pa.array([r[0] for r in rows]), "tid": pa.array([r[1] for r in rows], pa.int32()),
+                              "w": pa.array([r[2] for r in rows])})
+
+
+def test_postings_of_frequent_terms_are_not_added_for_each_query(monkeypatch):
+    queries, postings = _cell_tables(200)
+    added, plain = [], np.bincount
+    monkeypatch.setattr(bm25.np, "bincount", lambda x, *a, **kw: added.append(len(x)) or plain(x, *a, **kw))
+    schema = pa.schema([("query_id", pa.string()), ("doc_id", pa.string()), ("score", pa.float64())])
+    found = bm25._grid_cell(3, 9, False, True, schema)(queries, postings).to_pylist()
+    # Each posting once, and a query's own rare term; before, 200 queries had 300 postings each.
+    assert sum(added) <= 2 * postings.num_rows
+    w = {(r["doc_id"], r["tid"]): r["w"] for r in postings.to_pylist()}
+    docs = queries["query_id"].to_pylist()
+    for q in queries.to_pylist()[::17]:
+        score = {d: sum(w.get((d, t), 0.0) for t in q["tids"]) for d in docs if d != q["query_id"]}
+        first = sorted(score, key=lambda d: (-round(score[d], 9), d))[:3]
+        best = {r["doc_id"]: r["score"] for r in found if r["query_id"] == q["query_id"]}
+        assert set(first) <= set(best)
+        assert all(abs(score[d] - s) < 1e-12 for d, s in best.items())
+
+
+def test_scores_that_reach_the_best():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 63, 64, 65, 200, 1000):
+        for k in (1, 3, 40):
+            total = rng.integers(0, 9, n) * (rng.random(n) < rng.choice([0.02, 0.5, 1.0])) / 3
+            kth = np.sort(total)[-k] - 1e-9 if n > k else 0.0
+            assert bm25._reaching(total, k, 1e-9).tolist() == np.flatnonzero((total >= kth) & (total > 0)).tolist()
